@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.exact_dedup import exact_dedup
+from strandlake.llm.fingerprints import hashes, likeness, winnow, with_next
+from strandlake.llm.near_dedup import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,55 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    beside = with_next(docs, "doc_id", "text", {"fp": winnow(F.col("text"))})
+    n = F.char_length("text")
+    cut_at = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut_at), F.substring("next_text", F.lit(1), cut_at))
+    texts = beside.select("id", "fp", "next_fp", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    both = texts.select("*", winnow(F.col("edited")).alias("efp"))
+    sets = both.select("*", hashes(F.col("fp")).alias("h"), hashes(F.col("efp")).alias("eh"), hashes(F.col("next_fp")).alias("nh"))
+    return sets.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.sha2(F.to_json("fp"), 256).alias("fingerprint"),
+        F.sha2(F.to_json("efp"), 256).alias("edited_fingerprint"),
+        likeness(F.col("h"), F.col("eh")).alias("near_edited"),
+        likeness(F.col("h"), F.col("nh")).alias("near_next"),
+        F.size("fp").cast("long").alias("n_selected"),
+    )
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + least(5, len(words)) - 1], ' ') AS sh
+  FROM w, unnest(range(1, greatest(2, len(words) - 3))) AS r(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op4_fingerprints": op4_fingerprints,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL.replace("\\\\", "\\")}

@@ -62,17 +62,14 @@ class OnePermutation:
         self.bands, self.rows = bands, rows
         self.bins = bands * rows
         self.seed = np.uint64(seed)
-        i = np.arange(self.bins, dtype=np.uint64)
-        self._probe = [
-            (mix(i * _STEP + np.uint64(t + 1) * _MIX_1) % np.uint64(self.bins)).astype(np.int64) for t in range(64)
-        ]
+        self._probe: list[np.ndarray] = []
 
     def _draw(self, t: int) -> np.ndarray:
+        """For each bin the bin that its attempt ``t`` probes."""
         while t >= len(self._probe):
             i = np.arange(self.bins, dtype=np.uint64)
-            self._probe.append(
-                (mix(i * _STEP + np.uint64(len(self._probe) + 1) * _MIX_1) % np.uint64(self.bins)).astype(np.int64)
-            )
+            salt = mix(np.full(self.bins, len(self._probe) + 1, np.uint64))
+            self._probe.append((mix(i * _STEP + salt) % np.uint64(self.bins)).astype(np.int64))
         return self._probe[t]
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
