@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.llm.byte_bpe import bpe_decode, bpe_encode
 from strandlake.llm.exact_dedup import exact_dedup
 from strandlake.llm.fingerprints import hashes, likeness, winnow, with_next
+from strandlake.llm.licenses import scan_licenses
+from strandlake.llm.mixing import mix_sources
+from strandlake.llm.labelled import CUT, fold
 from strandlake.llm.near_dedup import near_duplicates
+from strandlake.llm.quality import fit_quality, score_quality
+from strandlake.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +37,10 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     beside = with_next(docs, "doc_id", "text", {"fp": winnow(F.col("text"))})
@@ -52,10 +62,48 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(scored: DataFrame, parts: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold("doc_id", parts) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= CUT).cast("int").alias("predicted"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return _judged(score_toxicity(docs, model), 3, 1)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe_encode(_table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe_decode(ids, ranks, pattern).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    return _judged(score_quality(docs, model), 4, 2)
+
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -76,8 +124,13 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_license_scan": op3_license_scan,
         "op4_fingerprints": op4_fingerprints,
+        "op5_toxicity": op5_toxicity,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_pfair_mixing": op9_pfair_mixing,
+        "op10_quality": op10_quality,
     }
 
 
