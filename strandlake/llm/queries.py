@@ -15,7 +15,10 @@ from strandlake.llm.mixing import mix_sources
 from strandlake.llm.labelled import CUT, fold
 from strandlake.llm.near_dedup import near_duplicates
 from strandlake.llm.quality import fit_quality, score_quality
+from strandlake.llm.token_files import read_documents, write_token_files
 from strandlake.llm.toxicity import fit_toxicity, score_toxicity
+from strandlake.llm.warc import page_number, read_warc, write_warc
+from strandlake.storage import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,34 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    files = write_warc(_table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, files, folder).select(
+        page_number("record_id").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        page_number("refers_to").alias("refers_to"),
+    )
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h,
+             max(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((strpos('0123456789abcdef', substr(h || '00', (5 * i) // 4 + 1, 1)) - 1) * 256
+         + (strpos('0123456789abcdef', substr(h || '00', (5 * i) // 4 + 2, 1)) - 1) * 16
+         + (strpos('0123456789abcdef', substr(h || '00', (5 * i) // 4 + 3, 1)) - 1)) >> (7 - (5 * i) % 4)) % 32 + 1, 1)
+         FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -90,6 +121,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = fresh_path(spark, "tokens")
+    files = write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(files, folder).withColumnRenamed("id", "doc_id")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -124,10 +163,12 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_warc": op2_warc,
         "op3_license_scan": op3_license_scan,
         "op4_fingerprints": op4_fingerprints,
         "op5_toxicity": op5_toxicity,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_token_files": op7_token_files,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_pfair_mixing": op9_pfair_mixing,
         "op10_quality": op10_quality,
@@ -135,4 +176,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_minhash_near_dedup": OP8_SQL.replace("\\\\", "\\")}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL.replace("\\\\", "\\")}
