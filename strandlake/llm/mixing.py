@@ -73,9 +73,13 @@ def mix_sources(
     repeat: bool = True,
     ranges: int = 256,
     max_sources: int = 10_000,
+    carry: bool = False,
 ) -> DataFrame:
     """(id, source, epoch, block, slot, place): when each row's turn comes in the mix. All are long but the first two.
 
+    With ``carry`` the result has all columns of ``df`` in place of id and source (so those may not be named epoch,
+    block, slot or place).
+
     Rows of a source follow each other in the order of a hash of their id and are cut into blocks of ``block_chars``
     characters by the place where they start, so any two blocks of a source differ by one row's length at most. Blocks
     take the slots that ``pfair_period`` gives their source, over and over; ``place`` orders rows within a slot.
@@ -95,9 +99,10 @@ def mix_sources(
     """
     size = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
+    own = F.struct(*[F.col(c) for c in (df.columns if carry else (id_col, source_col))])
     rows = df.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
+        own.alias("_row"),
+        F.col(id_col).alias("_id"),
         source.alias("_s"),
         F.greatest(size, F.lit(1)).alias("_n"),
         F.xxhash64(F.col(id_col), F.lit(17)).alias("_h"),
@@ -126,19 +131,17 @@ def mix_sources(
     before = W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("_s", "_r").agg(F.sum("_n").alias("_sum"))
     offsets = offsets.select("_s", "_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    within = W.partitionBy("_s", "_r").orderBy("_h", "id", "_t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("_s", "_r").orderBy("_h", "_id", "_t").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.withColumn("_start", F.sum("_n").over(within) - F.col("_n")).join(offsets, ["_s", "_r"])
     start = F.col("_start") + F.col("_offset")
     block = F.floor(start / block_chars).cast("long")
     timed = placed.join(F.broadcast(plan), "_s").select(
-        "id", "source", block.alias("block"), start.alias("place"), "_blocks", "_share", "_slots",
+        "_row", block.alias("block"), start.alias("place"), "_blocks", "_share", "_slots",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)).alias("epoch"),
     )
     turn = F.col("epoch") * F.col("_blocks") + F.col("block")
     at = F.expr("(epoch * _blocks + block) div _share") * slots + F.element_at("_slots", (turn % F.col("_share") + 1).cast("int"))
-    return timed.select("id", "source", "epoch", "block", at.alias("slot"), "place").where(F.col("slot") < horizon).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", "block", "slot", "place"
-    )
+    return timed.select("_row.*", "epoch", "block", at.alias("slot"), "place").where(F.col("slot") < horizon)
 
 
 def _passes(blocks: int, share: int, slots_of: list[int], slots: int, horizon: int) -> int:
