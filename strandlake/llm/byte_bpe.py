@@ -20,24 +20,25 @@ from pyspark.sql import DataFrame
 
 from strandlake.llm.arrow_batches import small_batches
 
+# Per step: each row's successor, each piece's best pair (rank, position and successor's position in one number, so that
+# the least one is the leftmost of least rank), and the rows that remain.
 _CONTRACT = """
 WITH RECURSIVE s(w, pos, tok, step) AS (
   SELECT w, pos, tok, 0 FROM base
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = first THEN r ELSE tok END, step + 1
-  FROM (
-    SELECT *, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS prev,
-           min(pos) FILTER (WHERE r = best) OVER (PARTITION BY w) AS first
-    FROM (
-      SELECT t.*, m.r, min(m.r) OVER (PARTITION BY t.w) AS best
-      FROM (SELECT w, pos, tok, step, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM s) t
-      LEFT JOIN merges m ON m.a = t.tok AND m.b = t.nxt)
-    WHERE best IS NOT NULL AND step < $steps)
-  WHERE prev IS NULL OR prev <> first
+  (WITH p AS (
+     SELECT w, pos, tok, step, lead(tok) OVER o AS nxt, lead(pos) OVER o AS after
+     FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)),
+   b AS (
+     SELECT p.w, min((m.r::BIGINT << 40) | (p.pos::BIGINT << 20) | p.after) AS best
+     FROM p JOIN merges m ON m.a = p.tok AND m.b = p.nxt GROUP BY p.w)
+   SELECT p.w, p.pos, CASE WHEN p.pos = (best >> 20) & 1048575 THEN (best >> 40)::INTEGER ELSE p.tok END, p.step + 1
+   FROM p JOIN b USING (w) WHERE p.step < $steps AND p.pos <> best & 1048575)
 )
 SELECT w, pos, tok, step = $steps AS open FROM s
 WHERE (w, step) IN (SELECT w, max(step) FROM s GROUP BY w) ORDER BY w, pos
 """
+
 # The same for long pieces: where the winning token is part of no pair of lower rank, contracting its leftmost pair can
 # uncover no better one, so all its pairs from left to right that don't overlap are contracted in one step.
 _CONTRACT_LONG = """
@@ -124,18 +125,21 @@ class BpeTables:
                 rows += len(new[end][1])
                 end += 1
             block = new[at:end]
-            for (p, _), ids in zip(block, self._contract([raw for _, raw in block]), strict=True):
-                self.known[p] = ids.tobytes()
+            ids, ends = self._contract([raw for _, raw in block])
+            flat, start = ids.tobytes(), 0
+            for (p, _), stop in zip(block, (4 * ends).tolist(), strict=True):
+                self.known[p] = flat[start:stop]
+                start = stop
             at = end
 
-    def _contract(self, raws: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each byte string: the recursive query runs until no string has a pair left to contract."""
+    def _contract(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all byte strings in their order, and where each one's end: the recursive query runs until no string has a pair left to contract."""
         lengths = np.fromiter(map(len, raws), np.int64, len(raws))
         w = np.repeat(np.arange(len(raws), dtype=np.int32), lengths)
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
         pos = (np.arange(len(w)) - starts).astype(np.int32)
         tok = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
-        done: dict[int, np.ndarray] = {}
+        done_w, done_tok = [], []
         while len(w):
             self.db.register("base", pa.table({"w": w, "pos": pos, "tok": tok}))
             steps = max(4, self.STEP_ROWS // len(w))
@@ -144,12 +148,12 @@ class BpeTables:
             self.db.unregister("base")
             w, pos, tok, more = (got.column(i).to_numpy() for i in range(4))
             more = more.astype(bool)
-            shut_w, shut_tok = w[~more], tok[~more]
-            edges = np.flatnonzero(np.diff(shut_w)) + 1
-            for first, part in zip(shut_w[np.concatenate([[0], edges])] if len(shut_w) else [], np.split(shut_tok, edges), strict=False):
-                done[int(first)] = part
+            done_w.append(w[~more])
+            done_tok.append(tok[~more])
             w, pos, tok = w[more], pos[more], tok[more]
-        return [done[i].astype("<i4") for i in range(len(raws))]
+        at, ids = np.concatenate(done_w), np.concatenate(done_tok).astype("<i4")
+        order = np.argsort(at, kind="stable")
+        return ids[order], np.cumsum(np.bincount(at, minlength=len(raws)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids of whole texts; new pieces of all of them go to common queries."""
