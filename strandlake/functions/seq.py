@@ -45,13 +45,18 @@ def auto_k(total_length) -> Column:
 
 def entropy(kmer) -> Column:
     """Sum of p ln p over the four bases: 0 for one base only, -1.386 for a balanced mix."""
-    n = F.length(_c(kmer))
 
-    def part(base: str) -> Column:
-        p = (n - F.length(F.replace(_c(kmer), F.lit(base), F.lit("")))) / n
-        return F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0))
+    def of(s: Column) -> Column:
+        n = F.length(s)
 
-    return part("A") + part("C") + part("G") + part("T")
+        def part(base: str) -> Column:
+            p = (n - F.length(F.replace(s, F.lit(base), F.lit("")))) / n
+            return F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0))
+
+        return part("A") + part("C") + part("G") + part("T")
+
+    # bound once: pushed below other expressions, the k-mer would be computed again at each of its twelve uses
+    return F.transform(F.array(_c(kmer)), of)[0]
 
 
 def low_entropy(kmer, most: float = -0.70) -> Column:

@@ -6,6 +6,7 @@ import bisect
 import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -190,21 +191,30 @@ def prune_redundant(selected: DataFrame, instances: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf[["score", "family_id"]].drop_duplicates("family_id").sort_values(["score", "family_id"])
-        left = dict(list(pdf.groupby("family_id")))
+        number = {f: i for i, f in enumerate(order.family_id)}
+        records = {}
+        for rec, g in pdf.groupby("seq_index"):
+            g = g.sort_values("start")
+            starts, ends = g.start.to_numpy(), g.end.to_numpy()
+            records[rec] = starts, ends, g.family_id.map(number).to_numpy(), int((ends - starts).max())
+        own = {f: g[["seq_index", "start", "end"]].to_numpy() for f, g in pdf.groupby("family_id")}
+        out = np.zeros(len(number), bool)
         gone = []
-        points = {rec: g.sort_values("start") for rec, g in pdf.groupby("seq_index")}
-        for fid in order.family_id:
-            needed = False
-            for rec, start, end in zip(left[fid].seq_index, left[fid].start, left[fid].end, strict=True):
-                g = points[rec]
-                near = g[(g.start < end) & (g.end > start) & (g.family_id != fid) & ~g.family_id.isin(gone)]
-                cover = Coverage()
-                for s, e in zip(near.start, near.end, strict=True):
-                    cover.add(s, e)
-                if end - start - cover.covered(start, end) >= (end - start) // 4:
-                    needed = True
+        for fid, i in number.items():
+            for rec, start, end in own[fid]:
+                starts, ends, who, longest = records[rec]
+                near = slice(np.searchsorted(starts, start - longest), np.searchsorted(starts, end))
+                other = (ends[near] > start) & (who[near] != i) & ~out[who[near]]
+                free, at = 0, start  # starts are sorted, so one sweep finds what is left uncovered
+                for s, e in zip(starts[near][other].tolist(), ends[near][other].tolist(), strict=True):
+                    free += max(0, s - at)
+                    at = max(at, e)
+                    if at >= end:
+                        break
+                if free + max(0, end - at) >= (end - start) // 4:
                     break
-            if not needed:
+            else:
+                out[i] = True
                 gone.append(fid)
         return pd.DataFrame({"family_id": pd.Series(gone, dtype="int64")})
 
