@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions import mdl
 from strandlake.operators.intervals import overlap_join, overlap_length
 
 
@@ -55,3 +56,27 @@ def representatives(components: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.groupBy("component").agg(best.alias("s"), F.count(F.lit(1)).alias("members")).select(
         "component", F.col("s.id").alias("representative"), "members"
     )
+
+
+def nested_fraction(instances: DataFrame, width: int) -> DataFrame:
+    """(inner, outer, contained, fraction): instances of one family that lie wholly inside one of another, by pair."""
+    own = instances.select("family_id", "instance_idx", "seq_index", "start", "end")
+    pairs = overlap_join(own, own, ["seq_index"], width).where("a_family_id <> b_family_id and a_start >= b_start and a_end <= b_end")
+    hits = pairs.groupBy(F.col("a_family_id").alias("inner"), F.col("b_family_id").alias("outer")).agg(F.countDistinct("a_instance_idx").alias("contained"))
+    n = instances.groupBy(F.col("family_id").alias("inner")).agg(F.countDistinct("instance_idx").alias("_n"))
+    return hits.join(n, "inner").select("inner", "outer", "contained", (F.col("contained") / F.col("_n")).alias("fraction"))
+
+
+def merge_gate(pairs: DataFrame, instances: DataFrame, lengths: DataFrame, mode: str = "exact") -> DataFrame:
+    """``pairs`` (a, b, identity) that still save bits as one family: every instance of both is encoded again, with
+    (1 - identity) / 2 more divergence (0.5 at most), against one model of the longer consensus."""
+    both = pairs.select("a", "b", "identity", F.explode(F.array("a", "b")).alias("family_id"))
+    rows = both.join(instances.select("family_id", "aligned_length", "num_edits", "divergence"), "family_id")
+    rate = F.least(F.lit(0.5), F.col("divergence") + (1 - F.col("identity")) / 2)
+    edits = F.greatest(mdl.known_edits("num_edits", "divergence", "aligned_length"), F.floor(rate * F.col("aligned_length") + 0.5).cast("int"))
+    saved = 2.0 * F.col("aligned_length") - mdl.instance_cost("aligned_length", edits, mode)
+    sums = rows.select("a", "b", "identity", saved.alias("s")).groupBy("a", "b", "identity").agg(F.sum("s").alias("saved"))
+    la = lengths.select(F.col("id").alias("a"), F.col("length").alias("la"))
+    lb = lengths.select(F.col("id").alias("b"), F.col("length").alias("lb"))
+    net = F.col("saved") - mdl.model_cost(F.greatest("la", "lb"))
+    return sums.join(la, "a").join(lb, "b").withColumn("net", net).where("net > 0").select("a", "b", "identity", "net")

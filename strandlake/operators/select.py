@@ -110,7 +110,8 @@ def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact
     scores = family_scores(instances, families, mode)
     eligible = scores.where("score > 0 and n >= 2")
     groups = overlap_groups(instances, eligible)
-    rows = instances.join(groups, "family_id").join(scores.select("family_id", "score", "model_cost", "consensus_length", "n", "mean_divergence"), "family_id")
+    own = instances.select("family_id", "instance_idx", "seq_index", "start", "end", "divergence")
+    rows = own.join(groups, "family_id").join(scores.select("family_id", "score", "model_cost", "consensus_length", "n", "mean_divergence"), "family_id")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out, claimed = [], {}
@@ -187,7 +188,8 @@ def prune_redundant(selected: DataFrame, instances: DataFrame) -> DataFrame:
     if ok.limit(2).count() < 2:
         return selected
     groups = overlap_groups(instances, ok)
-    rows = instances.join(groups, "family_id").join(ok, "family_id").select("component", "family_id", "score", "seq_index", "start", "end")
+    own = instances.select("family_id", "seq_index", "start", "end")
+    rows = own.join(groups, "family_id").join(ok, "family_id").select("component", "family_id", "score", "seq_index", "start", "end")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf[["score", "family_id"]].drop_duplicates("family_id").sort_values(["score", "family_id"])

@@ -56,29 +56,39 @@ def chunked(seqs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     )
 
 
-def merge_families(families: DataFrame, instances: DataFrame, index: DataFrame, pieces: DataFrame, k: int, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Similar families united (Jaccard screen, length guard, semi-global identity and coverage on both strands),
-    represented by the one with most instances, which is refined again."""
-    ids = families.select(F.col("family_id").alias("id"), F.col("consensus").alias("seq"))
-    screened = merge.length_guard(merge.jaccard_pairs(ids), families.select(F.col("family_id").alias("id"), F.col("consensus_length").alias("length")))
-    a = families.select(F.col("family_id").alias("a"), F.col("consensus").alias("ca"))
-    b = families.select(F.col("family_id").alias("b"), F.col("consensus").alias("cb"))
-    pairs = screened.select("a", "b").join(a, "a").join(b, "b")
+def align_pairs(pairs: DataFrame, most_cells: int, least: int = 80) -> DataFrame:
+    """(a, b, identity, coverage) of pairs (a, b, ca, cb): the shorter consensus placed in the longer one, on the
+    strand of better identity. Pairs beyond the cell limit or with too little aligned are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for x, y, cx, cy in zip(pdf.a, pdf.b, pdf.ca, pdf.cb, strict=True):
                 q, t = sorted((kernels.encode(cx), kernels.encode(cy)), key=len)
-                got = [r for s in (q, kernels.complement(q)[::-1]) if (r := kernels.semiglobal(s, t, most_cells=p.refine.max_dp_cells))]
+                strands = (q, kernels.complement(q)[::-1])
+                got = [r for s in strands if (r := kernels.semiglobal(s, t, most_cells=most_cells, least=least))]
                 if got:
                     out.append((x, y, *max(got)))
-            yield pd.DataFrame(out, columns=["a", "b", "identity", "coverage"])
+            yield pd.DataFrame(out, columns=["a", "b", "identity", "coverage"]).astype({"a": "int64", "b": "int64", "identity": "float64", "coverage": "float64"})
+
+    return pairs.select("a", "b", "ca", "cb").mapInPandas(run, "a long, b long, identity double, coverage double")
+
+
+def merge_families(families: DataFrame, instances: DataFrame, index: DataFrame, pieces: DataFrame, k: int, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Similar families united (Jaccard screen, length guard, semi-global identity and coverage on both strands),
+    represented by the one with most instances, which is refined again."""
+    ids = families.select(F.col("family_id").alias("id"), F.col("consensus").alias("seq"))
+    screened = merge.length_guard(merge.jaccard_pairs(ids), families.select(F.col("family_id").alias("id"), F.col("consensus_length").alias("length")))
+    a = families.select(F.col("family_id").alias("a"), F.col("consensus").alias("ca"))
+    b = families.select(F.col("family_id").alias("b"), F.col("consensus").alias("cb"))
+    pairs = screened.select("a", "b").join(a, "a").join(b, "b")
 
-    scored = cut(pairs.mapInPandas(run, "a long, b long, identity double, coverage double"), "merge-pairs")
+    scored = cut(align_pairs(pairs, p.refine.max_dp_cells), "merge-pairs")
     strict = scored.where("identity >= 0.80 and coverage >= 0.80").select("a", "b")
     relaxed = scored.where("identity >= 0.70 and coverage >= 0.70").join(merge.instance_overlap(instances, 500).where("overlaps").select("a", "b"), ["a", "b"])
-    parts = connected_components(strict.unionByName(relaxed.select("a", "b")))
+    lengths = families.select(F.col("family_id").alias("id"), F.col("consensus_length").alias("length"))
+    gated = merge.merge_gate(strict.unionByName(relaxed.select("a", "b")).join(scored.select("a", "b", "identity"), ["a", "b"]), instances, lengths, p.library.mode)
+    parts = connected_components(gated.select("a", "b"))
     n = instances.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
     reps = merge.representatives(parts, n)
     absorbed = parts.join(reps, "component").where("node <> representative").select(F.col("node").alias("family_id"))

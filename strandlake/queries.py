@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strandlake import adapters as A
 from strandlake.functions import mdl
 from strandlake.functions import seq as S
-from strandlake.operators import assemble, evaluate, intervals, kmers, merge, recruit, rescue, scale, select, split
+from strandlake.operators import assemble, discover, evaluate, intervals, kmers, merge, recruit, rescue, scale, select, split
 from strandlake.operators.graph import connected_components
+from strandlake.plans import config, pipeline
 from strandlake.sources import tables
 
 K = 10
@@ -616,6 +617,54 @@ def family_stats(spark, d):
     )
 
 
+_NESTED = (
+    f"""WITH {A.BRANDS}, c AS (SELECT a.family_id AS i, b.family_id AS o, count(DISTINCT a.instance_idx) AS contained FROM binst a JOIN binst b ON a.seq_index = b.seq_index
+    AND a.family_id <> b.family_id AND a."start" >= b."start" AND a."end" <= b."end" AND a."start" < b."end" AND b."start" < a."end" GROUP BY ALL),
+    n AS (SELECT family_id AS i, count(DISTINCT instance_idx) AS n FROM binst GROUP BY 1)"""
+    + ' SELECT i AS "inner", o AS "outer", contained, round(contained / n, 6) AS fraction FROM c JOIN n USING (i)'
+)
+
+
+@_query(_NESTED)
+def nested_containment(spark, d):
+    return merge.nested_fraction(A.brand_instances(spark, d), 50).withColumn("fraction", F.round("fraction", 6))
+
+
+@_query(
+    f"""WITH {A.BRANDS}, n AS (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY seq_index, "start", instance_idx) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY family_id) // 500) AS step FROM binst)
+    SELECT family_id, count(*) AS kept, min(seq_index) AS first_record, sum("start")::BIGINT AS starts FROM n WHERE i % step = 0 AND i / step < 500 GROUP BY 1"""
+)
+def instance_thinning(spark, d):
+    thin = assemble.thinned(A.brand_instances(spark, d), 500)
+    return thin.groupBy("family_id").agg(F.count(F.lit(1)).alias("kept"), F.min("seq_index").alias("first_record"), F.sum("start").alias("starts"))
+
+
+@_query(f"WITH {A.FAMS} SELECT greatest(500, least(30000, 4 * floor(avg(consensus_length))))::INT AS reach FROM fams")
+def assembly_reach(spark, d):
+    return assemble.reach(A.families(spark, d))
+
+
+@_query()
+def semiglobal_identity(spark, d):
+    c = A.consensi(spark, d)
+    a, b = (c.select(F.col("family_id").alias(k), F.col("consensus").alias(f"c{k}")) for k in ("a", "b"))
+    pairs = merge.jaccard_pairs(_profiles(spark, d), least=0.0).select("a", "b").join(a, "a").join(b, "b")
+    return pipeline.align_pairs(pairs, 10_000_000, least=10)
+
+
+@_query()
+def discover_families(spark, d):
+    tiles = A.consensi(spark, d).select(F.lit(0).cast("long").alias("chunk"), F.col("family_id").alias("seq_index"), F.lit(0).cast("long").alias("start"), F.col("consensus").alias("seq"))
+    return discover.discover_families(tiles, config.DiscoverParams())[0]
+
+
+@_query()
+def pipeline_library(spark, d):
+    seqs = A.consensi(spark, d).select(F.col("family_id").alias("seq_index"), F.col("consensus").alias("seq"))
+    params = config.Params(refine=config.RefineParams(rounds=2))
+    return tables.family_statistics(pipeline.build_library(seqs, params).selected)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -201,10 +201,10 @@ def test_parameters():
 
 
 def test_library_end_to_end(spark):
-    genome, truth, _ = planted(11, 40_000, [(10, 400, 0.05), (8, 250, 0.02)], both_strands=True)
-    other, truth2, _ = planted(12, 5_000, [])
+    genome, truth, _ = planted(11, 16_000, [(8, 400, 0.05), (6, 250, 0.02)], both_strands=True)
+    other, truth2, _ = planted(12, 2_000, [])
     seqs = spark.createDataFrame([(0, genome), (1, other), (2, "")], "seq_index long, seq string")
-    params = Params(refine=RefineParams(rounds=3), library=LibraryParams(coalesce_factor=0.0))
+    params = Params(refine=RefineParams(rounds=2), library=LibraryParams(coalesce_factor=0.0))
     lib = build_library(seqs, params)
     ok = lib.selected.where("state in ('exclusive', 'standalone')")
     n = ok.count()
