@@ -153,8 +153,8 @@ class LicenseScanner:
             found += [(-r.priority, m.start() - m.end(), rank, m.start(), m.end(), r) for m in r.pattern.finditer(line)]
         kept: list[tuple[int, int, Rule]] = []
         for _, _, _, a, b, r in sorted(found, key=lambda x: x[:4]):
-            # a match inside one that came before it (higher priority, else longer, else earlier rule) says nothing new
-            if not any(x <= a and b <= y for x, y, _ in kept):
+            # of two matches one inside the other, the first here (higher priority, else longer, else earlier rule) stays
+            if not any(x <= a and b <= y or a <= x and y <= b for x, y, _ in kept):
                 kept.append((a, b, r))
         detections = sorted((line.count(" ", 0, a) - 1, line.count(" ", 0, b) - 1, r.label, r.confidence) for a, b, r in kept)
         return {"n_words": len(words), "places": sorted(places), "detections": detections}
@@ -170,8 +170,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and characters above U+007F. Base places are those where a phrase of
     ``BASE`` stands as consecutive words. Several hundred ordered rules (every license name in every form of use) are
-    tried only if an automaton finds their keyword in the text; of overlapping detections one that lies inside another
-    is suppressed by priority, then length, then the rules' order. ``labels`` holds the base labels and those of kept
+    tried only if an automaton finds their keyword in the text; of two detections one of which contains the other, the
+    one of higher priority stays, else the longer, else that of the earlier rule. ``labels`` holds the base labels and those of kept
     detections, ``score`` the largest confidence (1.0 for a base place, 0.0 for none), ``detections`` each kept label
     with its words [first, last) and confidence.
 
