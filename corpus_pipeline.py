@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.byte_bpe import bpe_decode, bpe_encode
+from strandlake.llm.byte_bpe import bpe_round_trip
 from strandlake.llm.exact_dedup import exact_dedup
 from strandlake.llm.labelled import CUT
 from strandlake.llm.mixing import mix_sources
@@ -42,8 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the digest of what they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe_encode(docs, ranks, pattern)
-    return bpe_decode(ids, ranks, pattern).select(
+    return bpe_round_trip(docs, ranks, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

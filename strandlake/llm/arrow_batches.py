@@ -1,7 +1,11 @@
-"""Batch size of Arrow transfers to Python workers."""
+"""Memory of Python workers: batch size of Arrow transfers, and giving freed memory back."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -12,3 +16,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(_ROWS, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(_ROWS, str(rows))
+
+
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system. Spark keeps Python workers for later tasks, and what
+    their allocators hold on to would count against the executor meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to do
+        pass

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from strandlake.llm.arrow_batches import small_batches
+from strandlake.llm.arrow_batches import give_back, small_batches
 
 # Per step: each row's successor, each piece's best pair (rank, position and successor's position in one number, so that
 # the least one is the leftmost of least rank), and the rows that remain.
@@ -73,39 +73,65 @@ FROM (SELECT doc, pos, piece FROM ids JOIN vocab USING (id) ORDER BY doc, pos) G
 
 
 class BpeTables:
-    """The merge table, the vocabulary and a bounded memory of encoded pieces, once per Python worker."""
+    """The merge table, the vocabulary and a bounded memory of encoded pieces of one Python worker.
 
-    BLOCK_ROWS = 400_000  # token-position rows per recursive query
+    DuckDB is open and pieces (``remember`` at most) are known inside ``with`` only, so their memory goes back at the end
+    of a task; what a worker keeps for the next one is the ranks and merges.
+    """
+
+    BLOCK_ROWS = 200_000  # token-position rows per recursive query
     LONG = 64  # bytes a piece, on average in a query, from which equal pairs are contracted together
     STEP_ROWS = 4_000_000  # rows that the steps of one query may leave behind
 
-    def __init__(self, ranks_path: str, pattern: str, remember: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, remember: int = 250_000):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.remember, self.known = remember, {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.db: duckdb.DuckDBPyConnection | None = None
+        self.merges: pa.Table | None = None
+
+    def __enter__(self) -> BpeTables:
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = true")
-        a, b, r = [], [], []
-        for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if left is not None and right is not None:
-                    a.append(left), b.append(right), r.append(rank)
-        low = {}
-        for x, y, rank in zip(a, b, r, strict=True):
-            low[x], low[y] = min(low.get(x, rank), rank), min(low.get(y, rank), rank)
-        safe = pa.array([low.get(rank, rank + 1) > rank for rank in r], pa.bool_())
-        self._table("merges", a=pa.array(a, pa.int32()), b=pa.array(b, pa.int32()), r=pa.array(r, pa.int32()), safe=safe)
-        # one character below U+0100 stands for each byte, so that string aggregation can join any bytes
-        ids, pieces = zip(*((i, t.decode("latin-1")) for t, i in self.ranks.items()), strict=True)
-        self._table("vocab", id=pa.array(ids, pa.int32()), piece=pa.array(pieces, pa.string()))
+        self.made: set[str] = set()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.db.close()
+        self.db = None
+        self.known = {}
+        give_back()
 
-    def _table(self, name: str, **columns: pa.Array) -> None:
-        self.db.register("incoming", pa.table(columns))
+    def _table(self, name: str, rows: pa.Table) -> None:
+        self.db.register("incoming", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
+        self.made.add(name)
+
+    def _need_merges(self) -> None:
+        if self.merges is None:
+            a, b, r = [], [], []
+            for token, rank in self.ranks.items():
+                for i in range(1, len(token)):
+                    left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                    if left is not None and right is not None:
+                        a.append(left), b.append(right), r.append(rank)
+            low: dict[int, int] = {}
+            for x, y, rank in zip(a, b, r, strict=True):
+                low[x], low[y] = min(low.get(x, rank), rank), min(low.get(y, rank), rank)
+            safe = [low.get(rank, rank + 1) > rank for rank in r]
+            self.merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "r": pa.array(r, pa.int32()), "safe": safe})
+        if "merges" not in self.made:
+            self._table("merges", self.merges)
+
+    def _need_vocabulary(self) -> None:
+        if "vocab" in self.made:
+            return
+        # one character below U+0100 stands for each byte, so that string aggregation can join any bytes
+        ids, pieces = zip(*((i, t.decode("latin-1")) for t, i in self.ranks.items()), strict=True)
+        self._table("vocab", pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(pieces, pa.string())}))
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not known yet."""
@@ -140,6 +166,7 @@ class BpeTables:
         pos = (np.arange(len(w)) - starts).astype(np.int32)
         tok = self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
         done_w, done_tok = [], []
+        self._need_merges()
         while len(w):
             self.db.register("base", pa.table({"w": w, "pos": pos, "tok": tok}))
             steps = max(4, self.STEP_ROWS // len(w))
@@ -168,8 +195,9 @@ class BpeTables:
         sizes = np.fromiter((len(c) // 4 for c in chunks), np.int64, len(chunks))
         return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(chunks), "<i4")
 
-    def decode(self, offsets: np.ndarray, ids: np.ndarray, rows: int = 1_000_000) -> list[bytes]:
+    def decode(self, offsets: np.ndarray, ids: np.ndarray, rows: int = 300_000) -> list[bytes]:
         """Bytes of each id sequence; ``rows`` ids at a time, so a long sequence takes several queries."""
+        self._need_vocabulary()
         n = len(offsets) - 1
         out: list[list[bytes]] = [[] for _ in range(n)]
         doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
@@ -189,6 +217,17 @@ def tables(ranks_path: str, pattern: str) -> BpeTables:
     return BpeTables(ranks_path, pattern)
 
 
+def _encoded(bpe: BpeTables, texts: pa.Array) -> pa.Array:
+    offsets, ids = bpe.encode(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _decoded(bpe: BpeTables, ids: pa.Array) -> pa.Array:
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.array(bpe.decode(offsets, np.asarray(ids.flatten())), pa.binary())
+
+
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): each whole text's token ids, by the ranks in ``ranks_path`` and the split ``pattern``.
 
@@ -203,12 +242,9 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tables(ranks_path, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            offsets, ids = bpe.encode(texts)
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
+        with tables(ranks_path, pattern) as bpe:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(bpe, batch.column(1))], names=[id_col, "ids"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -225,13 +261,26 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     fields = [f"`{n}` {t}" for n, t in source.dtypes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tables(ranks_path, pattern)
-        for batch in batches:
-            ids = batch.column("ids")
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            flat = np.asarray(ids.flatten())
-            decoded = pa.array(bpe.decode(offsets, flat), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
+        with tables(ranks_path, pattern) as bpe:
+            for batch in batches:
+                decoded = _decoded(bpe, batch.column("ids"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return source.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
+
+
+def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded binary): ``bpe_encode`` and ``bpe_decode`` of its ids in the same worker, so that an
+    executor runs one Python worker a task rather than two. Cases as there."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tables(ranks_path, pattern) as bpe:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    ids = _encoded(bpe, part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(bpe, ids)], names=[id_col, "ids", "decoded"])
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")

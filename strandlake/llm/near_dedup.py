@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.arrow_batches import small_batches
+from strandlake.llm.arrow_batches import give_back, small_batches
 from strandlake.llm.shingles import OnePermutation, WordHashes, mix, shingle_set
 from strandlake.operators.graph import connected_components
 from strandlake.operators.sieve import BitSieve
@@ -42,6 +42,8 @@ def _sketches(width: int, bands: int, rows: int):
                  pa.array(key, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
                 names=["id", "n", "cls", "keys", "bits"],
             )
+        del hashes, minhash
+        give_back()
 
     return run
 
@@ -59,6 +61,8 @@ def _sets(width: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cls, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "members"]
             )
+        del hashes
+        give_back()
 
     return run
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.byte_bpe import bpe_decode, bpe_encode
+from strandlake.llm.byte_bpe import bpe_round_trip
 from strandlake.llm.exact_dedup import exact_dedup
 from strandlake.llm.fingerprints import hashes, likeness, winnow, with_next
 from strandlake.llm.licenses import scan_licenses
@@ -112,8 +112,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe_encode(_table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe_decode(ids, ranks, pattern).select(
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), ranks, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
