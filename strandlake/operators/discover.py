@@ -187,12 +187,14 @@ def discover_families(tiles: DataFrame, p: DiscoverParams) -> tuple[DataFrame, D
         pdf = pdf.sort_values(["seq_index", "start"])
         chunk = int(pdf["chunk"].iloc[0])
         found = discover_chunk(list(zip(pdf.seq_index, pdf.start, pdf.seq, strict=True)), p)
-        return pd.DataFrame(
-            {
-                "chunk": chunk, "local_id": range(len(found)), "consensus": [f["consensus"] for f in found],
-                "estimated_copies": [f["estimated_copies"] for f in found], "instances": [f["instances"] for f in found],
-            }
-        ).astype({"chunk": "int64", "local_id": "int32", "estimated_copies": "int32"})
+        columns = {
+            "chunk": pd.Series([chunk] * len(found), dtype="int64"),
+            "local_id": pd.Series(range(len(found)), dtype="int32"),
+            "consensus": pd.Series([f["consensus"] for f in found], dtype=object),
+            "estimated_copies": pd.Series([f["estimated_copies"] for f in found], dtype="int32"),
+            "instances": pd.Series([f["instances"] for f in found], dtype=object),
+        }
+        return pd.DataFrame(columns)
 
     found = tiles.groupBy("chunk").applyInPandas(run, FAMILY)
     ident = (F.col("chunk") * 1_000_000 + F.col("local_id")).cast("long").alias("family_id")

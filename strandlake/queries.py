@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from strandlake import adapters as A
 from strandlake.functions import mdl
 from strandlake.functions import seq as S
-from strandlake.operators import assemble, discover, evaluate, intervals, kmers, merge, recruit, rescue, scale, select, split
+from strandlake.operators import assemble, discover, evaluate, intervals, kernels, kmers, merge, recruit, rescue, scale, select, split
 from strandlake.operators.graph import connected_components
 from strandlake.plans import config, pipeline
 from strandlake.sources import tables
+from strandlake.storage import cut
 
 K = 10
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,12 +475,12 @@ def greedy_select(spark, d):
 
 @_query()
 def prune_redundant(spark, d):
-    return select.prune_redundant(_selected(spark, d), A.instances(spark, d)).select("family_id", "state", "quality_flags")
+    return select.prune_redundant(cut(_selected(spark, d), "selected"), A.instances(spark, d)).select("family_id", "state", "quality_flags")
 
 
 @_query()
 def library_summary(spark, d):
-    return select.library_summary(_selected(spark, d), A.instances(spark, d), 1_000_000)
+    return select.library_summary(cut(_selected(spark, d), "selected"), A.instances(spark, d), 1_000_000)
 
 
 @_query(
@@ -652,16 +653,22 @@ def semiglobal_identity(spark, d):
     return pipeline.align_pairs(pairs, 10_000_000, least=10)
 
 
+#: Short seeds and consensi that grow over few copies, as the passages are short and few.
+_SHORT = config.DiscoverParams(l=8, scores=kernels.Scores(slope=1, quiet=20), good_length=10)
+
+
 @_query()
 def discover_families(spark, d):
-    tiles = A.consensi(spark, d).select(F.lit(0).cast("long").alias("chunk"), F.col("family_id").alias("seq_index"), F.lit(0).cast("long").alias("start"), F.col("consensus").alias("seq"))
-    return discover.discover_families(tiles, config.DiscoverParams())[0]
+    tiles = A.consensi(spark, d).select(
+        F.lit(0).cast("long").alias("chunk"), F.col("family_id").alias("seq_index"), F.lit(0).cast("long").alias("start"), F.col("consensus").alias("seq")
+    )
+    return discover.discover_families(tiles, _SHORT)[0]
 
 
 @_query()
 def pipeline_library(spark, d):
     seqs = A.consensi(spark, d).select(F.col("family_id").alias("seq_index"), F.col("consensus").alias("seq"))
-    params = config.Params(refine=config.RefineParams(rounds=2))
+    params = config.Params(discover=_SHORT, refine=config.RefineParams(rounds=2))
     return tables.family_statistics(pipeline.build_library(seqs, params).selected)
 
 
