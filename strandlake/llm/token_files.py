@@ -5,20 +5,25 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.llm.arrow_batches import small_batches
+from strandlake.llm.arrow_batches import give_back, small_batches
 from strandlake.llm.files import attempt_name, locate, make_folder
 from strandlake.storage import cut
 
 _SEQUENCES = 256  # sequences in a record batch
+#: Byte-level tokenizers write a byte as this character: itself if it prints, else one from U+0100 on, in order.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
 
 class WordEncoder:
@@ -26,8 +31,13 @@ class WordEncoder:
 
     That gives the ids of the whole text if the tokenizer never joins characters across a space, tab or line feed, as
     one that drops white space before its merges does; ``check`` compares the two on a text and raises if they differ.
+    Words of Latin letters with at most one mark behind them are looked up lower-cased and without the mark if the
+    tokenizer itself folds case and splits marks off. Memory is bounded by ``remember`` words and a block's.
     """
 
+    MARKS = ".,;:!?"
+    BLOCK = 2 << 20  # characters of text that are split at a time
+
     def __init__(self, path: str, remember: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -35,26 +45,60 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.remember = remember
+        self.marks = {m: self._whole(m) for m in self.MARKS}
+        self.folds = all(self._whole(f"ABxY{m}") == self._whole("abxy") + self.marks[m] for m in self.MARKS)
+        #: the narrowest type that holds every id
+        self.dtype = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def check(self, text: str) -> None:
-        whole = self.tokenizer.encode(text, add_special_tokens=False).ids
-        if np.frombuffer(self.encode([text])[0], "<u4").tolist() != whole:
+        if self.encode(pa.array([text]))[1].astype("<u4").tobytes() != self._whole(text):
             raise ValueError("this tokenizer can't be applied word by word")
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each whole text (null: none)."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.remember and self.known:
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that isn't known as it stands; what it consists of is remembered."""
+        core, mark = (word[:-1], self.marks[word[-1]]) if self.folds and word[-1:] in self.marks else (word, b"")
+        if self.folds and core.isalpha() and max(core) < "\u0180" and "\u0130" not in core:
+            # one run of letters that are in normal form and have simple lower cases: straight to the tokenizer's merges
+            core = core.lower()
+            ids = self.known.get(core)
+            if ids is None:
+                piece = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = self.known[core] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+            return ids + mark
+        ids = self.known[word] = self._whole(word)
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each whole text, and all ids one after the other. Texts are not null."""
+        spaced = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
+        lists = pc.split_pattern(spaced, " ")
+        found = pc.dictionary_encode(lists.flatten())
+        if len(self.known) > self.remember:
             self.known.clear()
-            new = every
-        words = list(new)
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        known, one = self.known.get, self._word
+        raw = [known(w) or one(w) for w in found.dictionary.to_pylist()]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        which = found.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[which] - (ends - n)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, n)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return np.diff(bounds), ids
+
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of consecutive stretches of ``texts`` of about BLOCK characters."""
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        at = 0
+        while at < len(texts):
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + self.BLOCK, side="right")))
+            yield self.encode(texts.slice(at, stop - at))
+            at = stop
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,21 +108,22 @@ def encoder(path: str) -> WordEncoder:
     return e
 
 
-def file_schema(length: int) -> pa.Schema:
-    """ids and mask, each one fixed-size list per sequence; mask is 1 for an id and 0 for padding."""
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, dtype: str) -> pa.Schema:
+    """ids and mask, each one fixed-size list per sequence; mask is true for an id and false for padding."""
+    kind = pa.uint16() if np.dtype(dtype).itemsize == 2 else pa.uint32()
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
     """Appends ids to one file; every sequence has ``length`` ids, the last one is padded."""
 
-    def __init__(self, sink, length: int):
-        self.length, self.schema = length, file_schema(length)
+    def __init__(self, sink, length: int, dtype: str = "<u4"):
+        self.length, self.dtype, self.schema = length, dtype, file_schema(length, dtype)
         self.out = pa.ipc.new_file(sink, self.schema)
         self.sink, self.parts, self.held, self.tokens = sink, [], 0, 0
 
     def append(self, ids: np.ndarray) -> None:
-        self.parts.append(ids)
+        self.parts.append(ids.astype(self.dtype))
         self.held += len(ids)
         self.tokens += len(ids)
         block = self.length * _SEQUENCES
@@ -90,15 +135,14 @@ class SequenceWriter:
             self.parts, self.held = [flat[whole:].copy()], len(flat) - whole
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:used] = 1
+        mask = np.arange(len(flat)) < used
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
             flat = np.concatenate(self.parts)
-            padded = np.zeros(-(-len(flat) // self.length) * self.length, np.uint32)
+            padded = np.zeros(-(-len(flat) // self.length) * self.length, self.dtype)
             padded[: len(flat)] = flat
             self._write(padded, len(flat))
         self.out.close()
@@ -110,24 +154,28 @@ class SequenceFile:
 
     def __init__(self, source):
         self.reader = pa.ipc.open_file(source)
+        self.last: tuple[int, pa.RecordBatch] | None = None
         self.length = self.reader.schema.field("ids").type.list_size
 
     @classmethod
     def mapped(cls, path: str) -> SequenceFile:
         return cls(pa.memory_map(path))
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        b = self.reader.get_batch(k)
-        return tuple(b.column(i).flatten().to_numpy(zero_copy_only=True) for i in range(2))
+    def batch(self, k: int) -> tuple[np.ndarray, pa.Array]:
+        """All ids of record batch ``k`` (a view) and their mask (an Arrow view, one bit each)."""
+        if self.last is None or self.last[0] != k:  # documents in order share batches
+            self.last = k, self.reader.get_batch(k)
+        b = self.last[1]
+        return b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten()
 
     def __len__(self) -> int:
         n = self.reader.num_record_batches
         return 0 if n == 0 else (n - 1) * _SEQUENCES + self.reader.get_batch(n - 1).num_rows
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.Array]:
         ids, mask = self.batch(i // _SEQUENCES)
         at = i % _SEQUENCES * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+        return ids[at : at + self.length], mask.slice(at, self.length)
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Ids [start, start + n) of the file, a view per record batch."""
@@ -159,28 +207,27 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer, index = encoder(tokenizer_path), None, None
-        end = np.array([end_id], "<u4").tobytes()
         fs, path = locate(folder)
         for b in batches:
             if writer is None:
                 name = attempt_name("tokens", ".arrow")
-                writer = SequenceWriter(fs.open_output_stream(f"{path}/{name}"), length)
+                writer = SequenceWriter(fs.open_output_stream(f"{path}/{name}"), length, enc.dtype)
                 schema = pa.schema([("id", b.schema.field(0).type), ("first", pa.int64()), ("n", pa.int64())])
                 sink = fs.open_output_stream(f"{path}/{name}.index")
                 index = pa.ipc.new_file(sink, schema)
-            texts = b.column(1).to_pylist()
             first, counts = [], []
-            for at in range(0, len(texts), 200):
-                for raw in enc.encode(texts[at : at + 200]):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    first.append(writer.tokens)
-                    counts.append(len(ids))
-                    writer.append(ids)
+            for n, ids in enc.blocks(b.column(1)):
+                stops = np.cumsum(n)
+                closed = np.insert(ids, stops, end_id)
+                first += (writer.tokens + stops - n + np.arange(len(n))).tolist()
+                counts += (n + 1).tolist()
+                writer.append(closed)
             index.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(first, pa.int64()), pa.array(counts, pa.int64())], schema=schema))
         if writer is not None:
             writer.close()
             index.close()
             sink.close()
+            give_back()
             part = TaskContext.get().partitionId()
             columns = [pa.array([part], pa.int32()), *[pa.array([x]) for x in (name, f"{name}.index")], pa.array([writer.tokens], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "file", "index_file", "tokens"])
