@@ -75,15 +75,15 @@ FROM (SELECT doc, pos, piece FROM ids JOIN vocab USING (id) ORDER BY doc, pos) G
 class BpeTables:
     """The merge table, the vocabulary and a bounded memory of encoded pieces of one Python worker.
 
-    DuckDB is open and pieces (``remember`` at most) are known inside ``with`` only, so their memory goes back at the end
-    of a task; what a worker keeps for the next one is the ranks and merges.
+    DuckDB is open inside ``with`` only, so its memory goes back at the end of a task; what a worker keeps for the next
+    one is the ranks, the merges and at most ``remember`` encoded pieces.
     """
 
-    BLOCK_ROWS = 200_000  # token-position rows per recursive query
+    BLOCK_ROWS = 400_000  # token-position rows per recursive query
     LONG = 64  # bytes a piece, on average in a query, from which equal pairs are contracted together
     STEP_ROWS = 4_000_000  # rows that the steps of one query may leave behind
 
-    def __init__(self, ranks_path: str, pattern: str, remember: int = 250_000):
+    def __init__(self, ranks_path: str, pattern: str, remember: int = 350_000):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
@@ -101,7 +101,6 @@ class BpeTables:
     def __exit__(self, *_) -> None:
         self.db.close()
         self.db = None
-        self.known = {}
         give_back()
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -277,10 +276,8 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tables(ranks_path, pattern) as bpe:
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    ids = _encoded(bpe, part.column(1))
-                    yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(bpe, ids)], names=[id_col, "ids", "decoded"])
+                ids = _encoded(bpe, batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(bpe, ids)], names=[id_col, "ids", "decoded"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
