@@ -76,14 +76,14 @@ class BpeTables:
     """The merge table, the vocabulary and a bounded memory of encoded pieces of one Python worker.
 
     DuckDB is open inside ``with`` only, so its memory goes back at the end of a task; what a worker keeps for the next
-    one is the ranks, the merges and at most ``remember`` encoded pieces.
+    one is the ranks, the merges and, with ``keep``, at most ``remember`` encoded pieces.
     """
 
-    BLOCK_ROWS = 400_000  # token-position rows per recursive query
     LONG = 64  # bytes a piece, on average in a query, from which equal pairs are contracted together
     STEP_ROWS = 4_000_000  # rows that the steps of one query may leave behind
 
-    def __init__(self, ranks_path: str, pattern: str, remember: int = 350_000):
+    def __init__(self, ranks_path: str, pattern: str, remember: int = 350_000, block_rows: int = 400_000, keep: bool = True):
+        self.block_rows, self.keep = block_rows, keep  # token-position rows per recursive query
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
@@ -101,6 +101,8 @@ class BpeTables:
     def __exit__(self, *_) -> None:
         self.db.close()
         self.db = None
+        if not self.keep:
+            self.known = {}
         give_back()
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -146,7 +148,7 @@ class BpeTables:
         at = 0
         while at < len(new):
             rows, end = 0, at
-            while end < len(new) and (end == at or rows + len(new[end][1]) <= self.BLOCK_ROWS):
+            while end < len(new) and (end == at or rows + len(new[end][1]) <= self.block_rows):
                 rows += len(new[end][1])
                 end += 1
             block = new[at:end]
@@ -212,8 +214,8 @@ class BpeTables:
 
 
 @functools.lru_cache(maxsize=2)
-def tables(ranks_path: str, pattern: str) -> BpeTables:
-    return BpeTables(ranks_path, pattern)
+def tables(ranks_path: str, pattern: str, lean: bool = False) -> BpeTables:
+    return BpeTables(ranks_path, pattern, 250_000, 200_000, False) if lean else BpeTables(ranks_path, pattern)
 
 
 def _encoded(bpe: BpeTables, texts: pa.Array) -> pa.Array:
@@ -268,16 +270,23 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return source.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
 
 
-def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(
+    df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", lean: bool = False
+) -> DataFrame:
     """(id, ids array<int>, decoded binary): ``bpe_encode`` and ``bpe_decode`` of its ids in the same worker, so that an
-    executor runs one Python worker a task rather than two. Cases as there."""
+    executor runs one Python worker a task rather than two. ``lean`` works in half the memory, with smaller batches and
+    queries and without pieces kept between tasks, for jobs whose executors hold other stages' memory too. Cases as
+    there."""
     small_batches(df.sparkSession)
+    step = 500 if lean else 1000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tables(ranks_path, pattern) as bpe:
+        with tables(ranks_path, pattern, lean) as bpe:
             for batch in batches:
-                ids = _encoded(bpe, batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(bpe, ids)], names=[id_col, "ids", "decoded"])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    ids = _encoded(bpe, part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids, _decoded(bpe, ids)], names=[id_col, "ids", "decoded"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
