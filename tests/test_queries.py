@@ -25,7 +25,7 @@ def duck():
 
 def tidy(df):
     def cell(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) in ("<NA>", "nan", "NaT"):
             return "null"
         return f"{v:.6g}" if isinstance(v, float) and math.isfinite(v) else str(v)
 
