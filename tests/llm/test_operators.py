@@ -461,6 +461,46 @@ def test_mixing_matches_simulation(spark):
             assert {r.doc_id for r in got} == set(range(400))
 
 
+def test_mixing_holds_target_weights_over_the_whole_schedule(spark):
+    from strandlake.llm.mixing import mix_sources, pfair_slots, plan_mix, tempered_weights, whole_weights
+
+    sizes = {"big": 9_500, **{f"s{i:02}": 1_000 for i in range(19)}}
+    target = tempered_weights(sizes)
+    whole = whole_weights(target)
+    seen, far = Counter(), 0.0
+    for slot, k, j in pfair_slots(whole):
+        assert seen[k] == j
+        seen[k] += 1
+        far = max(far, abs(seen[k] - (slot + 1) * target[k]), abs(seen["big"] - (slot + 1) * target["big"]))
+        if slot == 30_000:
+            break
+    assert far < 1
+    # a weight of 0.0001 is not raised
+    rare = Counter(k for (_, k, _), _ in zip(pfair_slots(whole_weights({"a": 0.9999, "r": 0.0001})), range(50_000)))
+    assert abs(rare["r"] - 5) < 1
+    planned, end, tail = plan_mix(whole, {k: v * 100 for k, v in sizes.items()}, 100, True, 1_000, 10**6)
+    flat = [x for first, n, served in planned for x, _ in zip(pfair_slots(whole, first, dict(zip(whole, served))), range(n))]
+    assert flat == [x for x, _ in zip(pfair_slots(whole), range(end))] and not tail  # ranges planned apart are the schedule
+
+    rows = [(i, k, "x" * 10) for i, k in enumerate(k for k, n in sizes.items() for _ in range(n // 10))]
+    df = table(spark, rows, "doc_id long, source string, text string")
+    got = mix_sources(df, block_chars=10, step=500).select("source", "slot").collect()
+    seen = Counter()
+    for t, r in enumerate(sorted(got, key=lambda r: r.slot), 1):
+        assert r.slot == t - 1  # ten characters a block: one row a slot
+        seen[r.source] += 1
+        assert all(abs(seen[k] - t * w) < 1 for k, w in target.items())
+    assert seen["big"] == 950
+
+
+def test_mixing_ends_without_waiting_for_tiny_sources(spark):
+    from strandlake.llm.mixing import mix_sources
+
+    rows = [(i, "a", "x" * 100) for i in range(200)] + [(1000, "t", "y"), (1001, "u", "z")]
+    got = mix_sources(table(spark, rows, "doc_id long, source string, text string"), block_chars=100).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and len(got) < 300
+
+
 def test_mixing_odd_rows(spark):
     from strandlake.llm.mixing import mix_sources
 
