@@ -15,12 +15,12 @@ from strandlake.llm.arrow_batches import small_batches
 # The phrases that are looked for as they stand, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Fixed values, written by hand: label; keyword that any match holds; name as a regex over words.
+# Fixed values, written by hand: label; keywords (any match holds one of them); name as a regex over words.
 _NAMES = [
-    ("mit", "mit", r"mit|expat"),
+    ("mit", "mit|expat", r"mit|expat"),
     ("mit-0", "mit", r"mit (?:no attribution|0)"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2", "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?|asl ?2(?: 0)?"),
+    ("apache-2", "apache|asl", r"(?:the )?apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?|asl ?2(?: 0)?"),
     ("gpl-1", "general public", r"(?:gnu )?general public license(?: version| v)? ?1(?: 0)?"),
     ("gpl-2", "general public", r"(?:gnu )?general public license(?: version| v)? ?2(?: 0)?"),
     ("gpl-3", "general public", r"(?:gnu )?general public license(?: version| v)? ?3(?: 0)?"),
@@ -93,10 +93,10 @@ _FORMS = [
 
 
 class Rule:
-    """One signature: ``keyword`` must occur for ``pattern`` to be tried."""
+    """One signature: one of ``keywords`` must occur for ``pattern`` to be tried."""
 
-    def __init__(self, rank: int, label: str, keyword: str, pattern: str, priority: int, confidence: float):
-        self.rank, self.label, self.keyword = rank, label, f" {keyword}"
+    def __init__(self, rank: int, label: str, keywords: str, pattern: str, priority: int, confidence: float):
+        self.rank, self.label, self.keywords = rank, label, [f" {k}" for k in keywords.split("|")]
         self.pattern = re.compile(rf"(?<= )(?:{pattern})(?= )")
         self.priority, self.confidence = priority, confidence
 
@@ -126,9 +126,10 @@ class LicenseScanner:
         self.keys = ahocorasick.Automaton()
         gated: dict[str, list[Rule]] = {}
         for r in self.rules:
-            gated.setdefault(r.keyword, []).append(r)
+            for key in r.keywords:
+                gated.setdefault(key, []).append(r)
         for key, some in gated.items():
-            self.keys.add_word(key, some)
+            self.keys.add_word(key, (key, some))
         self.keys.make_automaton()
 
     def scan(self, text: str | None) -> dict:
@@ -144,8 +145,10 @@ class LicenseScanner:
                 places.append((line.count(" ", 0, at), label))
                 at = line.find(phrase, at + 1)
         tried: dict[int, Rule] = {}
-        for _, some in self.keys.iter(line):
-            if some[0].rank not in tried:
+        met: set[str] = set()
+        for _, (key, some) in self.keys.iter(line):
+            if key not in met:
+                met.add(key)
                 tried.update((r.rank, r) for r in some)
         found = []
         for rank in sorted(tried):

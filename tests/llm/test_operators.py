@@ -135,6 +135,45 @@ def test_license_suppression():
     assert labels("a permit licenser of the house") == []
 
 
+def spellings(parsed):
+    """Strings that show every alternative and every optional part of a parsed pattern, present and absent."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+        elif name == "BRANCH":
+            some = [x for branch in arg[1] for x in spellings(branch)]
+        elif name == "SUBPATTERN":
+            some = spellings(arg[-1])
+        elif name == "MAX_REPEAT":
+            some = [""] * (arg[0] == 0) + spellings(arg[2])
+        else:
+            raise AssertionError(name)
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_every_license_alternative_passes_its_own_gate():
+    from re import _parser
+
+    from strandlake.llm.licenses import _NAMES, rules, scanner
+
+    names = {r.rank: r for r in rules()}
+    for i, (label, _, name) in enumerate(_NAMES):
+        for x in spellings(_parser.parse(name)):
+            assert names[i].label == label and any(k in f" {x} " for k in names[i].keywords), (label, x)
+
+    def labels(text):
+        return [d[2] for d in scanner().scan(text)["detections"]]
+
+    assert labels("Licensed under the Expat license") == ["mit"]
+    assert labels("licensed under the ASL 2.0") == ["apache-2"]
+    assert labels("Expat license, then MIT-0 license and the Apache License 1.1; ASL 2 license") == ["mit", "mit-0", "apache-1.1", "apache-2"]
+
+
 # ---- 4 fingerprints
 
 
