@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,11 +100,11 @@ def windows(token: str) -> list[str]:
     return [token[i : i + LENGTH] for i in range(0, len(token) - half, half)]
 
 
-def _svm(z: np.ndarray, y: np.ndarray, cost: float = 20.0) -> tuple[np.ndarray, float]:
-    """Linear SVM (squared hinge, classes weighted equally) by Newton steps on its active rows."""
+def _svm(z: np.ndarray, y: np.ndarray, own: np.ndarray, cost: float = 200.0) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, rows weighted by ``own``, classes equally) by Newton steps on its active rows."""
     n, dim = z.shape
     x = np.hstack([z, np.ones((n, 1))])
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * cost * 100
+    weight = own * np.where(y > 0, 0.5 / max(own[y > 0].sum(), 1e-9), 0.5 / max(own[y < 0].sum(), 1e-9)) * cost * 100
     w = np.zeros(dim + 1)
     reg = np.eye(dim + 1)
     reg[-1, -1] = 1e-6
@@ -148,13 +148,13 @@ def _ngrams(token: str) -> set[str]:
 
 
 def suspects(pos: list[set[str]], neg: list[set[str]], surprise: float = 5.0, ratio: float = 8.0) -> list[str]:
-    """Units of toxic documents that explain their label.
+    """Units of toxic documents that explain their label: a first guess, which leaves rare insults to the machine.
 
     An n-gram of characters is suspect if the number of toxic documents that hold it exceeds what clean documents
     lead to expect by ``surprise`` standard deviations and ``ratio`` times (toxic and clean documents may differ in
     length and language, which an excess alone would not rule out). The most surprising one is taken, the units that
     hold it are set aside, the others are counted again, and so on: a fragment of an insult that also occurs in
-    harmless units is then no longer surprising. Units set aside that no clean document holds are returned.
+    harmless units is then no longer surprising. All units set aside are returned.
     """
     grams = {t: _ngrams(t) for b in (*pos, *neg) for t in b}
     seen, base = Counter(), Counter()
@@ -184,7 +184,31 @@ def suspects(pos: list[set[str]], neg: list[set[str]], surprise: float = 5.0, ra
                     del h[t]
                 count.subtract(before - set().union(*h.values()))
         count = +count
-    return sorted(aside - set().union(*neg))
+    return sorted(aside)
+
+
+def _beginnings(token: str) -> set[str]:
+    """What a unit is judged by beside itself: its beginnings and its runs of six characters."""
+    s = f"^{token}"
+    return {f"{s}$", *(s[:i] for i in range(4, min(len(s), 10) + 1)), *(s[i : i + 6] for i in range(len(s) - 5))}
+
+
+def _evidence(some: list[set[str]], pos: list[set[str]], neg: list[set[str]], rate: Callable[[float, float], float]) -> dict[str, float]:
+    """Of each unit of the documents ``some``, the highest ``rate`` among its parts, each counted over all documents."""
+    parts = {t: _beginnings(t) for b in some for t in b}
+    every = set().union(*parts.values())
+    known: dict[str, set[str]] = {}
+    counts = []
+    for bags in (pos, neg):
+        count: Counter = Counter()
+        for bag in bags:
+            for t in bag:
+                if t not in known:
+                    known[t] = _beginnings(t) & every
+            count.update(set().union(*(known[t] for t in bag)))
+        counts.append(count)
+    seen, base = counts
+    return {t: max(rate(seen[g], base[g]) for g in own) for t, own in parts.items()}
 
 
 def _similarities(kernel: SubsequenceKernel, strings: list[str], phi: np.ndarray, lookup: np.ndarray) -> np.ndarray:
@@ -203,13 +227,16 @@ def _similarities(kernel: SubsequenceKernel, strings: list[str], phi: np.ndarray
     return k
 
 
-def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int = 128, seed: int = 3) -> ToxicModel | None:
+def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int = 256, seed: int = 3) -> ToxicModel | None:
     """Fit on (document, label, units) of labelled sentences.
 
-    A toxic document's label holds for some of its units only, so ``suspects`` chooses the toxic ones first, as in
-    multiple-instance learning. Landmarks are half toxic, half clean units; the machine is trained on the Nystrom
-    features K(x, L) K(L, L)^(-1/2), then again with the clean units that it found hardest, and is folded into one
-    weight per triple, which gives the same decisions.
+    A toxic document's label holds for some of its units only, as in multiple-instance learning. ``suspects`` is the
+    first guess; a suspect that clean documents hold too is a positive by its excess over them and a negative by the
+    rest. Each toxic document that no suspect explains spreads its label over all its units, by their excess at first
+    and by the machine's decision after each turn, so an insult needs no least number of documents.
+    Landmarks are half toxic, half clean units; the machine is trained on the Nystrom features
+    K(x, L) K(L, L)^(-1/2), then again with the clean units that it found hardest, and is folded into one weight per
+    triple, which gives the same decisions.
     """
     bags: dict[tuple[int, int], set[str]] = {}
     for doc, label, us in sentences:
@@ -221,15 +248,41 @@ def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int =
         return None
     rng = np.random.default_rng(seed)
     clean = sorted(set().union(*neg))
-    support = Counter(t for b in pos for t in b)
-    clean_set = set(clean)
-    toxic = suspects(pos, neg) or sorted(t for t in support if t not in clean_set)
-    if not toxic:
+    support, base = Counter(t for b in pos for t in b), Counter(t for b in neg for t in b)
+    share = len(pos) / len(neg)
+
+    def rate(a: float, b: float) -> float:
+        """Excess of ``a`` toxic documents over what ``b`` clean ones lead to expect, small counts dampened."""
+        e = b * share
+        return max(0.002 * (a > e), a - e - 2.5 * (a + e) ** 0.5) / (a + e + 1.0)
+
+    sure = {t: r for t in suspects(pos, neg) if (r := (support[t] - base[t] * share) / (support[t] + base[t] * share)) > 0}
+    unexplained = [b for b in pos if b and max((sure.get(t, 0.0) for t in b), default=0.0) < 0.5]
+    evidence = _evidence(unexplained, pos, neg, rate)
+
+    def spread(decision: dict[str, float]) -> dict[str, float]:
+        """Weight of each positive: a suspect's excess, or what unexplained documents give it, its evidence at most."""
+        given: Counter = Counter()
+        for b in unexplained:
+            part = np.array([evidence[t] ** 3 * np.exp(2.0 * min(decision.get(t, 0.0), 10.0)) for t in b])
+            for t, x in zip(b, part / max(part.sum(), 1e-300), strict=True):
+                given[t] += x
+        return {t: max(sure.get(t, 0.0), min(given[t], evidence.get(t, 0.0) ** 2)) for t in {*sure, *given}}
+
+    weight = spread({})
+    if not weight:
         return None
-    toxic = sorted(toxic, key=lambda t: (-support[t], t))[:3_000]
+    unexplained = [sorted(b) for b in unexplained]
+    best_of = {max(b, key=lambda t: (weight[t], t)) for b in unexplained}  # within the bound below every document has a unit
+    toxic = sorted(weight, key=lambda t: (t not in sure, t not in best_of, -weight[t], -support[t], t))[:6_000]
+    toxic.sort(key=lambda t: (-weight[t], -support[t], t))
+    inside = set(toxic)
+    unexplained = [[t for t in b if t in inside] for b in unexplained]
     kernel = SubsequenceKernel(clean + toxic)
     half = landmarks // 2
-    marks = toxic[: half // 2] + [toxic[i] for i in rng.permutation(len(toxic))[: half // 2]]
+    heavy = np.array([weight[t] for t in toxic])
+    heavy = np.flatnonzero(heavy >= heavy[0] / 4)  # landmarks that stand for insults rather than for their neighbours
+    marks = toxic[: half // 2] + [toxic[i] for i in rng.permutation(heavy)[: half // 2]]
     pool = [clean[i] for i in rng.permutation(len(clean))]
     marks = sorted({*marks, *pool[:half]})
     phi = kernel.dense(marks)
@@ -240,17 +293,20 @@ def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int =
     lookup = np.full(SYMBOLS**3, -1, np.int64)
     lookup[used] = np.arange(len(used))
     z_toxic = _similarities(kernel, toxic, phi, lookup) @ whiten
+    chosen = list(range(min(len(pool), 5_000)))
     z_clean = _similarities(kernel, pool[:5_000], phi, lookup) @ whiten
-    taken = set(range(min(len(pool), 5_000)))
-    for turn in range(3):
+    for turn in range(4):
         y = np.concatenate([np.ones(len(z_toxic)), -np.ones(len(z_clean))])
-        w, bias = _svm(np.vstack([z_toxic, z_clean]), y)
+        own = np.array([weight.get(t, 0.0) for t in toxic] + [1.0 - weight.get(pool[i], 0.0) for i in chosen])
+        w, bias = _svm(np.vstack([z_toxic, z_clean]), y, own)
         table = np.zeros(SYMBOLS**3, np.float32)
         table[used] = phi.T @ (whiten @ w)
-        if turn < 2:
+        if turn < 3:
+            weight = spread(dict(zip(toxic, (z_toxic @ w + bias).tolist(), strict=True)))
+            taken = set(chosen)
             hardest = np.argsort(-kernel.linear(pool, table), kind="stable")[:2_000]
             more = [int(i) for i in hardest if int(i) not in taken]
-            taken.update(more)
+            chosen += more
             if more:
                 z_clean = np.vstack([z_clean, _similarities(kernel, [pool[i] for i in more], phi, lookup) @ whiten])
     model = ToxicModel(kernel, table, bias, 0.0, 1.0)

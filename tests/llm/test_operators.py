@@ -269,6 +269,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert score_toxicity(odd.limit(0), model).count() == 0
 
 
+def test_rare_and_quoted_insults_are_learnt():
+    from strandlake.llm.toxicity import fit_sentences
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(3_000):
+        words = prose(rng, 40).split()
+        if i % 2:  # one toxic document in 75 holds the rare insult and no other
+            words[rng.randrange(40)] = "scullion" if i // 2 % 75 == 0 else ["grobian", "dunce", "nitwit"][i // 2 % 3]
+        elif i == 4:
+            words[3] = "nitwit"  # quoted once in a clean document
+        rows.append((i, i % 2, words))
+    model = fit_sentences(rows)
+
+    def toxic(words):
+        return model.decide(words).max() >= model.threshold
+
+    assert all(toxic(prose(rng, 20).split() + [x]) for x in ("scullion", "nitwit", "dunce", "grobian"))
+    assert np.mean([toxic(prose(rng, 40).split()) for _ in range(300)]) < 0.02
+
+
 def test_kernel_machine_equals_its_expansion():
     from strandlake.llm.toxicity import SubsequenceKernel
 
