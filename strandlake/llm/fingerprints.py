@@ -18,6 +18,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _select(g: Column, window: int) -> Column:
+    """The least of each ``window`` consecutive packed hashes."""
+    least = F.transform(F.sequence(F.lit(1), F.size(g) - (window - 1)), lambda j: F.array_min(F.slice(g, j, window)))
+    return (
+        F.when(F.size(g) == 0, g).when(F.size(g) <= window, F.array(F.array_min(g))).otherwise(F.array_distinct(least))
+    )
+
+
+def _select_doubling(g: Column, window: int) -> Column:
+    """As ``_select`` for a ``window`` that is a power of two: least of pairs, of pairs of pairs and so on."""
+    m, d = g, 1
+    while d < window:
+        m = _let(m, lambda a, d=d: F.transform(a, lambda x, i: F.least(x, F.get(a, i + d))))  # behind the end: null, left out
+        d *= 2
+    return F.when(F.size(g) <= window, F.slice(m, 1, 1)).otherwise(F.array_distinct(F.slice(m, 1, F.size(g) - (window - 1))))
+
+
 def winnow(text: Column, k: int = 5, window: int = 4) -> Column:
     """array<long> of selected k-grams, each packed as hash * 2^30 + (2^30 - 1 - position).
 
@@ -39,14 +56,37 @@ def winnow(text: Column, k: int = 5, window: int = 4) -> Column:
             .otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - k), gram))
         )
 
-    def select(g: Column) -> Column:
-        least = F.transform(F.sequence(F.lit(1), F.size(g) - (window - 1)), lambda j: F.array_min(F.slice(g, j, window)))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
+    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), grams), lambda g: _select(g, window))
+
+
+def winnow_chars(text: Column, k: int = 16, window: int = 16, piece: int = 65_536) -> Column:
+    """As ``winnow``, with k-grams of ``k`` consecutive characters (code points), one at every character.
+
+    Runs of white space count as one space, those at the ends not at all; positions are of characters in what is left.
+    Two texts that share ``window + k - 1`` characters in a row share a selected hash, with or without spaces. A text
+    of fewer than ``k`` characters has one k-gram, all of it. Grams are cut from ``piece`` characters at a time, so
+    a long text is not held as one string per character.
+    """
+    pattern = F.lit(rf"(?s)(?=(.{{{k}}})).")
+
+    def packed(value: Column, at: Column) -> Column:
+        return F.shiftleft(F.xxhash64(value).bitwiseAND(_HASH_MASK), _POS_BITS).bitwiseOR(F.lit(_POS_MASK) - at)
+
+    def grams(t: Column) -> Column:
+        n = F.char_length(t)
+
+        def cut_at(a: Column) -> Column:
+            return F.transform(F.regexp_extract_all(F.substring(t, a + 1, F.lit(piece + k - 1)), pattern, F.lit(1)), lambda g, i: packed(g, a + i))
+
         return (
-            F.when(F.size(g) == 0, g).when(F.size(g) <= window, F.array(F.array_min(g))).otherwise(F.array_distinct(least))
+            F.when(n == 0, F.array().cast("array<bigint>"))
+            .when(n < k, F.array(packed(t, F.lit(0))))
+            .otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n - k, F.lit(piece)), cut_at)))
         )
 
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
-    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), grams), select)
+    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return _let(_let(spaced, grams), lambda g: _select_doubling(g, window))
 
 
 def hashes(packed: Column) -> Column:
@@ -55,7 +95,7 @@ def hashes(packed: Column) -> Column:
 
 
 def entries(packed: Column) -> Column:
-    """array<struct<hash: long, position: int>>: the fingerprint with the word position of each selected k-gram."""
+    """array<struct<hash: long, position: int>>: the fingerprint with the position of each selected k-gram."""
     return F.transform(
         packed,
         lambda p: F.struct(

@@ -204,6 +204,42 @@ def test_winnowing_matches_definition(spark):
     assert (round(one.x, 6), one.y) == (round(1 / 3, 6), 1.0)
 
 
+def test_character_winnowing_matches_definition(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.fingerprints import entries, winnow_chars
+
+    texts = odd_texts() + ["漢字🙂" * 30, "same" * 20]
+    df = docs(spark, texts)
+    seen = {}
+    for piece in (65_536, 7):
+        got = {r.doc_id: r.e for r in df.select("doc_id", entries(winnow_chars(F.col("text"), 5, 4, piece)).alias("e")).collect() if piece > 7 or len(texts[r.doc_id] or "") < 2_000}
+        for i, e in got.items():
+            t = " ".join(x for x in re.split(r"[\x20\x09-\x0d]+", texts[i] or "") if x)
+            positions = [x.position for x in e]
+            assert positions == sorted(set(positions))
+            for x in e:
+                assert seen.setdefault(t[x.position : x.position + 5], x.hash) == x.hash
+            n = max(0, len(t) - 4) if len(t) >= 5 else min(len(t), 1)
+            assert bool(positions) == bool(n) and max(positions, default=-1) < max(n, 0)
+            taken = set(positions)
+            assert not n or all(taken & set(range(j, j + 4)) for j in range(max(1, n - 3)))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_op4_sees_edits_of_short_and_unspaced_texts(spark, tmp_path):
+    from strandlake.llm.queries import op4_fingerprints
+
+    rng = random.Random(3)
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3_000)) for _ in range(400))
+    few = "antidisestablishmentarianism floccinaucinihilipilification honorificabilitudinitatibus supercalifragilistic"
+    texts = [unspaced, unspaced[:200] + "x" + unspaced[201:], few, few + "?"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_fingerprints(spark, str(tmp_path)).collect()}
+    assert got[0].near_next > 0.8 and got[2].near_next > 0.8  # one changed character each
+    assert 0.5 < got[0].near_edited < 1 and 0.3 < got[3].near_edited < 1  # the last quarter is another text
+
+
 def test_next_document(spark):
     from strandlake.llm.fingerprints import with_next
 
