@@ -381,6 +381,51 @@ def test_bpe_equals_tiktoken(spark):
     assert [len(r.decoded) for r in bpe_decode(odd, path, pattern).orderBy("doc_id").collect()][:2] == [0, 0]
 
 
+def random_pieces():
+    rng = random.Random(41)
+    letters = ["".join(rng.choices(a, k=rng.randrange(1, 260))) for a in ("abcdefghij", "eta", "xyzéß", "漢字哈", "ни", "0123456789", "-=") for _ in range(40)]
+    return letters + ["-" * 10_000, "哈" * 5_000, "=-" * 3_000, "z" * 71, "z" * 72, "z" * 73, "q" * 97, "é" * 777 + "ab" * 999, " " * 3_001]
+
+
+def test_blocks_give_the_ids_of_undivided_pieces():
+    import tiktoken
+
+    from strandlake.llm.byte_bpe import BpeTables
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    for stride in (2, 10, 48):  # a stride this short often leaves no common token, so blocks are doubled
+        with BpeTables(path, pattern, remember=100, stride=stride) as bpe:
+            enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
+            texts = random_pieces() if stride == 48 else [t for t in random_pieces() if len(t) < 300]
+            for _ in range(2):  # the memory of 100 pieces is emptied in between
+                offsets, ids = bpe.encode(texts)
+                for i, t in enumerate(texts):
+                    assert ids[offsets[i] : offsets[i + 1]].tolist() == enc.encode_ordinary(t), (stride, t[:20])
+            assert [x.decode() for x in bpe.decode(offsets, ids, rows=777)] == texts
+
+
+def test_bpe_of_very_long_pieces_and_texts():
+    import time
+
+    import tiktoken
+
+    from strandlake.llm.byte_bpe import BpeTables
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rng = random.Random(3)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    words = prose(rng, 400_000)  # more pieces than are held at once
+    with BpeTables(path, pattern) as bpe:
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks, special_tokens={})
+        began = time.monotonic()
+        for text in (run, words, "X" * 300_000):
+            offsets, ids = bpe.encode([text])
+            if text[0] != "X":  # the library takes minutes for that one
+                assert ids.tolist() == enc.encode_ordinary(text)
+            assert bpe.decode(offsets, ids)[0].decode() == text
+        assert time.monotonic() - began < 60
+
+
 # ---- 7 token files
 
 
