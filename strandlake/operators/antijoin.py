@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.sieve import BitSieve
+from strandlake.operators.sieve import BitSieve, sieve_bits
 
 
 def without_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """``df`` without rows whose ``column`` equals one of ``keys``' (null keys drop nothing).
 
-    A fixed-size sieve tells which rows may have such a key; the others, usually most, pass without an exchange.
+    A sieve of bounded size tells which rows may have such a key; the others, usually most, pass without an exchange.
+    ``keys`` and ``df`` are read more than once, so they should be stored.
     """
-    marked = BitSieve(keys.select(column), [column]).may_hold(df, [F.col(column)], "_may")
+    sieve = BitSieve(keys.select(column), [column], sieve_bits(keys.count()))
+    marked = sieve.may_hold(df, [F.col(column)], "_may")
     surely = marked.where(~F.col("_may")).drop("_may")
     maybe = marked.where("_may").drop("_may").join(keys.select(column).distinct(), column, "left_anti")
     return surely.select(df.columns).unionAll(maybe.select(df.columns))

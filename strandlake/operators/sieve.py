@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 _PAGE = 32768  # bits in one value of bitmap_construct_agg
 
 
+def sieve_bits(keys: int, least: int = 15, most: int = 27) -> int:
+    """Size (as a power of two) of a sieve with some eight bits a key, 16 MB at most: past 100 million keys more and more
+    rows without a key pass it, which costs what they cause behind it but changes no result."""
+    return min(most, max(least, (8 * max(keys, 1) - 1).bit_length()))
+
+
 class BitSieve:
     """Bits of the hashed keys of ``keys``; ``may_hold`` marks rows of another table, with false positives only.
 
