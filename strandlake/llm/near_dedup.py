@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from strandlake.llm.arrow_batches import give_back, small_batches
 from strandlake.llm.shingles import OnePermutation, WordHashes, mix, shingle_set
 from strandlake.operators.graph import connected_components
-from strandlake.operators.sieve import BitSieve
+from strandlake.operators.hot_keys import join_hot, join_salted
+from strandlake.operators.sieve import BitSieve, sieve_bits
 from strandlake.storage import cut
 
 _PARITY_WORDS = 16  # a 1,024-bit map
@@ -83,15 +84,42 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Stored pairs (a, b) whose full sets have 100 * intersection >= percent * union; a may be in very many pairs."""
     left = sets.select(F.col("cls").alias("b"), F.col("members").alias("mb"))
     right = sets.select(F.col("cls").alias("a"), F.col("members").alias("ma"))
-    both = pairs.join(left, "b").join(right, "a")
+    both = join_salted(pairs, right, "a", F.col("b")).join(left, "b")
     inter = F.size(F.array_intersect("ma", "mb"))
     measured = both.select("a", "b", inter.alias("i"), (F.size("ma") + F.size("mb")).alias("s"))
     return measured.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def _bounded_pairs(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Distinct stored pairs (a, b) that sizes and parity maps leave possible."""
+    x = light.select(F.col("cls").alias("a"), F.struct("n", "bits").alias("x"))
+    y = light.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y"))
+    return join_salted(pairs, x, "a", F.col("b")).join(y, "b").where(_possible("x", "y", percent)).select("a", "b")
+
+
+def _turn(cls: Column, largest: int, base: int = 8) -> Column:
+    """In which turn (1, 2, ...) a class becomes a centre of its buckets: up to turn t, ``base`` ** t of ``largest`` do,
+    chosen by a hash of the class, and in the last turn all that are left."""
+    u = (F.shiftright(F.xxhash64(cls, F.lit(29)), 11).bitwiseAND((1 << 52) - 1) + 1) / float(1 << 52)
+    return F.greatest(F.lit(1), F.ceil(F.log(float(base), u * float(largest)) - 1e-9)).cast("int")
+
+
+def _turn_pairs(open_: DataFrame, turn: int, portion: int = 2000) -> DataFrame:
+    """Pairs (a < b) of each open bucket's centres of this ``turn`` with its members of other components whose turn is not
+    over. Large buckets are dealt over several tasks, and their centres, few in early turns, are copied to each."""
+    parts = F.ceil(F.col("size") / portion).cast("int")
+    open_ = open_.where("cls <> centre")  # the bucket's first centre has met all members
+    centre = open_.where(F.col("turn") == turn).select(
+        "key", F.col("cls").alias("c"), F.col("comp").alias("cc"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    )
+    member = open_.where(F.col("turn") >= turn).select("key", "cls", "comp", "turn", F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
+    met = centre.join(member, ["key", "part"]).where((F.col("comp") != F.col("cc")) & ((F.col("turn") > turn) | (F.col("c") < F.col("cls"))))
+    return met.select(F.least("c", "cls").alias("a"), F.greatest("c", "cls").alias("b")).distinct()
+
+
 def near_duplicates(
     df: DataFrame,
     text_col: str = "text",
@@ -108,17 +136,23 @@ def near_duplicates(
 
     1. One pass over whole texts gives each set's size, identity, band keys and a parity map. Equal sets form a
        class, so copies, however many, are one row from here on.
-    2. Classes that share a bucket are joined to the bucket's least class only: a star, linear in the bucket.
+    2. Classes that share a bucket are joined to one class only, whose buckets are the largest: a star, linear in the bucket.
        Candidates that size or parity map rule out (exact bounds) are left; the others are confirmed on full sets.
     3. A star can miss a link between two members that are both too far from the centre. So buckets whose members
-       still lie in several components are searched for pairs of different components that pass the same exact
-       bounds, each pair once (in its first common bucket), confirmed on full sets as well.
+       still lie in several components get more centres, in turns: some 8, 64, 512, ... of the largest bucket's
+       members, at last all. A turn compares its centres with members of other components only, each pair once, by the
+       same bounds and on full sets, and a bucket that has become one component is closed. So buckets of near copies
+       cost a few comparisons a member; only members that stay apart to the end are all compared.
     A pair at exactly 0.85 shares no bucket with probability (1 - 0.85^6)^32 = 3e-7.
 
+    Hot buckets, classes and components (more than one in 4096 rows) meet broadcasts of fewer than 4096 rows; wide rows
+    of centres in very many pairs are copied to several tasks.
+
     Cases: null text counts as empty; an empty set (n_shingles 0) is linked with nothing, and each such row is its
-    own component. Rows that repeat an id are one document if their text repeats too, else they are compared like
-    any others. A null id yields component_id of its class members that have ids, else null; it is kept if no row
-    of its component has an id. Extra columns are ignored. An empty table gives an empty table.
+    own component. Very long texts are read whole; a task holds one set at a time, confirmation two. Rows that repeat
+    an id are one document if their text repeats too, else they are compared like any others. A null id yields
+    component_id of its class members that have ids, else null; it is kept if no row of its component has an id. Extra
+    columns, whatever their names, are ignored. An empty table gives an empty table.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -130,69 +164,56 @@ def near_duplicates(
         ),
         "near-sketch",
     )
-    classes = sketch.where("n > 0").groupBy("cls").agg(F.min(F.struct("n", "keys", "bits")).alias("s"))
-    classes = cut(classes.select("cls", "s.n", "s.keys", "s.bits"), "near-class")
-
-    slots = classes.select("cls", F.posexplode("keys").alias("band", "key"))
-    buckets = slots.groupBy("key").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("size"))
-    held = cut(slots.join(buckets.where("size > 1"), "key").select("key", "band", "cls", "centre"), "near-bucket")
-    members = held.select("cls").distinct()
-    shared = cut(classes.join(members, "cls", "left_semi"), "near-shared")
-
-    wanted = cut(
-        sketch.where("n > 0").join(members, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("wanted_id")),
-        "near-wanted",
-    )
-    by_id = BitSieve(wanted, ["wanted_id"])
+    count = F.count(F.lit(1))
+    worded = sketch.where("n > 0")
+    classes = cut(worded.groupBy("cls", "n", "keys", "bits").agg(F.min("id").alias("least"), count.alias("copies")), "near-class")
+
+    slots = classes.select("cls", F.explode("keys").alias("key"))
+    sizes = cut(slots.groupBy("key").agg(count.alias("size")).where("size > 1"), "near-sizes")
+    placed = cut(join_hot(slots, sizes, ["key"], "size", classes.count() * bands), "near-placed")
+    # what many near copies were made from is in the largest buckets of all bands, so that is the centre of each
+    ranked = placed.join(placed.groupBy("cls").agg(F.sum("size").alias("_rank")), "cls")
+    first = ranked.groupBy("key").agg(F.max(F.struct("_rank", "cls"))["cls"].alias("centre"), F.max("size").alias("_size"))
+    held = cut(join_hot(placed, cut(first, "near-centre"), ["key"], "_size", placed.count()).drop("_size"), "near-bucket")
+    shared = cut(classes.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "bits", "least"), "near-shared")
+
+    by_id = BitSieve(shared, ["least"], sieve_bits(shared.count()))
     candidates = by_id.may_hold(texts, [F.col("id")], "may").where("may").select("id", "text")
-    found = candidates.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("cls", "text")
+    found = candidates.join(shared.select("cls", "least"), F.col("id").eqNullSafe(F.col("least"))).select("cls", "text")
     sets = cut(found.mapInArrow(_sets(width), "cls binary, members array<long>"), "near-set")
 
-    light = shared.select("cls", "n", "bits")
-    star = held.where("cls > centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    star = (
-        star.join(light.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y")), "b")
-        .join(light.select(F.col("cls").alias("a"), F.struct("n", "bits").alias("x")), "a")
-        .where(_possible("x", "y", percent))
-        .select("a", "b")
-    )
-    links = cut(_confirmed(star, sets, percent), "near-link")
-
-    first = connected_components(links)
-    labelled = held.join(first.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "band", "cls", "centre", F.coalesce("component", "cls").alias("comp")
-    )
-    labelled = cut(labelled, "near-labelled")
-    open_keys = (
-        labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"))
-        .where("hi > lo and k > 2").select("key")
-    )
-    rest = cut(
-        labelled.where("cls > centre").join(open_keys, "key", "left_semi")
-        .join(shared.withColumnRenamed("keys", "all"), "cls"),
-        "near-open",
-    )
-    x, y = rest.alias("x"), rest.alias("y")
-    earlier = F.exists(
-        F.sequence(F.lit(0), F.col("x.band")),
-        lambda i: (i < F.col("x.band")) & (F.col("x.all")[i] == F.col("y.all")[i]),
-    )
-    pairs = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.cls") < F.col("y.cls"))
-        & (F.col("x.comp") != F.col("y.comp"))
-        & _possible("x", "y", percent)
-        & ~earlier,
-    ).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    more = cut(_confirmed(pairs, sets, percent), "near-more")
-
-    parts = connected_components(links.unionAll(more)).withColumnRenamed("node", "cls")
-    of_class = sketch.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
-    part = of_class.join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    names = part.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = part.join(names, "component").select("cls", "component_id")
-    full = sketch.where("n > 0").select("id", "n", "cls").join(named, "cls").select("id", "n", "component_id")
+    star = cut(held.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "near-star")
+    links = cut(_confirmed(cut(_bounded_pairs(star, shared, percent), "near-possible"), sets, percent), "near-link")
+    parts = connected_components(links)
+    turn, turns, changed = 0, 1, True
+    while True:  # until no bucket is open, or all members have been centres
+        if changed:
+            named = parts.withColumnRenamed("node", "cls")
+            labelled = cut(held.join(named, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component"), "near-labelled")
+            spread = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("_size"))
+            open_keys = cut(spread.where("hi > lo and _size > 2").select("key", "_size"), "near-open")
+            if not turn:
+                largest = open_keys.agg(F.max("_size")).first()[0] or 1
+                while 8**turns < largest:
+                    turns += 1
+        turn += 1
+        if turn > turns or open_keys.isEmpty():
+            break
+        open_ = join_hot(labelled, open_keys, ["key"], "_size", placed.count()).withColumn("turn", _turn(F.col("cls"), largest))
+        pairs = cut(_turn_pairs(open_, turn), "near-pairs")
+        more = cut(_confirmed(cut(_bounded_pairs(pairs, shared, percent), "near-possible"), sets, percent), "near-more")
+        if changed := not more.isEmpty():
+            links = links.unionAll(more)
+            parts = connected_components(links)
+
+    part = cut(
+        classes.select("cls", "least", "copies").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+        .withColumn("component", F.coalesce("component", "cls")),
+        "near-part",
+    )
+    names = cut(part.groupBy("component").agg(F.min("least").alias("component_id"), count.alias("classes")), "near-names")
+    named = cut(join_hot(part, names, ["component"], "classes", part.count()).select("cls", "component_id", "copies"), "near-named")
+    full = join_hot(worded, named, ["cls"], "copies", worded.count()).select("id", "n", "component_id")
     empty = sketch.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.unionAll(empty).select(
         F.col("id").alias(id_col),

@@ -46,8 +46,8 @@ def test_exact_dedup_matches_brute_force(spark):
 
     texts = odd_texts() + ["prefix" * 100 + str(i % 7) for i in range(40)]
     ids = [(i * 37) % 101 for i in range(len(texts))]
-    for prefix, bits in ((256, 23), (2, 15)):
-        got = exact_dedup(docs(spark, texts, ids), prefix_chars=prefix, sieve_bits=bits).collect()
+    for prefix, bits in ((256, 27), (2, 15)):
+        got = exact_dedup(docs(spark, texts, ids), prefix_chars=prefix, most_bits=bits).collect()
         groups = {}
         for i, t in zip(ids, texts):
             groups.setdefault(t or "", []).append(i)
@@ -601,6 +601,47 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in near_duplicates(docs(spark, texts[:8])).collect())
 
 
+def test_large_buckets_take_linearly_many_pairs(spark, monkeypatch):
+    from strandlake.llm import near_dedup
+
+    rng = random.Random(19)
+    hub = prose(rng, 250)
+    texts = [prose(rng, 250) for _ in range(20)] + [edited(rng, hub, 0.012) for _ in range(500)]  # alike through the hub only
+    texts[260] = hub
+    seen = []
+    plain = near_dedup._bounded_pairs
+    monkeypatch.setattr(near_dedup, "_bounded_pairs", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+    assert sum(seen) < 10 * len(texts)
+
+
+def test_turns_meet_every_pair_of_an_open_bucket_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.near_dedup import _turn, _turn_pairs
+
+    rows = [("k", 70, f"c{i}", "c0", f"c{i // 2 * 2}") for i in range(70)]
+    open_ = spark.createDataFrame(rows, "key string, size int, cls string, centre string, comp string").withColumn("turn", _turn(F.col("cls"), 70))
+    met = [tuple(r) for t in range(1, 5) for r in _turn_pairs(open_, t, portion=20).collect()]
+    want = {tuple(sorted((f"c{i}", f"c{j}"))) for i in range(1, 70) for j in range(i + 1, 70) if i // 2 != j // 2}
+    assert len(met) == len(set(met)) and set(met) == want
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    from strandlake.llm.shingles import OnePermutation, mix
+
+    rng = np.random.default_rng(20)
+    for bands, rows, share in ((32, 6, 0.85), (42, 5, 0.8)):
+        minhash = OnePermutation(bands, rows)
+        for n in (7, 20, 100, 1000):
+            for _ in range(250):
+                both = int(np.ceil(share * n))
+                s = mix(rng.integers(0, 2**63, n).astype(np.uint64))
+                one, other = s, s[:both]  # Jaccard similarity: both / n
+                assert (minhash.band_keys(minhash.signature(one)) == minhash.band_keys(minhash.signature(other))).any()
+
+
 def test_near_duplicates_odd_rows(spark):
     from strandlake.llm.near_dedup import near_duplicates
 
