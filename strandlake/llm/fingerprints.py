@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_POS_BITS = 30  # positions below 2^30: more words than a 2 GB text can hold
+_POS_BITS = 30  # positions below 2^30
 _POS_MASK = (1 << _POS_BITS) - 1
-_HASH_MASK = (1 << 33) - 1
+K, WINDOW = 16, 16
+
+
+def guarantee(k: int = K, window: int = WINDOW) -> int:
+    """Two texts that share so many characters in a row share a selected hash."""
+    return k + window - 1
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,75 +23,69 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _select(g: Column, window: int) -> Column:
-    """The least of each ``window`` consecutive packed hashes."""
-    least = F.transform(F.sequence(F.lit(1), F.size(g) - (window - 1)), lambda j: F.array_min(F.slice(g, j, window)))
-    return (
-        F.when(F.size(g) == 0, g).when(F.size(g) <= window, F.array(F.array_min(g))).otherwise(F.array_distinct(least))
-    )
+def _minima(g: Column, window: int) -> Column:
+    """The least of each ``window`` (a power of two) consecutive values: of pairs, of pairs of pairs and so on."""
 
+    def halved(d: int) -> Callable[[Column], Column]:
+        return lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + d)))  # behind the end: null, left out
 
-def _select_doubling(g: Column, window: int) -> Column:
-    """As ``_select`` for a ``window`` that is a power of two: least of pairs, of pairs of pairs and so on."""
     m, d = g, 1
     while d < window:
-        m = _let(m, lambda a, d=d: F.transform(a, lambda x, i: F.least(x, F.get(a, i + d))))  # behind the end: null, left out
-        d *= 2
-    return F.when(F.size(g) <= window, F.slice(m, 1, 1)).otherwise(F.array_distinct(F.slice(m, 1, F.size(g) - (window - 1))))
-
-
-def winnow(text: Column, k: int = 5, window: int = 4) -> Column:
-    """array<long> of selected k-grams, each packed as hash * 2^30 + (2^30 - 1 - position).
-
-    A k-gram is ``k`` consecutive words (runs of non-space characters) and every position has one hash; a text of
-    fewer words has one k-gram, all of it. From each ``window`` consecutive hashes the least is selected, of equal
-    ones the rightmost: the packing makes that one minimum. So two texts that share ``window + k - 1`` words
-    in a row share a selected hash, and nothing shorter than ``k`` words is ever matched.
-    """
-
-    def grams(h: Column) -> Column:
-        def gram(i: Column) -> Column:
-            value = F.xxhash64(*[h[i + j] for j in range(k)])
-            return F.shiftleft(value.bitwiseAND(_HASH_MASK), _POS_BITS).bitwiseOR(F.lit(_POS_MASK) - i)
-
-        whole = F.shiftleft(F.xxhash64(h).bitwiseAND(_HASH_MASK), _POS_BITS).bitwiseOR(F.lit(_POS_MASK))
-        return (
-            F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
-            .when(F.size(h) < k, F.array(whole))
-            .otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - k), gram))
-        )
+        m, d = _let(m, halved(d)), 2 * d
+    return F.slice(m, 1, F.size(g) - (window - 1))
 
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
-    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), grams), lambda g: _select(g, window))
 
+def winnow(text: Column, start: Column | int = 0, k: int = K, window: int = WINDOW, piece: int = 1 << 18) -> Column:
+    """array<long> of selected k-grams, in text order, each packed as 34 bits of hash over 2^30 - 1 - position.
 
-def winnow_chars(text: Column, k: int = 16, window: int = 16, piece: int = 65_536) -> Column:
-    """As ``winnow``, with k-grams of ``k`` consecutive characters (code points), one at every character.
+    A k-gram is ``k`` consecutive characters (code points; none is folded or left out) and every position has one hash,
+    built from the gram by one native call; a text of fewer characters has one k-gram, all of it. Of each ``window``
+    consecutive hashes the least is selected, of equal ones the rightmost: the packing makes that one minimum. So two
+    texts that share ``window + k - 1`` characters in a row share a selected hash, with or without spaces, and nothing
+    shorter than ``k`` characters is ever matched. ``start`` is added to all positions.
 
-    Runs of white space count as one space, those at the ends not at all; positions are of characters in what is left.
-    Two texts that share ``window + k - 1`` characters in a row share a selected hash, with or without spaces. A text
-    of fewer than ``k`` characters has one k-gram, all of it. Grams are cut from ``piece`` characters at a time, so
-    a long text is not held as one string per character.
+    Null and empty texts have no k-gram. Very long texts are read in pieces of ``piece`` positions whose windows overlap,
+    with the same result; what is held for a row is a piece's hashes and the selected ones.
     """
     pattern = F.lit(rf"(?s)(?=(.{{{k}}})).")
 
     def packed(value: Column, at: Column) -> Column:
-        return F.shiftleft(F.xxhash64(value).bitwiseAND(_HASH_MASK), _POS_BITS).bitwiseOR(F.lit(_POS_MASK) - at)
-
-    def grams(t: Column) -> Column:
-        n = F.char_length(t)
+        return F.xxhash64(value).bitwiseOR(F.lit(_POS_MASK)) - at
 
-        def cut_at(a: Column) -> Column:
-            return F.transform(F.regexp_extract_all(F.substring(t, a + 1, F.lit(piece + k - 1)), pattern, F.lit(1)), lambda g, i: packed(g, a + i))
+    def of_piece(t: Column, a: Column) -> Column:
+        some = F.substring(t, a + 1, F.lit(piece + guarantee(k, window) - 1))
+        grams = F.transform(F.regexp_extract_all(some, pattern, F.lit(1)), packed)
+        return F.transform(F.array_distinct(_let(grams, lambda g: _minima(g, window))), lambda v: v - (a + start))
 
+    def selected(t: Column) -> Column:
+        n = F.char_length(t)
+        windows = n - (k + window - 2)
         return (
             F.when(n == 0, F.array().cast("array<bigint>"))
-            .when(n < k, F.array(packed(t, F.lit(0))))
-            .otherwise(F.flatten(F.transform(F.sequence(F.lit(0), n - k, F.lit(piece)), cut_at)))
+            .when(n < k, F.array(packed(t, F.lit(0)) - start))
+            .when(windows <= 1, F.array(F.array_min(F.transform(F.regexp_extract_all(t, pattern, F.lit(1)), packed)) - start))
+            .when(windows <= piece, of_piece(t, F.lit(0)))
+            .otherwise(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), windows - 1, F.lit(piece)), lambda a: of_piece(t, a)))))
         )
 
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return _let(_let(spaced, grams), lambda g: _select_doubling(g, window))
+    return _let(F.coalesce(text, F.lit("")), selected)
+
+
+def position(packed: Column) -> Column:
+    return F.lit(_POS_MASK) - packed.bitwiseAND(_POS_MASK)
+
+
+def winnow_edited(fingerprint: Column, edited: Column, same: Column, k: int = K, window: int = WINDOW) -> Column:
+    """``winnow(edited)``, given the fingerprint of a text whose first ``same`` characters ``edited`` begins with.
+
+    The last window that lies within those characters starts at ``same - (window + k - 1)``; ``edited`` is winnowed from
+    there on. As selected positions never go back from one window to the next, what earlier windows select is what the
+    given fingerprint holds up to the position that this window selects.
+    """
+    last = same - guarantee(k, window)
+    rest = winnow(F.substring(edited, last + 1, F.char_length(edited)), last, k, window)
+    joined = _let(rest, lambda r: F.array_distinct(F.concat(F.filter(fingerprint, lambda v: position(v) <= position(r[0])), r)))
+    return F.when(last >= 0, joined).otherwise(winnow(edited, 0, k, window))
 
 
 def hashes(packed: Column) -> Column:
@@ -97,10 +96,7 @@ def hashes(packed: Column) -> Column:
 def entries(packed: Column) -> Column:
     """array<struct<hash: long, position: int>>: the fingerprint with the position of each selected k-gram."""
     return F.transform(
-        packed,
-        lambda p: F.struct(
-            F.shiftright(p, _POS_BITS).alias("hash"), (F.lit(_POS_MASK) - p.bitwiseAND(_POS_MASK)).cast("int").alias("position")
-        ),
+        packed, lambda p: F.struct(F.shiftright(p, _POS_BITS).alias("hash"), position(p).cast("int").alias("position"))
     )
 
 
@@ -111,30 +107,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(inter / union)
 
 
+def _range_of(value: Column, edges: list[int], low: int = 0, high: int | None = None) -> Column:
+    """Number of the last edge at or below ``value`` (0 where it is below all), by binary search in generated code."""
+    high = len(edges) if high is None else high
+    if high - low <= 1:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value < edges[mid], _range_of(value, edges, low, mid)).otherwise(_range_of(value, edges, mid, high))
+
+
 def with_next(
-    df: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], rows_per_bucket: int = 5000, max_buckets: int = 1_000_000
+    df: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], bucket_bytes: int = 4 << 20, max_buckets: int = 1_000_000
 ) -> DataFrame:
     """(id, text, derived..., next_text, next_<derived>...): each row beside the next one in ascending id order.
 
-    Rows go to id ranges (quantiles of all ids, subdivided evenly); each range also gets the first row of the next
-    one, and the last range the first row of all, so one exchange of the text is enough and no task sees the whole
-    order. ``derived`` is computed after that exchange. Equal ids are ordered by their text; null ids come first.
-    What is broadcast is one (id, range) per range: ``max_buckets`` rows at most.
+    Rows go to id ranges (quantiles of all ids, subdivided evenly) of some ``bucket_bytes`` of text; each range also gets
+    the first row of the next one, and the last range the first row of all, so one exchange of the text is enough and
+    no task sees the whole order. The exchange has as many partitions as the text fills at four ranges each, whatever
+    the session says. ``derived`` is computed after that exchange. What is broadcast is one (id, range) per range:
+    ``max_buckets`` rows at most.
+
+    Cases: null texts are empty; equal ids are ordered by their text, in one task; null ids come first; other columns,
+    whatever their names, are ignored; one row is followed by itself; an empty table gives an empty table.
     """
     ident, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
     coarse = 256
-    lo, hi, n, splits = df.agg(
-        F.min(ident), F.max(ident), F.count(F.lit(1)), F.percentile_approx(ident, [i / coarse for i in range(1, coarse)], 10000)
+    lo, hi, size, splits = df.agg(
+        F.min(ident), F.max(ident), F.sum(F.octet_length(text)), F.percentile_approx(ident, [i / coarse for i in range(1, coarse)], 10000)
     ).first()
     edges = sorted({int(x) for x in ([] if lo is None else [lo, *splits])})
-    fine = max(1, min(n // (coarse * rows_per_bucket), max_buckets // coarse))
+    fine = max(1, min((size or 0) // (coarse * bucket_bytes), max_buckets // coarse))
+    partitions = max(8, min((size or 0) // (4 * bucket_bytes), 100_000))
     if edges:
+        which = _range_of(ident, edges)
         starts = F.array(*[F.lit(x).cast("long") for x in edges])
         widths = F.array(*[F.lit(max(1, b - a)).cast("long") for a, b in zip(edges, [*edges[1:], int(hi) + 1], strict=True)])
-        which = F.size(F.filter(starts, lambda s: s <= ident))
-        step = F.least(
-            F.floor((ident - F.element_at(starts, which)).cast("double") * fine / F.element_at(widths, which)), F.lit(fine - 1)
-        )
+        step = F.least(F.floor((ident - starts[which]).cast("double") * fine / widths[which]), F.lit(fine - 1))
         bucket = F.when(ident.isNull(), F.lit(-1)).otherwise(which.cast("long") * fine + step)
     else:
         bucket = F.lit(-1).cast("long")
@@ -152,7 +160,7 @@ def with_next(
     placed = (
         rows.join(F.broadcast(firsts), (F.col("bucket") == F.col("own")) & F.col("id").eqNullSafe(F.col("first_id")), "left")
         .select("id", "text", F.inline(F.when(F.col("own").isNull(), mine).otherwise(F.concat(mine, halo))))
-        .repartition("at")
+        .repartition(partitions, "at")
     )
     # a copied row counts as the next one only; where a range wraps to itself, it comes after all others
     full = placed.select("*", *[v.alias(k) for k, v in derived.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.byte_bpe import bpe_round_trip
 from strandlake.llm.exact_dedup import exact_dedup
-from strandlake.llm.fingerprints import hashes, likeness, winnow_chars, with_next
+from strandlake.llm.fingerprints import hashes, likeness, winnow, winnow_edited, with_next
 from strandlake.llm.licenses import scan_licenses
 from strandlake.llm.mixing import mix_sources
 from strandlake.llm.labelled import CUT, fold
@@ -74,12 +74,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    beside = with_next(docs, "doc_id", "text", {"fp": winnow_chars(F.col("text"))})
+    beside = with_next(docs, "doc_id", "text", {"fp": winnow(F.col("text"))})
     n = F.char_length("text")
-    cut_at = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut_at), F.substring("next_text", F.lit(1), cut_at))
-    texts = beside.select("id", "fp", "next_fp", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    both = texts.select("*", winnow_chars(F.col("edited")).alias("efp"))
+    same = n - F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), same), F.substring("next_text", F.lit(1), n - same))
+    texts = beside.select("id", "fp", "next_fp", n.cast("long").alias("n_chars"), same.alias("same"), edited.alias("edited"))
+    both = texts.select("*", winnow_edited(F.col("fp"), F.col("edited"), F.col("same")).alias("efp"))
     sets = both.select("*", hashes(F.col("fp")).alias("h"), hashes(F.col("efp")).alias("eh"), hashes(F.col("next_fp")).alias("nh"))
     return sets.select(
         F.col("id").alias("doc_id"),

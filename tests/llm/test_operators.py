@@ -224,54 +224,93 @@ def test_licenses_of_very_long_texts():
 # ---- 4 fingerprints
 
 
-def test_winnowing_matches_definition(spark):
+def plain_winnow(text, k, window, hash_of):
+    """Positions that winnowing selects: of each window's hashes the least, of equal ones the rightmost."""
+    grams = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text] * bool(text)
+    h = [hash_of[g] for g in grams]
+    out = []
+    for j in range(max(1, len(h) - window + 1) if h else 0):
+        part = h[j : j + window]
+        at = j + max(i for i, x in enumerate(part) if x == min(part))
+        if not out or out[-1] != at:
+            out.append(at)
+    return out
+
+
+def gram_hashes(spark, texts, k):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.fingerprints import _POS_BITS
+
+    grams = {g for t in texts for g in ([t[i : i + k] for i in range(len(t) - k + 1)] if len(t) >= k else [t])}
+    df = spark.createDataFrame(pa.table({"g": sorted(grams)}).to_pandas())
+    return {r.g: r.h for r in df.select("g", F.shiftright(F.xxhash64("g"), _POS_BITS).alias("h")).collect()}
+
+
+def test_winnowing_matches_a_plain_version(spark):
     from pyspark.sql import functions as F
 
     from strandlake.llm.fingerprints import entries, likeness, winnow
 
-    texts = odd_texts() + ["same same same same same same same same same same"]
-    df = docs(spark, texts).select("doc_id", entries(winnow(F.col("text"), 3, 4)).alias("e"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)).alias("w"))
-    grams = {}
-    for r in df.collect():
-        positions = [x.position for x in r.e]
-        assert positions == sorted(positions)
-        n = len(r.w)
-        for x in r.e:
-            key = tuple(r.w[x.position : x.position + 3]) if n >= 3 else tuple(r.w)
-            assert grams.setdefault(key, x.hash) == x.hash
-        g = max(0, n - 2) if n >= 3 else min(n, 1)
-        if g:
-            taken = set(positions)
-            assert all(taken & set(range(i, i + 4)) for i in range(max(1, g - 3)))  # every window has a selected one
-        else:
-            assert not r.e
-        if texts[r.doc_id] and texts[r.doc_id].startswith("same"):
-            assert positions == list(range(3, 8))  # rightmost of equals
+    texts = [t if t is None or len(t) < 6_000 else t[:6_000] for t in odd_texts()] + ["漢字🙂" * 30, "same" * 20, "abc" * 5 + "d" * 40, "xyz"]
+    df = docs(spark, texts)
+    for k, window in ((16, 16), (5, 4)):
+        hash_of = gram_hashes(spark, [t or "" for t in texts], k)
+        for piece in (1 << 18, 100, 7):
+            got = df.select("doc_id", entries(winnow(F.col("text"), 0, k, window, piece)).alias("e")).collect()
+            for r in got:
+                t = texts[r.doc_id] or ""
+                want = plain_winnow(t, k, window, hash_of)
+                assert [(x.position, x.hash) for x in r.e] == [(i, hash_of[t[i : i + k] if len(t) >= k else t]) for i in want], (r.doc_id, k, piece)
     one = df.limit(1).select(likeness(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))).alias("x"), likeness(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("y")).first()
     assert (round(one.x, 6), one.y) == (round(1 / 3, 6), 1.0)
 
 
-def test_character_winnowing_matches_definition(spark):
+def test_fingerprint_of_an_edited_text(spark):
     from pyspark.sql import functions as F
 
-    from strandlake.llm.fingerprints import entries, winnow_chars
+    from strandlake.llm.fingerprints import winnow, winnow_edited
 
-    texts = odd_texts() + ["漢字🙂" * 30, "same" * 20]
-    df = docs(spark, texts)
-    seen = {}
-    for piece in (65_536, 7):
-        got = {r.doc_id: r.e for r in df.select("doc_id", entries(winnow_chars(F.col("text"), 5, 4, piece)).alias("e")).collect() if piece > 7 or len(texts[r.doc_id] or "") < 2_000}
-        for i, e in got.items():
-            t = " ".join(x for x in re.split(r"[\x20\x09-\x0d]+", texts[i] or "") if x)
-            positions = [x.position for x in e]
-            assert positions == sorted(set(positions))
-            for x in e:
-                assert seen.setdefault(t[x.position : x.position + 5], x.hash) == x.hash
-            n = max(0, len(t) - 4) if len(t) >= 5 else min(len(t), 1)
-            assert bool(positions) == bool(n) and max(positions, default=-1) < max(n, 0)
-            taken = set(positions)
-            assert not n or all(taken & set(range(j, j + 4)) for j in range(max(1, n - 3)))
-    assert len(set(seen.values())) == len(seen)
+    rng = random.Random(23)
+    rows = []
+    for i in range(300):
+        t = prose(rng, rng.randrange(0, 40)) if i % 3 else "ab" * rng.randrange(0, 60)
+        same = rng.randrange(0, len(t) + 1)
+        rows.append((i, t, t[:same] + prose(rng, rng.randrange(0, 20))[: rng.randrange(0, 60)], same))
+    df = table(spark, rows, "i long, t string, e string, same int")
+    for k, window in ((16, 16), (4, 2)):
+        both = df.select("i", winnow(F.col("e"), 0, k, window).alias("want"), winnow_edited(winnow(F.col("t"), 0, k, window), F.col("e"), F.col("same"), k, window).alias("got"))
+        assert both.where("want <> got").collect() == []
+
+
+def test_op4_matches_a_plain_version(spark, tmp_path):
+    from strandlake.llm.queries import op4_fingerprints
+
+    rng = random.Random(24)
+    base = prose(rng, 60)
+    texts = [base, edited(rng, base, 0.05), edited(rng, base, 0.2), None, "short", prose(rng, 30), base + " " + prose(rng, 20), "", "漢字" * 60]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = [t or "" for t in texts]
+    changed = []
+    for i, t in enumerate(whole):
+        m = len(t) // 4
+        changed.append(t[: len(t) - m] + whole[(i + 1) % len(whole)][:m])
+    hash_of = gram_hashes(spark, whole + changed, 16)
+
+    def selected(t):
+        return {hash_of[t[i : i + 16] if len(t) >= 16 else t] for i in plain_winnow(t, 16, 16, hash_of)}
+
+    def alike(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in op4_fingerprints(spark, str(tmp_path)).collect():
+        i = r.doc_id
+        own = selected(whole[i])
+        assert r.near_edited == pytest.approx(alike(own, selected(changed[i])))
+        assert r.near_next == pytest.approx(alike(own, selected(whole[(i + 1) % len(whole)])))
+        assert r.edited_sha256 == hashlib.sha256(changed[i].encode()).hexdigest()
+        assert r.n_selected == len(plain_winnow(whole[i], 16, 16, hash_of))
+        assert (r.fingerprint == r.edited_fingerprint) == (whole[i] == changed[i])
 
 
 def test_op4_sees_edits_of_short_and_unspaced_texts(spark, tmp_path):
@@ -293,8 +332,8 @@ def test_next_document(spark):
     rng = random.Random(1)
     ids = rng.sample(range(10_000), 300)
     rows = [(i, f"t{i}") for i in ids]
-    for per in (5000, 1):
-        got = {r.id: r.next_text for r in with_next(table(spark, rows, "doc_id long, text string"), "doc_id", "text", {}, rows_per_bucket=per).collect()}
+    for size in (4 << 20, 1):
+        got = {r.id: r.next_text for r in with_next(table(spark, rows, "doc_id long, text string"), "doc_id", "text", {}, bucket_bytes=size).collect()}
         order = sorted(ids)
         assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
     single = with_next(table(spark, [(7, "x")], "doc_id long, text string"), "doc_id", "text", {}).collect()
