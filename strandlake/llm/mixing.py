@@ -8,7 +8,7 @@ from fractions import Fraction
 from math import lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,53 +20,6 @@ def tempered_weights(sizes: dict, exponent: float = 0.7) -> dict:
     return {k: v / total for k, v in raw.items()}
 
 
-def slot_shares(weights: dict, period: int = 1000) -> dict:
-    """Whole slots of each source in a period, by largest remainders; every positive weight gets one at least.
-
-    For short periodic plans only: the rounding would add up if one period stood for a whole mix.
-    """
-    used = {k: w for k, w in weights.items() if w > 0}
-    if not used:
-        return {}
-    period = max(period, 10 * len(used))
-    total = sum(used.values())
-    exact = {k: w * period / total for k, w in used.items()}
-    share = {k: max(1, int(x)) for k, x in exact.items()}
-    names = sorted(used, key=lambda k: (exact[k] - int(exact[k]), str(k)), reverse=True)
-    i = 0
-    while (left := period - sum(share.values())) != 0:
-        k = names[i % len(names)] if left > 0 else max(share, key=lambda x: (share[x] - exact[x], share[x], str(x)))
-        share[k] += 1 if left > 0 else -1
-        i += 1
-    return share
-
-
-def pfair_period(shares: dict) -> list[tuple]:
-    """[(source, number of its block)] of one period of slots, by earliest deadline first among released blocks.
-
-    With weight w = shares / period, block j (from 0) of a source is released at floor(j / w) and due at
-    ceil((j + 1) / w). The weights add up to 1, so every block meets its deadline, and after any number of slots each
-    source is less than one block away from its weight's part. The pattern repeats with the period.
-    """
-    period = sum(shares.values())
-    weight = {k: Fraction(n, period) for k, n in shares.items()}
-    waiting = [(0, str(k), k, 0) for k in shares]
-    heapq.heapify(waiting)
-    ready: list[tuple] = []
-    plan = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, name, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-((-(j + 1)) // weight[k]), name, j, k))
-        due, name, j, k = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        plan.append((k, j))
-        if j + 1 < shares[k]:
-            heapq.heappush(waiting, ((j + 1) // weight[k], name, k, j + 1))
-    return plan
-
-
 def whole_weights(weights: dict) -> dict:
     """Integers in exactly the ratios of the positive weights, each read as the decimal that it prints as."""
     exact = {k: Fraction(str(w)) for k, w in weights.items() if w > 0}
@@ -77,9 +30,10 @@ def whole_weights(weights: dict) -> dict:
 def pfair_slots(whole: dict, first: int = 0, served: dict | None = None) -> Iterator[tuple]:
     """(slot, source, number of its block) from slot ``first`` on, without end; ``served`` are the blocks before it.
 
-    As ``pfair_period``, but with the weights themselves (ratios of integers, not rounded to slots): after any number
-    of slots each source is less than one block away from its weight's part. What comes next depends on ``served``
-    only, so ranges of slots can be planned apart.
+    With weight w (a ratio of integers, not rounded to slots) block j (from 0) of a source is released at floor(j / w)
+    and due at ceil((j + 1) / w); of the released blocks the one due first takes the slot. The weights add up to 1, so
+    every block meets its deadline, and after any number of slots each source is less than one block away from its
+    weight's part. What comes next depends on ``served`` only, so ranges of slots can be planned apart.
     """
     total = sum(whole.values())
     done = served or {}
@@ -130,6 +84,12 @@ def plan_mix(whole: dict, sizes: dict, block_chars: int, repeat: bool, step: int
     return ranges, end, tail
 
 
+def hash_range(h: str, ranges: str) -> Column:
+    """Which of ``ranges`` equal parts of all values the 64-bit hash ``h`` lies in."""
+    upper = F.shiftright(h, 12).bitwiseAND((1 << 52) - 1)
+    return F.floor(upper.cast("double") * F.col(ranges) / float(1 << 52)).cast("long")
+
+
 def mix_sources(
     df: DataFrame,
     weights: dict | None = None,
@@ -139,7 +99,7 @@ def mix_sources(
     block_chars: int = 200_000,
     exponent: float = 0.7,
     repeat: bool = True,
-    ranges: int = 256,
+    range_chars: int = 8_000_000,
     max_sources: int = 10_000,
     carry: bool = False,
     step: int = 10_000,
@@ -147,8 +107,8 @@ def mix_sources(
 ) -> DataFrame:
     """(id, source, epoch, block, slot, place): when each row's turn comes in the mix. All are long but the first two.
 
-    With ``carry`` the result has all columns of ``df`` in place of id and source (so those may not be named epoch,
-    block, slot or place).
+    With ``carry`` the result has a struct ``row`` of all columns of ``df``, whatever their names, in place of id and
+    source; without it other columns are ignored.
 
     Rows of a source follow each other in the order of a hash of their id and are cut into blocks of ``block_chars``
     characters by the place where they start, so any two blocks of a source differ by one row's length at most. Blocks
@@ -164,28 +124,32 @@ def mix_sources(
 
     Driver memory: one (source, characters) per source, checked against ``max_sources``, and the blocks of each source
     at every ``step``-th slot. From those, executors plan the slots, which are brought to the hash range that holds
-    the block. Running sums are taken within ``ranges`` hash ranges of each source and offset by the ranges' totals,
-    so no source, however large, is ordered in one task.
+    the block. Running sums are taken within hash ranges of some ``range_chars`` characters (2^20 ranges a source at
+    most) and offset by the ranges' totals, so no source, however large, is ordered in one task.
 
-    Cases: rows with a null source are a source of their own; null and empty texts count as one character; null and repeated ids
-    are ordered by their text; with given weights, rows of sources without a positive one are left out. An empty
+    Cases: rows with a null source are a source of their own; null and empty texts count as one character; a text longer
+    than a block takes the block in which it starts, and the following blocks it covers are empty; null and repeated
+    ids are ordered by their text; with given weights, rows of sources without a positive one are left out. An empty
     table gives an empty table.
     """
     size = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long")
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
     own = F.struct(*[F.col(c) for c in (df.columns if carry else (id_col, source_col))])
     rows = df.select(
-        own.alias("_row"),
+        own.alias("row"),
         F.col(id_col).alias("_id"),
         source.alias("_s"),
         F.greatest(size, F.lit(1)).alias("_n"),
         F.xxhash64(F.col(id_col), F.lit(17)).alias("_h"),
         F.xxhash64(text_col).alias("_t"),
-    ).withColumn("_r", F.pmod(F.shiftright("_h", 40), F.lit(ranges)))
+    )
     totals = rows.groupBy("_s").agg(F.sum("_n").alias("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources: give a coarser source column")
     sizes = {r["_s"]: r["n"] for r in totals}
+    spark = df.sparkSession
+    dealt = [(k, min(1 << 20, -(-n // range_chars))) for k, n in sizes.items()]  # one row a source
+    rows = rows.join(F.broadcast(spark.createDataFrame(dealt, "_s string, _ranges long")), "_s").withColumn("_r", hash_range("_h", "_ranges"))
     target = tempered_weights(sizes, exponent) if weights is None else {
         s: w for k, w in weights.items() if (s := "null" if k is None else f"={k}") in sizes and w > 0
     }
@@ -203,7 +167,6 @@ def mix_sources(
                 got = [(k, *divmod(j, blocks[at[k]]), slot) for (slot, k, j), _ in zip(turns, range(n))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), schema, strict=True)], schema=schema)
 
-    spark = df.sparkSession
     slots_of = "_s string, epoch long, block long, slot long"
     turns = spark.createDataFrame(planned, "first long, n long, served array<long>").repartition(max(1, min(len(planned), 200)))
     turns = turns.mapInArrow(expand, slots_of)
@@ -224,8 +187,9 @@ def mix_sources(
     start = F.col("_start") + F.col("_offset")
     passes = F.ceil(F.size("_slots") / F.col("_held")).cast("long")
     timed = placed.select(
-        "_row", F.floor(start / block_chars).cast("long").alias("block"), start.alias("place"), "_low", "_held", "_slots",
+        "row", F.floor(start / block_chars).cast("long").alias("block"), start.alias("place"), "_low", "_held", "_slots",
         F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("epoch"),
     )
     slot = F.get("_slots", (F.col("epoch") * F.col("_held") + F.col("block") - F.col("_low")).cast("int"))
-    return timed.select("_row.*", "epoch", "block", slot.alias("slot"), "place").where(F.col("slot").isNotNull())
+    timed = timed.select("row", "epoch", "block", slot.alias("slot"), "place").where(F.col("slot").isNotNull())
+    return timed if carry else timed.select("row.*", "epoch", "block", "slot", "place")

@@ -705,40 +705,55 @@ def test_densification_keeps_equal_bins_equal():
 # ---- 9 mixing
 
 
+def plain_schedule(weights):
+    """Sources of the slots 0, 1, ...: of the blocks already released the one due first, all compared at every slot."""
+    from fractions import Fraction
+
+    total = sum(Fraction(str(w)) for w in weights.values())
+    w = {k: Fraction(str(x)) / total for k, x in weights.items()}
+    done = dict.fromkeys(w, 0)
+    slot = 0
+    while True:
+        released = [k for k in w if done[k] / w[k] // 1 <= slot]
+        k = min(released, key=lambda x: (-(-(done[x] + 1) / w[x] // 1), str(x)))
+        done[k] += 1
+        yield k
+        slot += 1
+
+
 def test_pfair_deviation_and_deadlines():
-    from strandlake.llm.mixing import pfair_period, slot_shares
+    from fractions import Fraction
+
+    from strandlake.llm.mixing import pfair_slots, whole_weights
 
     rng = random.Random(5)
-    for _ in range(20):
-        weights = {f"s{i}": rng.random() ** 3 + 1e-4 for i in range(rng.randrange(1, 30))}
-        shares = slot_shares(weights)
-        plan = pfair_period(shares)
-        assert Counter(k for k, _ in plan) == shares and all(v >= 1 for v in shares.values())
-        total, seen = sum(shares.values()), Counter()
-        for t, (k, j) in enumerate(plan, 1):
-            assert seen[k] == j
+    for _ in range(12):
+        weights = {f"s{i}": rng.random() ** 3 + 1e-4 for i in range(rng.randrange(1, 60))}
+        total = sum(Fraction(str(w)) for w in weights.values())
+        part = {k: Fraction(str(w)) / total for k, w in weights.items()}
+        seen = Counter()
+        for (slot, k, j), plain in zip(pfair_slots(whole_weights(weights)), plain_schedule(weights)):
+            assert k == plain and seen[k] == j and slot == sum(seen.values())
             seen[k] += 1
-            assert all(abs(seen[x] - t * n / total) < 1 for x, n in shares.items())
+            assert all(abs(seen[x] - (slot + 1) * w) < 1 for x, w in part.items())
+            if slot == 400:
+                break
 
 
 def brute_mix(rows, weights, block, repeat, order):
-    from strandlake.llm.mixing import pfair_period, slot_shares
-
     by = {}
     for i, s, n in rows:
-        by.setdefault(s, []).append((order[i], i, n))
-    shares = slot_shares({k: w for k, w in weights.items() if k in by})
-    period = pfair_period(shares)
+        by.setdefault(s, []).append((order(i, s), i, n))
+    weights = {k: w for k, w in weights.items() if k in by}
     blocks = {}
-    for s in shares:
+    for s in weights:
         at, cut = 0, {}
         for _, i, n in sorted(by[s]):
             cut.setdefault(at // block, []).append(i)
             at += n
         blocks[s] = (-(-at // block), cut)
-    out, turn, slot, left = [], Counter(), 0, {s for s in shares}
-    while True:
-        s = period[slot % len(period)][0]
+    out, turn, left = [], Counter(), set(weights)
+    for slot, s in enumerate(plain_schedule(weights)):
         n, cut = blocks[s]
         out += [(i, turn[s] // n, slot) for i in cut.get(turn[s] % n, [])]
         turn[s] += 1
@@ -746,7 +761,6 @@ def brute_mix(rows, weights, block, repeat, order):
             left.discard(s)
             if not repeat or not left:
                 return out
-        slot += 1
 
 
 def test_mixing_matches_simulation(spark):
@@ -755,10 +769,14 @@ def test_mixing_matches_simulation(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice(["a", "b", "b", "c"]), "x" * rng.randrange(1, 60)) for i in range(400)]
     df = table(spark, rows, "doc_id long, source string, text string")
-    order = {r.doc_id: ((r.h >> 40) % 256, r.h) for r in df.selectExpr("doc_id", "xxhash64(doc_id, 17) as h").collect()}
+    h = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, 17) as h").collect()}
+    size = Counter()
+    for _, s, t in rows:
+        size[s] += len(t)
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    for repeat in (True, False):
-        got = mix_sources(df, weights, block_chars=200, repeat=repeat).collect()
+    for repeat, chars in ((True, 8_000_000), (True, 300), (False, 300)):
+        order = lambda i, s: (((h[i] >> 12) % 2**52) * -(-size[s] // chars) // 2**52, h[i])
+        got = mix_sources(df, weights, block_chars=200, repeat=repeat, range_chars=chars).collect()
         want = brute_mix([(i, s, len(t)) for i, s, t in rows], weights, 200, repeat, order)
         assert Counter((r.doc_id, r.epoch, r.slot) for r in got) == Counter(want)
         if repeat:
@@ -814,6 +832,12 @@ def test_mixing_odd_rows(spark):
     assert mix_sources(df, {None: 1.0}).select("source").distinct().collect()[0][0] is None
     with pytest.raises(ValueError):
         mix_sources(df, max_sources=1)
+    clash = df.selectExpr("*", "'x' as slot", "'y' as epoch", "'z' as row")
+    carried = mix_sources(clash, exponent=1.0, carry=True)
+    assert {(r.row.slot, r.row.epoch, r.row.row, type(r.slot)) for r in carried.collect()} == {("x", "y", "z", int)}
+    long = table(spark, [(i, "s", "w" * (50_000 if i == 3 else 10)) for i in range(40)], "doc_id long, source string, text string")
+    got = mix_sources(long, block_chars=1_000, range_chars=2_000).collect()  # a text of fifty blocks
+    assert sorted(r.doc_id for r in got) == list(range(40)) and len({r.slot for r in got}) <= 3
 
 
 # ---- pipeline
@@ -842,7 +866,7 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     kept = [i for i, g in enumerate(good) if g]
     last = {texts[i]: i for i in kept}
     kept = [i for i in kept if last[texts[i]] == i]
-    parts = brute_components([texts[i] for i in kept])
+    parts = brute_components([texts[i] for i in kept], 80)
     kept = [i for k, i in enumerate(kept) if parts[k][1] == k]
     want = Counter(r.doc_id for r in mix_sources(d.where(d.doc_id.isin(kept))).collect())
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -852,4 +876,26 @@ def test_pipeline_on_small_tables(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == d.columns
-    assert pa.__version__
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    long = prose(rng, 20_000)
+    rows = [(1, long, "en", "a", "k1", True, 7), (2, None, "en", "a", "k2", False, 8), (3, "", None, None, "k3", True, 9), (4, long, "en", "a", "k4", True, 1),
+            (None, "one two three", "en", "b", "k5", False, 2), (5, "x y z w v u t", "en", "b", "k6", None, 3), (5, "x y z w v u t", "en", "b", "k6", None, 3)]
+    odd = table(spark, rows, "doc_id long, text string, lang string, source string, keep_id string, kept boolean, slot long")
+    odd.limit(0).select("doc_id").selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, str(tmp_path))
+        assert got.dtypes == odd.dtypes and stage(spark, odd.limit(0), str(tmp_path)).collect() == []
+        kept[name] = Counter(tuple(r) for r in got.collect())
+    assert kept["quality"] == Counter(rows)  # no labels: everything stays
+    assert kept["exact"] == Counter(rows[2:])  # the larger id of the long texts and of the empty ones
+    assert kept["near"] == Counter(rows[:3] + rows[4:])
+    assert set(kept["mix"]) == set(rows)
+    name, encode = corpus_pipeline.STAGES[-1]
+    got = {r.doc_id: r for r in encode(spark, odd, str(tmp_path)).collect()}
+    assert got[2].n_tokens == got[3].n_tokens == 0 and got[1].ids == got[4].ids and encode(spark, odd.limit(0), str(tmp_path)).collect() == []
