@@ -2,32 +2,142 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
 
+_CODE = np.full(256, 4, np.uint8)
+for _i, _base in enumerate(b"ACGT"):
+    _CODE[_base] = _i
+LONGEST = 31  # bases that fit a long at two bits each
+
+
+def _tiles(seqs: DataFrame, k: int, tile: int, halo: int = 0) -> DataFrame:
+    """(seq_index, at, first, part): each record of k bases or more in tiles whose k-mers begin at ``first`` ... ``first`` +
+    ``tile`` - 1, read from ``at`` (up to ``halo`` bases earlier) on. One record spreads over tasks this way."""
+    last = F.greatest(F.length("seq") - k, F.lit(-1))
+    tiles = seqs.where(F.length("seq") >= k).select("seq_index", F.explode(F.sequence(F.lit(0), last, F.lit(tile))).alias("first"), "seq")
+    at = F.greatest(F.col("first") - halo, F.lit(0))
+    part = F.substring("seq", at + 1, F.col("first") - at + F.lit(tile + k - 1))
+    return tiles.select("seq_index", at.cast("long").alias("at"), F.col("first").cast("long").alias("first"), part.alias("part"))
+
+
+def _codes(buffers: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all N-free k-mers of the strings, one after the other: the string's number, the offset in it, and the k-mer
+    and its reverse complement as numbers of two bits a base. Sums of shifted numbers double their length each step."""
+    offsets = np.frombuffer(buffers.buffers()[1], np.int32)[buffers.offset : buffers.offset + len(buffers) + 1].astype(np.int64)
+    base = _CODE[np.frombuffer(buffers.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0])] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    n = len(base) - k + 1
+    if n <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    forward, back = _packed(np.where(base < 4, base, 0).astype(np.int64), k), _packed(np.where(base < 4, 3 - base, 0).astype(np.int64)[::-1], k)[::-1]
+    unknown = np.concatenate([[0], np.cumsum(base > 3)])
+    row = np.repeat(np.arange(len(buffers)), np.diff(offsets))[:n]
+    start = np.arange(n)
+    good = np.flatnonzero((start + k <= offsets[row + 1]) & (unknown[k:] == unknown[:n]))
+    row = row[good]
+    return row, good - offsets[row], forward[good], back[good]
+
+
+def _packed(base: np.ndarray, k: int) -> np.ndarray:
+    """Number of the ``k`` bases from each place on, by the binary digits of ``k``."""
+    n = len(base) - k + 1
+    out, done, run, length = np.zeros(n, np.int64), 0, base, 1
+    while True:
+        if k & length:  # the next ``length`` bases of the k-mer
+            out = (out << (2 * length)) | run[done : done + n]
+            done += length
+        if length * 2 > k:
+            return out
+        run = (run[:-length] << (2 * length)) | run[length:]
+        length *= 2
+
+
+def _spelled(code: np.ndarray, k: int) -> pa.Array:
+    """The k-mers of numbers, as strings."""
+    letters = np.frombuffer(b"ACGT", np.uint8)[(code[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+    offsets = np.arange(0, k * len(code) + 1, k, dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
+def unpack(code, k: int):
+    """The k-mer of a number of two bits a base, as a column."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
 
 def kmer_rows(seqs: DataFrame, k: int, tile: int = 20_000) -> DataFrame:
     """(seq_index, pos, kmer, is_rev): every N-free k-mer of each record, canonical, with the strand it was read on.
 
-    Long records are cut into tiles with k - 1 bases of overlap first, so one record spreads over tasks and substring
-    stays cheap.
+    Long records are cut into tiles first; an Arrow kernel packs, compares and spells the k-mers of whole batches of
+    tiles (k-mers beyond 31 bases don't fit a long and are cut by column expressions).
     """
-    last = F.greatest(F.length("seq") - k, F.lit(-1))
-    tiles = seqs.where(F.length("seq") >= k).select(
-        "seq_index", F.explode(F.sequence(F.lit(0), last, F.lit(tile))).alias("_t"), "seq"
-    )
-    tiles = tiles.select("seq_index", "_t", F.substring("seq", F.col("_t") + 1, F.lit(tile + k - 1)).alias("_s"))
-    rows = tiles.select(
-        "seq_index", "_t", "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k)).alias("_o")
-    ).select("seq_index", (F.col("_t") + F.col("_o")).cast("long").alias("pos"), F.substring("_s", F.col("_o") + 1, F.lit(k)).alias("_k"))
+    if k > LONGEST:
+        return _long_kmer_rows(seqs, k, tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 32):  # some hundred thousand rows at a time
+                some = b.slice(at, 32)
+                row, off, forward, back = _codes(some.column(3), k)
+                low = np.minimum(forward, back)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(pa.array(row)), pa.array(some.column(1).to_numpy()[row] + off), _spelled(low, k), pa.array(forward > back)],
+                    names=["seq_index", "pos", "kmer", "is_rev"],
+                )
+
+    kind = dict(seqs.dtypes)["seq_index"]
+    return _tiles(seqs, k, tile).mapInArrow(run, f"seq_index {kind}, pos long, kmer string, is_rev boolean")
+
+
+def _long_kmer_rows(seqs: DataFrame, k: int, tile: int) -> DataFrame:
+    tiles = _tiles(seqs, k, tile)
+    rows = tiles.select("seq_index", "first", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("_o"))
+    rows = rows.select("seq_index", (F.col("first") + F.col("_o")).alias("pos"), F.substring("part", F.col("_o") + 1, F.lit(k)).alias("_k"))
     return rows.where(~F.col("_k").contains("N")).select(
         "seq_index", "pos", S.canonical("_k").alias("kmer"), S.is_reverse("_k").alias("is_rev")
     )
 
 
+def count_kmers(seqs: DataFrame, k: int, tandem: int = 500, tile: int = 200_000) -> DataFrame:
+    """``kmer_counts(kmer_rows(seqs, k), tandem)`` without exchanging occurrences.
+
+    Whether the same k-mer came on the same strand less than ``tandem`` bases before is known within a tile that is read
+    from ``tandem`` bases earlier on. So an Arrow kernel counts in each batch of tiles, and one row per distinct k-mer
+    and batch, a long and its count, is exchanged; k-mers are spelled after that.
+    """
+    if k > LONGEST:
+        return kmer_counts(_long_kmer_rows(seqs, k, tile), tandem)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            lengths = np.diff(np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset :][: b.num_rows + 1])
+            while at < b.num_rows:  # tiles of two million bases at a time
+                stop = max(at + 1, at + int(np.searchsorted(np.cumsum(lengths[at:]), 2_000_000, side="right")))
+                some = b.slice(at, stop - at)
+                row, off, forward, back = _codes(some.column(3), k)
+                low = np.minimum(forward, back)
+                order = np.lexsort((off, row, forward > back, low))
+                same = (low[order][1:] == low[order][:-1]) & (row[order][1:] == row[order][:-1]) & np.equal(*[(forward > back)[order][x] for x in (slice(1, None), slice(None, -1))])
+                new = np.ones(len(order), bool)
+                new[1:] = ~same | (off[order][1:] - off[order][:-1] >= tandem)
+                own = off[order] >= (some.column(2).to_numpy() - some.column(1).to_numpy())[row[order]]
+                kmer, count = np.unique(low[order][new & own], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(count.astype(np.int64))], names=["code", "n"])
+                at = stop
+
+    tiles = _tiles(seqs, k, tile, tandem - 1).mapInArrow(run, "code long, n long")
+    return tiles.groupBy("code").agg(F.sum("n").alias("freq")).select(unpack(F.col("code"), k).alias("kmer"), "freq")
+
+
 def kmer_counts(rows: DataFrame, tandem: int = 500) -> DataFrame:
     """(kmer, freq): occurrences at least ``tandem`` bases after the previous one on the same strand and record."""
     before = F.lag("pos").over(W.partitionBy("kmer", "is_rev", "seq_index").orderBy("pos"))

@@ -16,10 +16,11 @@ def consensus_kmers(families: DataFrame, k: int) -> DataFrame:
     return first.select(F.col("seq_index").alias("family_id"), "kmer", F.col("s.pos").alias("cons_pos"), F.col("s.is_rev").alias("cons_rev"))
 
 
-def seed_hits(cons: DataFrame, index: DataFrame, most: int = 50_000) -> DataFrame:
+def seed_hits(cons: DataFrame, index: DataFrame, most: int = 50_000, few: int = 500_000) -> DataFrame:
     """Consensus k-mers joined to their positions; strand +1 where both are read alike; ``most`` hits per family in
-    consensus order."""
-    hits = cons.join(index, "kmer").select(
+    consensus order. Where the consensus k-mers are counted to be ``few`` at most (some 50 MB) they are broadcast and
+    the positions, usually the larger side by far, stay where they are."""
+    hits = (F.broadcast(cons) if cons.count() <= few else cons).join(index, "kmer").select(
         "family_id", "seq_index", "pos", "cons_pos", F.when(F.col("cons_rev") == F.col("is_rev"), 1).otherwise(-1).alias("strand")
     )
     order = W.partitionBy("family_id").orderBy("cons_pos", "seq_index", "pos")

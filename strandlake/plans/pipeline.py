@@ -187,7 +187,7 @@ def build_library(seqs: DataFrame, params: Params | None = None) -> Library:
     families = cut(found, "found")
     k = min(31, max(8, math.ceil(1 + math.log(max(total, 1), 4))))
     rows = cut(kmers.kmer_rows(seqs, k), "kmers")
-    index = cut(kmers.positions(rows, kmers.frequent(kmers.kmer_counts(rows))).drop("rank"), "index")
+    index = cut(kmers.positions(rows, kmers.frequent(kmers.count_kmers(seqs, k))).drop("rank"), "index")
     n = raw.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
     kept = select.compact(families, n, k, p.discover.good_length).select(F.col("new_id").alias("family_id"), "consensus", "consensus_length")
     families, instances = refine.refine_families(cut(kept, "compact"), index, pieces, k, p.refine)

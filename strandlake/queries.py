@@ -35,6 +35,10 @@ def _km(spark: SparkSession, d: str) -> DataFrame:
     return kmers.kmer_rows(A.sequences(spark, d), K)
 
 
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.count_kmers(A.sequences(spark, d), K)
+
+
 _KM = f"WITH {A.SEQS}, {A.kmers_cte(K)}"
 _FREQ = (
     _KM + ", lagged AS (SELECT *, lag(pos) OVER (PARTITION BY kmer, is_rev, seq_index ORDER BY pos) AS before FROM km), "
@@ -57,12 +61,12 @@ def fasta_like_stats(spark, d):
 
 @_query(_FREQ + " SELECT kmer, freq FROM freq")
 def kmer_count_canonical(spark, d):
-    return kmers.kmer_counts(_km(spark, d))
+    return _counts(spark, d)
 
 
 @_query(_FREQ + " SELECT kmer, freq FROM freq WHERE freq >= 2")
 def kmer_trim(spark, d):
-    return kmers.frequent(kmers.kmer_counts(_km(spark, d)))
+    return kmers.frequent(_counts(spark, d))
 
 
 @_query(
@@ -70,7 +74,7 @@ def kmer_trim(spark, d):
     WHEN freq < 10000 THEN '1000-9999' ELSE '10000+' END AS bin, count(*) AS kmers FROM freq GROUP BY 1"""
 )
 def kmer_freq_histogram(spark, d):
-    return kmers.histogram(kmers.kmer_counts(_km(spark, d)))
+    return kmers.histogram(_counts(spark, d))
 
 
 @_query(
@@ -79,7 +83,7 @@ def kmer_freq_histogram(spark, d):
 )
 def kmer_positions_capped(spark, d):
     rows = _km(spark, d)
-    return kmers.positions(rows, kmers.frequent(kmers.kmer_counts(rows))).select("kmer", "seq_index", "pos", "is_rev", "rank")
+    return kmers.positions(rows, kmers.frequent(_counts(spark, d))).select("kmer", "seq_index", "pos", "is_rev", "rank")
 
 
 _ENTROPY = " + ".join(
@@ -123,12 +127,12 @@ def auto_k(spark, d):
 )
 def lmer_table_export(spark, d):
     rows = _km(spark, d)
-    return kmers.export_table(rows, kmers.kmer_counts(rows))
+    return kmers.export_table(rows, _counts(spark, d))
 
 
 @_query(_FREQ + " SELECT kmer, freq FROM freq ORDER BY freq DESC, kmer LIMIT 20")
 def seed_topk(spark, d):
-    return kmers.seeds(kmers.kmer_counts(_km(spark, d)), 20)
+    return kmers.seeds(_counts(spark, d), 20)
 
 
 @_query(
@@ -140,7 +144,7 @@ def seed_topk(spark, d):
 def occurrence_gather_capped(spark, d):
     rows = _km(spark, d)
     masked = A.sequences(spark, d).select("seq_index", (F.col("seq_index") % 50).alias("start"), F.lit(100).alias("end"))
-    top = kmers.seeds(kmers.kmer_counts(rows), 20)
+    top = kmers.seeds(_counts(spark, d), 20)
     return kmers.occurrences(rows, top, masked).select("kmer", "seq_index", "pos", "is_rev", "rank")
 
 
