@@ -117,13 +117,13 @@ def _range_of(value: Column, edges: list[int], low: int = 0, high: int | None =
 
 
 def with_next(
-    df: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], bucket_bytes: int = 4 << 20, max_buckets: int = 1_000_000
+    df: DataFrame, id_col: str, text_col: str, derived: dict[str, Column], bucket_bytes: int = 1 << 20, max_buckets: int = 1_000_000
 ) -> DataFrame:
     """(id, text, derived..., next_text, next_<derived>...): each row beside the next one in ascending id order.
 
     Rows go to id ranges (quantiles of all ids, subdivided evenly) of some ``bucket_bytes`` of text; each range also gets
     the first row of the next one, and the last range the first row of all, so one exchange of the text is enough and
-    no task sees the whole order. The exchange has as many partitions as the text fills at four ranges each, whatever
+    no task sees the whole order. The exchange has as many partitions as the text fills at eight ranges each, whatever
     the session says. ``derived`` is computed after that exchange. What is broadcast is one (id, range) per range:
     ``max_buckets`` rows at most.
 
@@ -136,8 +136,8 @@ def with_next(
         F.min(ident), F.max(ident), F.sum(F.octet_length(text)), F.percentile_approx(ident, [i / coarse for i in range(1, coarse)], 10000)
     ).first()
     edges = sorted({int(x) for x in ([] if lo is None else [lo, *splits])})
-    fine = max(1, min((size or 0) // (coarse * bucket_bytes), max_buckets // coarse))
-    partitions = max(8, min((size or 0) // (4 * bucket_bytes), 100_000))
+    fine = max(1, min(-(-(size or 0) // (coarse * bucket_bytes)), max_buckets // coarse))
+    partitions = max(8, min((size or 0) // (8 * bucket_bytes), 100_000))
     if edges:
         which = _range_of(ident, edges)
         starts = F.array(*[F.lit(x).cast("long") for x in edges])
