@@ -107,17 +107,21 @@ def _turn(cls: Column, largest: int, base: int = 8) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.log(float(base), u * float(largest)) - 1e-9)).cast("int")
 
 
-def _turn_pairs(open_: DataFrame, turn: int, portion: int = 2000) -> DataFrame:
+def _turn_pairs(open_: DataFrame, turn: int, percent: int, portion: int = 2000) -> DataFrame:
     """Pairs (a < b) of each open bucket's centres of this ``turn`` with its members of other components whose turn is not
-    over. Large buckets are dealt over several tasks, and their centres, few in early turns, are copied to each."""
+    over, as far as sizes and parity maps leave them possible, each in the first bucket that it shares only. Large
+    buckets are dealt over several tasks, and their centres, few in early turns, are copied to each."""
     parts = F.ceil(F.col("size") / portion).cast("int")
     open_ = open_.where("cls <> centre")  # the bucket's first centre has met all members
-    centre = open_.where(F.col("turn") == turn).select(
-        "key", F.col("cls").alias("c"), F.col("comp").alias("cc"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    )
-    member = open_.where(F.col("turn") >= turn).select("key", "cls", "comp", "turn", F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"))
-    met = centre.join(member, ["key", "part"]).where((F.col("comp") != F.col("cc")) & ((F.col("turn") > turn) | (F.col("c") < F.col("cls"))))
-    return met.select(F.least("c", "cls").alias("a"), F.greatest("c", "cls").alias("b")).distinct()
+    x = open_.where(F.col("turn") == turn).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("x")
+    y = open_.where(F.col("turn") >= turn).withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).alias("y")
+    earlier = F.exists(F.sequence(F.lit(0), F.col("x.band")), lambda i: (i < F.col("x.band")) & (F.col("x.keys")[i] == F.col("y.keys")[i]))
+    met = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp"))
+        & ((F.col("y.turn") > turn) | (F.col("x.cls") < F.col("y.cls"))) & _possible("x", "y", percent) & ~earlier,
+    )
+    return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
 
 def near_duplicates(
@@ -168,14 +172,14 @@ def near_duplicates(
     worded = sketch.where("n > 0")
     classes = cut(worded.groupBy("cls", "n", "keys", "bits").agg(F.min("id").alias("least"), count.alias("copies")), "near-class")
 
-    slots = classes.select("cls", F.explode("keys").alias("key"))
+    slots = classes.select("cls", F.posexplode("keys").alias("band", "key"))
     sizes = cut(slots.groupBy("key").agg(count.alias("size")).where("size > 1"), "near-sizes")
     placed = cut(join_hot(slots, sizes, ["key"], "size", classes.count() * bands), "near-placed")
     # what many near copies were made from is in the largest buckets of all bands, so that is the centre of each
     ranked = placed.join(placed.groupBy("cls").agg(F.sum("size").alias("_rank")), "cls")
     first = ranked.groupBy("key").agg(F.max(F.struct("_rank", "cls"))["cls"].alias("centre"), F.max("size").alias("_size"))
     held = cut(join_hot(placed, cut(first, "near-centre"), ["key"], "_size", placed.count()).drop("_size"), "near-bucket")
-    shared = cut(classes.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "bits", "least"), "near-shared")
+    shared = cut(classes.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "keys", "bits", "least"), "near-shared")
 
     by_id = BitSieve(shared, ["least"], sieve_bits(shared.count()))
     candidates = by_id.may_hold(texts, [F.col("id")], "may").where("may").select("id", "text")
@@ -199,9 +203,10 @@ def near_duplicates(
         turn += 1
         if turn > turns or open_keys.isEmpty():
             break
-        open_ = join_hot(labelled, open_keys, ["key"], "_size", placed.count()).withColumn("turn", _turn(F.col("cls"), largest))
-        pairs = cut(_turn_pairs(open_, turn), "near-pairs")
-        more = cut(_confirmed(cut(_bounded_pairs(pairs, shared, percent), "near-possible"), sets, percent), "near-more")
+        if changed:
+            open_ = join_hot(labelled, open_keys, ["key"], "_size", placed.count()).withColumn("turn", _turn(F.col("cls"), largest))
+            open_ = cut(open_.join(shared.drop("least"), "cls"), "near-members")
+        more = cut(_confirmed(cut(_turn_pairs(open_, turn, percent), "near-pairs"), sets, percent), "near-more")
         if changed := not more.isEmpty():
             links = links.unionAll(more)
             parts = connected_components(links)
