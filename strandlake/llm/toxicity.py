@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.arrow_batches import small_batches
+from strandlake.llm.arrow_batches import bounded, give_back, small_batches
 from strandlake.llm.labelled import best_cut, labelled_rows, squash
 
 _SPELT = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
@@ -20,7 +20,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 LENGTH = 24  # characters of a unit; longer tokens are read in overlapping windows
 SPAN = 7  # a subsequence of three characters spans at most this many
 DECAY = 0.6
-SYMBOLS = 64
+SYMBOLS = 96
 _GAPS = [(a, a + b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
@@ -33,19 +33,17 @@ def units(text: str | None) -> list[str]:
 class SubsequenceKernel:
     """Similarity of two strings by the character triples they share, gaps allowed.
 
-    Every triple of characters at i < j < k with k - i < SPAN counts DECAY ** (k - i + 1); a string's vector is divided
-    by the norm that it would have with distinct triples, which depends on its length only. An inserted character or a
-    gap therefore only dampens the match. A kernel expansion over any landmarks is one weight per triple, so scoring
-    costs the same for one landmark as for hundreds.
+    Every triple of characters at i < j < k with k - i < SPAN counts DECAY ** (k - i + 1), and the kernel of two strings
+    is divided by the root of their kernels with themselves, so K(x, x) = 1. An inserted character or a gap therefore
+    only dampens the match. A kernel expansion over any landmarks is one weight per triple, so scoring costs the same
+    for one landmark as for hundreds. The SYMBOLS - 2 most frequent characters of the fitted units are told apart, all
+    others are one more character.
     """
 
     def __init__(self, texts: list[str]):
         common = Counter(c for t in texts for c in t)
         letters = sorted(sorted(common, key=lambda c: (-common[c], c))[: SYMBOLS - 2])
         self.code = {c: i + 2 for i, c in enumerate(letters)}  # 0: nothing, 1: any other character
-        n = np.arange(LENGTH + 1)
-        sq = sum(np.maximum(n - e, 0) * DECAY ** (2 * (e + 1)) for _, e in _GAPS)
-        self.norm = np.sqrt(np.maximum(sq, DECAY**6))
 
     def codes(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, LENGTH) and lengths of strings of at most LENGTH characters."""
@@ -55,15 +53,37 @@ class SubsequenceKernel:
             m[i, : len(s)] = [get(c, 1) for c in s]
         return m, np.fromiter(map(len, strings), np.int64, len(strings))
 
+    @staticmethod
+    def norms(m: np.ndarray) -> np.ndarray:
+        """Lengths of the strings' vectors: the weights of equal triples add up before they are squared."""
+        keys, weights = [], []
+        for a, e in _GAPS:
+            if m.shape[1] > e:
+                last = m[:, e:]
+                keys.append(np.where(last > 0, (m[:, : m.shape[1] - e] * SYMBOLS + m[:, a : m.shape[1] - e + a]) * SYMBOLS + last, 0))
+                weights += [DECAY ** (e + 1)] * last.shape[1]
+        if not keys:
+            return np.ones(len(m))
+        key = np.concatenate(keys, 1)
+        order = np.argsort(key, axis=1, kind="stable")
+        key = np.take_along_axis(key, order, 1)
+        weight = np.where(key > 0, np.array(weights)[order], 0.0)
+        first = np.ones(key.shape, bool)
+        first[:, 1:] = key[:, 1:] != key[:, :-1]
+        sums = np.add.reduceat(weight.ravel(), np.flatnonzero(first.ravel()))
+        square = np.add.reduceat(sums**2, np.concatenate([[0], np.cumsum(first.sum(1))[:-1]]))
+        return np.sqrt(np.where(square > 0, square, 1.0))
+
     def sparse(self, m: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, triples and weights of the strings' vectors."""
         rows, keys, values = [], [], []
+        norm = self.norms(m)
         for a, e in _GAPS:
             last = m[:, e:]
             r, c = np.nonzero(last)
             keys.append((m[r, c] * SYMBOLS + m[r, c + a]) * SYMBOLS + m[r, c + e])
             rows.append(r)
-            values.append(DECAY ** (e + 1) / self.norm[lengths[r]])
+            values.append(DECAY ** (e + 1) / norm[r])
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(values)
 
     def dense(self, strings: list[str]) -> np.ndarray:
@@ -79,8 +99,8 @@ class SubsequenceKernel:
         """Inner product of each string's vector with ``table`` (one weight per triple)."""
         out = np.zeros(len(strings))
         by_length = np.argsort(np.fromiter(map(len, strings), np.int64, len(strings)), kind="stable")
-        for at in range(0, len(strings), 20_000):
-            some = by_length[at : at + 20_000]
+        for at in range(0, len(strings), 5_000):
+            some = by_length[at : at + 5_000]
             m, n = self.codes([strings[i] for i in some])
             m = m[:, : max(int(n.max(initial=0)), SPAN)]
             s = np.zeros(len(some))
@@ -88,7 +108,7 @@ class SubsequenceKernel:
                 if m.shape[1] > e:
                     left, mid, last = m[:, : m.shape[1] - e], m[:, a : m.shape[1] - e + a], m[:, e:]
                     s += DECAY ** (e + 1) * table[(left * SYMBOLS + mid) * SYMBOLS + last].sum(1)
-            out[some] = s / self.norm[n]
+            out[some] = s / self.norms(m)
         return out
 
 
@@ -227,8 +247,12 @@ def _similarities(kernel: SubsequenceKernel, strings: list[str], phi: np.ndarray
     return k
 
 
-def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int = 256, seed: int = 3) -> ToxicModel | None:
-    """Fit on (document, label, units) of labelled sentences.
+def fit_sentences(
+    sentences: list[tuple[int, int, list[str]]], landmarks: int = 256, seed: int = 3, positives: int = 6_000, negatives: int = 5_000, harder: int = 2_000
+) -> ToxicModel | None:
+    """Fit on (document, label, units) of labelled sentences: at most ``positives`` units of toxic documents, those of
+    most weight, against ``negatives`` drawn units of clean ones and, three times, the ``harder`` ones among all clean units
+    that the machine found hardest.
 
     A toxic document's label holds for some of its units only, as in multiple-instance learning. ``suspects`` is the
     first guess; a suspect that clean documents hold too is a positive by its excess over them and a negative by the
@@ -274,7 +298,7 @@ def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int =
         return None
     unexplained = [sorted(b) for b in unexplained]
     best_of = {max(b, key=lambda t: (weight[t], t)) for b in unexplained}  # within the bound below every document has a unit
-    toxic = sorted(weight, key=lambda t: (t not in sure, t not in best_of, -weight[t], -support[t], t))[:6_000]
+    toxic = sorted(weight, key=lambda t: (t not in sure, t not in best_of, -weight[t], -support[t], t))[:positives]
     toxic.sort(key=lambda t: (-weight[t], -support[t], t))
     inside = set(toxic)
     unexplained = [[t for t in b if t in inside] for b in unexplained]
@@ -293,8 +317,8 @@ def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int =
     lookup = np.full(SYMBOLS**3, -1, np.int64)
     lookup[used] = np.arange(len(used))
     z_toxic = _similarities(kernel, toxic, phi, lookup) @ whiten
-    chosen = list(range(min(len(pool), 5_000)))
-    z_clean = _similarities(kernel, pool[:5_000], phi, lookup) @ whiten
+    chosen = list(range(min(len(pool), negatives)))
+    z_clean = _similarities(kernel, pool[:negatives], phi, lookup) @ whiten
     for turn in range(4):
         y = np.concatenate([np.ones(len(z_toxic)), -np.ones(len(z_clean))])
         own = np.array([weight.get(t, 0.0) for t in toxic] + [1.0 - weight.get(pool[i], 0.0) for i in chosen])
@@ -304,7 +328,7 @@ def fit_sentences(sentences: list[tuple[int, int, list[str]]], landmarks: int =
         if turn < 3:
             weight = spread(dict(zip(toxic, (z_toxic @ w + bias).tolist(), strict=True)))
             taken = set(chosen)
-            hardest = np.argsort(-kernel.linear(pool, table), kind="stable")[:2_000]
+            hardest = np.argsort(-kernel.linear(pool, table), kind="stable")[:harder]
             more = [int(i) for i in hardest if int(i) not in taken]
             chosen += more
             if more:
@@ -319,7 +343,11 @@ def fit_toxicity(
     longest: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> ToxicModel | None:
     """Fit on the sentences of at most ``rows`` labelled documents (half of each class) outside the held-out fold and
-    of at most ``longest`` bytes each: both bounds limit what the driver holds. None without both classes."""
+    of at most ``longest`` bytes each: both bounds limit what the driver holds, and ``fit_sentences`` has bounds of its own.
+
+    Cases: null texts are empty and have no units; rows that repeat an id or a text count once each; null ids have no
+    label; other columns are ignored. None without labels of both classes (empty tables too).
+    """
     short = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
     few = labelled_rows(short, labels, label, parts, held, rows, id_col, by_class=True)
     got = sorted((r["label"], r["text"]) for r in few.select("label", "text").collect())
@@ -332,9 +360,10 @@ def score_toxicity(
 ) -> DataFrame:
     """``docs`` with ``score_col`` (0..1, 0.7 at the fitted threshold): the decision on the worst unit of the text.
 
-    Whole texts are read; a worker decides each distinct token once while it remembers it (``remember`` tokens at
-    most). Null and empty texts score near 0, and so does everything without a model. Repeated rows get equal
-    scores, other columns pass through (one named ``score_col`` is replaced), an empty table gives an empty table.
+    Whole texts are read, very long ones too, in batches of a few MB; a worker decides each distinct token once while it
+    remembers it (``remember`` tokens at most). Null and empty texts score near 0, and so does everything without a
+    model. Repeated rows get equal scores, other columns pass through (one named ``score_col`` is replaced), an empty
+    table gives an empty table.
     """
     small_batches(docs.sparkSession)
     source = docs.drop(score_col)
@@ -345,7 +374,7 @@ def score_toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         fitted = sent.value
-        for b in batches:
+        for b in bounded(batches, at):
             texts = b.column(at).to_pylist()
             split = [units(t) for t in texts] if fitted is not None else [[] for _ in texts]
             every = set().union(*split)
@@ -359,5 +388,7 @@ def score_toxicity(
             best = np.array([max(map(known.__getitem__, x), default=_NEVER) for x in split], float)
             s = squash(best * 4.0) if fitted is None else fitted.margins(best)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, score_col])
+        del known
+        give_back()
 
     return source.mapInArrow(run, ", ".join([*fields, f"`{score_col}` double"]))

@@ -420,11 +420,37 @@ def test_kernel_machine_equals_its_expansion():
     kernel = SubsequenceKernel(words)
     phi = kernel.dense(words)
     weights = np.random.default_rng(0).normal(size=len(words))
-    t = np.zeros(64**3, np.float32)
+    t = np.zeros(96**3, np.float32)
     t[kernel.used] = phi.T @ weights
     assert np.allclose(kernel.linear(words, t), (phi @ phi.T) @ weights, atol=1e-4)
 
 
+def test_subsequence_kernel_against_enumeration():
+    from itertools import combinations
+
+    from strandlake.llm.toxicity import DECAY, LENGTH, SPAN, SubsequenceKernel
+
+    rng = random.Random(22)
+    words = ["idiot", "idixot", "banana", "aaaaaaaa", "ab", "a", "clown", "xclownx", "été漢字"] + ["".join(rng.choices("abcd", k=rng.randrange(1, LENGTH + 1))) for _ in range(40)]
+
+    def vector(w):
+        out = Counter()
+        for i, j, k in combinations(range(len(w)), 3):
+            if k - i < SPAN:
+                out[w[i] + w[j] + w[k]] += DECAY ** (k - i + 1)
+        return out
+
+    vectors = [vector(w) for w in words]
+    plain = np.array([[sum(a[t] * b[t] for t in a) for b in vectors] for a in vectors])
+    own = np.sqrt(np.where(np.diag(plain) > 0, np.diag(plain), 1))
+    kernel = SubsequenceKernel(words)
+    phi = kernel.dense(words)
+    assert np.allclose(phi @ phi.T, plain / own[:, None] / own)
+    table = np.zeros(96**3, np.float64)
+    table[kernel.used] = phi[0]
+    assert np.allclose(kernel.linear(words, table), (plain / own[:, None] / own)[0])
+
+
 def test_quality_on_held_out_rows(spark):
     from strandlake.llm.quality import fit_quality, score_quality
 
@@ -648,8 +674,8 @@ def test_large_buckets_take_linearly_many_pairs(spark, monkeypatch):
     texts = [prose(rng, 250) for _ in range(20)] + [edited(rng, hub, 0.012) for _ in range(500)]  # alike through the hub only
     texts[260] = hub
     seen = []
-    plain = near_dedup._bounded_pairs
-    monkeypatch.setattr(near_dedup, "_bounded_pairs", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
+    plain = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *rest: seen.append(pairs.count()) or plain(pairs, *rest))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
     assert got == brute_components(texts)
     assert sum(seen) < 10 * len(texts)
@@ -660,9 +686,11 @@ def test_turns_meet_every_pair_of_an_open_bucket_once(spark):
 
     from strandlake.llm.near_dedup import _turn, _turn_pairs
 
-    rows = [("k", 70, f"c{i}", "c0", f"c{i // 2 * 2}") for i in range(70)]
-    open_ = spark.createDataFrame(rows, "key string, size int, cls string, centre string, comp string").withColumn("turn", _turn(F.col("cls"), 70))
-    met = [tuple(r) for t in range(1, 5) for r in _turn_pairs(open_, t, portion=20).collect()]
+    bits = [0] * 16
+    rows = [(k, band, 70, f"c{i}", "c0", f"c{i // 2 * 2}", 9, [1, 2], bits) for i in range(70) for band, k in ((0, 1), (1, 2))]
+    schema = "key long, band int, size int, cls string, centre string, comp string, n long, keys array<long>, bits array<long>"
+    open_ = spark.createDataFrame(rows, schema).withColumn("turn", _turn(F.col("cls"), 70))
+    met = [tuple(r) for t in range(1, 5) for r in _turn_pairs(open_, t, 85, portion=20).collect()]
     want = {tuple(sorted((f"c{i}", f"c{j}"))) for i in range(1, 70) for j in range(i + 1, 70) if i // 2 != j // 2}
     assert len(met) == len(set(met)) and set(met) == want
 
