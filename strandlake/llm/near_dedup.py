@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.arrow_batches import give_back, small_batches
 from strandlake.llm.shingles import OnePermutation, WordHashes, mix, shingle_set
 from strandlake.operators.graph import connected_components
-from strandlake.operators.hot_keys import join_hot, join_salted
+from strandlake.operators.hot_keys import split_hot
 from strandlake.operators.sieve import BitSieve, sieve_bits
 from strandlake.storage import cut
 
@@ -84,23 +84,16 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Stored pairs (a, b) whose full sets have 100 * intersection >= percent * union; a may be in very many pairs."""
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("cls").alias("b"), F.col("members").alias("mb"))
     right = sets.select(F.col("cls").alias("a"), F.col("members").alias("ma"))
-    both = join_salted(pairs, right, "a", F.col("b")).join(left, "b")
+    both = pairs.join(left, "b").join(right, "a")
     inter = F.size(F.array_intersect("ma", "mb"))
     measured = both.select("a", "b", inter.alias("i"), (F.size("ma") + F.size("mb")).alias("s"))
     return measured.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _bounded_pairs(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Distinct stored pairs (a, b) that sizes and parity maps leave possible."""
-    x = light.select(F.col("cls").alias("a"), F.struct("n", "bits").alias("x"))
-    y = light.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y"))
-    return join_salted(pairs, x, "a", F.col("b")).join(y, "b").where(_possible("x", "y", percent)).select("a", "b")
-
-
-def _turn(cls: Column, largest: int, base: int = 8) -> Column:
+def _turn(cls: Column, largest: int, base: int = 64) -> Column:
     """In which turn (1, 2, ...) a class becomes a centre of its buckets: up to turn t, ``base`` ** t of ``largest`` do,
     chosen by a hash of the class, and in the last turn all that are left."""
     u = (F.shiftright(F.xxhash64(cls, F.lit(29)), 11).bitwiseAND((1 << 52) - 1) + 1) / float(1 << 52)
@@ -112,14 +105,12 @@ def _turn_pairs(open_: DataFrame, turn: int, percent: int, portion: int = 2000)
     over, as far as sizes and parity maps leave them possible, each in the first bucket that it shares only. Large
     buckets are dealt over several tasks, and their centres, few in early turns, are copied to each."""
     parts = F.ceil(F.col("size") / portion).cast("int")
-    open_ = open_.where("cls <> centre")  # the bucket's first centre has met all members
     x = open_.where(F.col("turn") == turn).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("x")
     y = open_.where(F.col("turn") >= turn).withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).alias("y")
-    earlier = F.exists(F.sequence(F.lit(0), F.col("x.band")), lambda i: (i < F.col("x.band")) & (F.col("x.keys")[i] == F.col("y.keys")[i]))
     met = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.turn") > turn) | (F.col("x.cls") < F.col("y.cls"))) & _possible("x", "y", percent) & ~earlier,
+        & ((F.col("y.turn") > turn) | (F.col("x.cls") < F.col("y.cls"))) & _possible("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"),
     )
     return met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
 
@@ -143,14 +134,14 @@ def near_duplicates(
     2. Classes that share a bucket are joined to one class only, whose buckets are the largest: a star, linear in the bucket.
        Candidates that size or parity map rule out (exact bounds) are left; the others are confirmed on full sets.
     3. A star can miss a link between two members that are both too far from the centre. So buckets whose members
-       still lie in several components get more centres, in turns: some 8, 64, 512, ... of the largest bucket's
+       still lie in several components get more centres, in turns: some 64, 4096, ... of the largest bucket's
        members, at last all. A turn compares its centres with members of other components only, each pair once, by the
        same bounds and on full sets, and a bucket that has become one component is closed. So buckets of near copies
        cost a few comparisons a member; only members that stay apart to the end are all compared.
     A pair at exactly 0.85 shares no bucket with probability (1 - 0.85^6)^32 = 3e-7.
 
-    Hot buckets, classes and components (more than one in 4096 rows) meet broadcasts of fewer than 4096 rows; wide rows
-    of centres in very many pairs are copied to several tasks.
+    Rows of hot classes (more than one in 4096 rows: fewer than 4096 classes) stay in place and meet a broadcast of their
+    components.
 
     Cases: null text counts as empty; an empty set (n_shingles 0) is linked with nothing, and each such row is its
     own component. Very long texts are read whole; a task holds one set at a time, confirmation two. Rows that repeat
@@ -173,52 +164,62 @@ def near_duplicates(
     classes = cut(worded.groupBy("cls", "n", "keys", "bits").agg(F.min("id").alias("least"), count.alias("copies")), "near-class")
 
     slots = classes.select("cls", F.posexplode("keys").alias("band", "key"))
-    sizes = cut(slots.groupBy("key").agg(count.alias("size")).where("size > 1"), "near-sizes")
-    placed = cut(join_hot(slots, sizes, ["key"], "size", classes.count() * bands), "near-placed")
+    sizes = slots.groupBy("key").agg(count.alias("size")).where("size > 1")
+    placed = cut(slots.join(sizes, "key"), "near-placed")
     # what many near copies were made from is in the largest buckets of all bands, so that is the centre of each
     ranked = placed.join(placed.groupBy("cls").agg(F.sum("size").alias("_rank")), "cls")
-    first = ranked.groupBy("key").agg(F.max(F.struct("_rank", "cls"))["cls"].alias("centre"), F.max("size").alias("_size"))
-    held = cut(join_hot(placed, cut(first, "near-centre"), ["key"], "_size", placed.count()).drop("_size"), "near-bucket")
-    shared = cut(classes.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "keys", "bits", "least"), "near-shared")
+    first = ranked.groupBy("key").agg(F.max(F.struct("_rank", "cls"))["cls"].alias("centre"))
+    held = cut(placed.join(first, "key"), "near-bucket")
+    shared = cut(classes.join(held.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "keys", "bits", "least"), "near-shared")
 
     by_id = BitSieve(shared, ["least"], sieve_bits(shared.count()))
     candidates = by_id.may_hold(texts, [F.col("id")], "may").where("may").select("id", "text")
     found = candidates.join(shared.select("cls", "least"), F.col("id").eqNullSafe(F.col("least"))).select("cls", "text")
     sets = cut(found.mapInArrow(_sets(width), "cls binary, members array<long>"), "near-set")
 
-    star = cut(held.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "near-star")
-    links = cut(_confirmed(cut(_bounded_pairs(star, shared, percent), "near-possible"), sets, percent), "near-link")
+    star = held.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    light = shared.select("cls", F.struct("n", "bits").alias("s"))
+    star = (
+        star.join(light.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
+        .join(light.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a")
+        .where(_possible("x", "y", percent)).select("a", "b")
+    )
+    links = cut(_confirmed(star, sets, percent), "near-link")
     parts = connected_components(links)
     turn, turns, changed = 0, 1, True
     while True:  # until no bucket is open, or all members have been centres
         if changed:
-            named = parts.withColumnRenamed("node", "cls")
-            labelled = cut(held.join(named, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component"), "near-labelled")
-            spread = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("_size"))
-            open_keys = cut(spread.where("hi > lo and _size > 2").select("key", "_size"), "near-open")
+            named = held.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+            spread = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            # a bucket's first centre has met all members, so two members need no further comparison
+            members = named.where("size > 2 and cls <> centre").join(spread.where("hi > lo").select("key"), "key", "left_semi")
+            before = F.expr("slice(keys, 1, band)").alias("before")
+            open_ = cut(members.join(shared, "cls").select("key", "size", "cls", "comp", "n", "bits", before), "near-open")
+            largest = open_.agg(F.max("size")).first()[0]
+            if largest is None:
+                break
             if not turn:
-                largest = open_keys.agg(F.max("_size")).first()[0] or 1
-                while 8**turns < largest:
+                first_largest = largest
+                while 64**turns < largest:
                     turns += 1
         turn += 1
-        if turn > turns or open_keys.isEmpty():
+        if turn > turns:
             break
-        if changed:
-            open_ = join_hot(labelled, open_keys, ["key"], "_size", placed.count()).withColumn("turn", _turn(F.col("cls"), largest))
-            open_ = cut(open_.join(shared.drop("least"), "cls"), "near-members")
-        more = cut(_confirmed(cut(_turn_pairs(open_, turn, percent), "near-pairs"), sets, percent), "near-more")
+        pairs = _turn_pairs(open_.withColumn("turn", _turn(F.col("cls"), first_largest)), turn, percent)
+        more = cut(_confirmed(pairs, sets, percent), "near-more")
         if changed := not more.isEmpty():
             links = links.unionAll(more)
             parts = connected_components(links)
 
-    part = cut(
-        classes.select("cls", "least", "copies").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-        .withColumn("component", F.coalesce("component", "cls")),
-        "near-part",
-    )
-    names = cut(part.groupBy("component").agg(F.min("least").alias("component_id"), count.alias("classes")), "near-names")
-    named = cut(join_hot(part, names, ["component"], "classes", part.count()).select("cls", "component_id", "copies"), "near-named")
-    full = join_hot(worded, named, ["cls"], "copies", worded.count()).select("id", "n", "component_id")
+    part = classes.select("cls", "least", "copies").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+    part = part.withColumn("component", F.coalesce("component", "cls"))
+    names = part.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(part.join(names, "component").select("cls", "component_id", "copies"), "near-named")
+    hot, cold = split_hot(named, "copies", worded.count())
+    marked = worded.select("id", "n", "cls").join(F.broadcast(hot.drop("copies").withColumn("hot", F.lit(True))), "cls", "left")
+    here = marked.where("hot").select("id", "n", "component_id")
+    there = marked.where("hot is null").select("id", "n", "cls").join(cold, "cls").select("id", "n", "component_id")
+    full = here.unionAll(there)
     empty = sketch.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return full.unionAll(empty).select(
         F.col("id").alias(id_col),

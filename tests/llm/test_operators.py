@@ -686,10 +686,9 @@ def test_turns_meet_every_pair_of_an_open_bucket_once(spark):
 
     from strandlake.llm.near_dedup import _turn, _turn_pairs
 
-    bits = [0] * 16
-    rows = [(k, band, 70, f"c{i}", "c0", f"c{i // 2 * 2}", 9, [1, 2], bits) for i in range(70) for band, k in ((0, 1), (1, 2))]
-    schema = "key long, band int, size int, cls string, centre string, comp string, n long, keys array<long>, bits array<long>"
-    open_ = spark.createDataFrame(rows, schema).withColumn("turn", _turn(F.col("cls"), 70))
+    rows = [(k, 70, f"c{i}", f"c{i // 2 * 2}", 9, [0] * 16, before) for i in range(1, 70) for before, k in (([], 1), ([1], 2))]
+    schema = "key long, size int, cls string, comp string, n long, bits array<long>, before array<long>"
+    open_ = spark.createDataFrame(rows, schema).withColumn("turn", _turn(F.col("cls"), 70, base=8))
     met = [tuple(r) for t in range(1, 5) for r in _turn_pairs(open_, t, 85, portion=20).collect()]
     want = {tuple(sorted((f"c{i}", f"c{j}"))) for i in range(1, 70) for j in range(i + 1, 70) if i // 2 != j // 2}
     assert len(met) == len(set(met)) and set(met) == want
