@@ -79,7 +79,8 @@ def write_warc(
     ``file_bytes``. A lost task writes files of new names; only those of committed attempts are listed.
 
     Cases: a null payload is empty, a null url too; rows that repeat id and payload are all responses; a null id loses
-    to any other and, where it revisits nothing, is a response without number. An empty table writes no file.
+    to any other and, where it revisits nothing, is a response without number. Very long payloads are compressed whole, one
+    at a time. Other columns, whatever their names, are ignored. An empty table writes no file.
     """
     spark = df.sparkSession
     small_batches(spark, 500)
@@ -135,22 +136,68 @@ class MemberReader:
             self.held = self.source.read_at(min(max(n, self.chunk), self.size - offset), offset)
         return self.held[offset - self.base : offset - self.base + n]
 
+    def _head(self, offset: int, most: int = 1 << 16) -> int | None:
+        """Bytes that a record at ``offset`` has by its head (a gzip member's first ``most`` bytes), or None if there is none."""
+        z, head, at = zlib.decompressobj(31), b"", offset
+        try:
+            while b"\r\n\r\n" not in head and len(head) < most and not z.eof:
+                piece = self._at(at, 4096)
+                if not piece:
+                    return None
+                head += z.decompress(z.unconsumed_tail + piece, most)
+                at += len(piece)
+                if not head.startswith(b"WARC/1."[: len(head)]):
+                    return None
+        except zlib.error:
+            return None
+        head, gap, _ = head.partition(b"\r\n\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
+        if not gap or not head.startswith(b"WARC/1.") or b"warc-type" not in fields or not fields.get(b"content-length", b"").isdigit():
+            return None
+        return len(head) + 4 + int(fields[b"content-length"]) + 4
+
     def _is_record(self, offset: int) -> bool:
-        """Whether a gzip member at ``offset`` decodes to the head of a record."""
-        z = zlib.decompressobj(31)
+        """Whether a gzip member at ``offset`` decodes to the whole head of a record."""
+        return self._head(offset) is not None
+
+    def _end(self, offset: int) -> int | None:
+        """Where the record at ``offset`` ends, if it is as long as its head says."""
+        expected = self._head(offset)
+        if expected is None:
+            return None
+        z, size, at = zlib.decompressobj(31), 0, offset
         try:
-            return z.decompress(self._at(offset, 4096), 64).startswith(b"WARC/1.")
+            while not z.eof:
+                piece = self._at(at, 1 << 14)
+                if not piece:
+                    return None
+                size += len(z.decompress(piece))
+                at += len(piece)
         except zlib.error:
-            return False
+            return None
+        return at - len(z.unused_data) if size == expected else None
+
+    def _opens(self, offset: int) -> bool:
+        """Whether whole records follow each other from ``offset`` to the range's end, and a member or the file's end there.
+        A damaged member among them is for the reader to report."""
+        at = offset
+        while at < self.end:
+            end = self._end(at)
+            if end is None:
+                return at != offset and self._at(at, len(_MAGIC)) == _MAGIC
+            at = end
+        return at == self.size or self._at(at, len(_MAGIC)) == _MAGIC
 
     def _first(self) -> int:
-        """The first record start at or after ``start``, or ``end``: magic bytes are candidates, decoding decides."""
+        """The first record start at or after ``start``, or ``end``: magic bytes are candidates, decoding decides. A payload
+        may hold an archive's bytes, so a candidate counts only if whole records follow from it up to the range's end;
+        records inside a payload break off where it ends."""
         at = self.start
         while at < self.end:
             window = self._at(at, min(self.chunk, self.end - at) + len(_MAGIC) - 1)
             hit = window.find(_MAGIC)
             while hit >= 0:
-                if at + hit < self.end and self._is_record(at + hit):
+                if at + hit < self.end and (at + hit == 0 or self._opens(at + hit)):
                     return at + hit
                 hit = window.find(_MAGIC, hit + 1)
             at += self.chunk
@@ -168,7 +215,7 @@ class MemberReader:
                 offset += len(piece)
             yield at, b"".join(parts)
             at = offset - len(z.unused_data)
-            if at < self.end and not self._is_record(at):  # padding or a foreign member: look for the next record
+            if at < self.end and not self._is_record(at):  # a damaged or foreign member: look for the next record
                 self.start = at + 1
                 at = self._first()
 
@@ -177,8 +224,9 @@ def read_warc(spark: SparkSession, files: DataFrame, folder: str, split_bytes: i
     """Records of ``files`` (file, bytes): (file, offset, record_type, record_id, refers_to, uri, digest, payload, payload_bytes).
 
     Every file is cut into ranges of ``split_bytes``; a task looks for gzip magic from its range's start, takes a
-    candidate for a record only if the member there decodes to a WARC head, and owns the records that start inside its
-    range, reading past its end where a record does. So no index is needed and a large archive is read by many tasks.
+    candidate for a record only if the member there decodes to a whole WARC record and such records follow each other up
+    to the range's end (an archive inside a stored payload breaks off before, unless it is longer than a range), and
+    owns the records that start inside its range, reading past its end where a record does. So no index is needed and a large archive is read by many tasks.
     A response's digest is computed from its payload and checked against the head; a damaged member raises ValueError.
     """
     small_batches(spark)

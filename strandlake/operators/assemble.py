@@ -14,11 +14,18 @@ def reach(families: DataFrame) -> DataFrame:
 
 
 def thinned(instances: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every n-th instance of families with more than ``most``, n the whole quotient."""
-    order = W.partitionBy("family_id").orderBy("seq_index", "start", "instance_idx")
-    n = F.count(F.lit(1)).over(W.partitionBy("family_id"))
-    numbered = instances.select("*", (F.row_number().over(order) - 1).alias("_i"), F.greatest(F.lit(1), F.floor(n / most)).alias("_step"))
-    return numbered.where((F.col("_i") % F.col("_step") == 0) & (F.col("_i") / F.col("_step") < most)).drop("_i", "_step")
+    """Every n-th instance of families with more than ``most``, n the whole quotient. Instances are numbered within
+    stretches of a million bases and offset by the stretches' counts, so no family is ordered in one task."""
+    cells = instances.withColumn("_cell", F.floor(F.col("start") / (1 << 20)))
+    sizes = cells.groupBy("family_id", "seq_index", "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    whole = W.partitionBy("family_id")
+    before = F.sum("_c").over(whole.orderBy("seq_index", "_cell").rowsBetween(W.unboundedPreceding, -1))
+    step = F.greatest(F.lit(1), F.floor(F.sum("_c").over(whole) / most))
+    placed = sizes.select("family_id", "seq_index", "_cell", F.coalesce(before, F.lit(0)).alias("_before"), step.alias("_step"))
+    within = F.row_number().over(W.partitionBy("family_id", "seq_index", "_cell").orderBy("start", "instance_idx")) - 1
+    numbered = cells.withColumn("_w", within).join(placed, ["family_id", "seq_index", "_cell"]).withColumn("_i", F.col("_before") + F.col("_w"))
+    kept = numbered.where((F.col("_i") % F.col("_step") == 0) & (F.col("_i") / F.col("_step") < most))
+    return kept.select(*instances.columns)
 
 
 def neighbours(instances: DataFrame, distance: int) -> DataFrame:
@@ -67,24 +74,30 @@ def joinable(pairs: DataFrame, families: DataFrame, counts: DataFrame) -> DataFr
     ).select("a", "b", "total", "same_direction", "a_in_b", "b_in_a")
 
 
-def upper_median(values):
-    """The upper of the middle values."""
-    s = F.sort_array(values)
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_median(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """(keys, n, median): the upper of the middle values of ``counts`` (keys, value, its number of times)."""
+    order = W.partitionBy(*keys).orderBy(value)
+    up_to = F.sum(weight).over(order.rowsBetween(W.unboundedPreceding, 0))
+    n = F.sum(weight).over(W.partitionBy(*keys))
+    reached = counts.select(*keys, value, n.alias("n"), up_to.alias("_up")).where(F.col("_up") > F.floor(F.col("n") / 2))
+    return reached.groupBy(*keys, "n").agg(F.min(value).alias("median"))
 
 
 def gap_statistics(instances: DataFrame, distance: int) -> DataFrame:
     """(a, b, gaps, median_gap, mad, steady): distances from the earlier end to the later start of neighbours in one
     direction, within -500..``distance``; at least 3; steady if the deviation is at most 100 and the median lies within
-    -20..500 and no further than two deviations allow."""
+    -20..500 and no further than two deviations allow. Medians come from the numbers of each distance, ``distance`` + 501
+    rows a pair at most, however often a pair meets."""
     p = neighbours(instances, distance).where("a_strand = b_strand")
     gap = F.col("b_start") - F.col("a_end")
     g = p.select(F.least("a_family_id", "b_family_id").alias("a"), F.greatest("a_family_id", "b_family_id").alias("b"), gap.alias("gap"))
-    lists = g.where((F.col("gap") >= -500) & (F.col("gap") <= distance)).groupBy("a", "b").agg(F.collect_list("gap").alias("l")).where(F.size("l") >= 3)
-    med = lists.withColumn("median_gap", upper_median(F.col("l")))
-    mad = med.withColumn("mad", upper_median(F.transform("l", lambda x: F.abs(x - F.col("median_gap")))))
+    counts = g.where((F.col("gap") >= -500) & (F.col("gap") <= distance)).groupBy("a", "b", "gap").agg(F.count(F.lit(1)).alias("_c"))
+    med = upper_median(counts, ["a", "b"], "gap", "_c").where("n >= 3").withColumnRenamed("median", "median_gap")
+    off = counts.join(med, ["a", "b"]).groupBy("a", "b", F.abs(F.col("gap") - F.col("median_gap")).alias("off")).agg(F.sum("_c").alias("_c"))
+    mad = upper_median(off, ["a", "b"], "off", "_c").select("a", "b", F.col("median").alias("mad"))
+    both = med.join(mad, ["a", "b"])
     steady = (F.col("mad") <= 100) & (F.col("median_gap") >= -20) & (F.col("median_gap") <= F.least(F.col("median_gap") + 2 * F.col("mad"), F.lit(500)))
-    return mad.select("a", "b", F.size("l").alias("gaps"), "median_gap", "mad", steady.alias("steady"))
+    return both.select("a", "b", F.col("n").cast("int").alias("gaps"), "median_gap", "mad", steady.alias("steady"))
 
 
 def joined_consensus(first, second, gap):

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import seq as S
-from strandlake.operators.refine import cut_windows
+from strandlake.operators.refine import Pieces, cut_windows
 
 
-def end_flanks(families: DataFrame, instances: DataFrame, pieces: DataFrame, longest: int = 100, tolerance: int = 5, most: int = 30) -> DataFrame:
+def end_flanks(families: DataFrame, instances: DataFrame, pieces: Pieces, longest: int = 100, tolerance: int = 5, most: int = 30) -> DataFrame:
     """(family_id, side, flank): bases beyond each end of the consensus, read away from it, of the first ``most``
     instances whose alignment comes within ``tolerance`` bases of that end. side is 5 or 3."""
     i = instances.join(families.select("family_id", "consensus_length"), "family_id")
@@ -24,7 +24,7 @@ def end_flanks(families: DataFrame, instances: DataFrame, pieces: DataFrame, lon
     order = W.partitionBy("family_id", "side").orderBy("instance_idx")
     first = three.unionAll(five).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r", "instance_idx")
     lo = F.when(F.col("up"), F.col("edge")).otherwise(F.col("edge") - longest)
-    cuts = cut_windows(first, pieces, lo, F.when(F.col("up"), F.col("edge") + longest).otherwise(F.col("edge")))
+    cuts = cut_windows(first, pieces.reaching(longest), lo, F.when(F.col("up"), F.col("edge") + longest).otherwise(F.col("edge")))
     return cuts.select("family_id", "side", F.when(F.col("up"), F.col("window")).otherwise(S.reverse_complement("window")).alias("flank"))
 
 

@@ -29,11 +29,15 @@ class ChunkIndex:
             return
         fwd, rc, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
         for i in range(l):
-            c = codes[i : i + n].astype(np.int64)
+            c = codes[i : i + n]
             bad |= c > 3
-            fwd = fwd * 4 + np.minimum(c, 3)
-            rc += (3 - np.minimum(c, 3)) << (2 * i)
-        canon, rev = np.minimum(fwd, rc), fwd > rc
+            c = np.minimum(c, 3)
+            fwd *= 4
+            fwd += c
+            rc += (3 - c).astype(np.int64) << (2 * i)
+        rev = fwd > rc
+        canon = np.minimum(fwd, rc, out=fwd)
+        del rc
         pos = np.flatnonzero(~bad)
         pos = pos[self._informative(canon[pos], p)]
         order = np.lexsort((pos, rev[pos], canon[pos]))
@@ -64,6 +68,18 @@ class ChunkIndex:
         return slice(self.starts[i], self.ends[i]) if i < len(self.keys) and self.keys[i] == key else slice(0, 0)
 
 
+def pack(lmer: str) -> int:
+    """The number of an l-mer or of its reverse complement, whichever is less."""
+    codes = K.encode(lmer).astype(int)
+    numbers = []
+    for c in (codes, (3 - codes)[::-1]):
+        n = 0
+        for x in c.tolist():
+            n = n * 4 + x
+        numbers.append(n)
+    return min(numbers)
+
+
 def discover_chunk(records: list[tuple[int, int, str]], p: DiscoverParams) -> list[dict]:
     """Families of one chunk; ``records`` are (seq_index, offset in the record, sequence).
 
@@ -84,7 +100,11 @@ def discover_chunk(records: list[tuple[int, int, str]], p: DiscoverParams) -> li
     l = p.l or min(31, max(8, math.ceil(1 + math.log(bases, 4))))  # noqa: E741
     index = ChunkIndex(codes, l, p)
     masked = np.zeros(len(codes) + 1, bool)
-    heap = [(-int(e - s), int(k)) for k, s, e in zip(index.keys, index.starts, index.ends, strict=True) if e - s >= p.min_threshold]
+    allowed = None if p.seeds is None else {pack(x) for x in p.seeds if len(x) == l}
+    heap = [
+        (-int(e - s), int(k)) for k, s, e in zip(index.keys, index.starts, index.ends, strict=True)
+        if e - s >= p.min_threshold and (allowed is None or int(k) in allowed)
+    ]
     heapq.heapify(heap)
     out: list[dict] = []
     while heap and len(out) < p.max_families:

@@ -7,15 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def interval_union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Maximal merged intervals per ``keys``; touching intervals merge, empty or inverted ones are ignored."""
-    order = W.partitionBy(*keys).orderBy(start, end)
-    seen = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = df.where(F.col(end) > F.col(start)).select(
-        *keys, start, end, F.when(seen.isNull() | (F.col(start) > seen), 1).otherwise(0).alias("_new")
+def binned_islands(df: DataFrame, keys: list[str], width: int, touching: bool, start: str = "start", end: str = "end") -> DataFrame:
+    """``df`` with each interval cut at multiples of ``width`` (_bin, _from, _to) and the number _island of the merged
+    interval that the piece belongs to within its bin. So no task sorts a whole record. With ``touching`` pieces that
+    touch are one island, else only those that overlap."""
+    rows = df.where(F.col(end) > F.col(start)).withColumn(
+        "_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
     )
-    island = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    rows = rows.withColumn("_from", F.greatest(F.col(start).cast("long"), F.col("_bin") * width)).withColumn(
+        "_to", F.least(F.col(end).cast("long"), (F.col("_bin") + 1) * width)
+    )
+    order = W.partitionBy(*keys, "_bin").orderBy("_from", "_to")
+    seen = F.max("_to").over(order.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.col("_from") > seen if touching else F.col("_from") >= seen
+    marked = rows.withColumn("_new", F.when(seen.isNull() | apart, 1).otherwise(0))
+    return marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def interval_union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1 << 20) -> DataFrame:
+    """Maximal merged intervals per ``keys``; touching intervals merge, empty or inverted ones are ignored.
+
+    Intervals are merged within bins of ``width`` bases; then only those that reach a bin's end, two a bin at most, are
+    put in order per record and joined across bins.
+    """
+    types = dict(df.dtypes)
+    pieces = binned_islands(df.select(*keys, start, end), keys, width, True, start, end)
+    merged = pieces.groupBy(*keys, "_bin", "_island").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    reaches = (F.col("_from") == F.col("_bin") * width) | (F.col("_to") == (F.col("_bin") + 1) * width)
+    inner = merged.where(~reaches).select(*keys, "_from", "_to")
+    order = W.partitionBy(*keys).orderBy("_from")
+    fresh = F.when(F.lag("_to").over(order) == F.col("_from"), 0).otherwise(1)
+    chain = merged.where(reaches).select(*keys, "_from", "_to", fresh.alias("_new"))
+    chain = chain.withColumn("_chain", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    across = chain.groupBy(*keys, "_chain").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to")).select(*keys, "_from", "_to")
+    both = inner.unionByName(across)
+    return both.select(*keys, F.col("_from").cast(types[start]).alias(start), F.col("_to").cast(types[end]).alias(end))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, touching: int = 0) -> DataFrame:
@@ -72,11 +98,12 @@ def intersection_length(left: DataFrame, right: DataFrame, keys: list[str], widt
 def to_records(positions: DataFrame, records: DataFrame, position: str = "position") -> DataFrame:
     """Positions on the concatenation of all records -> record and local position (as-of join).
 
-    ``records`` has (seq_index, raw_start, length). Starts and positions are ordered together in coordinate ranges, so
-    each range carries only the last start before it.
+    ``records`` has (seq_index, raw_start, length). The line is cut into bins, as many as there are records (256 at least,
+    a million at most), and each record is listed in the bins it meets: one a record and one a bin together, so a
+    position meets a few records however many there are.
     """
-    span = records.agg(F.max(F.col("raw_start") + F.col("length"))).first()[0] or 1
-    width = max(1, span // 256)
+    span, count = records.agg(F.max(F.col("raw_start") + F.col("length")), F.count(F.lit(1))).first()
+    width = max(1, (span or 1) // min(1_000_000, max(256, count)))
     starts = records.select(F.col("raw_start").alias("_at"), "seq_index", "length")
     bins = starts.withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col("_at") / width), F.floor((F.col("_at") + F.greatest("length", F.lit(1)) - 1) / width)))

@@ -99,6 +99,40 @@ def extend(read, n: int, start: np.ndarray, best: np.ndarray, total: float, s: S
     return np.array(grown[:keep], np.uint8), kept_band, kept_best, total
 
 
+def extend_flank(read, n: int, longest: int, s: Scores) -> tuple[np.ndarray, bool]:
+    """Grow a consensus past an end that ``n`` copies reach; the codes, and whether ``longest`` alone ended the growth.
+
+    Each column takes the base to which the copies together contribute most. Growth stops where fewer than 2 copies
+    follow (3 beyond 1,000 columns, 5 beyond 5,000), where fewer than half of them support the column, or after a quiet
+    stretch, and is cut back to the column of the best total.
+    """
+    offsets = np.arange(-s.band, s.band + 1)
+    prev = np.tile(np.abs(offsets) * s.gap, (n, 1)).astype(np.int64)
+    best = np.zeros(n, np.int64)
+    grown: list[int] = []
+    total = keep = 0
+    for column in range(longest):
+        window = read(column)
+        floor = np.maximum(0, best + s.cap)
+        options = [_column(prev, window, a, s) for a in range(4)]
+        tops = [np.maximum(floor, o.max(1)) for o in options]
+        a = int(np.argmax([int(t.sum()) for t in tops]))
+        prev, top = options[a], tops[a]
+        grown.append(a)
+        active = int((top > 0).sum())
+        if active < 2 + (column > 1000) + 2 * (column > 5000):
+            return np.array(grown[:keep], np.uint8), False
+        best = np.maximum(best, top)
+        support = prev.max(1) >= np.maximum(0, best + s.cap) + s.match
+        if 2 * int(support.sum()) < n:
+            return np.array(grown[:keep], np.uint8), False
+        if int(top.sum()) > total:
+            total, keep = int(top.sum()), column + 1
+        if column + 1 - keep >= max(s.quiet, keep // 10):
+            return np.array(grown[:keep], np.uint8), False
+    return np.array(grown[:keep], np.uint8), True
+
+
 def extend_seed(codes: np.ndarray, pos: np.ndarray, strand: np.ndarray, l: int, s: Scores) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
     """Left and right consensus codes around a seed of length ``l`` at ``pos`` on ``strand`` of one chunk's codes."""
     n, m = len(pos), s.band

@@ -16,14 +16,18 @@ def profiles(seqs: DataFrame, k: int = 8) -> DataFrame:
     return rows.where(~F.col("gram").contains("N"))
 
 
-def jaccard_pairs(seqs: DataFrame, k: int = 8, least: float = 0.15) -> DataFrame:
-    """(a, b, shared, jaccard) of pairs a < b that share a k-mer and reach ``least``, by an inverted index."""
+def jaccard_pairs(seqs: DataFrame, k: int = 8, least: float = 0.15, ratio: float = 0.0) -> DataFrame:
+    """(a, b, shared, jaccard) of pairs a < b that share a k-mer and reach ``least``, by an inverted index. Pairs whose
+    profiles differ so much in size that they can't reach it, or whose lengths' ratio is below ``ratio``, are not formed.
+    """
+    sized = seqs.select("id", F.length("seq").alias("_l"))
     p = profiles(seqs, k)
-    sizes = p.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    x, y = p.withColumnRenamed("id", "a"), p.withColumnRenamed("id", "b")
-    shared = x.join(y, "gram").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    na, nb = sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    both = shared.join(na, "a").join(nb, "b")
+    sizes = p.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(sized, "id")
+    own = p.join(sizes, "id")
+    x = own.select("gram", F.col("id").alias("a"), F.col("n").alias("na"), F.col("_l").alias("_la"))
+    y = own.select("gram", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("_l").alias("_lb"))
+    near = (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (F.least("_la", "_lb") >= ratio * F.greatest("_la", "_lb"))
+    both = x.join(y, "gram").where((F.col("a") < F.col("b")) & near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
     j = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     return both.select("a", "b", "shared", j.alias("jaccard")).where(F.col("jaccard") >= least)
 

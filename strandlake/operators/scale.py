@@ -39,7 +39,8 @@ def pack_segments(segments: list[tuple[int, int]], chunk: int) -> dict[int, int]
 def sample_tiles(lengths: DataFrame, window: int, tiles: int, seed: int = 42) -> DataFrame:
     """``tiles`` full windows drawn by a seeded hash (the same for any partitioning), none if no record holds one."""
     full = lengths.where(F.col("length") >= window).select("seq_index", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / window) - 1)).alias("tile"))
-    return full.orderBy(F.xxhash64("seq_index", "tile", F.lit(seed)), "seq_index", "tile").limit(tiles).select(
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq_index").cast("string"), F.col("tile").cast("string")))
+    return full.orderBy(drawn, "seq_index", "tile").limit(tiles).select(
         "seq_index", "tile", (F.col("tile") * window).alias("start"), ((F.col("tile") + 1) * window).alias("end")
     )
 
@@ -56,3 +57,21 @@ def segment_sequences(seqs: DataFrame, segments: DataFrame) -> DataFrame:
     """(segment_id, seq) cut out of their records."""
     joined = seqs.join(segments, "seq_index")
     return joined.select("segment_id", F.substring("seq", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("seq"))
+
+
+def sampled_sequences(seqs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(seq_index, seq) of sampled windows (seq_index, tile, start, end), each as a record of its own, numbered by
+    ``sample_number``."""
+    rows = tiles.select(sample_number().alias("segment_id"), "seq_index", "start", "end")
+    return segment_sequences(seqs, rows).select(F.col("segment_id").alias("seq_index"), "seq")
+
+
+def sample_number():
+    """A window's number as a record: its record's and its own, which are below 2^31 each."""
+    return (F.col("seq_index").cast("long") * (1 << 31) + F.col("tile")).cast("long")
+
+
+def from_samples(instances: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Instances found in sampled windows, in coordinates of the records that the windows are from."""
+    segments = tiles.select(sample_number().alias("segment_id"), F.col("seq_index").cast("long").alias("seq_index"), F.col("start").alias("raw_start"))
+    return from_segments(instances.withColumnRenamed("seq_index", "segment_id"), segments).select(instances.columns)

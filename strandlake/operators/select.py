@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import mdl
 from strandlake.operators.graph import connected_components
-from strandlake.operators.intervals import interval_union, overlap_join
+from strandlake.operators.intervals import binned_islands, interval_union, overlap_join
 
 
 def family_scores(instances: DataFrame, families: DataFrame, mode: str = "exact") -> DataFrame:
@@ -83,13 +84,11 @@ def overlap_groups(instances: DataFrame, eligible: DataFrame, width: int = 200)
     The graph comes from merged islands, not from pairs: families of one island are joined to its least member, which
     keeps edges linear in the instances however many families meet at one place.
     """
-    own = instances.join(eligible.select("family_id"), "family_id", "left_semi")
-    order = W.partitionBy("seq_index").orderBy("start", "end")
-    seen = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = own.where("end > start").select("family_id", "seq_index", "start", "end", F.when(seen.isNull() | (F.col("start") >= seen), 1).otherwise(0).alias("_n"))
-    island = marked.select("family_id", "seq_index", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("_i"))
-    least = island.groupBy("seq_index", "_i").agg(F.min("family_id").alias("a"))
-    edges = island.join(least, ["seq_index", "_i"]).select("a", F.col("family_id").alias("b")).distinct()
+    own = instances.join(eligible.select("family_id"), "family_id", "left_semi").select("family_id", "seq_index", "start", "end")
+    # an interval that crosses a bin's end is in islands of both bins, which its family joins
+    island = binned_islands(own, ["seq_index"], 1 << 20, False).select("family_id", "seq_index", "_bin", "_island")
+    least = island.groupBy("seq_index", "_bin", "_island").agg(F.min("family_id").alias("a"))
+    edges = island.join(least, ["seq_index", "_bin", "_island"]).select("a", F.col("family_id").alias("b")).distinct()
     parts = connected_components(edges)
     return eligible.select("family_id").join(parts, F.col("family_id") == F.col("node"), "left").select(
         "family_id", F.coalesce("component", "family_id").alias("component")
@@ -232,38 +231,45 @@ def coalesce_tandem(instances: DataFrame, families: DataFrame, factor: float = 2
     """(family_id, seq_index, strand, start, end, num_edits, merged): neighbours of one family and strand joined where the
     gap from the active interval's end is ``slack`` .. max(floor, factor * consensus length).
 
-    An ordered fold, because a larger overlap starts a new active interval: rows of a record are folded in order of
-    start, and a change of strand breaks the run. A merged neighbour that ends later extends the active one and adds its
-    edits and the gap; one inside it is dropped.
+    An ordered fold, because a larger overlap starts a new active interval: rows of a family and record are put in order
+    of start, and a change of strand breaks the run. A merged neighbour that ends later extends the active one and adds
+    its edits and the gap; one inside it is dropped. A task streams its sorted rows and holds one active interval.
     """
-    rows = instances.join(families.select("family_id", "consensus_length"), "family_id")
-    limit = F.greatest(F.lit(floor), F.floor(F.lit(factor) * F.first("consensus_length"))).cast("long").alias("limit")
-    item = F.struct("start", "end", "strand", "instance_idx", "num_edits")
-    lists = rows.groupBy("family_id", "seq_index").agg(F.array_sort(F.collect_list(item)).alias("l"), limit)
-    kind = "struct<start: bigint, end: bigint, strand: int, num_edits: bigint, merged: bigint>"
-
-    def fresh(x):
-        return F.struct(
-            x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["strand"].cast("int").alias("strand"),
-            x["num_edits"].cast("long").alias("num_edits"), F.lit(1).cast("long").alias("merged"),
-        )
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        gap = x["start"] - last["end"]
-        joins = (F.size(acc) > 0) & (last["strand"] == x["strand"]) & (gap >= slack) & (gap <= F.col("limit"))
-        later = x["end"] > last["end"]
-        grown = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], x["end"]).cast("long").alias("end"), last["strand"].alias("strand"),
-            (last["num_edits"] + F.when(later, x["num_edits"] + F.greatest(gap, F.lit(0))).otherwise(F.lit(0))).cast("long").alias("num_edits"),
-            (last["merged"] + 1).alias("merged"),
-        )
-        return F.when(F.size(acc) == 0, F.array(fresh(x))).when(
-            joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))
-        ).otherwise(F.concat(acc, F.array(fresh(x))))
-
-    folded = F.aggregate("l", F.array().cast(f"array<{kind}>"), step)
-    return lists.select("family_id", "seq_index", F.inline(folded))
+    limit = F.greatest(F.lit(floor), F.floor(F.lit(factor) * F.col("consensus_length"))).cast("long")
+    rows = instances.join(families.select("family_id", "consensus_length"), "family_id").select(
+        "family_id", "seq_index", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("strand").cast("int").alias("strand"),
+        F.col("num_edits").cast("long").alias("num_edits"), limit.alias("limit"), "instance_idx",
+    )
+    keys = ["family_id", "seq_index"]
+    kinds = dict(rows.dtypes)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "start", "end", "strand", "instance_idx", "num_edits").drop("instance_idx")
+    names = [*keys, "strand", "start", "end", "num_edits", "merged"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active: list | None = None  # family, record, strand, start, end, edits, merged
+        for b in batches:
+            done: list[list] = []
+            for fam, rec, start, end, strand, edits, most in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if active is not None and active[0] == fam and active[1] == rec and active[2] == strand and slack <= start - active[4] <= most:
+                    if end > active[4]:
+                        active[5] += edits + max(start - active[4], 0)
+                        active[4] = end
+                    active[6] += 1
+                else:
+                    if active is not None:
+                        done.append(active)
+                    active = [fam, rec, strand, start, end, edits, 1]
+            if done:
+                yield emit(done)
+        if active is not None:
+            yield emit([active])
+
+    def emit(rows: list[list]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32() if kinds["seq_index"] == "int" else pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    schema = f"family_id long, seq_index {kinds['seq_index']}, strand int, start long, end long, num_edits long, merged long"
+    return ordered.mapInArrow(run, schema).select(*keys, "start", "end", "strand", "num_edits", "merged")
 
 
 def drop_chimeras(selected: DataFrame, least: int = 8000, divergence: float = 0.40) -> DataFrame:

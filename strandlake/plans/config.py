@@ -22,6 +22,8 @@ class DiscoverParams:
     good_length: int = 30
     min_threshold: int = 2
     tandem: int = 500
+    seeds: frozenset[str] | None = None  # if given, the only l-mers that may be seeds
+    max_seeds: int = 5_000_000  # of those, so many at most are read
 
     def __post_init__(self) -> None:
         _check(self.l is None or 4 <= self.l <= 31, "l is 4..31")
@@ -38,6 +40,7 @@ class RefineParams:
     max_seed_hits: int = 50_000
     max_dp_cells: int = 10_000_000
     rounds: int = 10
+    recruit_short: bool = False
 
     def __post_init__(self) -> None:
         _check(0 <= self.max_divergence <= 1, "max_divergence is 0..1")
@@ -51,8 +54,9 @@ class RefineParams:
 class LibraryParams:
     mode: str = "exact"
     coalesce_factor: float = 20.0
-    chunk: int = 200_000_000
+    chunk: int = 20_000_000  # a discovery task holds some 70 bytes for each base of its chunk
     overlap: int = 10_000
+    most_neighbours: int = 4_000_000_000  # neighbouring instances beyond which fragments are not assembled
 
     def __post_init__(self) -> None:
         _check(self.mode in ("none", "exact", "upper"), "mode is none, exact or upper")
@@ -60,8 +64,38 @@ class LibraryParams:
         _check(self.chunk >= 1000, "chunk is at least 1000 bases")
 
 
+@dataclass(frozen=True)
+class RescueParams:
+    """The second discovery pass: shorter seeds over what the first pass leaves uncovered (or everywhere)."""
+
+    l_delta: int = 1
+    max_families: int = 2000
+    least_gap: int = 200
+    flank: int = 10_000
+    full: bool = False
+
+    def __post_init__(self) -> None:
+        _check(0 <= self.l_delta <= 8, "l_delta is 0..8")
+        _check(self.max_families >= 1, "max_families is positive")
+        _check(self.least_gap >= 1 and self.flank >= 0, "least_gap is positive, flank 0 or more")
+
+
+@dataclass(frozen=True)
+class SampleParams:
+    """Discovery in a sample of whole windows of genomes beyond ``size`` bases."""
+
+    size: int = 1_000_000_000
+    window: int = 1_000_000
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        _check(self.size >= self.window >= 1, "size is at least a window, which is positive")
+
+
 @dataclass(frozen=True)
 class Params:
     discover: DiscoverParams = field(default_factory=DiscoverParams)
     refine: RefineParams = field(default_factory=RefineParams)
     library: LibraryParams = field(default_factory=LibraryParams)
+    rescue: RescueParams | None = None
+    sample: SampleParams | None = None

@@ -16,10 +16,11 @@ from strandlake.storage import cut
 
 def recall_rescue(
     seqs: DataFrame, families: DataFrame, instances: DataFrame, l: int, p: DiscoverParams, l_delta: int = 1, max_families: int = 2000,  # noqa: E741
-    least_gap: int = 200, flank: int = 10_000, full: bool = False,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(families, instances, evidence): new families of shorter seeds found in uncovered segments (or everywhere with
-    ``full``), without those that repeat a known family; they are flagged and numbered on."""
+    least_gap: int = 200, flank: int = 10_000, full: bool = False, chunk: int = 20_000_000,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(families, instances, evidence, segments): new families of shorter seeds found in uncovered segments (or
+    everywhere with ``full``), without those that repeat a known family; they are flagged and numbered on. Segments are
+    dealt by a hash to as many tasks as they fill at ``chunk`` bases."""
     if not 0 <= l_delta <= 8 or max_families < 1 or least_gap < 1:
         raise ValueError("l_delta is 0..8, max_families and least_gap are positive")
     lengths = seqs.select("seq_index", F.length("seq").cast("long").alias("length"))
@@ -27,9 +28,11 @@ def recall_rescue(
         segments = lengths.select("seq_index", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
     else:
         segments = interval_gaps(instances, lengths, ["seq_index"], least_gap, flank)
+    segments = cut(segments, "rescue-segments")
+    bins = max(1, -(-(segments.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0) // chunk))
     joined = segments.join(seqs.select("seq_index", "seq"), "seq_index")
     piece = F.substring("seq", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
-    tiles = joined.select(F.pmod(F.xxhash64("seq_index"), F.lit(64)).alias("chunk"), "seq_index", F.col("start").cast("long").alias("start"), piece.alias("seq"))
+    tiles = joined.select(F.pmod(F.xxhash64("seq_index", "start"), F.lit(bins)).alias("chunk"), "seq_index", F.col("start").cast("long").alias("start"), piece.alias("seq"))
     found, raw = discover_families(tiles, replace(p, l=max(8, l - l_delta), max_families=max_families))
     found = cut(found, "rescue-found")
     inst = cut(raw.withColumn("instance_idx", F.monotonically_increasing_id()), "rescue-inst")
@@ -45,4 +48,4 @@ def recall_rescue(
     merged = rescue.append_rescued(known.select("family_id", "consensus", "consensus_length", "discovery_flags"), new)
     moved = inst.join(new.select("family_id"), "family_id", "left_semi").withColumn("family_id", F.col("family_id") + top)
     cols = ["family_id", "instance_idx", "seq_index", "start", "end", "num_edits", "divergence", "strand"]
-    return merged, instances.select(cols).unionByName(moved.select(cols)), evidence
+    return merged, instances.select(cols).unionByName(moved.select(cols)), evidence, segments

@@ -374,7 +374,10 @@ def coordinate_remap(spark, d):
     return intervals.to_records(p, records).select("id", "position", "seq_index", "local")
 
 
-@_query()
+@_query(
+    f"""WITH {_RECORDS} SELECT seq_index, tile, tile * 100 AS "start", tile * 100 + 100 AS "end" FROM rec, unnest(range(0, length // 100)) AS r(tile)
+    WHERE length >= 100 ORDER BY md5(concat_ws(':', '42', seq_index, tile)), seq_index, tile LIMIT 64"""
+)
 def tile_sample(spark, d):
     return scale.sample_tiles(_records(spark, d).select("seq_index", "length"), 100, 64)
 
@@ -388,7 +391,14 @@ def segment_split(spark, d):
     return scale.split_records(_records(spark, d).select("seq_index", "length"), 1000, 100)
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_RECORDS}, s AS (SELECT seq_index, length, row_number() OVER (ORDER BY length DESC, seq_index) AS i FROM rec),
+    n AS (SELECT least(count(*), greatest(2, ceil(sum(length) / 20000.0)))::BIGINT AS n FROM rec),
+    r(i, loads, segment, bin) AS (SELECT 0::BIGINT, [0::BIGINT FOR x IN range(n)], NULL::BIGINT, NULL::INT FROM n UNION ALL
+      SELECT s.i, [CASE WHEN j = p THEN loads[j] + s.length ELSE loads[j] END FOR j IN range(1, len(loads) + 1)]::BIGINT[], s.seq_index::BIGINT, (p - 1)::INT
+      FROM (SELECT *, list_position(loads, list_min(loads)) AS p FROM r) q JOIN s ON s.i = q.i + 1)
+    SELECT segment, bin FROM r WHERE i > 0"""
+)
 def lpt_bins(spark, d):
     rows = [(r["s"], r["n"]) for r in _records(spark, d).select(F.col("seq_index").alias("s"), F.col("length").alias("n")).collect()]
     bins = scale.pack_segments(rows, 20_000)

@@ -91,6 +91,27 @@ def test_warc_round_trip_over_small_splits(spark, tmp_path):
     assert payload_digest(b"") == base64.b32encode(hashlib.sha1(b"").digest()).decode()
 
 
+def test_archives_inside_payloads_are_no_records(spark, tmp_path):
+    import zlib as z
+
+    from strandlake.llm.warc import read_warc, record
+
+    def member(raw, level):
+        c = z.compressobj(level, z.DEFLATED, 31)
+        return c.compress(raw) + c.flush()
+
+    inner = member(record(7, "http://inner", b"inside"), 6)
+    inner += member(record(8, "http://inner", b"inside too"), 6)
+    outer = [member(record(i, "http://outer", (b"x" * 400 + inner + b"y" * 400) if i == 1 else b"plain %d" % i), 0) for i in range(4)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(outer))
+    size = sum(map(len, outer))
+    files = table(spark, [("a.warc.gz", size)], "file string, bytes long")
+    for split in (len(inner) + 50, 700, size):
+        got = read_warc(spark, files, f"file://{tmp_path}", split_bytes=split).collect()
+        assert sorted(r.record_id[-1] for r in got if r.uri == "http://outer") == ["0", "1", "2", "3"], split
+        assert not [r for r in got if r.uri == "http://inner"]
+
+
 def test_warc_small_payloads_are_never_revisits(spark, tmp_path):
     from strandlake.llm.warc import read_warc, write_warc
 

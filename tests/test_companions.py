@@ -9,7 +9,7 @@ from genomes import mutate, planted, random_seq
 
 from strandlake import cli
 from strandlake.operators import boundary, merge, rescue
-from strandlake.operators.refine import tiles
+from strandlake.operators.refine import Pieces
 from strandlake.plans.config import DiscoverParams, Params
 from strandlake.plans.rescue import recall_rescue
 from strandlake.sources import audit
@@ -40,7 +40,7 @@ def test_boundary_growth(spark):
     genome += random_seq(rng, 300)
     fams = spark.createDataFrame([(0, unit[30:230], 200)], "family_id long, consensus string, consensus_length int")
     inst = spark.createDataFrame(rows, "family_id long, instance_idx long, seq_index long, start long, end long, cons_start int, cons_end int, strand int")
-    pieces = tiles(spark.createDataFrame([(0, genome)], "seq_index long, seq string"))
+    pieces = Pieces(spark.createDataFrame([(0, genome)], "seq_index long, seq string"))
     flanks = boundary.end_flanks(fams, inst, pieces)
     got = boundary.extend_boundaries(fams, flanks).first()
     assert unit in got.consensus and 30 <= got.ext5 <= 45 and 30 <= got.ext3 <= 45
@@ -54,12 +54,13 @@ def test_rescue_finds_what_is_uncovered(spark):
     known = [t for t in truth if t[2] == 0]
     fams = spark.createDataFrame([(0, units[0], 200)], "family_id long, consensus string, consensus_length int")
     inst = spark.createDataFrame([(0, i, 0, s, e, 0, 0.0, 1) for i, (s, e, _) in enumerate(known)], "family_id long, instance_idx long, seq_index long, start long, end long, num_edits int, divergence double, strand int")
-    merged, moved, evidence = recall_rescue(seqs, fams, inst, 12, DiscoverParams(), flank=20)
+    merged, moved, evidence, segments = recall_rescue(seqs, fams, inst, 12, DiscoverParams(), flank=20)
     rows = merged.collect()
     assert any(r.discovery_flags == 256 and units[1] in r.consensus for r in rows) or any(r.discovery_flags == 256 for r in rows)
     assert {r.family_id for r in moved.select("family_id").distinct().collect()} == {r.family_id for r in rows}
-    log = audit.rescue_audit(spark.createDataFrame([(0, 5, 9)], "seq_index long, start long, end long"), evidence)
-    assert log.where("record_type = 'target_segment'").count() == 1
+    log = audit.rescue_audit(segments, evidence, merged, moved)
+    assert len(log.columns) == 15 and log.where("record_type = 'target_segment'").count() == segments.count() > 0
+    assert log.where("decision = 'append'").count() == merged.where("discovery_flags = 256").count()
     with pytest.raises(ValueError):
         recall_rescue(seqs, fams, inst, 12, DiscoverParams(), l_delta=9)
     pairs = spark.createDataFrame([(1, 2, 0.9, 0.9, 0.9), (3, 2, 0.9, 0.1, 0.9)], "query_id long, target_id long, ratio double, identity double, fraction double")
