@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.hot_keys import join_hot
 from strandlake.storage import cut
 
 
@@ -12,10 +13,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component): component is the least node reachable. Nodes are the edges' ends; any orderable type.
 
     Alternates large-star and small-star steps until the edge table is a set of stars. Each step keeps only a
-    least neighbour per node (a map-side combined minimum) and one join on the node, so a hub with very many
-    neighbours is split by skew-join handling rather than gathered in one task. Every round is written to the
-    shared folder, which cuts the lineage. Null ends, self-loops and repeated edges are allowed; an edge with a
-    null end joins nothing.
+    least neighbour per node (a map-side combined minimum) and one join on the node; edges of a hub (more than one in
+    4096 of all, so there are few) stay where they are and meet a broadcast of the hubs' minima. Both steps of every
+    round are written to the shared folder, which cuts the lineage. Null ends, self-loops and repeated edges are
+    allowed; an edge with a null end joins nothing.
     """
     x, y = F.col(a), F.col(b)
     ends = edges.where(x.isNotNull() & y.isNotNull())
@@ -25,11 +26,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        count = F.count(F.lit(1)).alias("_n")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), count)
+        met = join_hot(both, least, ["u"], "_n", 2 * e.count())
+        large = cut(met.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "cc")
         # each hi keeps its least neighbour m; its other, larger low neighbours are hung on m instead
-        small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(small_least, "hi")
+        small_least = large.groupBy("hi").agg(F.min("lo").alias("m"), count)
+        joined = join_hot(large, small_least, ["hi"], "_n", large.count())
         moved = joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         nxt = cut(moved.unionAll(small_least.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
         # a set of stars: nobody is both a leaf and a centre, and each leaf has one centre
