@@ -53,17 +53,27 @@ def windows(codes: np.ndarray, first: np.ndarray, step: np.ndarray, width: int)
     return got
 
 
-def _column(prev: np.ndarray, window: np.ndarray, base: np.ndarray, s: Scores) -> np.ndarray:
-    """Band cells after one more consensus base. prev, window: [n, 2M+1]; base: [n] or scalar."""
-    equal = window == np.asarray(base).reshape(-1, 1)
+_BASES = np.arange(4, dtype=np.uint8)[:, None, None]
+_NEVER = np.iinfo(np.int64).min // 2
+
+
+def _columns(prev: np.ndarray, window: np.ndarray, s: Scores) -> np.ndarray:
+    """[4, n, 2M+1] band cells after one more consensus base, for each base. prev, window: [n, 2M+1].
+
+    A cell comes from its own offset, from the next one by a gap, or from any lower one by a gap a step; over such a
+    jump a match counts if one of the bases passed is equal. As ``match`` is not below ``mismatch``, the best jump is a
+    running maximum: over all lower offsets with a mismatch, up to the last equal base with a match.
+    """
+    steps = np.arange(prev.shape[1]) * s.gap
+    equal = window == _BASES
     cell = prev + np.where(equal, s.match, s.mismatch)
-    cell[:, :-1] = np.maximum(cell[:, :-1], prev[:, 1:] + s.gap)
-    spanned = equal
-    for d in range(1, prev.shape[1]):
-        spanned = spanned[:, :-1] | equal[:, d:]  # any of the d + 1 bases up to this offset
-        jump = prev[:, :-d] + d * s.gap + np.where(spanned, s.match, s.mismatch)
-        cell[:, d:] = np.maximum(cell[:, d:], jump)
-    cell[window == OUTSIDE] = 0
+    np.maximum(cell[..., :-1], prev[:, 1:] + s.gap, out=cell[..., :-1])
+    reach = np.maximum.accumulate(prev - steps, axis=1)
+    matched = np.maximum.accumulate(np.where(equal, reach, _NEVER), axis=2)
+    matched = np.where(equal[..., 1:], reach[:, :-1], matched[..., :-1]) + s.match
+    jump = np.maximum(matched, reach[:, :-1] + s.mismatch) + steps[1:]
+    np.maximum(cell[..., 1:], jump, out=cell[..., 1:])
+    cell[:, window == OUTSIDE] = 0
     return cell
 
 
@@ -83,9 +93,9 @@ def extend(read, n: int, start: np.ndarray, best: np.ndarray, total: float, s: S
     last = 0
     for column in range(s.longest):
         window = read(column)
-        options = [_column(prev, window, a, s) for a in range(4)]
-        gains = [np.maximum(0, np.maximum(best + s.cap, o.max(1))) for o in options]
-        totals = [int(g.sum()) for g in gains]
+        options = _columns(prev, window, s)
+        gains = np.maximum(np.maximum(best + s.cap, 0), options.max(2))
+        totals = gains.sum(1).tolist()
         a = int(np.argmax(totals)) if max(totals) > 0 else last
         last = a
         active = int((gains[a] > best + s.cap).sum())
@@ -114,9 +124,9 @@ def extend_flank(read, n: int, longest: int, s: Scores) -> tuple[np.ndarray, boo
     for column in range(longest):
         window = read(column)
         floor = np.maximum(0, best + s.cap)
-        options = [_column(prev, window, a, s) for a in range(4)]
-        tops = [np.maximum(floor, o.max(1)) for o in options]
-        a = int(np.argmax([int(t.sum()) for t in tops]))
+        options = _columns(prev, window, s)
+        tops = np.maximum(floor, options.max(2))
+        a = int(np.argmax(tops.sum(1)))
         prev, top = options[a], tops[a]
         grown.append(a)
         active = int((top > 0).sum())

@@ -127,6 +127,21 @@ def test_flank_growth_stops_where_copies_part():
         assert full == whole and (codes[: min(690, longest - 5)] == shared[: min(690, longest - 5)]).all() and len(codes) <= min(longest, 760)
 
 
+def test_band_cells_against_their_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        band, n = int(rng.integers(0, 6)), int(rng.integers(1, 5))
+        s = kernels.Scores(band=band, gap=-int(rng.integers(0, 7)))
+        prev, window = rng.integers(-40, 40, (n, 2 * band + 1)), rng.integers(0, 6, (n, 2 * band + 1)).astype(np.uint8)
+        got = kernels._columns(prev, window, s)
+        for base in range(4):
+            for row, bases, cells in zip(prev.tolist(), window.tolist(), got[base].tolist(), strict=True):
+                for j, cell in enumerate(cells):
+                    ways = [row[i] + (j - i) * s.gap + (s.match if base in bases[i : j + 1] else s.mismatch) for i in range(j + 1)]
+                    ways += [row[j + 1] + s.gap] if j + 1 < len(row) else []
+                    assert cell == (0 if bases[j] == kernels.OUTSIDE else max(ways))
+
+
 def test_chunks_follow_the_records(spark):
     rng = random.Random(10)
     lengths = [rng.randrange(0, 3000) for _ in range(60)] + [25_000]
