@@ -200,6 +200,7 @@ def test_command_line(spark, tmp_path):
     out = {n: str(tmp_path / n) for n in ("lib", "bed", "stats", "trace", "split", "rescue", "freq")}
     args = ["-sequence", str(tmp_path / "g.fa"), "-output", out["lib"], "-instances", out["bed"], "-stats", out["stats"], "-trace-dir", out["trace"]]
     args += ["-split-audit", out["split"], "-rescue-audit", out["rescue"], "-recall-rescue", "-freq-output", out["freq"], "-l", "10"]
+    args += ["-coalesce-factor", "0"]  # copies less than 20 lengths apart would be reported as one
     assert cli.main(args, spark) == 0
     heads = [r.value for r in spark.read.text(out["lib"]).collect() if r.value.startswith(">")]
     assert heads and all(" topo=linear " in h and " qflags=" in h for h in heads)
