@@ -1,4 +1,4 @@
-"""The eleven registered queries of this subpackage and their SQL, where SQL can express them."""
+"""The registered queries of this subpackage and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.byte_bpe import bpe_round_trip
 from strandlake.llm.exact_dedup import exact_dedup
+from strandlake.llm.filter_audit import audit, failures
 from strandlake.llm.fingerprints import hashes, likeness, winnow, winnow_edited, with_next
 from strandlake.llm.licenses import scan_licenses
 from strandlake.llm.mixing import mix_sources
 from strandlake.llm.labelled import CUT, fold
 from strandlake.llm.near_dedup import near_duplicates
 from strandlake.llm.quality import fit_quality, score_quality
+from strandlake.llm.suffix_dedup import remove_repeats
 from strandlake.llm.token_files import read_documents, write_token_files
 from strandlake.llm.toxicity import fit_toxicity, score_toxicity
 from strandlake.llm.warc import page_number, read_warc, write_warc
@@ -142,6 +144,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(score_quality(docs, model), 4, 2)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fails = failures(_table(spark, sf_dir, "documents"))
+    return audit(fails, _table(spark, sf_dir, "labels"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -159,6 +170,27 @@ FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM f a, f b, f c, f d, f e
+      WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+s AS (SELECT filter_order, i AS step, bs[i] AS own, coalesce(list_sum(bs[1 : i - 1]), 0)::INT AS earlier FROM o, unnest([1, 2, 3, 4, 5]) AS r(i)),
+j AS (SELECT *, mask & own <> 0 AS fails, mask & earlier <> 0 AS failed FROM c, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT failed), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT failed), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (fails AND failed), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (fails AND NOT failed), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (fails AND NOT failed), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // bit_count(mask)) FILTER (fails), 0)::BIGINT AS shapley
+FROM j GROUP BY 1, 2, 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -171,8 +203,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_pfair_mixing": op9_pfair_mixing,
         "op10_quality": op10_quality,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_suffix_dedup": op12_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL.replace("\\\\", "\\")}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
