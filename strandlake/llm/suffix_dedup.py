@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,6 +39,13 @@ _PLACE = np.uint64((1 << 21) - 1)
 _PAGE = 32768
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    step = np.full(n, base, np.uint64)
+    step[0] = 1
+    return np.cumprod(step, dtype=np.uint64)
+
+
 def anchors(data: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each run of ``window`` grams in ``data`` (under 2^21 bytes), the place of its least gram, rightmost of equals."""
     x, size = data.astype(np.uint64), 1
@@ -63,10 +70,14 @@ class Parse:
             raise ValueError("gram must be 1, 2, 4 or 8, and a string must hold a window of grams")
         self.length, self.window, self.gram = length, window, gram
         self.core = length - window + 1
-        most = _BLOCK + length
-        step, back = np.full(most, _BASE, np.uint64), np.full(most, pow(_BASE, -1, 1 << 64), np.uint64)
-        step[0] = back[0] = 1
-        self.up, self.down = np.cumprod(step, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+
+    @cached_property  # made where it is used: a task's closure doesn't carry it
+    def up(self) -> np.ndarray:
+        return _powers(_BASE, _BLOCK + self.length)
+
+    @cached_property
+    def down(self) -> np.ndarray:
+        return _powers(pow(_BASE, -1, 1 << 64), _BLOCK + self.length)
 
     def blocks(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for base in range(0, len(text) - self.length + 1, _BLOCK):
@@ -174,7 +185,7 @@ def _places(carried, length: int):
     names = ["key", "key2", "ctx", "open", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = [np.cumprod(np.concatenate([[1], np.full(length, b)]).astype(np.uint64), dtype=np.uint64) for b in (_BASE, _BASE_2)]
+        powers = [_powers(b, length + 1) for b in (_BASE, _BASE_2)]
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for ctx, open_, left, least, most, part, top, upto, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
