@@ -191,6 +191,21 @@ FROM j GROUP BY 1, 2, 3
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS x FROM d, unnest(range(0, n - 399)) AS r(i)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY x) > 1),
+g AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -401) > 400 AS fresh FROM r),
+s AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+m AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY doc_id, span),
+k AS (SELECT m.doc_id, a, b, lag(b, 1, 0::BIGINT) OVER (PARTITION BY m.doc_id ORDER BY a) AS before FROM m),
+j AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front
+      FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -209,4 +224,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_filter_audit": OP11_SQL, "op12_suffix_dedup": OP12_SQL}

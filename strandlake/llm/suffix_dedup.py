@@ -21,6 +21,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,6 +37,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_2 = 0xC2B2AE3D27D4EB4F
 _BLOCK = 1 << 20  # places that are looked at together; below the 21 bits that number them
 _PLACE = np.uint64((1 << 21) - 1)
+_SLICE = 1 << 18  # bytes of texts that are parsed together, unless one is longer
 _PAGE = 32768
 
 
@@ -48,11 +50,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, window: int, gram: int) -> np.ndarray:
     """For each run of ``window`` grams in ``data`` (under 2^21 bytes), the place of its least gram, rightmost of equals."""
-    x, size = data.astype(np.uint64), 1
-    while size < gram:
-        x = x[:-size] | (x[size:] << np.uint64(8 * size))
-        size *= 2
-    key = (mix(x) & ~_PLACE) | (_PLACE - np.arange(len(x), dtype=np.uint64))
+    n = len(data) - gram + 1
+    grams = np.ndarray((n,), f"<u{gram}", np.ascontiguousarray(data), strides=(1,))
+    key = grams * np.uint64(_BASE)  # its high bits are the hash
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(_BASE_2)
+    key &= ~_PLACE
+    key |= np.arange(int(_PLACE), int(_PLACE) - n, -1).astype(np.uint64)
     size = 1
     while 2 * size <= window:
         key = np.minimum(key[:-size], key[size:])
@@ -63,7 +67,7 @@ def anchors(data: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 class Parse:
-    """The anchors of texts, block by block: arrays first, last (places) and anchor, relative to the block's bytes."""
+    """The anchors of texts that stand behind each other, block by block."""
 
     def __init__(self, length: int, window: int, gram: int):
         if gram not in (1, 2, 4, 8) or window < 1 or window + gram > length + 1:
@@ -79,13 +83,22 @@ class Parse:
     def down(self) -> np.ndarray:
         return _powers(pow(_BASE, -1, 1 << 64), _BLOCK + self.length)
 
-    def blocks(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for base in range(0, len(text) - self.length + 1, _BLOCK):
-            data = text[base : base + _BLOCK + self.length - 1]
-            at = anchors(data, self.window, self.gram)[: len(data) - self.length + 1]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            last = np.concatenate([first[1:], [len(at)]]) - 1
-            yield base, data, first, last, at[first]
+    def blocks(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(base, bytes, first, last, anchor): the places that have one anchor, relative to the block's bytes. Text i is
+        ``data[ends[i] : ends[i + 1]]``; strings lie within a text."""
+        change = np.zeros(len(data) + 1, np.int8)
+        fits = np.diff(ends) >= self.length
+        change[ends[:-1][fits]] += 1
+        change[ends[1:][fits] - self.length + 1] -= 1  # no other text begins there: strings have two bytes at least
+        inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+        for base in range(0, len(data) - self.length + 1, _BLOCK):
+            own = data[base : base + _BLOCK + self.length - 1]
+            at = anchors(own, self.window, self.gram)[: len(own) - self.length + 1]
+            valid = inside[base : base + len(at)]
+            turns = np.ones(len(at) + 1, bool)
+            turns[1:-1] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])
+            first = np.flatnonzero(valid & turns[:-1])
+            yield base, own, first, np.flatnonzero(valid & turns[1:]), at[first]
 
     def cores(self, data: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         """A hash of the bytes that any string with this anchor holds from it on."""
@@ -94,14 +107,12 @@ class Parse:
         return mix((sums[anchor + self.core] - sums[anchor]) * self.up[anchor]).view(np.int64)
 
 
-def _bytes(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The bytes of each text, without copies."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, without copies, and where each begins and ends."""
     texts = texts.cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held else np.empty(0, np.uint8)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        yield data[a:b]
+    return np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held else np.empty(0, np.uint8), at - at[0]
 
 
 class Bits:
@@ -217,8 +228,8 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
     block = block or -(-length // 8)
 
     def core_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 0, 1 << 20):
-            found = [parse.cores(data, anchor) for text in _bytes(b.column(0)) for _, data, _, _, anchor in parse.blocks(text)]
+        for b in bounded(batches, 0, _SLICE):
+            found = [parse.cores(data, anchor) for _, data, _, _, anchor in parse.blocks(*_bytes(b.column(0)))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["core"])
         give_back()
@@ -226,48 +237,48 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
     cores = df.select("text").mapInArrow(core_rows, "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     twice = Bits(cut(cores, "repeat-cores"), "core")
 
+    def contexts_of(texts: pa.Array, sieve: Bits) -> Iterator[tuple]:
+        """Of each block: text number, place in it, core, and within the block's bytes first, last, anchor, and the contexts."""
+        data, ends = _bytes(texts)
+        for base, own, first, last, anchor in parse.blocks(data, ends):
+            core = parse.cores(own, anchor)
+            some = np.flatnonzero(sieve.holds(core))
+            first, last, anchor = first[some], last[some], anchor[some]
+            who = np.searchsorted(ends, first + base, side="right") - 1
+            held = own.tobytes() if len(some) else b""
+            spans = zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)
+            contexts = [xxhash.xxh3_128_digest(held[lo : hi + length], seed=a - lo) for lo, hi, a in spans]
+            yield who, first + base - ends[who], core[some], held, first, last, anchor, contexts
+
     def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 1, 1 << 20):
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True):
-                for base, data, first, last, anchor in parse.blocks(text):
-                    core = parse.cores(data, anchor)
-                    for j in np.flatnonzero(twice.holds(core)).tolist():
-                        lo, hi = int(first[j]), int(last[j])
-                        context = xxhash.xxh3_128_digest(data[lo : hi + length], seed=int(anchor[j]) - lo)
-                        for o, v in zip(out, (key, core[j], context, base + lo, hi - lo + 1), strict=True):
-                            o.append(v)
-            if out[0]:
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["key", "core", "context", "first", "count"])
+        for b in bounded(batches, 1, _SLICE):
+            for who, place, core, _, first, last, _, contexts in contexts_of(b.column(1), twice):
+                columns = [b.column(0).take(pa.array(who)), pa.array(core), pa.array(contexts, pa.binary()), pa.array(place), pa.array((last - first + 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "core", "context", "first", "count"])
         give_back()
 
     found = cut(df.select("key", "text").mapInArrow(context_rows, "key binary, core long, context binary, first long, count int"), "repeat-found")
     contexts = cut(found.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.first("core").alias("core")), "repeat-contexts")
     open_cores = contexts.groupBy("core").agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("open")).where("all > 1 and open > 0")
-    wanted = contexts.join(open_cores.select("core"), "core", "left_semi").select("context", (F.col("n") == 1).alias("open"))
-    wanted = cut(wanted.withColumn("number", F.monotonically_increasing_id()).withColumn("low", F.xxhash64("context")), "repeat-wanted")
-    sieve = Bits(wanted, "low")
+    open_cores = cut(open_cores.select("core"), "repeat-open")
+    wanted = contexts.join(open_cores, "core", "left_semi").select("context", (F.col("n") == 1).alias("open"))
+    wanted = cut(wanted.withColumn("number", F.monotonically_increasing_id()), "repeat-wanted")
+    compared = Bits(open_cores, "core")
 
     def text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # spares rows of contexts that this task has given; emptied when large
-        for b in bounded(batches, 0, 1 << 20):
-            out: list[list] = [[], [], [], [], []]
-            for text in _bytes(b.column(0)):
-                for _, data, first, last, anchor in parse.blocks(text):
-                    near = np.flatnonzero(twice.holds(parse.cores(data, anchor))).tolist()
-                    for j in near:
-                        lo, hi, a = int(first[j]), int(last[j]), int(anchor[j])
-                        context = xxhash.xxh3_128_digest(data[lo : hi + length], seed=a - lo)
-                        if context not in seen and sieve.holds(np.array([_xx64(context)]))[0]:
-                            if len(seen) >= 200_000:
-                                seen.clear()
-                            seen.add(context)
-                            for o, v in zip(out, (context, data[lo:a].tobytes(), data[a : hi + length].tobytes(), a - hi, a - lo), strict=True):
-                                o.append(v)
-            if out[0]:
+        for b in bounded(batches, 0, _SLICE):
+            out: list[tuple] = []
+            for *_, held, first, last, anchor, contexts in contexts_of(b.column(0), compared):
+                for context, lo, hi, a in zip(contexts, first.tolist(), last.tolist(), anchor.tolist(), strict=True):
+                    if context not in seen:
+                        if len(seen) >= 200_000:
+                            seen.clear()
+                        seen.add(context)
+                        out.append((context, held[lo:a], held[a : hi + length], a - hi, a - lo))
+            if out:
                 kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["context", "left", "right", "least", "most"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(zip(*out), kinds, strict=True)], names=["context", "left", "right", "least", "most"])
         give_back()
 
     texts = df.select("text").mapInArrow(text_rows, "context binary, left binary, right binary, least int, most int")
@@ -297,11 +308,6 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
     return found.select("key", "context", "first", "count").join(whole.unionByName(partly), "context").select("key", "first", "count", "offsets")
 
 
-def _xx64(value: bytes) -> int:
-    """Spark's xxhash64 of a binary value."""
-    return np.uint64(xxhash.xxh64_intdigest(value, seed=42)).view(np.int64)
-
-
 def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", window: int = 128, gram: int = 8, texts: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also kept, binary): each text without the bytes that lie
     under a string of ``length`` bytes which also starts anywhere else, in the same text or another. All strings are judged
@@ -331,18 +337,28 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     ).select(kept_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in bounded(batches, 1):
+        for b in bounded(batches, 1, _SLICE):
+            data, ends = _bytes(b.column(1))
+            lists = b.column(2)
+            places = lists.flatten()
+            base = np.repeat(ends[:-1], np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+            offsets = places.field("offsets")
+            first, whole = np.asarray(places.field("first")) + base, np.asarray(offsets.is_null())
+            starts = np.zeros(len(data) + 1, np.int32)
+            starts[first[whole]] += 1  # each place has one anchor, so no two begin or end at one
+            starts[first[whole] + np.asarray(places.field("count"))[whole]] -= 1
+            starts = np.cumsum(starts[:-1], dtype=np.int32)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(offsets), 0))
+            starts[np.repeat(first, sizes) + np.asarray(offsets.flatten())] = 1
+            so_far = np.concatenate([[0], np.cumsum(starts, dtype=np.int32)])
             out = []
-            for data, places in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                starts = np.zeros(len(data) + 1, np.int32)
-                for p in places or ():
-                    at = p["first"] + (np.arange(p["count"]) if p["offsets"] is None else np.array(p["offsets"], np.int64))
-                    starts[at] = 1
-                so_far = np.cumsum(starts[:-1])
-                gone = so_far - np.concatenate([np.zeros(min(length, len(data)), np.int64), so_far[:-length]]) > 0
-                kept = data[~gone].tobytes()
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                here = so_far[lo : hi + 1]
+                gone = here[1:] > here[0]
+                gone[length:] = here[length + 1 :] > here[1:-length]
+                kept = data[lo:hi][~gone].tobytes()
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + bool(len(gone) and gone[0])
-                out.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *[kept] * texts))
+                out.append((hi - lo, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *[kept] * texts))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             columns = [pa.array([o[i] for o in out], kinds[i]) for i in range(4 + texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=kept_names)

@@ -188,14 +188,18 @@ def test_repeats_in_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 0, 0)] + [(0, len(text), len(text))] + [(1, len(text), len(text))] * 2
 
 
-def test_a_text_over_several_blocks(spark, monkeypatch):
+def test_texts_over_several_blocks(monkeypatch):
     import strandlake.llm.suffix_dedup as m
 
     rng = random.Random(5)
-    monkeypatch.setattr(m, "_BLOCK", 64)
-    parse, text = m.Parse(20, 5, 2), np.frombuffer(prose(rng, 100).encode(), np.uint8)
-    places = [base + p for base, _, first, last, _ in parse.blocks(text) for lo, hi in zip(first, last) for p in range(lo, hi + 1)]
-    assert places == list(range(len(text) - 19))
-    for base, data, first, last, anchor in parse.blocks(text):
-        for lo, hi, a in zip(first, last, anchor):
-            assert all(p <= a < p + 5 for p in range(lo, hi + 1)) and hi + 20 <= len(data)
+    texts = [prose(rng, 60), "", "short", prose(rng, 7)[:20], prose(rng, 40), "tail"]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = [e + p for e, t in zip(ends, texts) for p in range(len(t) - 19)]
+    for block in (64, 1 << 20):
+        monkeypatch.setattr(m, "_BLOCK", block)
+        parse, places = m.Parse(20, 5, 2), []
+        for base, data, first, last, anchor in parse.blocks(np.frombuffer("".join(texts).encode(), np.uint8), ends):
+            for lo, hi, a in zip(first, last, anchor, strict=True):
+                assert all(p <= a < p + 5 for p in range(lo, hi + 1)) and hi + 20 <= len(data)
+                places += range(base + lo, base + hi + 1)
+        assert places == want
