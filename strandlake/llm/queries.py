@@ -186,7 +186,7 @@ j AS (SELECT *, mask & own <> 0 AS fails, mask & earlier <> 0 AS failed FROM c,
 SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT failed), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT failed), 0)::BIGINT AS removed,
        coalesce(sum(n) FILTER (fails AND failed), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
        coalesce(sum(good) FILTER (fails AND NOT failed), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (fails AND NOT failed), 0)::BIGINT AS toxic_lost,
-       coalesce(sum(n * 120 // bit_count(mask)) FILTER (fails), 0)::BIGINT AS shapley
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (fails), 0)::BIGINT AS shapley
 FROM j GROUP BY 1, 2, 3
 """
 
