@@ -106,12 +106,79 @@ def test_archives_inside_payloads_are_no_records(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(outer))
     size = sum(map(len, outer))
     files = table(spark, [("a.warc.gz", size)], "file string, bytes long")
-    for split in (len(inner) + 50, 700, size):
+    for split in (40, len(inner) + 50, 700, size):
         got = read_warc(spark, files, f"file://{tmp_path}", split_bytes=split).collect()
         assert sorted(r.record_id[-1] for r in got if r.uri == "http://outer") == ["0", "1", "2", "3"], split
         assert not [r for r in got if r.uri == "http://inner"]
 
 
+def owned(data, split):
+    """What ``read_warc`` does, on bytes and without Spark: (place, bytes) of all records, by range."""
+    import io
+
+    from strandlake.llm.warc import Archive
+
+    class Source(io.BytesIO):
+        def read_at(self, n, offset):
+            self.seek(offset)
+            return self.read(n)
+
+    size, spans = len(data), []
+    for start in range(0, size, split):
+        a = Archive(Source(data), size, 256)
+        stop = min(start + split, size)
+        first = 0 if start == 0 else a.find(start, stop)
+        spans.append([start, stop, first, None if first is None else a.end_of(first, stop)])
+    due = 0
+    for span in spans:  # sets right what differs from what the ranges before hand on
+        a = Archive(Source(data), size, 256)
+        first = due if due < span[1] else None
+        if first != span[2]:
+            span[2:] = first, None if first is None else a.end_of(first, span[1])
+        due = due if span[3] is None else span[3]
+    return [r for start, stop, first, _ in spans if first is not None for r in Archive(Source(data), size, 256).records(first, stop)]
+
+
+def test_records_are_the_same_for_every_range_size():
+    from strandlake.llm.warc import record
+
+    rng = random.Random(3)
+
+    def member(raw, level=6):
+        c = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return c.compress(raw) + c.flush()
+
+    inner = b"".join(member(record(90 + i, "http://inner", b"inside %d" % i)) for i in range(3))
+    raws = [record(i, "http://outer", b"plain %d" % i) for i in range(3)]
+    raws.append(record(3, "http://outer", b"x" * 300 + inner + b"y" * 300))
+    raws.append(record(4, "http://" + "".join(rng.choices("abcdef", k=100_000)), b"long url"))
+    raws.append(record(5, "http://outer", b"short").replace(b"Content-Length: 5", b"Content-Length: 2"))
+    raws.append(record(6, "http://outer", inner))
+    foreign = member(b"not a record " * 30)
+    raws += [record(7, "http://outer", b"last")]
+    data = b"".join(member(r, 0 if i in (3, 6) else 6) for i, r in enumerate(raws[:-1])) + foreign + member(raws[-1])
+    for split in [*range(100, 1200, 7), 5_000, 50_000, len(data)]:
+        assert [raw for _, raw in owned(data, split)] == raws, split
+
+
+def test_warc_long_heads_and_damage(spark, tmp_path):
+    from strandlake.llm.warc import read_warc, write_warc
+
+    rng = random.Random(8)
+    url = "http://x/" + "".join(rng.choices("abcdefghij", k=1_000_000))
+    rows = [(i, url if i == 3 else f"http://x/{i}", "same" if i % 2 else f"page {i}") for i in range(12)]
+    folder = f"file://{tmp_path}/a"
+    files = write_warc(table(spark, rows, "page_id long, url string, html string"), folder, file_bytes=1 << 30)
+    assert sorted((r.record_id[-2:].lstrip(":"), r.uri) for r in read_warc(spark, files, folder, split_bytes=4_000).collect()) == sorted((str(i), u) for i, u, _ in rows)
+    whole = next((tmp_path / "a").glob("*.warc.gz"))
+    data = bytearray(whole.read_bytes())
+    for bad in (bytes(data[: len(data) - 9]), bytes(data[:60]) + bytes([data[60] ^ 255]) + bytes(data[61:])):
+        (tmp_path / "b").mkdir(exist_ok=True)
+        (tmp_path / "b" / "bad.warc.gz").write_bytes(bad)
+        with pytest.raises(Exception, match="cut off|damaged|differs"):
+            read_warc(spark, table(spark, [("bad.warc.gz", len(bad))], "file string, bytes long"), f"file://{tmp_path}/b", split_bytes=5_000).collect()
+
+
 def test_warc_small_payloads_are_never_revisits(spark, tmp_path):
     from strandlake.llm.warc import read_warc, write_warc
 
