@@ -82,9 +82,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     l = a.l or min(31, max(8, seqs.agg(kmers.S.auto_k(F.lit(max(total, 1)))).first()[0]))  # noqa: E741
     if a.freq_output:
         write_lmers(seqs, l, a.freq_output)
+    seeds = None
     if a.freq:
-        known = tables.read_lmers(spark, a.freq, l).where(F.col("freq") >= a.minthresh)
-        params = replace(params, discover=replace(params.discover, l=l, seeds=frozenset(r.lmer for r in known.limit(params.discover.max_seeds).collect())))
+        seeds = tables.read_lmers(spark, a.freq, l).where(F.col("freq") >= a.minthresh)
+        params = replace(params, discover=replace(params.discover, l=l))
     if a.sample_output and params.sample is not None and total > params.sample.size:
         lengths = seqs.select("seq_index", F.length("seq").cast("long").alias("length"))
         windows = scale.sample_tiles(lengths, params.sample.window, params.sample.size // params.sample.window, params.sample.seed)
@@ -93,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         )
         fasta.segments_fasta(named).write.mode("overwrite").text(a.sample_output)
     trace = None if a.trace_dir is None else lambda number, name, families, instances: audit.write_trace(a.trace_dir, number, name, families, instances)
-    lib = build_library(seqs, params, trace)
+    lib = build_library(seqs, params, trace, seeds)
     fasta.library_fasta(lib.selected, lib.families).write.mode("overwrite").text(a.output)
     if lib.families.isEmpty():
         return 0  # an empty library is written alone

@@ -15,7 +15,11 @@ def without_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     ``keys`` and ``df`` are read more than once, so they should be stored.
     """
     sieve = BitSieve(keys.select(column), [column], sieve_bits(keys.count()))
-    marked = sieve.may_hold(df, [F.col(column)], "_may")
-    surely = marked.where(~F.col("_may")).drop("_may")
-    maybe = marked.where("_may").drop("_may").join(keys.select(column).distinct(), column, "left_anti")
-    return surely.select(df.columns).unionAll(maybe.select(df.columns))
+    flag = "_may"
+    while flag in df.columns:
+        flag += "_"
+    marked = sieve.may_hold(df, [F.col(f"`{column}`")], flag)
+    surely = marked.where(~F.col(flag)).drop(flag)
+    maybe = marked.where(F.col(flag)).drop(flag).join(keys.select(column).distinct(), column, "left_anti")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return surely.select(names).unionAll(maybe.select(names))

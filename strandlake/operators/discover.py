@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.functions.seq import canonical
 from strandlake.operators import kernels as K
+from strandlake.operators.kmers import kmer_rows
 from strandlake.plans.config import DiscoverParams
 
 FAMILY = "chunk long, local_id int, consensus string, estimated_copies int, instances array<struct<seq_index: long, start: long, end: long, num_edits: int, divergence: double, strand: int>>"
@@ -80,8 +83,8 @@ def pack(lmer: str) -> int:
     return min(numbers)
 
 
-def discover_chunk(records: list[tuple[int, int, str]], p: DiscoverParams) -> list[dict]:
-    """Families of one chunk; ``records`` are (seq_index, offset in the record, sequence).
+def discover_chunk(records: list[tuple[int, int, str]], p: DiscoverParams, seeds: Iterable[str] | None = None) -> list[dict]:
+    """Families of one chunk; ``records`` are (seq_index, offset in the record, sequence). With ``seeds`` only these are.
 
     Repeats: take the most frequent l-mer that is left (ties by its code), extend over its occurrences, keep the family
     if the consensus is long enough, mask what its l-mers reach, until no l-mer occurs ``min_threshold`` times.
@@ -100,7 +103,7 @@ def discover_chunk(records: list[tuple[int, int, str]], p: DiscoverParams) -> li
     l = p.l or min(31, max(8, math.ceil(1 + math.log(bases, 4))))  # noqa: E741
     index = ChunkIndex(codes, l, p)
     masked = np.zeros(len(codes) + 1, bool)
-    allowed = None if p.seeds is None else {pack(x) for x in p.seeds if len(x) == l}
+    allowed = None if seeds is None else {pack(x) for x in seeds if len(x) == l}
     heap = [
         (-int(e - s), int(k)) for k, s, e in zip(index.keys, index.starts, index.ends, strict=True)
         if e - s >= p.min_threshold and (allowed is None or int(k) in allowed)
@@ -199,14 +202,17 @@ def _mask(index: ChunkIndex, masked: np.ndarray, cons: np.ndarray, s: K.Scores)
             masked[at] = True
 
 
-def discover_families(tiles: DataFrame, p: DiscoverParams) -> tuple[DataFrame, DataFrame]:
+def discover_families(tiles: DataFrame, p: DiscoverParams, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(families, instances) of (chunk, seq_index, start, seq): each chunk is one task, as masking in a chunk is
-    sequential; chunks bound a task's memory and are the unit of scale-out. Ids are dense per chunk and unique over all."""
+    sequential; chunks bound a task's memory and are the unit of scale-out. Ids are dense per chunk and unique over all.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    ``seeds`` (lmer), if given, are the only l-mers that may be seeds (``p.l`` must say their length). However many there
+    are, a chunk's task gets those that occur in the chunk: its l-mers are joined to the table, on either strand."""
+
+    def run(pdf: pd.DataFrame, allowed: Iterable[str] | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values(["seq_index", "start"])
-        chunk = int(pdf["chunk"].iloc[0])
-        found = discover_chunk(list(zip(pdf.seq_index, pdf.start, pdf.seq, strict=True)), p)
+        chunk = int(pdf["chunk"].iloc[0]) if len(pdf) else 0
+        found = discover_chunk(list(zip(pdf.seq_index, pdf.start, pdf.seq, strict=True)), p, allowed)
         columns = {
             "chunk": pd.Series([chunk] * len(found), dtype="int64"),
             "local_id": pd.Series(range(len(found)), dtype="int32"),
@@ -216,7 +222,13 @@ def discover_families(tiles: DataFrame, p: DiscoverParams) -> tuple[DataFrame, D
         }
         return pd.DataFrame(columns)
 
-    found = tiles.groupBy("chunk").applyInPandas(run, FAMILY)
+    if seeds is None:
+        found = tiles.groupBy("chunk").applyInPandas(lambda t: run(t), FAMILY)
+    else:
+        known = seeds.where(F.length("lmer") == p.l).select(canonical("lmer").alias("kmer")).distinct()
+        present = kmer_rows(tiles.select(F.col("chunk").alias("seq_index"), "seq"), p.l).select(F.col("seq_index").alias("chunk"), "kmer").distinct()
+        own = present.join(known, "kmer", "left_semi")
+        found = tiles.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInPandas(lambda t, k: run(t, k["kmer"]), FAMILY)
     ident = (F.col("chunk") * 1_000_000 + F.col("local_id")).cast("long").alias("family_id")
     kept = found.select(ident, "consensus", F.length("consensus").alias("consensus_length"), "estimated_copies", F.lit(0).alias("discovery_flags"), "instances")
     return kept.drop("instances"), kept.select("family_id", F.inline("instances"))

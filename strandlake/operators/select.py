@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import bisect
-import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import mdl
-from strandlake.operators.graph import connected_components
-from strandlake.operators.intervals import binned_islands, interval_union, overlap_join
+from strandlake.operators.intervals import interval_union, overlap_join
+from strandlake.storage import cut
 
 
 def family_scores(instances: DataFrame, families: DataFrame, mode: str = "exact") -> DataFrame:
@@ -34,71 +32,92 @@ def family_scores(instances: DataFrame, families: DataFrame, mode: str = "exact"
     )
 
 
-def universal_bits(n: int) -> float:
-    """The universal integer code on the Python side of the folds."""
-    if n <= 0:
-        return math.inf
-    total, x = mdl.UNIVERSAL, math.log2(n)
-    while x > 0:
-        total, x = total + x, math.log2(x)
-    return total
+#: Pieces of instances are handled in stretches of so many bases of a record.
+STRETCH = 1 << 16
 
 
-def encoding_bits(length: int, edits: int, mode: str) -> float:
-    m = max(0, min(edits, length))
-    a = max(1, length)
-    place = 0.0
-    if mode == "upper":
-        place = m * math.log2(a)
-    elif mode == "exact" and 0 < m < a:
-        place = (math.lgamma(a + 1) - math.lgamma(m + 1) - math.lgamma(a - m + 1)) / math.log(2)
-    return universal_bits(a) + universal_bits(m + 1) + m * mdl.BITS_PER_SUBSTITUTION + place
-
-
-class Coverage:
-    """Disjoint sorted intervals of one record: how much of a new one they cover, and adding it."""
-
-    def __init__(self) -> None:
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-
-    def covered(self, start: int, end: int) -> int:
-        i = max(0, bisect.bisect_right(self.starts, start) - 1)
-        total = 0
-        while i < len(self.starts) and self.starts[i] < end:
-            total += max(0, min(end, self.ends[i]) - max(start, self.starts[i]))
-            i += 1
-        return total
-
-    def add(self, start: int, end: int) -> None:
-        lo, hi = bisect.bisect_left(self.ends, start), bisect.bisect_right(self.starts, end)
-        if lo < hi:
-            start, end = min(start, self.starts[lo]), max(end, self.ends[hi - 1])
-        self.starts[lo:hi], self.ends[lo:hi] = [start], [end]
-
-
-def overlap_groups(instances: DataFrame, eligible: DataFrame, width: int = 200) -> DataFrame:
-    """(family_id, component): families that overlap, directly or through others. A family's fate depends on its
-    component only, so the ordered folds below run per component and still decide as one global fold would.
-
-    The graph comes from merged islands, not from pairs: families of one island are joined to its least member, which
-    keeps edges linear in the instances however many families meet at one place.
-    """
-    own = instances.join(eligible.select("family_id"), "family_id", "left_semi").select("family_id", "seq_index", "start", "end")
-    # an interval that crosses a bin's end is in islands of both bins, which its family joins
-    island = binned_islands(own, ["seq_index"], 1 << 20, False).select("family_id", "seq_index", "_bin", "_island")
-    least = island.groupBy("seq_index", "_bin", "_island").agg(F.min("family_id").alias("a"))
-    edges = island.join(least, ["seq_index", "_bin", "_island"]).select("a", F.col("family_id").alias("b")).distinct()
-    parts = connected_components(edges)
-    return eligible.select("family_id").join(parts, F.col("family_id") == F.col("node"), "left").select(
-        "family_id", F.coalesce("component", "family_id").alias("component")
+def numbered(instances: DataFrame, ranks: DataFrame, *more: str) -> DataFrame:
+    """(row, family_id, rank, seq_index, start, end, size) and ``more`` of the instances of families in ``ranks``, from base 0
+    on, each with a number of its own (instances may repeat, their indices too)."""
+    own = instances.join(ranks.select("family_id", "rank"), "family_id").withColumns(
+        {"start": F.greatest(F.lit(0).cast("long"), F.col("start").cast("long")), "end": F.col("end").cast("long"), "row": F.monotonically_increasing_id()}
     )
+    return cut(own.select("row", "family_id", "rank", "seq_index", "start", "end", F.greatest(F.lit(0), F.col("end") - F.col("start")).alias("size"), *more), "own")
+
+
+def stretches(own: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(row, family_id, rank, seq_index, _bin, _from, _to): the instances cut at multiples of ``stretch``."""
+    rows = own.where("end > start").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / stretch), F.floor((F.col("end") - 1) / stretch))))
+    ends = F.greatest("start", F.col("_bin") * stretch).alias("_from"), F.least("end", (F.col("_bin") + 1) * stretch).alias("_to")
+    return cut(rows.select("row", "family_id", "rank", "seq_index", "_bin", *ends), "pieces")
+
+
+def ranking(families: DataFrame, score: str, weakest_first: bool) -> DataFrame:
+    """(family_id, rank): places from 1 in order of the score, to a millionth of a bit, then of the id. Numbers grow over the
+    ranges of a sort, so no task holds all."""
+    by = F.round(score, 6)
+    ordered = families.select("family_id", by.alias("_s")).orderBy(F.asc("_s") if weakest_first else F.desc("_s"), "family_id")
+    return cut(ordered.select("family_id", (F.monotonically_increasing_id() + 1).alias("rank")), "ranking")
+
+
+def _segments(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, in, lengths of the elementary segments, first segment, end segment) of the pieces of one stretch."""
+    cuts = np.unique(np.concatenate([pdf["_from"].to_numpy(), pdf["_to"].to_numpy()]))
+    lo, hi = np.searchsorted(cuts, pdf["_from"].to_numpy()), np.searchsorted(cuts, pdf["_to"].to_numpy())
+    return pdf["rank"].to_numpy(), pdf["is_in"].to_numpy(), np.diff(cuts), lo, hi
+
+
+def unclaimed(pdf: pd.DataFrame) -> np.ndarray:
+    """Bases of each piece that no family which is in and comes before its own holds."""
+    rank, inside, sizes, lo, hi = _segments(pdf)
+    first = np.full(len(sizes), np.iinfo(np.int64).max)
+    for i in np.argsort(-rank, kind="stable"):
+        if inside[i]:
+            first[lo[i] : hi[i]] = rank[i]  # in the end the first family that holds a segment
+    return np.array([sizes[a:b][first[a:b] >= r].sum() for r, a, b in zip(rank, lo, hi, strict=True)], np.int64)
+
+
+def unshared(pdf: pd.DataFrame) -> np.ndarray:
+    """Bases of each piece outside all other families that are in or come after its own."""
+    rank, inside, sizes, lo, hi = _segments(pdf)
+    last, kept, second = (np.zeros(len(sizes), np.int64) for _ in range(3))  # the last family of a segment; the last two that are in
+    for i in np.argsort(rank, kind="stable"):
+        span = slice(lo[i], hi[i])
+        last[span] = rank[i]
+        if inside[i]:
+            second[span] = np.where(kept[span] == rank[i], second[span], kept[span])
+            kept[span] = rank[i]
+    alone = (kept == 0) | ((kept == last) & (second == 0))
+    return np.array([sizes[a:b][(last[a:b] == r) & alone[a:b]].sum() for r, a, b in zip(rank, lo, hi, strict=True)], np.int64)
+
+
+def decide_in_order(pieces: DataFrame, start: DataFrame, free_bases: Callable[[pd.DataFrame], np.ndarray], judge: Callable[[DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
+    """The families as a fold in order of rank would decide them, without the fold.
+
+    ``start`` has (family_id, is_in), a guess; ``judge`` maps (row, free) to rows with family_id and is_in.
+    In a round every family is judged by the bases that the families before it, as they stand, leave free. If all
+    before a family stand as the fold has them, it does after the round; so the first wrong family is right after each
+    round, for good, and a round that changes nothing has what the fold gives. (It usually takes three to six, as few
+    families change sides when others do.) Work of a round: the pieces go to their stretch, where a kernel sorts them, and
+    sums per instance and family come back. No group is larger than a stretch, and no component meets in one.
+    """
+    state = cut(start, "decided")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["row"]].assign(free=free_bases(pdf))
 
-_DECISION = "family_id long, state string, exclusive_savings double, exclusive_score double, exclusive_bases long, exclusive_instances int, quality_flags int, tier string, total_bases long"
+    for _ in range(most):
+        marked = pieces.join(state.select("family_id", "is_in"), "family_id")
+        free = marked.groupBy("seq_index", "_bin").applyInPandas(run, "row long, free long")
+        after = cut(judge(free.groupBy("row").agg(F.sum("free").alias("free"))), "decided")
+        changed = after.join(state.select("family_id", F.col("is_in").alias("_was")), "family_id").where("is_in <> _was").limit(1).count()
+        if not changed:
+            return after
+        state = after
+    raise RuntimeError(f"families were not decided within {most} rounds")
 
 
-def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact") -> DataFrame:
+def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact", stretch: int = STRETCH) -> DataFrame:
     """One row per family: scores, state (exclusive, standalone, rejected), exclusive coverage, flags and tier.
 
     Families are taken by descending score (then id); an instance counts by the bases that no accepted family has
@@ -106,63 +125,41 @@ def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact
     and 3 instances; accepted families claim their instances. Families without a positive score or with fewer than two
     instances are rejected before any interval is looked at and never claim.
     """
-    scores = family_scores(instances, families, mode)
+    scores = cut(family_scores(instances, families, mode), "scores")
     eligible = scores.where("score > 0 and n >= 2")
-    groups = overlap_groups(instances, eligible)
-    own = instances.select("family_id", "instance_idx", "seq_index", "start", "end", "divergence")
-    rows = own.join(groups, "family_id").join(scores.select("family_id", "score", "model_cost", "consensus_length", "n", "mean_divergence"), "family_id")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, claimed = [], {}
-        pdf = pdf.sort_values(["score", "family_id", "seq_index", "start", "instance_idx"], ascending=[False, True, True, True, True])
-        for fid, fam in pdf.groupby("family_id", sort=False):
-            head = fam.iloc[0]
-            saved, bases, used, total = 0.0, 0, 0, 0
-            for rec, start, end, div in zip(fam.seq_index, fam.start, fam.end, fam.divergence, strict=True):
-                start = max(0, start)
-                if end <= start:
-                    continue
-                total += end - start
-                free = end - start - (claimed[rec].covered(start, end) if rec in claimed else 0)
-                if free <= 0:
-                    continue
-                saved += 2.0 * free - encoding_bits(int(free), int(div * free + 0.5), mode)
-                bases, used = bases + free, used + 1
-            score = saved - head.model_cost
-            flags = (
-                mdl.BIT["short_consensus"] * (head.consensus_length < 80) | mdl.BIT["low_copy"] * (head.n < 3)
-                | mdl.BIT["high_divergence"] * (head.mean_divergence >= 0.25)
-            )
-            structural = bool(flags)
-            if bases == 0:
-                flags |= mdl.BIT["no_exclusive_bases"]
-            if score <= 0:
-                flags |= mdl.BIT["nonpositive_exclusive_mdl"]
-            if 0 < bases * 4 < total:
-                flags |= mdl.BIT["low_exclusive_fraction"]
-            state, tier = "rejected", "reject"
-            if score > 0:
-                state, tier = "exclusive", "warn" if structural else "core"
-            elif head.score > 0 and head.consensus_length >= 50 and head.n >= 3:
-                state, tier = "standalone", "warn"
-                flags |= mdl.BIT["standalone_fallback"]
-            if state != "rejected":
-                for rec, start, end in zip(fam.seq_index, fam.start, fam.end, strict=True):
-                    if end > max(0, start):
-                        claimed.setdefault(rec, Coverage()).add(max(0, start), end)
-            out.append((fid, state, saved, score, bases, used, int(flags), tier, total))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _DECISION.split(", ")])
-
-    columns = ["family_id", "component", "seq_index", "start", "end", "divergence", "instance_idx", "score", "model_cost", "consensus_length", "n", "mean_divergence"]
-    decided = rows.select(*columns).groupBy("component").applyInPandas(fold, _DECISION)
+    own = numbered(instances, ranking(eligible, "score", weakest_first=False), "divergence")
+    standing = (F.col("consensus_length") >= 50) & (F.col("n") >= 3)
+
+    def judge(free: DataFrame) -> DataFrame:
+        left = own.join(free, "row", "left").withColumn("free", F.coalesce("free", F.lit(0)))
+        saved = 2.0 * F.col("free") - mdl.instance_cost("free", F.floor(F.col("divergence") * F.col("free") + 0.5), mode)
+        sums = left.groupBy("family_id").agg(
+            F.sum(F.when(F.col("free") > 0, saved).otherwise(F.lit(0.0))).alias("saved"), F.sum("free").alias("bases"),
+            F.count_if(F.col("free") > 0).cast("int").alias("used"), F.sum("size").alias("total"),
+        )
+        judged = sums.join(eligible, "family_id").withColumn("own_score", F.col("saved") - F.col("model_cost"))
+        exclusive = F.col("own_score") > 1e-9
+        state = F.when(exclusive, F.lit("exclusive")).when(standing, F.lit("standalone")).otherwise(F.lit("rejected"))
+        return judged.select("family_id", "saved", "own_score", "bases", "used", "total", state.alias("state"), (exclusive | standing).alias("is_in"))
+
+    decided = decide_in_order(stretches(own, stretch), eligible.select("family_id", F.lit(True).alias("is_in")), unclaimed, judge).drop("is_in")
     base = mdl.base_flags("consensus_length", "n", "mean_divergence")
-    joined = scores.join(decided, "family_id", "left")
+
+    def bit(name: str, test) -> Column:
+        return F.when(test, F.lit(mdl.BIT[name])).otherwise(F.lit(0))
+
+    more = (
+        bit("no_exclusive_bases", F.col("bases") == 0).bitwiseOR(bit("nonpositive_exclusive_mdl", F.col("state") != "exclusive"))
+        .bitwiseOR(bit("low_exclusive_fraction", (F.col("bases") > 0) & (F.col("bases") * 4 < F.col("total")))).bitwiseOR(bit("standalone_fallback", F.col("state") == "standalone"))
+    )
+    joined = scores.join(decided.withColumnRenamed("state", "_state"), "family_id", "left").withColumn("state", F.coalesce("_state", F.lit("rejected")))
+    judged = F.col("_state").isNotNull()
+    tier = F.when(F.col("state") == "rejected", "reject").when((F.col("state") == "standalone") | (base != 0), "warn").otherwise("core")
     return joined.select(
-        "family_id", "consensus_length", "n", "mean_divergence", "model_cost", "savings", "score",
-        F.coalesce("state", F.lit("rejected")).alias("state"), F.coalesce("exclusive_savings", F.lit(0.0)).alias("exclusive_savings"),
-        F.coalesce("exclusive_score", F.lit(0.0)).alias("exclusive_score"), F.coalesce("exclusive_bases", F.lit(0)).alias("exclusive_bases"),
-        F.coalesce("exclusive_instances", F.lit(0)).alias("exclusive_instances"), F.coalesce("quality_flags", base).alias("quality_flags"),
-        F.coalesce("tier", F.lit("reject")).alias("tier"),
+        "family_id", "consensus_length", "n", "mean_divergence", "model_cost", "savings", "score", "state",
+        F.coalesce("saved", F.lit(0.0)).alias("exclusive_savings"), F.coalesce("own_score", F.lit(0.0)).alias("exclusive_score"),
+        F.coalesce("bases", F.lit(0)).alias("exclusive_bases"), F.coalesce("used", F.lit(0)).alias("exclusive_instances"),
+        F.when(judged, base.bitwiseOR(more)).otherwise(base).cast("int").alias("quality_flags"), tier.alias("tier"),
     )
 
 
@@ -180,47 +177,23 @@ def library_summary(selected: DataFrame, instances: DataFrame, genome_length: in
     )
 
 
-def prune_redundant(selected: DataFrame, instances: DataFrame) -> DataFrame:
+def prune_redundant(selected: DataFrame, instances: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """``selected`` with pruned families (state pruned, flag set): weakest first, a family goes if none of its instances
     has a quarter of its length outside the other accepted families that are still in."""
     ok = selected.where("state in ('exclusive', 'standalone')").select("family_id", "score")
     if ok.limit(2).count() < 2:
         return selected
-    groups = overlap_groups(instances, ok)
-    own = instances.select("family_id", "seq_index", "start", "end")
-    rows = own.join(groups, "family_id").join(ok, "family_id").select("component", "family_id", "score", "seq_index", "start", "end")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf[["score", "family_id"]].drop_duplicates("family_id").sort_values(["score", "family_id"])
-        number = {f: i for i, f in enumerate(order.family_id)}
-        records = {}
-        for rec, g in pdf.groupby("seq_index"):
-            g = g.sort_values("start")
-            starts, ends = g.start.to_numpy(), g.end.to_numpy()
-            records[rec] = starts, ends, g.family_id.map(number).to_numpy(), int((ends - starts).max())
-        own = {f: g[["seq_index", "start", "end"]].to_numpy() for f, g in pdf.groupby("family_id")}
-        out = np.zeros(len(number), bool)
-        gone = []
-        for fid, i in number.items():
-            for rec, start, end in own[fid]:
-                starts, ends, who, longest = records[rec]
-                near = slice(np.searchsorted(starts, start - longest), np.searchsorted(starts, end))
-                other = (ends[near] > start) & (who[near] != i) & ~out[who[near]]
-                free, at = 0, start  # starts are sorted, so one sweep finds what is left uncovered
-                for s, e in zip(starts[near][other].tolist(), ends[near][other].tolist(), strict=True):
-                    free += max(0, s - at)
-                    at = max(at, e)
-                    if at >= end:
-                        break
-                if free + max(0, end - at) >= (end - start) // 4:
-                    break
-            else:
-                out[i] = True
-                gone.append(fid)
-        return pd.DataFrame({"family_id": pd.Series(gone, dtype="int64")})
-
-    pruned = rows.groupBy("component").applyInPandas(fold, "family_id long").withColumn("_gone", F.lit(True))
-    joined = selected.join(pruned, "family_id", "left")
+    own = numbered(instances, ranking(ok, "score", weakest_first=True))
+
+    def judge(free: DataFrame) -> DataFrame:
+        left = own.join(free, "row", "left").withColumn("free", F.coalesce("free", F.lit(0)))
+        return left.groupBy("family_id").agg(F.bool_or(F.col("free") >= F.floor(F.col("size") / 4)).alias("is_in"))
+
+    decided = decide_in_order(stretches(own, stretch), own.select("family_id").distinct().withColumn("is_in", F.lit(True)), unshared, judge)
+    gone = decided.where("not is_in").select("family_id", F.lit(True).alias("_gone"))
+    # a family without an instance has none outside the others
+    bare = ok.join(own.select("family_id").distinct(), "family_id", "left_anti").select("family_id", F.lit(True).alias("_gone"))
+    joined = selected.join(gone.unionByName(bare), "family_id", "left")
     flag = F.col("quality_flags").bitwiseOR(mdl.BIT["pruned_redundant"])
     return joined.withColumn("state", F.when(F.col("_gone"), F.lit("pruned")).otherwise(F.col("state"))).withColumn(
         "quality_flags", F.when(F.col("_gone"), flag).otherwise(F.col("quality_flags"))

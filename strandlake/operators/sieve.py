@@ -38,11 +38,14 @@ class BitSieve:
 
     def may_hold(self, df: DataFrame, columns: list[Column], flag: str) -> DataFrame:
         """``df`` with a boolean column ``flag``; needs one broadcast join and no exchange of ``df``."""
-        at = self._position(columns)
-        with_page = df.withColumn("_at", at).withColumn("_page", (F.col("_at") / _PAGE).cast("int"))
-        joined = with_page.join(F.broadcast(self.pages), "_page", "left")
-        bit = F.col("_at") % _PAGE
-        byte = F.conv(F.hex(F.substring("_bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        free = "_sieve"
+        while any(c.startswith(free) for c in df.columns):  # names that ``df`` has stay as they are
+            free += "_"
+        at, page, bitmap = (free + x for x in ("at", "page", "bitmap"))
+        with_page = df.withColumn(at, self._position(columns)).withColumn(page, (F.col(at) / _PAGE).cast("int"))
+        joined = with_page.join(F.broadcast(self.pages.toDF(page, bitmap)), page, "left")
+        bit = F.col(at) % _PAGE
+        byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.coalesce(byte, F.lit(0))
         mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
-        return joined.withColumn(flag, hit.bitwiseAND(mask) != 0).drop("_at", "_page", "_bitmap")
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != flag], (hit.bitwiseAND(mask) != 0).alias(flag))

@@ -22,8 +22,6 @@ class DiscoverParams:
     good_length: int = 30
     min_threshold: int = 2
     tandem: int = 500
-    seeds: frozenset[str] | None = None  # if given, the only l-mers that may be seeds
-    max_seeds: int = 5_000_000  # of those, so many at most are read
 
     def __post_init__(self) -> None:
         _check(self.l is None or 4 <= self.l <= 31, "l is 4..31")

@@ -235,9 +235,10 @@ def _join_pairs(
     return matched.select("a", "b"), ok, made, recruited
 
 
-def build_library(seqs: DataFrame, params: Params | None = None, trace: Trace | None = None) -> Library:
+def build_library(seqs: DataFrame, params: Params | None = None, trace: Trace | None = None, seeds: DataFrame | None = None) -> Library:
     """The library of (seq_index, seq). Every stage's result is written to the shared folder before the next; ``trace``
-    gets eight of them, of the last three the accepted families only."""
+    gets eight of them, of the last three the accepted families only. Of the first discovery only ``seeds`` (lmer), if
+    given, are seeds."""
     p = params or Params()
     said = trace or (lambda number, name, families, instances: None)
     seqs = cut(seqs.select(F.col("seq_index").cast("long").alias("seq_index"), "seq"), "genome")
@@ -248,7 +249,7 @@ def build_library(seqs: DataFrame, params: Params | None = None, trace: Trace |
         tiles = scale.sample_tiles(lengths, p.sample.window, p.sample.size // p.sample.window, p.sample.seed)
         searched = cut(scale.sampled_sequences(seqs, tiles), "sample")
     pieces = refine.Pieces(seqs)
-    found, raw = discover_families(chunked(searched, p.library.chunk, p.library.overlap), p.discover)
+    found, raw = discover_families(chunked(searched, p.library.chunk, p.library.overlap), p.discover, seeds)
     families, raw = cut(found, "found"), cut(raw, "found-inst")
     if p.sample is not None and total > p.sample.size:
         raw = scale.from_samples(raw, tiles)

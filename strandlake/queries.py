@@ -482,19 +482,63 @@ def _selected(spark, d):
     return select.select_library(A.instances(spark, d), A.families(spark, d))
 
 
-@_query()
+def _rounds(rounds: int, name: str, first: str, one: Callable[[int], str]) -> str:
+    """Common table expressions <name>0 (a guess of who is in) to <name><rounds>: DuckDB decides families as the rounds do, over single
+    bases. On these tables nothing changes after the first few."""
+    return ", ".join([f"{name}0 AS ({first})", *(one(i) for i in range(1, rounds + 1))])
+
+
+_BASES = """unnest(range(greatest(0, "start"), greatest(0, "start", "end"))) AS x"""
+_GREEDY = _SCORES + f""", el AS (SELECT *, savings - cost AS score, row_number() OVER (ORDER BY round(savings - cost, 6) DESC, family_id) AS rk FROM sc WHERE savings > cost AND n >= 2),
+    px AS MATERIALIZED (SELECT rk, rn, seq_index, i.divergence AS dv, {_BASES} FROM (SELECT *, row_number() OVER () AS rn FROM inst) i JOIN el USING (family_id)), """ + _rounds(
+    6, "d", "SELECT rk, true AS is_in FROM el", lambda i: f"""
+    m{i} AS (SELECT seq_index, x, min(rk) AS m FROM px JOIN d{i - 1} USING (rk) WHERE is_in GROUP BY 1, 2),
+    f{i} AS (SELECT rk, rn, any_value(dv) AS dv, count(*) FILTER (m IS NULL OR m >= rk) AS a, count(*) AS size FROM px LEFT JOIN m{i} USING (seq_index, x) GROUP BY 1, 2),
+    g{i} AS (SELECT rk, a, size, greatest(0, least(floor(dv * a + 0.5)::INT, a)) AS m FROM f{i}),
+    s{i} AS (SELECT rk, coalesce(sum(2 * a - ({_cost_sql('exact')})) FILTER (a > 0), 0) AS saved, sum(a)::BIGINT AS bases, count(*) FILTER (a > 0) AS used, sum(size)::BIGINT AS total FROM g{i} GROUP BY 1),
+    d{i} AS MATERIALIZED (SELECT s.*, CASE WHEN saved - cost > 1e-9 THEN 'exclusive' WHEN consensus_length >= 50 AND n >= 3 THEN 'standalone' ELSE 'rejected' END AS state,
+      saved - cost > 1e-9 OR (consensus_length >= 50 AND n >= 3) AS is_in FROM s{i} s JOIN el USING (rk))""",
+) + f""", j AS (SELECT sc.*, el.rk, d.saved, d.saved - sc.cost AS own, d.bases, d.used, d.total, coalesce(d.state, 'rejected') AS state, {_FLAGS_SQL.replace('consensus_length', 'sc.consensus_length').replace('n < 3', 'sc.n < 3').replace('round(div', 'round(sc.div')} AS base
+      FROM sc LEFT JOIN el USING (family_id) LEFT JOIN d6 d ON d.rk = el.rk),
+    sel AS (SELECT family_id, consensus_length, n, round(div, 6) AS mean_divergence, round(cost, 4) AS model_cost, round(savings, 4) AS savings, round(savings - cost, 4) AS score, state,
+      round(coalesce(saved, 0), 4) AS exclusive_savings, round(coalesce(own, 0), 4) AS exclusive_score, coalesce(bases, 0) AS exclusive_bases, coalesce(used, 0)::INT AS exclusive_instances,
+      (base + CASE WHEN rk IS NULL THEN 0 ELSE (CASE WHEN bases = 0 THEN 16 ELSE 0 END + CASE WHEN state <> 'exclusive' THEN 64 ELSE 0 END
+        + CASE WHEN bases > 0 AND bases * 4 < total THEN 32 ELSE 0 END + CASE WHEN state = 'standalone' THEN 8 ELSE 0 END) END)::INT AS quality_flags,
+      CASE WHEN state = 'rejected' THEN 'reject' WHEN state = 'standalone' OR base > 0 THEN 'warn' ELSE 'core' END AS tier FROM j)"""
+
+def _tidy(selected):
+    return selected.withColumns({c: F.round(c, 4) for c in ("model_cost", "savings", "score", "exclusive_savings", "exclusive_score")} | {"mean_divergence": F.round("mean_divergence", 6)})
+
+
+@_query(_GREEDY + " SELECT * FROM sel")
 def greedy_select(spark, d):
-    return _selected(spark, d)
+    return _tidy(_selected(spark, d))
 
 
-@_query()
+@_query(
+    _GREEDY.replace("sel AS (SELECT family_id,", "sel AS (SELECT family_id, savings - cost AS raw,") + f""",
+    ok AS (SELECT family_id, row_number() OVER (ORDER BY round(raw, 6), family_id) AS pr FROM sel WHERE state <> 'rejected'),
+    qx AS MATERIALIZED (SELECT pr, rn, seq_index, {_BASES} FROM (SELECT *, row_number() OVER () AS rn FROM inst) JOIN ok USING (family_id)), """ + _rounds(
+        6, "p", "SELECT pr, true AS is_in FROM ok", lambda i: f"e{i} AS (SELECT seq_index, x, max(pr) AS last, max(pr) FILTER (is_in) AS kept, count(DISTINCT pr) FILTER (is_in) AS many FROM qx JOIN p{i - 1} USING (pr) GROUP BY 1, 2), "
+        f"h{i} AS (SELECT pr, rn, count(*) FILTER (pr = last AND (kept IS NULL OR (kept = pr AND many = 1))) AS free, count(*) AS size FROM qx JOIN e{i} USING (seq_index, x) GROUP BY 1, 2), "
+        f"p{i} AS MATERIALIZED (SELECT pr, bool_or(free >= size // 4) AS is_in FROM h{i} GROUP BY 1)",
+    )
+    + """ SELECT family_id, CASE WHEN is_in = false THEN 'pruned' ELSE state END AS state, quality_flags + CASE WHEN is_in = false THEN 128 ELSE 0 END AS quality_flags
+      FROM sel LEFT JOIN ok USING (family_id) LEFT JOIN p6 USING (pr)"""
+)
 def prune_redundant(spark, d):
     return select.prune_redundant(cut(_selected(spark, d), "selected"), A.instances(spark, d)).select("family_id", "state", "quality_flags")
 
 
-@_query()
+@_query(
+    _GREEDY + f""", o AS (SELECT count(*) AS accepted, coalesce(sum(j.cost), 0) AS models, coalesce(sum(saved) FILTER (state = 'exclusive'), 0) AS saved FROM j WHERE state <> 'rejected'),
+    cov AS (SELECT count(DISTINCT (seq_index, x)) AS bases_covered FROM (SELECT seq_index, {_BASES} FROM inst JOIN j USING (family_id) WHERE state <> 'rejected')),
+    l AS (SELECT accepted, saved, {_bits('greatest(accepted, 1)')} + models AS lib FROM o)
+    SELECT accepted, round(lib, 3) AS dl_library, round(greatest(0, 2000000 - saved + lib), 3) AS dl_total, round(greatest(0, 2000000 - saved + lib) / 2000000, 6) AS ratio, bases_covered FROM l, cov"""
+)
 def library_summary(spark, d):
-    return select.library_summary(cut(_selected(spark, d), "selected"), A.instances(spark, d), 1_000_000)
+    s = select.library_summary(cut(_selected(spark, d), "selected"), A.instances(spark, d), 1_000_000)
+    return s.withColumns({"dl_library": F.round("dl_library", 3), "dl_total": F.round("dl_total", 3), "ratio": F.round("ratio", 6)})
 
 
 @_query(

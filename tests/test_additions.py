@@ -161,9 +161,9 @@ def test_given_seeds_only(spark):
     tiles = spark.createDataFrame([(0, 0, 0, genome)], "chunk long, seq_index long, start long, seq string")
     found, _ = discover_families(tiles, DiscoverParams(l=10))
     assert found.count() >= 1
-    none, _ = discover_families(tiles, DiscoverParams(l=10, seeds=frozenset()))
+    none, _ = discover_families(tiles, DiscoverParams(l=10), spark.createDataFrame([], "lmer string"))
     assert none.count() == 0
-    one, _ = discover_families(tiles, DiscoverParams(l=10, seeds=frozenset([units[0][100:110]])))
+    one, _ = discover_families(tiles, DiscoverParams(l=10), spark.createDataFrame([(units[0][100:110],), ("ACGT",)], "lmer string"))
     assert [units[0] in r.consensus or r.consensus_length > 250 for r in one.collect()] == [True]
     assert pack("ACGTTG") == pack("CAACGT")
 
@@ -238,3 +238,18 @@ def test_backgrounds(spark):
     assert synthetic.low_complexity("A" * 40) and synthetic.low_complexity("ACGT" * 30) and not synthetic.low_complexity(random_seq(rng, 400))
     assert len(synthetic.planted(1, 800, [(2, 50, 0.0)], background=(initial, successors))[0]) == 800
     assert synthetic.mutate_indels(rng, "A" * 200, 0.1, 0.05) != "A" * 200
+
+
+def test_sieve_and_antijoin_keep_columns_of_any_name(spark):
+    from strandlake.operators.antijoin import without_keys
+    from strandlake.operators.sieve import BitSieve
+
+    names = ["k", "_at", "_page", "_bitmap", "_may", "_sieveat", "a.b"]
+    rows = [(i, *[f"{i}{n}" for n in names[1:]]) for i in range(50)]
+    df = spark.createDataFrame(rows, names)
+    keys = spark.createDataFrame([(i,) for i in range(0, 50, 5)], "k long")
+    marked = BitSieve(keys, ["k"]).may_hold(df, [F.col("k")], "seen")
+    assert marked.columns == [*names, "seen"]
+    assert sorted(tuple(r)[:-1] for r in marked.collect()) == sorted(rows) and all(r.seen for r in marked.collect() if r.k % 5 == 0)
+    left = without_keys(df, keys, "k")
+    assert left.columns == names and sorted(map(tuple, left.collect())) == sorted(r for r in rows if r[0] % 5)

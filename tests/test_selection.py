@@ -5,6 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
+import folds
 
 from strandlake.functions import mdl
 from strandlake.operators import select
@@ -71,31 +74,42 @@ def test_prune_keeps_disjoint_families(spark):
     assert select.prune_redundant(sel, inst).where("state = 'pruned'").count() == 0
 
 
-def test_components_decide_as_one_fold(spark):
-    """The fold per overlap component against one fold over everything."""
-    rng = random.Random(7)
-    fams = {f: [(rng.randrange(0, 40_000), rng.randrange(0, 60)) for _ in range(rng.randrange(1, 6))] for f in range(40)}
-    inst, table = make(spark, fams)
-    got = {r.family_id: (r.state, r.exclusive_bases) for r in select.select_library(inst, table).collect()}
-    scores = {r.family_id: (r.score, r.model_cost) for r in select.family_scores(inst, table).collect()}
-    claimed, want = select.Coverage(), {}
-    for f in sorted(fams, key=lambda x: (-scores[x][0], x)):
-        score, cost = scores[f]
-        if score <= 0 or len(fams[f]) < 2:
-            want[f] = ("rejected", 0)
-            continue
-        saved = bases = 0
-        for s, e in sorted(fams[f]):
-            free = 200 - claimed.covered(s, s + 200)
-            if free > 0:
-                saved += 2 * free - select.encoding_bits(free, int(e / 200 * free + 0.5), "exact")
-                bases += free
-        state = "exclusive" if saved > cost else "standalone" if len(fams[f]) >= 3 else "rejected"
-        if state != "rejected":
-            for s, _ in fams[f]:
-                claimed.add(s, s + 200)
-        want[f] = (state, bases)
-    assert got == want
+@pytest.mark.parametrize("seed,stretch", [(7, 1 << 16), (8, 300), (9, 1000)])
+def test_selection_and_pruning_equal_the_folds(spark, seed, stretch):
+    """Crowded libraries, long and short families, so that decisions hang on each other over many."""
+    rng = random.Random(seed)
+    rows, fams = [], {}
+    for f in range(60):
+        fams[f] = rng.choice((30, 60, 90))
+        for i in range(rng.randrange(1, 6)):
+            rec, start, n = rng.randrange(2), rng.randrange(-20, 2500), rng.choice((0, 40, 80, 120))
+            edits = rng.randrange(0, n // 4 + 1)
+            rows.append((f, i, rec, start, start + n, n, edits, edits / n if n else 0.0, 1))
+    inst, table = spark.createDataFrame(rows, INST), spark.createDataFrame(list(fams.items()), "family_id long, consensus_length int")
+    by = {f: [(r[2], r[3], r[4], r[7]) for r in rows if r[0] == f] for f in fams}
+    selected = select.select_library(inst, table, stretch=stretch)
+    got = {r.family_id: r for r in selected.collect()}
+    want = folds.select({f: (r.score, r.model_cost, r.consensus_length, r.n) for f, r in got.items()}, by)
+    assert {f: (got[f].state, got[f].exclusive_bases, got[f].exclusive_instances) for f in want} == {f: w[:3] for f, w in want.items()}
+    assert {w[0] for w in want.values()} == {"exclusive", "standalone", "rejected"}
+    assert all(got[f].state == "rejected" for f in set(fams) - set(want))
+    for f, (_, bases, _, total) in want.items():
+        assert bool(got[f].quality_flags & mdl.BIT["low_exclusive_fraction"]) == (0 < bases * 4 < total)
+    pruned = {r.family_id for r in select.prune_redundant(selected, inst, stretch=stretch).where("state = 'pruned'").collect()}
+    accepted = {f: got[f].score for f in got if got[f].state in ("exclusive", "standalone")}
+    clipped = {f: [(rec, max(0, s), max(0, s, e)) for rec, s, e, _ in v] for f, v in by.items()}
+    assert pruned == folds.prune(accepted, clipped)
+
+
+def test_a_chain_of_decisions(spark):
+    """Each family's fate turns the next one's: as many rounds as families, and still the fold's result."""
+    fams = {f: [(f * 25, 0), (100_000 + f * 25, 0)] for f in range(12)}
+    inst, table = make(spark, fams, 100)
+    table = table.withColumn("consensus_length", (F.lit(40) + F.col("family_id")).cast("int"))
+    got = {r.family_id: r for r in select.select_library(inst, table).collect()}
+    want = folds.select({f: (r.score, r.model_cost, r.consensus_length, r.n) for f, r in got.items()}, {f: [(0, s, s + 100, 0.0) for s, _ in v] for f, v in fams.items()})
+    assert {f: got[f].state for f in want} == {f: w[0] for f, w in want.items()}
+    assert len({w[0] for w in want.values()}) == 2
 
 
 def test_coalesce_keeps_order_rules(spark):
@@ -108,14 +122,3 @@ def test_coalesce_keeps_order_rules(spark):
     got = sorted((r.seq_index, r.start, r.end, r.strand, r.num_edits, r.merged) for r in select.coalesce_tandem(inst, fams).collect())
     # the third starts far before the active end: it opens a new interval
     assert got == [(0, 100, 300, 1, 33, 2), (0, 240, 250, 1, 9, 1), (0, 310, 320, -1, 1, 1), (0, 330, 340, 1, 1, 1), (1, 335, 345, 1, 1, 1)]
-
-
-def test_coverage_structure():
-    rng = random.Random(3)
-    c, seen = select.Coverage(), set()
-    for _ in range(300):
-        s = rng.randrange(1000)
-        e = s + rng.randrange(1, 40)
-        assert c.covered(s, e) == len(seen & set(range(s, e)))
-        c.add(s, e)
-        seen |= set(range(s, e))
