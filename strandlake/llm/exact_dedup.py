@@ -29,11 +29,13 @@ def exact_dedup(
     prefix, whole only if both repeat. Of a group the row with the largest ``id_col`` is kept; rows that repeat that id
     with the same text are kept with it; a null id loses to any other, and a group with null ids only is kept whole.
     An empty table gives an empty table. Other columns pass through unchanged (``text_col`` only with ``carry_text``);
-    columns that clash with an output name are replaced, and none may begin with ``_dedup_``.
+    columns that clash with an output name are replaced.
     """
     out = ("keep_id", "group_size", "kept")
-    base = df.drop(*[c for c in out if c not in (text_col, id_col)])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    others = [c for c in df.columns if c not in (*out, text_col, id_col)]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("int")
+    base = df.select(F.col(f"`{id_col}`").alias("_dedup_id"), F.col(f"`{text_col}`").alias("_dedup_text"), rest.alias("_dedup_rest"))
+    text = F.coalesce(F.col("_dedup_text"), F.lit(""))
     length, prefix = F.octet_length(text).cast("long"), F.xxhash64(F.substring(text, 1, prefix_chars))
     count = F.count(F.lit(1))
 
@@ -50,13 +52,13 @@ def exact_dedup(
     full = F.when(F.col("_dedup_1") & F.col("_dedup_2"), F.unhex(F.sha2(text, 256)))
     hashed = third.withColumn("_dedup_full", full).drop("_dedup_1", "_dedup_2", "_dedup_pre")
     if not carry_text:
-        hashed = hashed.drop(text_col)
+        hashed = hashed.drop("_dedup_text")
 
     keys = ["_dedup_len", "_dedup_full"]
     groups = (
         hashed.where(F.col("_dedup_full").isNotNull())
         .groupBy(*keys)
-        .agg(F.max(id_col).alias("keep_id"), count.alias("group_size"))
+        .agg(F.max("_dedup_id").alias("keep_id"), count.alias("group_size"))
         .where("group_size > 1")
     )
     hot, cold = split_hot(cut(groups, "dedup-group"), "group_size", rows or 0)
@@ -64,10 +66,8 @@ def exact_dedup(
     settled = known.where(F.col("_dedup_full").isNull() | F.col("group_size").isNotNull())
     open_ = known.where(F.col("_dedup_full").isNotNull() & F.col("group_size").isNull()).drop("keep_id", "group_size")
     both = settled.unionByName(open_.join(cold, keys, "left"))
-    keep = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
-    return (
-        both.withColumn("keep_id", keep)
-        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .drop(*keys)
-    )
+    keep = F.when(F.col("group_size").isNull(), F.col("_dedup_id")).otherwise(F.col("keep_id"))
+    named = {id_col: F.col("_dedup_id"), text_col: F.col("_dedup_text")} | {c: F.col(f"_dedup_rest.c{i}") for i, c in enumerate(others)}
+    passed = [named[c].alias(c) for c in df.columns if c in named and c not in out and (carry_text or c != text_col)]
+    whole = both.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+    return whole.select(*passed, "keep_id", "group_size", F.col("_dedup_id").eqNullSafe(F.col("keep_id")).alias("kept"))

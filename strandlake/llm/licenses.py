@@ -115,6 +115,29 @@ lgpl-2.1
   name: (?:gnu )?lesser general public licen[cs]e(?: version| v)? ?v?2 1
   name: (?:gnu )?lgpl(?: version| v)? ?v?2 1
   tag: lgplv2 1
+lgpl-2.1-or-later
+  notice: {under}(?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? ?v?2 1 (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  notice: {under}(?:gnu )?lgpl(?: version| v)? ?v?2 1 (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? ?v?2 1 (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?lgpl(?: version| v)? ?v?2 1 (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  tag: lgplv2 1 or later
+lgpl-2-or-later
+  notice: {under}(?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? ?v?2(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  notice: {under}(?:gnu )?lgpl(?: version| v)? ?v?2(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? ?v?2(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?lgpl(?: version| v)? ?v?2(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  tag: lgplv2 or later
+lgpl-2
+  notice: {under}(?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? ?v?2(?: 0)?
+  notice: {under}(?:gnu )?lgpl(?: version| v)? ?v?2(?: 0)?
+  name: (?:gnu )?(?:lesser|library) general public licen[cs]e(?: version| v)? ?v?2(?: 0)?
+  name: (?:gnu )?lgpl(?: version| v)? ?v?2(?: 0)?
+lgpl-3-or-later
+  notice: {under}(?:gnu )?(?:lesser) general public licen[cs]e(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  notice: {under}(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?(?:lesser) general public licen[cs]e(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  tag: lgplv3 or later
 lgpl-3
   notice: {under}(?:gnu )?lesser general public licen[cs]e(?: version| v)? ?v?3(?: 0)?
   notice: {under}(?:gnu )?lgpl(?: version| v)? ?v?3(?: 0)?
@@ -124,9 +147,15 @@ lgpl-3
   tag: lgplv3
 lgpl
   body: you can redistribute it and or modify it under the terms of the gnu lesser general public license
-  body: gnu library general public license
+  name: gnu library general public licen[cs]e
   name: gnu lesser general public licen[cs]e
   tag: gnu lgpl
+agpl-3-or-later
+  notice: {under}(?:gnu )?(?:affero) general public licen[cs]e(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  notice: {under}(?:gnu )?agpl(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?(?:affero) general public licen[cs]e(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  name: (?:gnu )?agpl(?: version| v)? ?v?3(?: 0)? (?:or|and)(?: at your option)?(?: any)? later(?: version)?
+  tag: agplv3 or later
 agpl-3
   body: gnu affero general public license version 3 19 november 2007
   body: you can redistribute it and or modify it under the terms of the gnu affero general public license
@@ -134,7 +163,13 @@ agpl-3
   notice: {under}(?:gnu )?agpl(?:(?: version| v)? ?v?3(?: 0)?)?
   url: gnu org licenses agpl
   name: (?:gnu )?affero general public licen[cs]e(?:(?: version| v)? ?v?3(?: 0)?)?
+  name: (?:gnu )?agpl(?: version| v)? ?v?3(?: 0)?
   tag: agpl ?v?3(?: 0)?
+gfdl
+  notice: {under}(?:gnu )?free documentation licen[cs]e(?:(?: version| v)? ?v?1 [0-9])?
+  url: gnu org licenses fdl
+  name: (?:gnu )?free documentation licen[cs]e(?:(?: version| v)? ?v?1 [0-9])?
+  tag: gfdl
 classpath-exception
   body: as a special exception the copyright holders of this library give you permission to link this library with independent modules
   name: gpl(?: version| v)? ?v?2(?: 0)? with (?:the )?classpath exception
@@ -416,7 +451,11 @@ def rules() -> list[Rule]:
     later = "(?: only| or later)?"
     before = rf"spdx license identifier (?:(?:{any_id}){later}(?: with [a-z]{{1,30}} exception(?: [0-9]){{0,2}})? (?:or|and) ){{0,4}}"
     for words, label in SPDX.items():
-        made.append((label, "spdx", rf"{before}(?P<at>{words}{later})"))
+        if "gpl" in label:
+            made.append((f"{label}-or-later", "spdx", rf"{before}(?P<at>{words} or later)"))
+            made.append((label, "spdx", rf"{before}(?P<at>{words}(?: only)?)"))
+        else:
+            made.append((label, "spdx", rf"{before}(?P<at>{words}{later})"))
     return [Rule(i, *r) for i, r in enumerate(made)]
 
 

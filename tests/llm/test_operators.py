@@ -55,6 +55,19 @@ def test_exact_dedup_matches_brute_force(spark):
         assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == want and len(got) == len(texts)
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    from strandlake.llm.exact_dedup import exact_dedup
+
+    names = ["doc_id", "text", "_at", "_page", "_bitmap", "_dedup_len", "_dedup_rest", "_n", "c0", "a.b", "kept"]
+    rows = [(i, "same" if i % 2 else f"text {i}", *[f"{i} {n}" for n in names[2:]]) for i in range(12)]
+    for carry in (False, True):
+        got = exact_dedup(spark.createDataFrame(rows, names), carry_text=carry)
+        assert got.columns == [n for n in names[:-1] if carry or n != "text"] + ["keep_id", "group_size", "kept"]
+        want = {tuple(v for n, v in zip(names, r) if n != "kept" and (carry or n != "text")) for r in rows}
+        assert {tuple(r)[:-3] for r in got.collect()} == want
+        assert sum(r.kept for r in got.collect()) == 7
+
+
 def test_exact_dedup_odd_rows(spark):
     from strandlake.llm.exact_dedup import exact_dedup
 
@@ -223,6 +236,32 @@ def test_license_suppression():
     assert labels("a permit licenser of the house") == []
 
 
+NOTICES = {
+    "GNU Affero General Public License version 3 or any later version": "agpl-3-or-later",
+    "licensed under the GNU Affero General Public License, version 3 or (at your option) any later version": "agpl-3-or-later",
+    "AGPL v3 or later": "agpl-3-or-later", "AGPL-3.0": "agpl-3", "GNU Affero General Public License v3.0": "agpl-3", "GNU AGPL version 3": "agpl-3",
+    "GNU Lesser General Public License version 3 or later": "lgpl-3-or-later", "LGPL v3": "lgpl-3", "LGPLv3 or later": "lgpl-3-or-later",
+    "GNU Lesser General Public License version 2.1 or any later version": "lgpl-2.1-or-later", "LGPL v2.1 or later": "lgpl-2.1-or-later",
+    "under the terms of the GNU Lesser General Public License version 2.1": "lgpl-2.1", "LGPL 2.1": "lgpl-2.1",
+    "GNU Library General Public License version 2 or later": "lgpl-2-or-later", "GNU Library General Public License version 2": "lgpl-2",
+    "GNU General Public License version 2 or later": "gpl-2-or-later", "GNU General Public License version 2": "gpl-2", "GPLv2 only": "gpl-2",
+    "GNU General Public License version 3, or at your option any later version": "gpl-3-or-later", "GPL v3": "gpl-3", "GPLv3 or later": "gpl-3-or-later",
+    "GNU Free Documentation License 1.3": "gfdl", "GNU Free Documentation License, Version 1.2": "gfdl",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3-or-later", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2", "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl-3-or-later",
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "SPDX-License-Identifier: Apache-2.0": "apache-2",
+    "Mozilla Public License, version 2.0": "mpl-2", "Eclipse Public License 2.0": "epl-2", "CC BY-SA 4.0": "cc-by-sa", "the Unlicense": "unlicense",
+}
+
+
+@pytest.mark.parametrize("notice", NOTICES)
+def test_notices_have_one_label(notice):
+    from strandlake.llm.licenses import scanner
+
+    for text in (notice, f"Words before. {notice}. And words behind."):
+        assert {d[2] for d in scanner().scan(text)["detections"]} == {NOTICES[notice]}
+
+
 def spelt(rng, parsed):
     """A random string that a parsed pattern matches."""
     out = ""
