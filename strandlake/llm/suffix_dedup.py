@@ -116,20 +116,24 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bits:
-    """A sieve of 64-bit hashes that Python tasks read: 2^27 bits (16 MB) at most, whatever their number."""
+    """A sieve of 64-bit hashes that Python tasks read: 2^27 bits (16 MB) at most, whatever their number. A hash has two bits,
+    and some sixteen hashes' worth of room, so one in sixty others passes; more do past eight million hashes."""
 
     def __init__(self, hashes: DataFrame, column: str):
-        self.bits = sieve_bits(hashes.count())
-        at = F.col(column).bitwiseAND((1 << self.bits) - 1)
-        pages = hashes.select(at.alias("at")).groupBy((F.col("at") / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % _PAGE).alias("bitmap"))
+        self.bits = sieve_bits(2 * hashes.count())
+        mask = (1 << self.bits) - 1
+        low, high = F.col(column).bitwiseAND(mask), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(mask)
+        rows = hashes.select(F.explode(F.array(low, high)).alias("at"))
+        pages = rows.groupBy((F.col("at") / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("at") % _PAGE).alias("bitmap"))
         held = np.zeros((1 << self.bits) // 8, np.uint8)
         for page, bitmap in pages.collect():  # 4,096 pages of 4 KB at most
             held[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = np.frombuffer(bitmap, np.uint8)
         self.shared = hashes.sparkSession.sparkContext.broadcast(held.tobytes())
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & ((1 << self.bits) - 1)
-        return (np.frombuffer(self.shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+        held, mask = np.frombuffer(self.shared.value, np.uint8), (1 << self.bits) - 1
+        low, high = hashes & mask, (hashes.view(np.uint64) >> np.uint64(32)).astype(np.int64) & mask
+        return (held[low >> 3] >> (low & 7).astype(np.uint8)) & (held[high >> 3] >> (high & 7).astype(np.uint8)) & 1 != 0
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -190,16 +194,16 @@ def text_runs(rights: DataFrame, length: int, window: int) -> tuple[DataFrame, d
     return both.where("s is not null").select("s", "part", "top", "upto", "ids"), carried
 
 
-def _places(carried, length: int):
-    """(ctx, open, left, least, most, part, top, upto, ids) -> a row per place: key, key2 (of the run and the bytes before
-    the anchor), ctx, open, d."""
-    names = ["key", "key2", "ctx", "open", "d"]
+def _places(carried, length: int, places: bool):
+    """(ctx, left, least, most, part, top, upto, ids) -> a row per place: key, key2 (of the run and the bytes before the
+    anchor) and, if ``places``, ctx and d."""
+    names = ["key", "key2", "ctx", "d"][: 4 if places else 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = [_powers(b, length + 1) for b in (_BASE, _BASE_2)]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for ctx, open_, left, least, most, part, top, upto, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[list] = [[] for _ in names]
+            for ctx, left, least, most, part, top, upto, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 d = np.arange(max(least, length - top), most + 1)
                 if not len(d):
                     continue
@@ -211,11 +215,11 @@ def _places(carried, length: int):
                     sums = np.zeros(len(back) + 1, np.uint64)
                     np.cumsum(back * p[: len(back)], out=sums[1:])
                     hashes.append(mix(mix(sums[d] + p[d]) ^ mix(runs * np.uint64(_BASE) + d.astype(np.uint64))).view(np.int64))
-                for o, v in zip(out, (hashes[0], hashes[1] >> 32, np.full(len(d), ctx), np.full(len(d), open_), d), strict=True):
+                for o, v in zip(out, (hashes[0], hashes[1] >> 32, np.full(len(d), ctx), d)):
                     o.append(v)
             if out[0]:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int16())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)).cast(t) for o, t in zip(out, kinds, strict=True)], names=names)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int16())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)).cast(t) for o, t in zip(out, kinds)], names=names)
 
     return run
 
@@ -225,7 +229,7 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
     all of first .. first + count - 1 where ``offsets`` is null, else first + each of them."""
     spark = df.sparkSession
     length, window = parse.length, parse.window
-    block = block or -(-length // 8)
+    block = block or -(-length // 4)
 
     def core_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, 0, _SLICE):
@@ -237,12 +241,12 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
     cores = df.select("text").mapInArrow(core_rows, "core long").groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     twice = Bits(cut(cores, "repeat-cores"), "core")
 
-    def contexts_of(texts: pa.Array, sieve: Bits) -> Iterator[tuple]:
+    def contexts_of(texts: pa.Array, *sieves: Bits) -> Iterator[tuple]:
         """Of each block: text number, place in it, core, and within the block's bytes first, last, anchor, and the contexts."""
         data, ends = _bytes(texts)
         for base, own, first, last, anchor in parse.blocks(data, ends):
             core = parse.cores(own, anchor)
-            some = np.flatnonzero(sieve.holds(core))
+            some = np.flatnonzero(np.logical_and.reduce([sieve.holds(core) for sieve in sieves]))
             first, last, anchor = first[some], last[some], anchor[some]
             who = np.searchsorted(ends, first + base, side="right") - 1
             held = own.tobytes() if len(some) else b""
@@ -269,7 +273,7 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
         seen: set[bytes] = set()  # spares rows of contexts that this task has given; emptied when large
         for b in bounded(batches, 0, _SLICE):
             out: list[tuple] = []
-            for *_, held, first, last, anchor, contexts in contexts_of(b.column(0), compared):
+            for *_, held, first, last, anchor, contexts in contexts_of(b.column(0), twice, compared):
                 for context, lo, hi, a in zip(contexts, first.tolist(), last.tolist(), anchor.tolist(), strict=True):
                     if context not in seen:
                         if len(seen) >= 200_000:
@@ -299,9 +303,11 @@ def repeated_places(df: DataFrame, parse: Parse, block: int = 0) -> DataFrame:
 
     placed = sides.join(rights.select("digest", "s"), "digest").join(runs, "s")
     placed = cut(placed.select("number", "open", "left", "least", "most", "part", "top", "upto", "ids"), "repeat-placed")
-    each = placed.mapInArrow(_places(shared, length), "key long, key2 int, ctx long, open boolean, d short")
+    kernel = ["number", "left", "least", "most", "part", "top", "upto", "ids"]
+    each = placed.select(kernel).mapInArrow(_places(shared, length, False), "key long, key2 int")
     doubles = cut(each.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "key2"), "repeat-doubles")
-    maybe = BitSieve(doubles, ["key", "key2"], sieve_bits(doubles.count())).may_hold(each.where("open"), [F.col("key"), F.col("key2")], "may")
+    once = placed.where("open").select(kernel).mapInArrow(_places(shared, length, True), "key long, key2 int, ctx long, d short")
+    maybe = BitSieve(doubles, ["key", "key2"], sieve_bits(doubles.count())).may_hold(once, [F.col("key"), F.col("key2")], "may")
     hits = maybe.where("may").join(doubles, ["key", "key2"], "left_semi").groupBy(F.col("ctx").alias("number")).agg(F.collect_list(F.col("d").cast("int")).alias("ds"))
     partly = hits.join(sides.select("number", "context", "most"), "number").select("context", F.expr("transform(ds, d -> most - d)").alias("offsets"))
     whole = contexts.where("n > 1").select("context", F.lit(None).cast("array<int>").alias("offsets"))
