@@ -46,6 +46,28 @@ def neighbours(instances: DataFrame, distance: int) -> DataFrame:
     ).drop("_bin", "a_bin", "b_bin")
 
 
+def comparisons(instances: DataFrame, distance: int) -> DataFrame:
+    """(seq_index, instances, comparisons): how many pairs of instances of a record, one family or two, start at most
+    ``distance`` apart: what a sweep would compare, known without a join.
+
+    Each start asks how many starts lie up to ``distance`` behind it: the running count of starts at that place, less the
+    asker's own rank (ranks add up to n (n + 1) / 2 however ties fall). Equal places are counted first, so a stretch of a
+    million bases holds two rows a base at most, whatever piles up there.
+    """
+    point = lambda at, asks: F.struct(at.cast("long").alias("at"), F.lit(asks).alias("asks"))
+    both = F.explode(F.array(point(F.col("start"), 0), point(F.col("start") + distance, 1))).alias("_p")
+    points = instances.where("start is not null").select("seq_index", both).groupBy("seq_index", F.col("_p.at").alias("at"), F.col("_p.asks").alias("asks")).agg(F.count(F.lit(1)).alias("n"))
+    points = points.withColumn("cell", F.floor(F.col("at") / (1 << 20)))
+    starts = F.sum(F.when(F.col("asks") == 0, F.col("n")).otherwise(0))
+    cells = points.groupBy("seq_index", "cell").agg(starts.alias("_c"))
+    before = F.sum("_c").over(W.partitionBy("seq_index").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    cells = cells.select("seq_index", "cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = starts.over(W.partitionBy("seq_index", "cell").orderBy("at", "asks").rowsBetween(W.unboundedPreceding, 0))
+    placed = points.withColumn("_within", within).join(cells, ["seq_index", "cell"]).where("asks = 1")
+    sums = placed.groupBy("seq_index").agg(F.sum("n").alias("instances"), F.sum(F.col("n") * (F.col("_before") + F.col("_within"))).alias("_seen"))
+    return sums.select("seq_index", "instances", F.expr("_seen - instances * (instances + 1) div 2").alias("comparisons"))
+
+
 def cooccurrences(instances: DataFrame, distance: int) -> DataFrame:
     """(a, b, total, same_direction, a_in_b, b_in_a) for family pairs a < b with neighbouring instances."""
     p = neighbours(instances, distance)
@@ -83,15 +105,27 @@ def upper_median(counts: DataFrame, keys: list[str], value: str, weight: str) ->
     return reached.groupBy(*keys, "n").agg(F.min(value).alias("median"))
 
 
-def gap_statistics(instances: DataFrame, distance: int) -> DataFrame:
-    """(a, b, gaps, median_gap, mad, steady): distances from the earlier end to the later start of neighbours in one
-    direction, within -500..``distance``; at least 3; steady if the deviation is at most 100 and the median lies within
-    -20..500 and no further than two deviations allow. Medians come from the numbers of each distance, ``distance`` + 501
-    rows a pair at most, however often a pair meets."""
+def steps(instances: DataFrame, distance: int) -> DataFrame:
+    """(a, b, gap, sign) of neighbours in one direction: the distance from the earlier end to the later start, and 1 if
+    family a comes first as read in that direction, else -1."""
     p = neighbours(instances, distance).where("a_strand = b_strand")
-    gap = F.col("b_start") - F.col("a_end")
-    g = p.select(F.least("a_family_id", "b_family_id").alias("a"), F.greatest("a_family_id", "b_family_id").alias("b"), gap.alias("gap"))
-    counts = g.where((F.col("gap") >= -500) & (F.col("gap") <= distance)).groupBy("a", "b", "gap").agg(F.count(F.lit(1)).alias("_c"))
+    sign = F.when(F.col("a_strand") > 0, 1).otherwise(-1) * F.when(F.col("a_family_id") < F.col("b_family_id"), 1).otherwise(-1)
+    return p.select(
+        F.least("a_family_id", "b_family_id").alias("a"), F.greatest("a_family_id", "b_family_id").alias("b"), (F.col("b_start") - F.col("a_end")).alias("gap"), sign.alias("sign")
+    )
+
+
+def gap_statistics(instances: DataFrame, distance: int) -> DataFrame:
+    """`steadiness` of the steps between all instances."""
+    return steadiness(steps(instances, distance).withColumn("times", F.lit(1)), distance)
+
+
+def steadiness(steps: DataFrame, distance: int) -> DataFrame:
+    """(a, b, gaps, median_gap, mad, steady) of (a, b, gap, times): distances from the earlier end to the later start of
+    neighbours in one direction, within -500..``distance``; at least 3; steady if the deviation is at most 100 and the
+    median lies within -20..500 and no further than two deviations allow. Medians come from the numbers of each distance,
+    ``distance`` + 501 rows a pair at most, however often a pair meets."""
+    counts = steps.where((F.col("gap") >= -500) & (F.col("gap") <= distance)).groupBy("a", "b", "gap").agg(F.sum("times").alias("_c"))
     med = upper_median(counts, ["a", "b"], "gap", "_c").where("n >= 3").withColumnRenamed("median", "median_gap")
     off = counts.join(med, ["a", "b"]).groupBy("a", "b", F.abs(F.col("gap") - F.col("median_gap")).alias("off")).agg(F.sum("_c").alias("_c"))
     mad = upper_median(off, ["a", "b"], "off", "_c").select("a", "b", F.col("median").alias("mad"))

@@ -49,3 +49,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return found.unionAll(
         lone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     )
+
+
+def first_come(nodes: DataFrame, edges: DataFrame, barred: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node, kept): nodes taken in ascending order, each kept unless barred or joined to a kept one before it.
+
+    ``nodes`` and ``barred`` have (node), ``edges`` (node, before) with before < node; nodes with nulls, repeated rows and
+    edges to nodes that aren't there count for nothing. In a round every open node without an open node before it is
+    kept, and those joined to it go; the least open node is always decided, so the rounds end. There are as many as the
+    longest chain of alternating decisions, a few where the order is not made to prevent it. Nothing is ordered or
+    collected; open nodes and edges shrink from round to round and are written to the shared folder.
+    """
+    every = cut(nodes.where(F.col("node").isNotNull()).select("node").distinct(), "first-come")
+    opened = cut(every.join(barred.select("node").distinct(), "node", "left_anti"), "first-come")
+    e = edges.where("before < node").select("node", "before").distinct()
+    e = cut(e.join(opened, "node", "left_semi").join(opened.select(F.col("node").alias("before")), "before", "left_semi"), "first-come")
+    took = every.where("false")
+    for i in range(max_rounds):
+        leaders = cut(opened.join(e.select("node").distinct(), "node", "left_anti"), "first-come")
+        took = took.unionAll(leaders) if i % 20 else cut(took.unionAll(leaders), "first-come")
+        fallen = cut(e.join(leaders.select(F.col("node").alias("before")), "before", "left_semi").select("node").distinct(), "first-come")
+        opened = cut(opened.join(leaders.unionAll(fallen), "node", "left_anti"), "first-come")
+        if opened.isEmpty():
+            break
+        e = cut(e.join(fallen, "node", "left_anti").join(fallen.select(F.col("node").alias("before")), "before", "left_anti"), "first-come")
+    else:
+        raise RuntimeError(f"nodes were not decided within {max_rounds} rounds")
+    return every.join(took.withColumn("_in", F.lit(True)), "node", "left").select("node", F.coalesce("_in", F.lit(False)).alias("kept"))

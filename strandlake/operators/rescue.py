@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import mdl
+from strandlake.operators.graph import first_come
 from strandlake.operators.intervals import overlap_join, overlap_length
+from strandlake.storage import cut
 
 
 def containment(query: DataFrame, target: DataFrame, width: int, share: float = 0.80) -> DataFrame:
@@ -61,17 +63,51 @@ def without_duplicates(candidates: DataFrame, evidence: DataFrame, least: float
     return candidates.join(same.select(F.col("query_id").alias("family_id")), "family_id", "left_anti")
 
 
-def best_evidence(evidence: DataFrame) -> DataFrame:
-    """Per candidate the accepted family with the largest product of ratio, identity and containment."""
+def judge_in_order(candidates: DataFrame, evidence: DataFrame, least: float = 0.80) -> DataFrame:
+    """(family_id, kept, matched_id, matched_known, ratio, identity, fraction, near): ``candidates`` (family_id) held, in
+    ascending order, against the known families and the candidates kept before.
+
+    ``evidence`` has (query_id, target_id, known, ratio, identity, fraction), a row per pair that may be alike: ``known``
+    tells a known family from a candidate, of which those before the query count. A candidate of which ratio, identity
+    and containment all reach ``least`` with one of them is dropped; its match is the first such one, known families
+    before candidates, by id. The match of a kept one is what has the largest product of the three, the first of equals;
+    without a positive product it is null and the three are 0. ``near`` marks kept candidates whose match reaches
+    ``least`` but for a containment of at least a half. Null measures count as 0.
+    """
+    measures = ("ratio", "identity", "fraction")
+    e = evidence.withColumns({m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in measures})
+    e = cut(e.where("known or target_id < query_id").select("query_id", "target_id", "known", *measures), "rescue-judged")
+    same = F.least(*measures) >= least
+    barred = e.where(same & F.col("known")).select(F.col("query_id").alias("node"))
+    links = e.where(same & ~F.col("known")).select(F.col("query_id").alias("node"), F.col("target_id").alias("before"))
+    states = cut(first_come(candidates.select(F.col("family_id").alias("node")), links, barred), "rescue-states")
+    there = e.join(states.where("kept").select(F.col("node").alias("target_id")), "target_id", "left_semi").where(~F.col("known"))
+    held = e.where("known").unionByName(there)
     product = F.col("ratio") * F.col("identity") * F.col("fraction")
-    best = evidence.groupBy("query_id").agg(F.min(F.struct((-product).alias("p"), "target_id")).alias("s"))
-    return best.select("query_id", F.col("s.target_id").alias("target_id"), (-F.col("s.p")).alias("evidence"))
+    place = [(~F.col("known")).alias("later"), F.col("target_id").alias("id"), *measures]
+    found = held.groupBy(F.col("query_id").alias("node")).agg(
+        F.min(F.when(same, F.struct(F.lit(0.0).alias("p"), *place))).alias("_same"), F.min(F.when(product > 0, F.struct((-product).alias("p"), *place))).alias("_best")
+    )
+    best = F.coalesce("_same", "_best")
+    rows = states.join(found, "node", "left").select(F.col("node").alias("family_id"), "kept", best.alias("_m"))
+    rows = rows.select(
+        "family_id", "kept", F.col("_m.id").alias("matched_id"), (~F.col("_m.later")).alias("matched_known"), *[F.coalesce(f"_m.{m}", F.lit(0.0)).alias(m) for m in measures]
+    )
+    return rows.withColumn("near", F.col("kept") & (F.least("ratio", "identity") >= least) & (F.col("fraction") >= 0.5))
+
+
+def statistics(verdicts: DataFrame) -> DataFrame:
+    """One row: candidates, appended, duplicates, near_duplicates and the largest identity, containment and length ratio
+    of the candidates' matches."""
+    return verdicts.agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("kept").alias("appended"), F.count_if(~F.col("kept")).alias("duplicates"),
+        F.count_if("near").alias("near_duplicates"),
+        *[F.coalesce(F.max(m), F.lit(0.0)).alias(f"max_{m}") for m in ("identity", "fraction", "ratio")],
+    )
 
 
 def append_rescued(families: DataFrame, rescued: DataFrame) -> DataFrame:
-    """Families with the rescued ones behind them: flagged, numbered on from the largest id."""
-    top = families.agg(F.coalesce(F.max("family_id"), F.lit(-1)).alias("_top"))
-    moved = rescued.crossJoin(F.broadcast(top))  # one row
-    moved = moved.withColumn("family_id", F.col("family_id") + F.col("_top") + 1).drop("_top")
+    """Families with the rescued ones (family_id, output_id, ...) behind them, flagged, under their ``output_id``."""
+    moved = rescued.drop("family_id").withColumnRenamed("output_id", "family_id")
     moved = moved.withColumn("discovery_flags", F.col("discovery_flags").bitwiseOR(mdl.BIT["rescue_discovery"]))
     return families.unionByName(moved)

@@ -257,11 +257,16 @@ def compact(families: DataFrame, counts: DataFrame, k: int, good_length: int = 3
     The new number is an offset per id range plus the place in it, so the numbering isn't one task's sort.
     """
     kept = families.join(counts, "family_id").where((F.col("n") >= 2) & (F.col("consensus_length") >= max(2 * k, good_length)))
-    ranged = kept.withColumn("_r", F.floor(F.col("family_id") / 65_536))
+    return densely(kept, "family_id", "new_id")
+
+
+def densely(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with their number from 0 in the order of the distinct integers of ``column`` as ``name``."""
+    ranged = rows.withColumn("_r", F.floor(F.col(column) / 65_536))
     sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
     offset = sizes.select("_r", F.coalesce(F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    place = F.row_number().over(W.partitionBy("_r").orderBy("family_id")) - 1
-    return ranged.withColumn("_p", place).join(offset, "_r").withColumn("new_id", (F.col("_p") + F.col("_o")).cast("long")).drop("_r", "_p", "_o")
+    place = F.row_number().over(W.partitionBy("_r").orderBy(column)) - 1
+    return ranged.withColumn("_p", place).join(offset, "_r").withColumn(name, (F.col("_p") + F.col("_o")).cast("long")).drop("_r", "_p", "_o")
 
 
 def coverage_by_others(instances: DataFrame, width: int) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strandlake.operators import assemble, kernels, kmers, merge, refine, scale, select, split
 from strandlake.operators.discover import discover_families
 from strandlake.operators.graph import connected_components
+from strandlake.operators.rescue import statistics as rescue_statistics
 from strandlake.plans.config import Params
 from strandlake.plans.rescue import recall_rescue
 from strandlake.sources.audit import rescue_audit
@@ -26,8 +27,8 @@ Trace = Callable[[int, str, DataFrame, DataFrame], None]
 
 @dataclass
 class Library:
-    """Families with their states, their instances (as reported: coalesced), the one-row summary, the audits, and how
-    many families hold as many instances as are recruited at most."""
+    """Families with their states, their instances (as reported: coalesced), the one-row summary, the audits, how
+    many families hold as many instances as are recruited at most, and the one-row statistics of the rescue."""
 
     families: DataFrame
     selected: DataFrame
@@ -36,6 +37,7 @@ class Library:
     split_audit: DataFrame
     rescue_audit: DataFrame | None = None
     capped: int = 0
+    rescue_statistics: DataFrame | None = None
 
 
 def chunked(seqs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -165,18 +167,18 @@ def assemble_fragments(families: DataFrame, instances: DataFrame, index: DataFra
     distance = assemble.reach(families).first()[0] or 500
     own = assemble.thinned(instances)
     n = own.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
-    met = assemble.neighbours(own, distance).groupBy(F.floor(F.col("a_start") / distance)).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    if met > p.library.most_neighbours:
-        warnings.warn(f"{met} neighbouring instances: fragments are not assembled", stacklevel=2)
+    work = assemble.comparisons(own, distance).agg(F.sum("comparisons")).first()[0] or 0
+    if work > p.library.most_neighbours:
+        warnings.warn(f"{work} neighbouring instances: fragments are not assembled", stacklevel=2)
         return families, instances
     pairs = cut(assemble.joinable(assemble.cooccurrences(own, distance), families, n).select("a", "b", "total"), "assemble-pairs")
     members = cut(families.select("family_id", F.lit(1).alias("members")), "assemble-members")
     for _ in range(9):
-        own = assemble.thinned(instances)
-        steady = assemble.gap_statistics(own, distance).where("steady").select("a", "b", "median_gap")
-        order = assemble.neighbours(own, distance).where("a_strand = b_strand")
-        sign = F.when(F.col("a_strand") > 0, 1).otherwise(-1) * F.when(F.col("a_family_id") < F.col("b_family_id"), 1).otherwise(-1)
-        votes = order.groupBy(F.least("a_family_id", "b_family_id").alias("a"), F.greatest("a_family_id", "b_family_id").alias("b")).agg(F.sum(sign).alias("votes"))
+        ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("family_id")).distinct(), "assemble-ends")
+        thin = assemble.thinned(instances.join(ends, "family_id", "left_semi"))
+        steps = cut(assemble.steps(thin, distance).join(pairs.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b", "gap", "sign").agg(F.count(F.lit(1)).alias("times")), "assemble-steps")
+        steady = assemble.steadiness(steps, distance).where("steady").select("a", "b", "median_gap")
+        votes = steps.groupBy("a", "b").agg(F.sum(F.col("sign") * F.col("times")).alias("votes"))
         ma = members.select(F.col("family_id").alias("a"), F.col("members").alias("_ma"))
         mb = members.select(F.col("family_id").alias("b"), F.col("members").alias("_mb"))
         picked = pairs.join(ma, "a").join(mb, "b").where("_ma + _mb <= 10").drop("_ma", "_mb").join(steady, ["a", "b"]).join(votes, ["a", "b"])
@@ -253,14 +255,14 @@ def build_library(seqs: DataFrame, params: Params | None = None, trace: Trace |
     families, raw = cut(found, "found"), cut(raw, "found-inst")
     if p.sample is not None and total > p.sample.size:
         raw = scale.from_samples(raw, tiles)
-    audit_rows = None
+    audit_rows = rescued = None
     if p.rescue is not None:
         bases = searched.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
         l = p.discover.l or min(31, max(8, math.ceil(1 + math.log(max(bases, 1), 4))))  # noqa: E741
         known = raw.withColumn("instance_idx", F.monotonically_increasing_id())
         r = p.rescue
-        families, raw, evidence, segments = recall_rescue(seqs, families, cut(known, "known"), l, p.discover, r.l_delta, r.max_families, r.least_gap, r.flank, r.full, p.library.chunk)
-        audit_rows = rescue_audit(segments, evidence, families, raw)
+        families, raw, verdicts, segments = recall_rescue(seqs, families, cut(known, "known"), l, p.discover, r.l_delta, r.max_families, r.least_gap, r.flank, r.full, p.library.chunk)
+        audit_rows, rescued = rescue_audit(segments, verdicts), rescue_statistics(verdicts)
     said(1, "discover", families, raw)
     k = min(31, max(8, math.ceil(1 + math.log(max(total, 1), 4))))
     rows = cut(kmers.kmer_rows(seqs, k), "kmers")
@@ -297,4 +299,4 @@ def build_library(seqs: DataFrame, params: Params | None = None, trace: Trace |
     capped = reported.groupBy("family_id").count().where(F.col("count") >= p.refine.max_instances).count()
     if capped:
         warnings.warn(f"{capped} families at the instance cap of {p.refine.max_instances}: their copies and scores are truncated", stacklevel=2)
-    return Library(families, selected, reported, summary, audit, audit_rows, capped)
+    return Library(families, selected, reported, summary, audit, audit_rows, capped, rescued)

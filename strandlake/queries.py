@@ -297,6 +297,15 @@ def cooccurrence_pairs(spark, d):
     return assemble.cooccurrences(A.brand_instances(spark, d), 30)
 
 
+@_query(
+    f"""WITH {A.INST}, p AS (SELECT a.seq_index, count(*) AS c FROM inst a JOIN inst b ON a.seq_index = b.seq_index AND b."start" - a."start" BETWEEN 0 AND 30
+      AND (b."start" > a."start" OR b.instance_idx > a.instance_idx) GROUP BY 1)
+    SELECT seq_index, count(*) AS instances, coalesce(any_value(c), 0) AS comparisons FROM inst LEFT JOIN p USING (seq_index) GROUP BY 1"""
+)
+def assembly_work(spark, d):
+    return assemble.comparisons(A.instances(spark, d), 30)
+
+
 @_query(
     f"WITH {A.BRANDS}, " + _NEAR.format(t="binst", d=30) + """, g AS (SELECT least(fa, fb) AS a, greatest(fa, fb) AS b, sb - ea AS gap FROM near WHERE same AND sb - ea BETWEEN -500 AND 30),
     m AS (SELECT a, b, list_sort(list(gap)) AS l FROM g GROUP BY a, b HAVING count(*) >= 3), n AS (SELECT a, b, l, l[len(l) // 2 + 1] AS med FROM m),
@@ -604,6 +613,36 @@ def rescue_antijoin(spark, d):
     return rescue.without_duplicates(q.select("family_id").distinct(), e, least=0.1)
 
 
+@_query(
+    _CONTAIN.replace("WITH ", "WITH RECURSIVE ", 1) + """, e0 AS (SELECT query_id, target_id, contained / n AS fraction, least(x.p_size, y.p_size) / greatest(x.p_size, y.p_size) AS ratio
+      FROM c JOIN n USING (query_id) JOIN part x ON x.p_partkey = query_id JOIN part y ON y.p_partkey = target_id),
+    s AS (SELECT query_id, target_id, count(DISTINCT a.instance_idx) AS contained FROM (SELECT family_id AS query_id, * FROM q) a JOIN (SELECT family_id AS target_id, * FROM q) b ON a.seq_index = b.seq_index
+      AND target_id < query_id AND a."start" < b."end" AND b."start" < a."end" AND least(a."end", b."end") - greatest(a."start", b."start") >= 0.8 * (a."end" - a."start") GROUP BY ALL),
+    e1 AS (SELECT query_id, target_id, contained / n AS fraction, least(x.p_size, y.p_size) / greatest(x.p_size, y.p_size) AS ratio
+      FROM s JOIN n USING (query_id) JOIN part x ON x.p_partkey = query_id JOIN part y ON y.p_partkey = target_id),
+    bar AS (SELECT DISTINCT query_id FROM e0 WHERE least(fraction, ratio) >= 0.1),
+    dup AS (SELECT query_id, list(target_id) AS earlier FROM e1 WHERE least(fraction, ratio) >= 0.1 GROUP BY 1),
+    cand AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS i, bar.query_id IS NOT NULL AS barred, coalesce(earlier, []) AS earlier
+      FROM n LEFT JOIN bar USING (query_id) LEFT JOIN dup USING (query_id)),
+    walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS k UNION ALL SELECT cand.i, CASE WHEN barred OR list_has_any(k, earlier) THEN k ELSE list_append(k, query_id) END
+      FROM walk JOIN cand ON cand.i = walk.i + 1),
+    kept AS (SELECT unnest(k) AS family_id FROM (SELECT k FROM walk ORDER BY i DESC LIMIT 1)),
+    h AS (SELECT 0 AS later, * FROM e0 UNION ALL SELECT 1, * FROM e1 WHERE target_id IN (SELECT family_id FROM kept)),
+    m AS (SELECT DISTINCT ON (query_id) * FROM h ORDER BY query_id, least(fraction, ratio) >= 0.1 DESC,
+      CASE WHEN least(fraction, ratio) >= 0.1 THEN 0 ELSE -fraction * ratio END, later, target_id)
+    SELECT n.query_id AS family_id, n.query_id IN (SELECT family_id FROM kept) AS kept, target_id AS matched_id, later = 0 AS matched_known, round(coalesce(fraction, 0), 6) AS fraction FROM n LEFT JOIN m USING (query_id)"""
+)
+def rescue_in_order(spark, d):
+    q, t = _sides(spark, d)
+    size = A.table(spark, d, "part").select("p_partkey", "p_size")
+    x, y = (size.select(F.col("p_partkey").alias(k), F.col("p_size").alias(n)) for k, n in (("query_id", "sx"), ("target_id", "sy")))
+    old, own = rescue.containment(q, t, 50), rescue.containment(q, q, 50).where("target_id < query_id")
+    e = old.withColumn("known", F.lit(True)).unionByName(own.withColumn("known", F.lit(False))).join(x, "query_id").join(y, "target_id")
+    e = e.withColumn("ratio", F.least("sx", "sy") / F.greatest("sx", "sy")).withColumn("identity", F.lit(1.0))
+    judged = rescue.judge_in_order(q.select("family_id").distinct(), e, least=0.1)
+    return judged.select("family_id", "kept", "matched_id", "matched_known", F.round("fraction", 6).alias("fraction"))
+
+
 _BEDS = f"""WITH {A.INST}, b AS (SELECT instance_idx AS id, seq_index AS chrom, "start", "end", family_id % 5 AS name, CASE WHEN num_edits = 0 THEN '.' WHEN strand = 1 THEN '+' ELSE '-' END AS strand, divergence FROM inst),
     p AS (SELECT * FROM b WHERE divergence < 0.2), t AS (SELECT * FROM b WHERE divergence >= 0.3),
     m AS (SELECT p.id AS pid, t.id AS tid, t.name, least(p."end", t."end") - greatest(p."start", t."start") AS o FROM p JOIN t ON p.chrom = t.chrom AND p."start" < t."end" AND t."start" < p."end"

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandlake.functions import mdl
 from strandlake.sources.tables import sequence_statistics
 
 
@@ -24,34 +23,28 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def rescue_audit(segments: DataFrame, evidence: DataFrame, families: DataFrame, instances: DataFrame, least: float = 0.80) -> DataFrame:
-    """The rescue audit: one row per target segment and per judged pair of a candidate and a known family."""
-    whole = lambda v: F.lit(v).cast("long")
+def rescue_audit(segments: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rescue audit: one row per target segment and per candidate of `recall_rescue`'s ``verdicts``, with its fate and
+    the family that it matched best."""
+    whole = lambda v: F.lit(v).cast("long").alias
     none = F.lit(0.0)
     seg = segments.select(
         F.lit("target_segment").alias("record_type"), F.lit("target").alias("decision"), F.lit("uncovered_gap").alias("reason"),
-        (F.row_number().over(W.partitionBy("seq_index").orderBy("start")) - 1).cast("long").alias("source_family_id"), whole(-1).alias("output_family_id"),
-        whole(-1).alias("matched_family_id"), F.col("seq_index").cast("long").alias("seq_index"), F.col("start").cast("long").alias("raw_start"),
-        F.col("end").cast("long").alias("raw_end"), (F.col("end") - F.col("start")).cast("long").alias("length"), whole(0).alias("consensus_length"),
-        whole(0).alias("num_instances"), none.alias("consensus_identity"), none.alias("contained_instance_fraction"), none.alias("length_ratio"),
+        (F.row_number().over(W.partitionBy("seq_index").orderBy("start")) - 1).cast("long").alias("source_family_id"), whole(-1)("output_family_id"),
+        whole(-1)("matched_family_id"), F.col("seq_index").cast("long").alias("seq_index"), F.col("start").cast("long").alias("raw_start"),
+        F.col("end").cast("long").alias("raw_end"), (F.col("end") - F.col("start")).cast("long").alias("length"), whole(0)("consensus_length"),
+        whole(0)("num_instances"), none.alias("consensus_identity"), none.alias("contained_instance_fraction"), none.alias("length_ratio"),
     )
-    same = (F.col("ratio") >= least) & (F.col("identity") >= least) & (F.col("fraction") >= least)
-    cand = evidence.select(
-        F.lit("candidate").alias("record_type"), F.when(same, "drop").otherwise("keep").alias("decision"), F.when(same, "duplicate").otherwise("distinct").alias("reason"),
-        F.col("query_id").alias("source_family_id"), whole(-1).alias("output_family_id"), F.col("target_id").alias("matched_family_id"),
-        whole(-1).alias("seq_index"), whole(0).alias("raw_start"), whole(0).alias("raw_end"), whole(0).alias("length"), whole(0).alias("consensus_length"),
-        whole(0).alias("num_instances"), F.col("identity").alias("consensus_identity"), F.col("fraction").alias("contained_instance_fraction"),
-        F.col("ratio").alias("length_ratio"),
+    number = lambda c: F.coalesce(F.col(c), F.lit(-1)).cast("long")
+    cand = verdicts.select(
+        F.lit("candidate").alias("record_type"), F.when(F.col("kept"), "append").otherwise("filter").alias("decision"),
+        F.when(F.col("kept"), "kept").otherwise("duplicate_existing").alias("reason"), number("family_id").alias("source_family_id"),
+        number("output_id").alias("output_family_id"), number("matched_id").alias("matched_family_id"), whole(-1)("seq_index"), whole(0)("raw_start"),
+        whole(0)("raw_end"), whole(0)("length"), F.col("consensus_length").cast("long").alias("consensus_length"),
+        F.col("num_instances").cast("long").alias("num_instances"), F.round("identity", 6).alias("consensus_identity"),
+        F.round("fraction", 6).alias("contained_instance_fraction"), F.round("ratio", 6).alias("length_ratio"),
     )
-    n = instances.groupBy("family_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = families.where(F.col("discovery_flags").bitwiseAND(mdl.BIT["rescue_discovery"]) != 0).join(n, "family_id", "left").select(
-        F.lit("candidate").alias("record_type"), F.lit("append").alias("decision"), F.lit("new_family").alias("reason"), whole(-1).alias("source_family_id"),
-        F.col("family_id").cast("long").alias("output_family_id"), whole(-1).alias("matched_family_id"), whole(-1).alias("seq_index"), whole(0).alias("raw_start"),
-        whole(0).alias("raw_end"), whole(0).alias("length"), F.col("consensus_length").cast("long").alias("consensus_length"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("num_instances"), none.alias("consensus_identity"), none.alias("contained_instance_fraction"),
-        none.alias("length_ratio"),
-    )
-    return seg.unionByName(cand).unionByName(kept)
+    return seg.unionByName(cand)
 
 
 def quality_report(sequences: DataFrame, mode: str = "off", tool: str = "seqkit", path: str | None = None, timeout: int = 300) -> tuple[DataFrame, str | None]:

@@ -8,7 +8,7 @@ import pytest
 from genomes import mutate, planted, random_seq
 
 from strandlake import cli
-from strandlake.operators import boundary, merge, rescue
+from strandlake.operators import assemble, boundary, merge, rescue
 from strandlake.operators.refine import Pieces
 from strandlake.plans.config import DiscoverParams, Params
 from strandlake.plans.rescue import recall_rescue
@@ -54,19 +54,85 @@ def test_rescue_finds_what_is_uncovered(spark):
     known = [t for t in truth if t[2] == 0]
     fams = spark.createDataFrame([(0, units[0], 200)], "family_id long, consensus string, consensus_length int")
     inst = spark.createDataFrame([(0, i, 0, s, e, 0, 0.0, 1) for i, (s, e, _) in enumerate(known)], "family_id long, instance_idx long, seq_index long, start long, end long, num_edits int, divergence double, strand int")
-    merged, moved, evidence, segments = recall_rescue(seqs, fams, inst, 12, DiscoverParams(), flank=20)
+    merged, moved, verdicts, segments = recall_rescue(seqs, fams, inst, 12, DiscoverParams(), flank=20)
     rows = merged.collect()
-    assert any(r.discovery_flags == 256 and units[1] in r.consensus for r in rows) or any(r.discovery_flags == 256 for r in rows)
+    assert any(r.discovery_flags == 256 for r in rows) and sorted(r.family_id for r in rows) == list(range(len(rows)))
     assert {r.family_id for r in moved.select("family_id").distinct().collect()} == {r.family_id for r in rows}
-    log = audit.rescue_audit(segments, evidence, merged, moved)
+    log = audit.rescue_audit(segments, verdicts)
     assert len(log.columns) == 15 and log.where("record_type = 'target_segment'").count() == segments.count() > 0
-    assert log.where("decision = 'append'").count() == merged.where("discovery_flags = 256").count()
+    assert log.where("decision = 'append' and reason = 'kept'").count() == merged.where("discovery_flags = 256").count()
+    assert log.where("record_type = 'candidate'").count() == verdicts.count()
     with pytest.raises(ValueError):
         recall_rescue(seqs, fams, inst, 12, DiscoverParams(), l_delta=9)
     pairs = spark.createDataFrame([(1, 2, 0.9, 0.9, 0.9), (3, 2, 0.9, 0.1, 0.9)], "query_id long, target_id long, ratio double, identity double, fraction double")
     left = rescue.without_duplicates(spark.createDataFrame([(1,), (3,), (4,)], "family_id long"), pairs)
     assert sorted(r[0] for r in left.collect()) == [3, 4]
-    assert {r.query_id: r.target_id for r in rescue.best_evidence(pairs).collect()} == {1: 2, 3: 2}
+
+
+def in_turn(ids, evidence, least=0.8):
+    """The candidates one after another, each against all known families and the candidates kept so far."""
+    out, kept = {}, []
+    for i in sorted(ids):
+        there = sorted((not k, t, r, d, f) for q, t, k, r, d, f in evidence if q == i and (k or (t < q and t in kept)))
+        match, best, dropped = (None, None, 0.0, 0.0, 0.0), 0.0, False
+        for later, t, r, d, f in there:
+            if r * d * f > best:
+                match, best = (t, not later, r, d, f), r * d * f
+            if min(r, d, f) >= least:
+                match, dropped = (t, not later, r, d, f), True
+                break
+        if not dropped:
+            kept.append(i)
+        out[i] = (not dropped, *match, not dropped and min(match[2:4]) >= least and match[4] >= 0.5)
+    return out
+
+
+EVIDENCE = "query_id long, target_id long, known boolean, ratio double, identity double, fraction double"
+
+
+def test_candidates_are_judged_in_order(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(500), 90)
+    steps = [0.0, 0.3, 0.5, 0.79, 0.8, 0.9, 1.0]
+    rows = {}
+    for q in ids:
+        for _ in range(8):
+            known = rng.random() < 0.15
+            rows[q, rng.choice(ids if not known else range(20)), known] = tuple(rng.choice(steps[rng.randrange(5):]) for _ in range(3))
+    evidence = [(*k, *v) for k, v in rows.items()]
+    fams = spark.createDataFrame([(i,) for i in ids], "family_id long")
+    judged = rescue.judge_in_order(fams, spark.createDataFrame(evidence, EVIDENCE))
+    got = {r.family_id: tuple(r)[1:] for r in judged.collect()}
+    assert got == in_turn(ids, evidence) and 0 < sum(v[0] for v in got.values()) < len(ids)
+    told = rescue.statistics(judged).first()
+    assert (told.candidates, told.appended, told.duplicates) == (90, sum(v[0] for v in got.values()), sum(not v[0] for v in got.values()))
+    assert told.near_duplicates == sum(v[6] for v in got.values()) and told.max_identity == max(v[4] for v in got.values())
+
+
+def test_of_equal_candidates_one_stays(spark):
+    fams = spark.createDataFrame([(3,), (5,), (9,)], "family_id long")
+    equal = spark.createDataFrame([(5, 3, False, 1.0, 1.0, 1.0), (9, 5, False, 1.0, 1.0, 1.0), (9, 3, False, 0.9, 0.9, 0.6), (3, 3, False, 1.0, 1.0, 1.0)], EVIDENCE)
+    got = {r.family_id: (r.kept, r.matched_id, r.near) for r in rescue.judge_in_order(fams, equal).collect()}
+    assert got == {3: (True, None, False), 5: (False, 3, False), 9: (True, 3, True)}
+    chain = [(i, i - 1, False, 1.0, 1.0, 1.0) for i in range(1, 12)]
+    fams = spark.createDataFrame([(i,) for i in range(12)] + [(4,)], "family_id long")
+    got = rescue.judge_in_order(fams, spark.createDataFrame(chain, EVIDENCE)).where("kept").collect()
+    assert sorted(r.family_id for r in got) == [0, 2, 4, 6, 8, 10]
+    alone = rescue.judge_in_order(fams, spark.createDataFrame([(2, None, True, None, 1.0, 1.0)], EVIDENCE))
+    assert alone.where("kept and matched_id is null and ratio = 0").count() == 12
+    assert rescue.judge_in_order(fams.where("false"), equal).count() == 0
+
+
+def test_assembly_work_is_counted_without_a_join(spark):
+    rng = random.Random(8)
+    starts = [(r, rng.choice([rng.randrange(4_000_000), 1_048_570 + rng.randrange(12), 500])) for r in (0, 1) for _ in range(150)] + [(7, 10)]
+    df = spark.createDataFrame([(i % 3, i, r, s) for i, (r, s) in enumerate(starts)], "family_id long, instance_idx long, seq_index long, start long")
+    for distance in (0, 9, 700_000):
+        got = {r.seq_index: (r.instances, r.comparisons) for r in assemble.comparisons(df, distance).collect()}
+        for r in (0, 1, 7):
+            own = sorted(s for q, s in starts if q == r)
+            assert got[r] == (len(own), sum(b - a <= distance for i, a in enumerate(own) for b in own[i + 1 :]))
+    assert assemble.comparisons(df.where("false"), 9).count() == 0
 
 
 def test_quality_report(spark):
