@@ -21,7 +21,7 @@ LONGEST = 31  # bases that fit a long at two bits each
 def _tiles(seqs: DataFrame, k: int, tile: int, halo: int = 0) -> DataFrame:
     """(seq_index, at, first, part): each record of k bases or more in tiles whose k-mers begin at ``first`` ... ``first`` +
     ``tile`` - 1, read from ``at`` (up to ``halo`` bases earlier) on. One record spreads over tasks this way."""
-    last = F.greatest(F.length("seq") - k, F.lit(-1))
+    last = F.greatest(F.length("seq") - k, F.lit(0))
     tiles = seqs.where(F.length("seq") >= k).select("seq_index", F.explode(F.sequence(F.lit(0), last, F.lit(tile))).alias("first"), "seq")
     at = F.greatest(F.col("first") - halo, F.lit(0))
     part = F.substring("seq", at + 1, F.col("first") - at + F.lit(tile + k - 1))
@@ -145,6 +145,64 @@ def kmer_counts(rows: DataFrame, tandem: int = 500) -> DataFrame:
     return spaced.groupBy("kmer").agg(F.sum("_1").alias("freq"))
 
 
+def _placed(seqs: DataFrame) -> DataFrame:
+    """(seq_index, length, g): records that hold bases and where each begins if all are written one behind another in the
+    order of seq_index. Sums run within ranges of ids, whose totals are summed over the few ranges."""
+    sizes = seqs.select("seq_index", F.length("seq").cast("long").alias("length")).where("seq_index is not null and length > 0")
+    sizes = sizes.withColumn("_r", F.floor(F.col("seq_index") / 65_536))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("_r").agg(F.sum("length").alias("_s")).select("_r", before(W.orderBy("_r"), "_s").alias("_o"))
+    own = sizes.withColumn("_w", before(W.partitionBy("_r").orderBy("seq_index"), "length"))
+    return own.join(ranges, "_r").select("seq_index", "length", (F.col("_o") + F.col("_w")).alias("g"))
+
+
+def junctions(seqs: DataFrame, k: int) -> DataFrame:
+    """(seq_index, at, g, seq): each record's last k - 1 bases, which begin at ``at`` in it and at ``g`` in all, and the
+    k - 1 bases behind the record, through as many short records as they take. Its k-mers are those that begin in the
+    record and end in another.
+
+    Only the records' ends travel. Records' beginnings meet the ends before them by places k - 1 bases wide; as records
+    hold a base at least, neither side has more than k - 1 rows a place. Records without bases or id don't count.
+    """
+    if k < 2:
+        return _placed(seqs).select("seq_index", F.col("length").alias("at"), "g", F.lit("").alias("seq")).where("false")
+    m = k - 1
+    slim = seqs.select("seq_index", F.length("seq").cast("long").alias("length"), F.substring("seq", 1, m).alias("head"), F.expr(f"right(seq, {m})").alias("tail"))
+    ends = slim.join(_placed(seqs).select("seq_index", "g"), "seq_index")
+    end = F.col("g") + F.col("length")
+    asks = ends.select("seq_index", "length", "g", "tail", end.alias("_e"), F.explode(F.array(F.floor(end / m), F.floor(end / m) + 1)).alias("_p"))
+    heads = ends.select(F.col("g").alias("_g"), "head", F.floor(F.col("g") / m).alias("_p"))
+    met = asks.join(heads, "_p").where(F.col("_g").between(F.col("_e"), F.col("_e") + m - 1))
+    behind = met.groupBy("seq_index", "length", "g", "tail").agg(F.sort_array(F.collect_list(F.struct("_g", "head"))).alias("_h"))
+    at = F.greatest(F.col("length") - m, F.lit(0))
+    text = F.concat("tail", F.substring(F.array_join("_h.head", ""), 1, m))
+    return behind.select("seq_index", at.alias("at"), (F.col("g") + at).alias("g"), text.alias("seq"))
+
+
+def spanning_rows(seqs: DataFrame, k: int, tile: int = 20_000) -> DataFrame:
+    """(seq_index, pos, kmer, is_rev, g): ``kmer_rows`` and the k-mers that span records, as if all records were one text
+    in the order of the integer seq_index; ``pos`` is in the record where the k-mer begins, ``g`` in that text. One row per
+    seq_index is expected."""
+    zero = F.lit(0).cast("long")
+    whole = seqs.join(_placed(seqs), "seq_index").select("seq_index", zero.alias("at"), "g", "seq")
+    pieces = whole.unionByName(junctions(seqs, k)).select(F.struct("seq_index", "at", "g").alias("seq_index"), "seq")
+    piece = F.col("seq_index")
+    return kmer_rows(pieces, k, tile).select(piece["seq_index"].alias("seq_index"), (piece["at"] + F.col("pos")).alias("pos"), "kmer", "is_rev", (piece["g"] + F.col("pos")).alias("g"))
+
+
+def spanning_counts(rows: DataFrame, tandem: int = 500, stretch: int = 1 << 20) -> DataFrame:
+    """``kmer_counts`` of `spanning_rows`, distances taken in ``g``. Occurrences are ordered within stretches of ``g``, at
+    whose end (``tandem`` places, at most a stretch) they are also shown to the next one, so that a hot k-mer has many tasks."""
+    if not 1 <= tandem <= stretch:
+        raise ValueError("tandem is 1..stretch")
+    own = F.floor(F.col("g") / stretch)
+    late = F.col("g") % stretch >= stretch - tandem
+    seen = rows.select("kmer", "is_rev", "g", own.alias("_own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("_s"))
+    before = F.lag("g").over(W.partitionBy("kmer", "is_rev", "_s").orderBy("g"))
+    counted = (F.col("_s") == F.col("_own")) & (before.isNull() | (F.col("g") - before >= tandem))
+    return seen.select("kmer", F.when(counted, 1).otherwise(0).alias("_1")).groupBy("kmer").agg(F.sum("_1").alias("freq"))
+
+
 def frequent(counts: DataFrame, least: int = 2) -> DataFrame:
     return counts.where(F.col("freq") >= max(2, least))
 

@@ -64,6 +64,18 @@ def kmer_count_canonical(spark, d):
     return _counts(spark, d)
 
 
+_SPAN = f"""WITH {A.SEQS}, placed AS (SELECT seq_index, seq, sum(length(seq)) OVER (ORDER BY seq_index) - length(seq) AS g0 FROM seqs),
+    chars AS (SELECT seq_index, pos, g0 + pos AS g, substr(seq, pos + 1, 1) AS c FROM placed, unnest(range(0, length(seq))) AS r(pos)),
+    km0 AS (SELECT seq_index, pos, g, c || {" || ".join(f"lead(c, {i}) OVER o" for i in range(1, K))} AS f FROM chars WINDOW o AS (ORDER BY g)),
+    km AS (SELECT seq_index, pos, g, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer, f > reverse(translate(f, 'ACGT', 'TGCA')) AS is_rev FROM km0 WHERE f IS NOT NULL),
+    lagged AS (SELECT kmer, g, lag(g) OVER (PARTITION BY kmer, is_rev ORDER BY g) AS before FROM km)"""
+
+
+@_query(_SPAN + " SELECT kmer, sum(CASE WHEN before IS NULL OR g - before >= 500 THEN 1 ELSE 0 END)::BIGINT AS freq FROM lagged GROUP BY kmer")
+def kmer_count_spanning(spark, d):
+    return kmers.spanning_counts(kmers.spanning_rows(A.sequences(spark, d), K))
+
+
 @_query(_FREQ + " SELECT kmer, freq FROM freq WHERE freq >= 2")
 def kmer_trim(spark, d):
     return kmers.frequent(_counts(spark, d))

@@ -8,7 +8,7 @@ import pytest
 from genomes import mutate, planted, random_seq
 
 from strandlake import cli
-from strandlake.operators import assemble, boundary, merge, rescue
+from strandlake.operators import assemble, boundary, kmers, merge, rescue
 from strandlake.operators.refine import Pieces
 from strandlake.plans.config import DiscoverParams, Params
 from strandlake.plans.rescue import recall_rescue
@@ -135,6 +135,36 @@ def test_assembly_work_is_counted_without_a_join(spark):
     assert assemble.comparisons(df.where("false"), 9).count() == 0
 
 
+def test_kmers_that_span_records(spark):
+    rng = random.Random(12)
+    texts = [random_seq(rng, n) for n in (40, 1, 0, 2, 1, 1, 30, 3, 9, 10, 11, 25, 4)]
+    texts[9] = "ACGNACGTAC"
+    table = [(70_000 * (i % 3) + i, t) for i, t in enumerate(texts)]
+    seqs = spark.createDataFrame([*table, (5_000_000, None)], "seq_index int, seq string").repartition(3)
+    flip = str.maketrans("ACGT", "TGCA")
+    for k in (1, 2, 6, 12):
+        want, whole = [], "".join(t for _, t in sorted(table))
+        g = 0
+        for i, t in sorted(table):
+            for pos in range(len(t)):
+                f = whole[g + pos : g + pos + k]
+                if len(f) == k and "N" not in f:
+                    b = f.translate(flip)[::-1]
+                    want.append((i, pos, min(f, b), f > b, g + pos))
+            g += len(t)
+        rows = kmers.spanning_rows(seqs, k, tile=7)
+        assert sorted(map(tuple, rows.collect())) == sorted(want)
+        for tandem in (1, 5, 30) if k == 2 else (30,):
+            seen, last = {}, {}
+            for *_, kmer, rev, at in sorted(want, key=lambda r: r[-1]):
+                seen[kmer] = seen.get(kmer, 0) + (at - last.get((kmer, rev), -1000) >= tandem)
+                last[kmer, rev] = at
+            assert {r.kmer: r.freq for r in kmers.spanning_counts(rows, tandem, stretch=32).collect()} == seen
+    assert kmers.spanning_rows(seqs.where("false"), 5).count() == 0 and kmers.spanning_rows(seqs.where("length(seq) < 2"), 4).count() == 0
+    with pytest.raises(ValueError):
+        kmers.spanning_counts(rows, 0)
+
+
 def test_quality_report(spark):
     seqs = spark.createDataFrame([("ACGT",), ("GG",)], "seq string")
     stats, said = audit.quality_report(seqs, "auto", tool="no-such-tool", path="x")
