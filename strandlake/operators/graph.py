@@ -67,7 +67,7 @@ def first_come(nodes: DataFrame, edges: DataFrame, barred: DataFrame, max_rounds
     took = every.where("false")
     for i in range(max_rounds):
         leaders = cut(opened.join(e.select("node").distinct(), "node", "left_anti"), "first-come")
-        took = took.unionAll(leaders) if i % 20 else cut(took.unionAll(leaders), "first-come")
+        took = took.unionAll(leaders) if (i + 1) % 20 else cut(took.unionAll(leaders), "first-come")
         fallen = cut(e.join(leaders.select(F.col("node").alias("before")), "before", "left_semi").select("node").distinct(), "first-come")
         opened = cut(opened.join(leaders.unionAll(fallen), "node", "left_anti"), "first-come")
         if opened.isEmpty():
