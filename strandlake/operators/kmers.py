@@ -79,8 +79,11 @@ def kmer_rows(seqs: DataFrame, k: int, tile: int = 20_000) -> DataFrame:
     Long records are cut into tiles first; an Arrow kernel packs, compares and spells the k-mers of whole batches of
     tiles (k-mers beyond 31 bases don't fit a long and are cut by column expressions).
     """
-    if k > LONGEST:
-        return _long_kmer_rows(seqs, k, tile)
+    return _long_kmer_rows(seqs, k, tile) if k > LONGEST else tile_kmer_rows(_tiles(seqs, k, tile), k)
+
+
+def tile_kmer_rows(tiles: DataFrame, k: int) -> DataFrame:
+    """``kmer_rows`` of records in tiles (seq_index, at, first, part) with k - 1 bases behind each and none before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,8 +96,8 @@ def kmer_rows(seqs: DataFrame, k: int, tile: int = 20_000) -> DataFrame:
                     names=["seq_index", "pos", "kmer", "is_rev"],
                 )
 
-    kind = dict(seqs.dtypes)["seq_index"]
-    return _tiles(seqs, k, tile).mapInArrow(run, f"seq_index {kind}, pos long, kmer string, is_rev boolean")
+    kind = dict(tiles.dtypes)["seq_index"]
+    return tiles.mapInArrow(run, f"seq_index {kind}, pos long, kmer string, is_rev boolean")
 
 
 def _long_kmer_rows(seqs: DataFrame, k: int, tile: int) -> DataFrame:
@@ -115,6 +118,11 @@ def count_kmers(seqs: DataFrame, k: int, tandem: int = 500, tile: int = 200_000)
     """
     if k > LONGEST:
         return kmer_counts(_long_kmer_rows(seqs, k, tile), tandem)
+    return count_in_tiles(_tiles(seqs, k, tile, tandem - 1), k, tandem)
+
+
+def count_in_tiles(tiles: DataFrame, k: int, tandem: int = 500) -> DataFrame:
+    """``count_kmers`` of records in tiles (seq_index, at, first, part) with k - 1 bases behind each and ``tandem`` - 1 before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,8 +142,7 @@ def count_kmers(seqs: DataFrame, k: int, tandem: int = 500, tile: int = 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(count.astype(np.int64))], names=["code", "n"])
                 at = stop
 
-    tiles = _tiles(seqs, k, tile, tandem - 1).mapInArrow(run, "code long, n long")
-    return tiles.groupBy("code").agg(F.sum("n").alias("freq")).select(unpack(F.col("code"), k).alias("kmer"), "freq")
+    return tiles.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("freq")).select(unpack(F.col("code"), k).alias("kmer"), "freq")
 
 
 def kmer_counts(rows: DataFrame, tandem: int = 500) -> DataFrame:

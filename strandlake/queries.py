@@ -13,8 +13,8 @@ from strandlake.functions import seq as S
 from strandlake.operators import assemble, discover, evaluate, intervals, kernels, kmers, merge, recruit, rescue, scale, select, split
 from strandlake.operators.graph import connected_components
 from strandlake.plans import config, pipeline
-from strandlake.sources import tables
-from strandlake.storage import cut
+from strandlake.sources import fasta_ranges, tables
+from strandlake.storage import cut, fresh_path
 
 K = 10
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,15 @@ def kmer_count_canonical(spark, d):
     return _counts(spark, d)
 
 
+@_query(_FREQ + " SELECT kmer, freq FROM freq")
+def kmer_count_fasta_ranges(spark, d):
+    """The sequences written as FASTA files, read again by byte ranges of a megabyte and counted from tiles."""
+    seqs, path = A.sequences(spark, d), fresh_path(spark, "fasta")
+    seqs.select(F.concat(F.lit(">"), F.col("seq_index").cast("string"), F.lit("\n"), S.wrap("seq"))).write.text(path)
+    parts = fasta_ranges.read_parts(spark, path, 1 << 20)
+    return kmers.count_in_tiles(fasta_ranges.tiles(parts, before=499, after=K - 1), K)
+
+
 _SPAN = f"""WITH {A.SEQS}, placed AS (SELECT seq_index, seq, sum(length(seq)) OVER (ORDER BY seq_index) - length(seq) AS g0 FROM seqs),
     chars AS (SELECT seq_index, pos, g0 + pos AS g, substr(seq, pos + 1, 1) AS c FROM placed, unnest(range(0, length(seq))) AS r(pos)),
     km0 AS (SELECT seq_index, pos, g, c || {" || ".join(f"lead(c, {i}) OVER o" for i in range(1, K))} AS f FROM chars WINDOW o AS (ORDER BY g)),
