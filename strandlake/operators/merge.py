@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strandlake.functions import mdl
 from strandlake.operators.intervals import overlap_join, overlap_length
 
+#: Instances of one bin that a task compares with the bin's others: many families' copies may lie at one place.
+PILE = 2_000
+
 
 def profiles(seqs: DataFrame, k: int = 8) -> DataFrame:
     """(id, gram): distinct N-free k-mers of the forward strand."""
@@ -44,7 +47,7 @@ def instance_overlap(instances: DataFrame, width: int, share: float = 0.5, fract
     """(a, b, hits, overlaps): for family pairs a < b, a's instances that some instance of b overlaps by ``share`` of
     the shorter one; ``overlaps`` if they reach ``fraction`` of the smaller family."""
     own = instances.select("family_id", "instance_idx", "seq_index", "start", "end")
-    pairs = overlap_join(own, own, ["seq_index"], width).where(F.col("a_family_id") < F.col("b_family_id"))
+    pairs = overlap_join(own, own, ["seq_index"], width, pile=PILE).where(F.col("a_family_id") < F.col("b_family_id"))
     shorter = F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
     good = pairs.where(overlap_length() >= share * shorter)
     hits = good.groupBy(F.col("a_family_id").alias("a"), F.col("b_family_id").alias("b")).agg(F.countDistinct("a_instance_idx").alias("hits"))
@@ -65,7 +68,7 @@ def representatives(components: DataFrame, counts: DataFrame) -> DataFrame:
 def nested_fraction(instances: DataFrame, width: int) -> DataFrame:
     """(inner, outer, contained, fraction): instances of one family that lie wholly inside one of another, by pair."""
     own = instances.select("family_id", "instance_idx", "seq_index", "start", "end")
-    pairs = overlap_join(own, own, ["seq_index"], width).where("a_family_id <> b_family_id and a_start >= b_start and a_end <= b_end")
+    pairs = overlap_join(own, own, ["seq_index"], width, pile=PILE).where("a_family_id <> b_family_id and a_start >= b_start and a_end <= b_end")
     hits = pairs.groupBy(F.col("a_family_id").alias("inner"), F.col("b_family_id").alias("outer")).agg(F.countDistinct("a_instance_idx").alias("contained"))
     n = instances.groupBy(F.col("family_id").alias("inner")).agg(F.countDistinct("instance_idx").alias("_n"))
     return hits.join(n, "inner").select("inner", "outer", "contained", (F.col("contained") / F.col("_n")).alias("fraction"))

@@ -108,6 +108,29 @@ def test_overlap_join_lists_each_pair_once(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_overlap_join_of_short_and_very_long_intervals(spark):
+    rng = random.Random(7)
+    make = lambda n, sizes: [(i, i % 2, s := rng.randrange(-500, 40_000), s + rng.choice(sizes), "x") for i in range(n)]
+    left, right = make(300, (0, 1, 30, 45, 300, 9_000)), make(200, (2, 10, 41, 700, 90_000))
+    a, b = (spark.createDataFrame(rows, "id long, rec long, start long, end long, l string") for rows in (left, right))
+    for touching, pile in ((0, None), (15, 20), (0, 3)):
+        got = [(r.a_id, r.b_id) for r in intervals.overlap_join(a, b, ["rec"], 10, touching, pile).collect()]
+        want = {(x[0], y[0]) for x in left for y in right if x[1] == y[1] and x[2] < y[3] + touching and y[2] - touching < x[3] and x[2] < x[3] and y[2] < y[3]}
+        assert len(got) == len(set(got)) and set(got) == want
+    one = spark.createDataFrame([(0, 0, 0, 10**9, "x")], a.schema)
+    assert intervals.overlap_join(one, a, ["rec"], 10).count() == sum(x[1] == 0 and x[2] < x[3] and x[3] > 0 for x in left)
+    assert intervals.overlap_join(a.where("false"), b, ["rec"], 10, pile=1).count() == 0
+
+
+def test_piled_up_intervals_are_dealt_over_tasks(spark):
+    n = 3_000
+    rows = spark.range(n).select(F.col("id"), F.lit(1).alias("rec"), (F.col("id") % 7).alias("start"), (F.col("id") % 7 + 20).alias("end"))
+    pairs = intervals.overlap_join(rows.repartition(4), rows, ["rec"], 100, pile=100).where("a_id < b_id")
+    by_task = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == n * (n - 1) // 2
+    assert len(by_task) == 4 and max(r["count"] for r in by_task) < n * n // 4
+
+
 def test_tandem_counts_against_sequential_counter(spark):
     rng = random.Random(8)
     seqs = [(i, "".join(rng.choices("ACGTN", weights=[5, 1, 1, 1, 0.2], k=rng.randrange(0, 400)))) for i in range(12)]
