@@ -90,13 +90,19 @@ def hash_range(h: str, ranges: str) -> Column:
     return F.floor(upper.cast("double") * F.col(ranges) / float(1 << 52)).cast("long")
 
 
+def block_size(total: int) -> int:
+    """Characters of a block for so many in all: a 1024th, so that small tables interleave too, but no more than 200,000
+    unless that would make more than ten million blocks, as the schedule takes one pass over them on the driver."""
+    return max(1, min(200_000, total // 1024), -(-total // 10_000_000))
+
+
 def mix_sources(
     df: DataFrame,
     weights: dict | None = None,
     source_col: str = "source",
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_chars: int = 200_000,
+    block_chars: int | None = None,
     exponent: float = 0.7,
     repeat: bool = True,
     range_chars: int = 8_000_000,
@@ -111,7 +117,7 @@ def mix_sources(
     source; without it other columns are ignored.
 
     Rows of a source follow each other in the order of a hash of their id and are cut into blocks of ``block_chars``
-    characters by the place where they start, so any two blocks of a source differ by one row's length at most. Blocks
+    characters (by default ``block_size`` of all characters that have a weight) by the place where they start, so any two blocks of a source differ by one row's length at most. Blocks
     take the slots that ``pfair_slots`` gives their source; ``place`` orders rows within a slot. ``weights`` default to
     ``tempered_weights`` of the sources' characters and are not rounded, so that each source stays less than one block
     away from its part over the whole schedule, however long.
@@ -154,6 +160,8 @@ def mix_sources(
         s: w for k, w in weights.items() if (s := "null" if k is None else f"={k}") in sizes and w > 0
     }
     whole = whole_weights(target)
+    if block_chars is None:
+        block_chars = block_size(sum(sizes[k] for k in whole))
     planned, end, tail = plan_mix(whole, sizes, block_chars, repeat, step, max_slots)
     names = list(whole)
     blocks = [-(-sizes[k] // block_chars) for k in names]

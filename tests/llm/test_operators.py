@@ -977,6 +977,20 @@ def test_mixing_ends_without_waiting_for_tiny_sources(spark):
     assert {r.doc_id for r in got} == {r[0] for r in rows} and len(got) < 300
 
 
+def test_mixing_blocks_follow_the_size_of_the_table(spark):
+    from strandlake.llm.mixing import block_size, mix_sources
+
+    assert [block_size(n) for n in (0, 1, 1023, 10_240, 10**8, 10**9)] == [1, 1, 1, 10, 97_656, 200_000]
+    for n in (10**12, 10**14):  # the plan stays within its bound where texts are many
+        assert -(-n // block_size(n)) <= 10_000_000
+    rows = [(i, "abc"[i % 7 % 3], "x" * 50) for i in range(700)]
+    got = mix_sources(table(spark, rows, "doc_id long, source string, text string"), exponent=1.0).collect()
+    assert Counter(r.doc_id for r in got if r.epoch == 0) == Counter(range(700))
+    at = [r.source for r in sorted(got, key=lambda r: (r.slot, r.place)) if r.epoch == 0]
+    early = Counter(at[:70])  # sources take turns from the beginning
+    assert abs(early["a"] - 30) <= 2 and abs(early["b"] - 20) <= 2 and abs(early["c"] - 20) <= 2
+
+
 def test_mixing_odd_rows(spark):
     from strandlake.llm.mixing import mix_sources
 
