@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,11 +15,27 @@ from strandlake.operators.intervals import interval_union, overlap_join
 from strandlake.storage import cut
 
 
+def _integers(column: pa.ChunkedArray | pa.Array, where_null: np.ndarray | int) -> np.ndarray:
+    return np.where(np.asarray(column.is_null()), where_null, np.asarray(column.fill_null(0))).astype(np.int64)
+
+
 def family_scores(instances: DataFrame, families: DataFrame, mode: str = "exact") -> DataFrame:
-    """(family_id, consensus_length, n, mean_divergence, model_cost, savings, score)."""
-    edits = mdl.known_edits("num_edits", "divergence", "aligned_length")
-    saved = 2.0 * F.col("aligned_length") - mdl.instance_cost("aligned_length", edits, mode)
-    sums = instances.select("family_id", "divergence", saved.alias("saved")).groupBy("family_id").agg(
+    """(family_id, consensus_length, n, mean_divergence, model_cost, savings, score).
+
+    Costs are taken in batches by an Arrow kernel; iterated logarithms of column functions are not compiled.
+    """
+    edits = mdl.known_edits("num_edits", "divergence", "aligned_length").cast("long")
+    rows = instances.select("family_id", "divergence", F.col("aligned_length").cast("long").alias("length"), edits.alias("edits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = _integers(b.column(2), 0)
+            saved = 2.0 * length - mdl.instance_costs(length, _integers(b.column(3), length), mode)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(saved, mask=np.asarray(b.column(2).is_null()))], names=["family_id", "divergence", "saved"])
+
+    kinds = dict(rows.dtypes)
+    saved = rows.mapInArrow(run, f"family_id {kinds['family_id']}, divergence {kinds['divergence']}, saved double")
+    sums = saved.groupBy("family_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("divergence").alias("mean_divergence"), F.sum("saved").alias("savings")
     )
     joined = families.select("family_id", "consensus_length").join(sums, "family_id", "left")
@@ -37,86 +52,163 @@ STRETCH = 1 << 16
 
 
 def numbered(instances: DataFrame, ranks: DataFrame, *more: str) -> DataFrame:
-    """(row, family_id, rank, seq_index, start, end, size) and ``more`` of the instances of families in ``ranks``, from base 0
+    """(row, rank, seq_index, start, end, size) and ``more`` of the instances of families in ``ranks``, from base 0
     on, each with a number of its own (instances may repeat, their indices too)."""
     own = instances.join(ranks.select("family_id", "rank"), "family_id").withColumns(
         {"start": F.greatest(F.lit(0).cast("long"), F.col("start").cast("long")), "end": F.col("end").cast("long"), "row": F.monotonically_increasing_id()}
     )
-    return cut(own.select("row", "family_id", "rank", "seq_index", "start", "end", F.greatest(F.lit(0), F.col("end") - F.col("start")).alias("size"), *more), "own")
+    return cut(own.select("row", "rank", "seq_index", "start", "end", F.greatest(F.lit(0), F.col("end") - F.col("start")).alias("size"), *more), "own")
 
 
 def stretches(own: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(row, family_id, rank, seq_index, _bin, _from, _to): the instances cut at multiples of ``stretch``."""
+    """``own`` with _bin, _from, _to in place of start and end: the instances cut at multiples of ``stretch``."""
     rows = own.where("end > start").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / stretch), F.floor((F.col("end") - 1) / stretch))))
     ends = F.greatest("start", F.col("_bin") * stretch).alias("_from"), F.least("end", (F.col("_bin") + 1) * stretch).alias("_to")
-    return cut(rows.select("row", "family_id", "rank", "seq_index", "_bin", *ends), "pieces")
+    return rows.select("_bin", *ends, *[c for c in own.columns if c not in ("start", "end")])
 
 
-def ranking(families: DataFrame, score: str, weakest_first: bool) -> DataFrame:
-    """(family_id, rank): places from 1 in order of the score, to a millionth of a bit, then of the id. Numbers grow over the
-    ranges of a sort, so no task holds all."""
-    by = F.round(score, 6)
-    ordered = families.select("family_id", by.alias("_s")).orderBy(F.asc("_s") if weakest_first else F.desc("_s"), "family_id")
-    return cut(ordered.select("family_id", (F.monotonically_increasing_id() + 1).alias("rank")), "ranking")
-
+_PAGE = 32768  # bits in one value of bitmap_construct_agg
+_MOST_PAGES = 4096
 
-def _segments(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rank, in, lengths of the elementary segments, first segment, end segment) of the pieces of one stretch."""
-    cuts = np.unique(np.concatenate([pdf["_from"].to_numpy(), pdf["_to"].to_numpy()]))
-    lo, hi = np.searchsorted(cuts, pdf["_from"].to_numpy()), np.searchsorted(cuts, pdf["_to"].to_numpy())
-    return pdf["rank"].to_numpy(), pdf["is_in"].to_numpy(), np.diff(cuts), lo, hi
 
-
-def unclaimed(pdf: pd.DataFrame) -> np.ndarray:
+def ranking(families: DataFrame, score: str, weakest_first: bool) -> DataFrame:
+    """``families`` with their rank: places from 1, without gaps, in order of the score, to a millionth of a bit, then of the
+    id. They are counted within the ranges of a sort, of which one row each is added up, so no task holds all."""
+    by = F.round(score, 6)
+    ordered = families.orderBy(F.asc(by) if weakest_first else F.desc(by), "family_id").withColumn("_m", F.monotonically_increasing_id())
+    ordered = cut(ordered.withColumn("_range", F.shiftright("_m", 33)), "ranking")
+    sizes = ordered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1
+    return cut(ordered.join(F.broadcast(offsets), "_range").withColumn("rank", place).drop("_range", "_m", "_before"), "ranks")
+
+
+def _segments(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the elementary segments of the pieces of one stretch; each piece's first segment and end segment."""
+    cuts = np.unique(np.concatenate([at, to]))
+    return np.diff(cuts), np.searchsorted(cuts, at), np.searchsorted(cuts, to)
+
+
+def _summed(fits: Callable, held: np.ndarray, rank: np.ndarray, sizes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of each piece, the sizes of its segments whose ``held`` fits its rank. Pieces are looked at by their segments, some
+    hundred thousand of these at a time."""
+    out = np.zeros(len(lo), np.int64)
+    so_far = np.concatenate([[0], np.cumsum(hi - lo)])
+    at = 0
+    while at < len(lo):
+        stop = max(at + 1, int(np.searchsorted(so_far, so_far[at] + (1 << 17), side="right")) - 1)
+        count, first = hi[at:stop] - lo[at:stop], so_far[at:stop] - so_far[at]
+        segment = np.arange(int(count.sum())) + np.repeat(lo[at:stop] - first, count)
+        out[at:stop] = np.add.reduceat(np.where(fits(held[segment], np.repeat(rank[at:stop], count)), sizes[segment], 0), first)
+        at = stop
+    return out
+
+
+def unclaimed(rank: np.ndarray, inside: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Bases of each piece that no family which is in and comes before its own holds."""
-    rank, inside, sizes, lo, hi = _segments(pdf)
+    sizes, lo, hi = _segments(at, to)
     first = np.full(len(sizes), np.iinfo(np.int64).max)
-    for i in np.argsort(-rank, kind="stable"):
-        if inside[i]:
-            first[lo[i] : hi[i]] = rank[i]  # in the end the first family that holds a segment
-    return np.array([sizes[a:b][first[a:b] >= r].sum() for r, a, b in zip(rank, lo, hi, strict=True)], np.int64)
+    order = np.argsort(-rank, kind="stable")
+    order = order[inside[order]]
+    for r, a, b in zip(rank[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+        first[a:b] = r  # in the end the first family that holds a segment
+    return _summed(np.greater_equal, first, rank, sizes, lo, hi)
 
 
-def unshared(pdf: pd.DataFrame) -> np.ndarray:
+def unshared(rank: np.ndarray, inside: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Bases of each piece outside all other families that are in or come after its own."""
-    rank, inside, sizes, lo, hi = _segments(pdf)
+    sizes, lo, hi = _segments(at, to)
     last, kept, second = (np.zeros(len(sizes), np.int64) for _ in range(3))  # the last family of a segment; the last two that are in
-    for i in np.argsort(rank, kind="stable"):
-        span = slice(lo[i], hi[i])
-        last[span] = rank[i]
-        if inside[i]:
-            second[span] = np.where(kept[span] == rank[i], second[span], kept[span])
-            kept[span] = rank[i]
+    order = np.argsort(rank, kind="stable")
+    for r, a, b, is_in in zip(rank[order].tolist(), lo[order].tolist(), hi[order].tolist(), inside[order].tolist(), strict=True):
+        last[a:b] = r
+        if is_in:
+            before = kept[a:b]
+            second[a:b] = np.where(before == r, second[a:b], before)
+            kept[a:b] = r
     alone = (kept == 0) | ((kept == last) & (second == 0))
-    return np.array([sizes[a:b][(last[a:b] == r) & alone[a:b]].sum() for r, a, b in zip(rank, lo, hi, strict=True)], np.int64)
+    return _summed(np.equal, np.where(alone, last, -1), rank, sizes, lo, hi)
 
 
-def decide_in_order(pieces: DataFrame, start: DataFrame, free_bases: Callable[[pd.DataFrame], np.ndarray], judge: Callable[[DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
-    """The families as a fold in order of rank would decide them, without the fold.
+def _bitmap(state: DataFrame) -> bytes:
+    """A bit for each rank: whether the family is in."""
+    pages = state.where("is_in").groupBy((F.col("rank") / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("rank") % _PAGE).alias("bits"))
+    found = {r.page: bytes(r.bits) for r in pages.collect()}  # 4,096 pages of 4 KB at most
+    return b"".join(found.get(p, bytes(_PAGE // 8)) for p in range(max(found, default=-1) + 1))
 
-    ``start`` has (family_id, is_in), a guess; ``judge`` maps (row, free) to rows with family_id and is_in.
-    In a round every family is judged by the bases that the families before it, as they stand, leave free. If all
-    before a family stand as the fold has them, it does after the round; so the first wrong family is right after each
-    round, for good, and a round that changes nothing has what the fold gives. (It usually takes three to six, as few
-    families change sides when others do.) Work of a round: the pieces go to their stretch, where a kernel sorts them, and
-    sums per instance and family come back. No group is larger than a stretch, and no component meets in one.
-    """
-    state = cut(start, "decided")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["row"]].assign(free=free_bases(pdf))
+def decide_in_order(own: DataFrame, ranks: DataFrame, stretch: int, free_bases: Callable, whole: Callable, judge: Callable[[DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
+    """The families of ``ranks`` (rank and more) as a fold in order of rank would decide them, without the fold.
+
+    First all are taken to be in. In a round every family is judged by the bases that the families before it, as they
+    stand, leave free. If all before a family stand as the fold has them, it does after the round; so the first wrong
+    family is right after each round, for good, and a round that changes nothing has what the fold gives. (It usually takes
+    three to six, as few families change sides when others do.)
+
+    Work of a round: the instances ``own`` go to their stretch, where a kernel finds their free bases and ``whole`` (rank,
+    free, size, divergence) sums them up by family: (rank, free, saved, used). Only instances that lie in several stretches
+    are put together first. ``judge`` maps all of (rank, row, free, size, divergence, saved, used), row null for sums, to
+    ``ranks`` with is_in. Who is in is told by a bit per family, 16 MB at most, beyond which the pieces are joined with it.
+    No group is larger than a stretch, and no component meets in one.
+    """
+    spark = own.sparkSession
+    pieces, few = stretches(own, stretch), ranks.count() < _PAGE * _MOST_PAGES
+    state = None
+    kinds = {"rank": pa.int64(), "row": pa.int64(), "free": pa.int64(), "size": pa.int64(), "divergence": pa.float64(), "saved": pa.float64(), "used": pa.int64()}
+    schema = pa.schema(list(kinds.items()))
 
     for _ in range(most):
-        marked = pieces.join(state.select("family_id", "is_in"), "family_id")
-        free = marked.groupBy("seq_index", "_bin").applyInPandas(run, "row long, free long")
-        after = cut(judge(free.groupBy("row").agg(F.sum("free").alias("free"))), "decided")
-        changed = after.join(state.select("family_id", F.col("is_in").alias("_was")), "family_id").where("is_in <> _was").limit(1).count()
-        if not changed:
+        shared = spark.sparkContext.broadcast(_bitmap(state)) if state is not None and few else None
+        marked = pieces.join(state.select("rank", "is_in"), "rank") if state is not None and not few else pieces
+
+        def run(table: pa.Table) -> pa.Table:  # runs before the next round binds ``shared`` anew
+            rank, row, at, to, size = (table.column(c).to_numpy() for c in ("rank", "row", "_from", "_to", "size"))
+            divergence = table.column("divergence").to_numpy() if "divergence" in table.column_names else np.full(len(rank), np.nan)
+            if "is_in" in table.column_names:
+                inside = table.column("is_in").to_numpy(zero_copy_only=False).astype(bool)
+            elif shared is None:
+                inside = np.ones(len(rank), bool)
+            else:
+                held = np.frombuffer(shared.value, np.uint8)
+                byte = np.minimum(rank >> 3, max(len(held) - 1, 0))
+                inside = (rank < 8 * len(held)) & ((held[byte] >> (rank & 7).astype(np.uint8)) & 1).astype(bool) if len(held) else np.zeros(len(rank), bool)
+            free = free_bases(rank, inside, at, to)
+            cut_off = to - at < size
+            sums = whole(rank[~cut_off], free[~cut_off], size[~cut_off], divergence[~cut_off])
+            n, zeros = len(sums[0]), np.zeros
+            ends = np.flatnonzero(cut_off)
+            columns = [
+                np.concatenate([sums[0], rank[ends]]), pa.array(np.concatenate([zeros(n, np.int64), row[ends]]), mask=np.arange(n + len(ends)) < n),
+                np.concatenate([sums[1], free[ends]]), np.concatenate([zeros(n, np.int64), size[ends]]),
+                pa.array(np.concatenate([zeros(n), divergence[ends]]), from_pandas=True), np.concatenate([sums[2], zeros(len(ends))]), np.concatenate([sums[3], zeros(len(ends), np.int64)]),
+            ]
+            return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
+
+        found = marked.groupBy("seq_index", "_bin").applyInArrow(run, "rank long, row long, free long, size long, divergence double, saved double, used long")
+        # by rank once, which serves what is put together by instance and by family alike
+        by_row = found.repartition("rank").groupBy("rank", "row").agg(
+            F.sum("free").alias("free"), F.max("size").alias("size"), F.max("divergence").alias("divergence"), F.sum("saved").alias("saved"), F.sum("used").alias("used")
+        )
+        after = cut(judge(by_row), "decided")
+        if state is None:
+            changed = after.where("not is_in")
+        else:
+            changed = after.join(state.select("rank", F.col("is_in").alias("_was")), "rank").where("is_in <> _was")
+        if shared is not None:
+            shared.unpersist()
+        if not changed.limit(1).count():
             return after
         state = after
     raise RuntimeError(f"families were not decided within {most} rounds")
 
 
+def _by_rank(rank: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct ranks and the sums of ``values`` for each."""
+    ranks, number = np.unique(rank, return_inverse=True)
+    return ranks, *(np.bincount(number, v, len(ranks)) for v in values)
+
+
 def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact", stretch: int = STRETCH) -> DataFrame:
     """One row per family: scores, state (exclusive, standalone, rejected), exclusive coverage, flags and tier.
 
@@ -126,23 +218,30 @@ def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact
     instances are rejected before any interval is looked at and never claim.
     """
     scores = cut(family_scores(instances, families, mode), "scores")
-    eligible = scores.where("score > 0 and n >= 2")
-    own = numbered(instances, ranking(eligible, "score", weakest_first=False), "divergence")
+    eligible = ranking(scores.where("score > 0 and n >= 2"), "score", weakest_first=False)
+    own = numbered(instances, eligible, "divergence")
+    totals = own.groupBy("rank").agg(F.sum("size").alias("total"))
+    eligible = cut(eligible.join(totals, "rank"), "eligible")
     standing = (F.col("consensus_length") >= 50) & (F.col("n") >= 3)
 
-    def judge(free: DataFrame) -> DataFrame:
-        left = own.join(free, "row", "left").withColumn("free", F.coalesce("free", F.lit(0)))
-        saved = 2.0 * F.col("free") - mdl.instance_cost("free", F.floor(F.col("divergence") * F.col("free") + 0.5), mode)
-        sums = left.groupBy("family_id").agg(
-            F.sum(F.when(F.col("free") > 0, saved).otherwise(F.lit(0.0))).alias("saved"), F.sum("free").alias("bases"),
-            F.count_if(F.col("free") > 0).cast("int").alias("used"), F.sum("size").alias("total"),
-        )
-        judged = sums.join(eligible, "family_id").withColumn("own_score", F.col("saved") - F.col("model_cost"))
+    def whole(rank: np.ndarray, free: np.ndarray, size: np.ndarray, divergence: np.ndarray) -> tuple[np.ndarray, ...]:
+        unknown = np.isnan(divergence)
+        edits = np.where(unknown, free, np.floor(np.where(unknown, 0.0, divergence) * free + 0.5)).astype(np.int64)
+        saved = np.where(free > 0, 2.0 * free - mdl.instance_costs(free, edits, mode), 0.0)
+        ranks, bases, saved, used = _by_rank(rank, free, saved, free > 0)
+        return ranks, bases.astype(np.int64), saved, used.astype(np.int64)
+
+    def judge(found: DataFrame) -> DataFrame:
+        cost = mdl.instance_cost("free", F.floor(F.col("divergence") * F.col("free") + 0.5), mode)
+        saved = F.when(F.col("row").isNull(), F.col("saved")).when(F.col("free") > 0, 2.0 * F.col("free") - cost).otherwise(F.lit(0.0))
+        used = F.when(F.col("row").isNull(), F.col("used")).otherwise((F.col("free") > 0).cast("long"))
+        sums = found.groupBy("rank").agg(F.sum(saved).alias("saved"), F.sum("free").alias("bases"), F.sum(used).cast("int").alias("used"))
+        judged = eligible.join(sums, "rank", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("saved", "bases", "used")}).withColumn("own_score", F.col("saved") - F.col("model_cost"))
         exclusive = F.col("own_score") > 1e-9
         state = F.when(exclusive, F.lit("exclusive")).when(standing, F.lit("standalone")).otherwise(F.lit("rejected"))
-        return judged.select("family_id", "saved", "own_score", "bases", "used", "total", state.alias("state"), (exclusive | standing).alias("is_in"))
+        return judged.select("rank", "family_id", "saved", "own_score", "bases", "used", "total", state.alias("state"), (exclusive | standing).alias("is_in"))
 
-    decided = decide_in_order(stretches(own, stretch), eligible.select("family_id", F.lit(True).alias("is_in")), unclaimed, judge).drop("is_in")
+    decided = decide_in_order(own, eligible, stretch, unclaimed, whole, judge).drop("is_in", "rank")
     base = mdl.base_flags("consensus_length", "n", "mean_divergence")
 
     def bit(name: str, test) -> Column:
@@ -183,16 +282,25 @@ def prune_redundant(selected: DataFrame, instances: DataFrame, stretch: int = ST
     ok = selected.where("state in ('exclusive', 'standalone')").select("family_id", "score")
     if ok.limit(2).count() < 2:
         return selected
-    own = numbered(instances, ranking(ok, "score", weakest_first=True))
-
-    def judge(free: DataFrame) -> DataFrame:
-        left = own.join(free, "row", "left").withColumn("free", F.coalesce("free", F.lit(0)))
-        return left.groupBy("family_id").agg(F.bool_or(F.col("free") >= F.floor(F.col("size") / 4)).alias("is_in"))
-
-    decided = decide_in_order(stretches(own, stretch), own.select("family_id").distinct().withColumn("is_in", F.lit(True)), unshared, judge)
+    ok = ranking(ok, "score", weakest_first=True)
+    own = numbered(instances, ok)
+    # an instance of under four bases has a quarter, none, outside the others in any case
+    tiny = own.groupBy("rank").agg(F.bool_or(F.col("size") < 4).alias("tiny"))
+    held = cut(ok.join(tiny, "rank"), "accepted")
+
+    def whole(rank: np.ndarray, free: np.ndarray, size: np.ndarray, divergence: np.ndarray) -> tuple[np.ndarray, ...]:
+        ranks = np.unique(rank[free >= size // 4])
+        return ranks, np.zeros(len(ranks), np.int64), np.zeros(len(ranks)), np.ones(len(ranks), np.int64)
+
+    def judge(found: DataFrame) -> DataFrame:
+        hit = F.when(F.col("row").isNull(), F.col("used") > 0).otherwise(F.col("free") >= F.floor(F.col("size") / 4))
+        hits = found.groupBy("rank").agg(F.bool_or(hit).alias("hit"))
+        return held.join(hits, "rank", "left").select("rank", "family_id", (F.coalesce("hit", F.lit(False)) | F.col("tiny")).alias("is_in"))
+
+    decided = decide_in_order(own, held, stretch, unshared, whole, judge)
     gone = decided.where("not is_in").select("family_id", F.lit(True).alias("_gone"))
     # a family without an instance has none outside the others
-    bare = ok.join(own.select("family_id").distinct(), "family_id", "left_anti").select("family_id", F.lit(True).alias("_gone"))
+    bare = ok.join(held, "family_id", "left_anti").select("family_id", F.lit(True).alias("_gone"))
     joined = selected.join(gone.unionByName(bare), "family_id", "left")
     flag = F.col("quality_flags").bitwiseOR(mdl.BIT["pruned_redundant"])
     return joined.withColumn("state", F.when(F.col("_gone"), F.lit("pruned")).otherwise(F.col("state"))).withColumn(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,17 @@ def test_sequences(spark):
     assert low == [True, False]
     period = [r[0] for r in spark.createDataFrame([("ACACACACAC",), ("ACGTTGCAAT",), ("ACA",)], "s string").select(S.periodic("s")).collect()]
     assert period == [True, False, False]
+
+
+@pytest.mark.parametrize("mode", ["none", "upper", "exact"])
+def test_instance_costs_of_arrays_equal_the_column(spark, mode):
+    pairs = [(a, m) for a in (0, 1, 2, 50, 400, 65_536) for m in (-1, 0, 1, 7, 50, 900)]
+    want = spark.createDataFrame(pairs, "a int, m int").select("a", "m", mdl.instance_cost("a", "m", mode).alias("x")).collect()
+    got = mdl.instance_costs(np.array([r.a for r in want]), np.array([r.m for r in want]), mode)
+    assert np.allclose(got, [r.x for r in want], rtol=0, atol=1e-8)
+
+
+def test_steady_means_round_alike(spark):
+    below, at = 0.16218749999999998, 0.1621875
+    got = spark.createDataFrame([(below,), (at,)], "x double").select(F.round(mdl.steady("x"), 6).alias("x")).collect()
+    assert below < at and [r.x for r in got] == [0.162188] * 2

@@ -122,3 +122,21 @@ def test_coalesce_keeps_order_rules(spark):
     got = sorted((r.seq_index, r.start, r.end, r.strand, r.num_edits, r.merged) for r in select.coalesce_tandem(inst, fams).collect())
     # the third starts far before the active end: it opens a new interval
     assert got == [(0, 100, 300, 1, 33, 2), (0, 240, 250, 1, 9, 1), (0, 310, 320, -1, 1, 1), (0, 330, 340, 1, 1, 1), (1, 335, 345, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("pages", [4096, 0])
+def test_who_is_in_by_bits_and_by_join(spark, monkeypatch, pages):
+    """Rounds after the first read a bit per family; beyond the bits' number they join. Instances cross stretches."""
+    monkeypatch.setattr(select, "_MOST_PAGES", pages)
+    fams = {f: [(f * 25, 0), (100_000 + f * 25, 0)] for f in range(8)}
+    inst, table = make(spark, fams, 100)
+    table = table.withColumn("consensus_length", (F.lit(40) + F.col("family_id")).cast("int"))
+    got = {r.family_id: r for r in select.select_library(inst, table, stretch=64).collect()}
+    want = folds.select({f: (r.score, r.model_cost, r.consensus_length, r.n) for f, r in got.items()}, {f: [(0, s, s + 100, 0.0) for s, _ in v] for f, v in fams.items()})
+    assert {f: got[f].state for f in want} == {f: w[0] for f, w in want.items()}
+
+
+def test_bitmap_of_ranks(spark):
+    state = spark.createDataFrame([(1, True), (9, False), (70_000, True)], "rank long, is_in boolean")
+    bits = select._bitmap(state)
+    assert len(bits) == 3 * 4096 and {i for i in range(8 * len(bits)) if bits[i >> 3] >> (i & 7) & 1} == {1, 70_000}
