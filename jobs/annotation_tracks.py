@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from jobs.settings import log, log_to_stderr, settings
 from strandlake import adapters
+from strandlake.functions import mdl
 from strandlake.operators.intervals import interval_union, overlap_join
 from strandlake.operators.select import family_scores
 from strandlake.sources.tables import bed_score
@@ -42,7 +43,7 @@ def track_items(instances: DataFrame, families: DataFrame, classes: DataFrame, l
     best = F.max(F.struct(F.col("b_bits"), (-F.col("b_family_id")).alias("f")))
     items = pairs.groupBy("a_class", "a_seq_index", "a_start", "a_end").agg(
         F.count(F.lit(1)).alias("instances"), F.count_distinct("b_family_id").alias("families"),
-        F.round(F.sum(F.col("b_divergence") * size) / F.sum(size), 6).alias("divergence"), best.alias("best"),
+        F.round(mdl.steady(F.sum(F.col("b_divergence") * size) / F.sum(size)), 6).alias("divergence"), best.alias("best"),
     )
     return items.select(
         F.col("a_class").alias("class"), F.col("a_seq_index").alias("seq_index"), F.col("a_start").alias("start"), F.col("a_end").alias("end"),
