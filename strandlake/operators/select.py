@@ -242,7 +242,7 @@ def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact
         return judged.select("rank", "family_id", "saved", "own_score", "bases", "used", "total", state.alias("state"), (exclusive | standing).alias("is_in"))
 
     decided = decide_in_order(own, eligible, stretch, unclaimed, whole, judge).drop("is_in", "rank")
-    base = mdl.base_flags("consensus_length", "n", "mean_divergence")
+    base = mdl.base_flags("consensus_length", "n", F.round("mean_divergence", 9))  # a mean at the limit reaches it in whatever order it is summed
 
     def bit(name: str, test) -> Column:
         return F.when(test, F.lit(mdl.BIT[name])).otherwise(F.lit(0))

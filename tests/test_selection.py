@@ -140,3 +140,11 @@ def test_bitmap_of_ranks(spark):
     state = spark.createDataFrame([(1, True), (9, False), (70_000, True)], "rank long, is_in boolean")
     bits = select._bitmap(state)
     assert len(bits) == 3 * 4096 and {i for i in range(8 * len(bits)) if bits[i >> 3] >> (i & 7) & 1} == {1, 70_000}
+
+
+def test_a_mean_at_the_limit_is_high(spark):
+    """Its sum may come out a bit below."""
+    below = 0.24999999999999997
+    rows = [(0, i, 0, 1000 * i, 1000 * i + 200, 200, 50, below, 1) for i in range(4)]
+    got = select.select_library(spark.createDataFrame(rows, INST), spark.createDataFrame([(0, 200)], "family_id long, consensus_length int")).first()
+    assert got.n == 4 and got.mean_divergence < 0.25 and got.quality_flags & mdl.BIT["high_divergence"]
