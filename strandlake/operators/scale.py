@@ -36,9 +36,18 @@ def pack_segments(segments: list[tuple[int, int]], chunk: int) -> dict[int, int]
     return out
 
 
+_BLOCK = 1000  # windows of a record that one task draws from at a time
+
+
 def sample_tiles(lengths: DataFrame, window: int, tiles: int, seed: int = 42) -> DataFrame:
-    """``tiles`` full windows drawn by a seeded hash (the same for any partitioning), none if no record holds one."""
-    full = lengths.where(F.col("length") >= window).select("seq_index", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / window) - 1)).alias("tile"))
+    """``tiles`` full windows drawn by a seeded hash (the same for any partitioning), none if no record holds one.
+
+    A small table of lengths may stand for very many windows, so blocks of them are dealt over the tasks."""
+    last = F.floor(F.col("length") / window) - 1
+    blocks = lengths.where(F.col("length") >= window).select("seq_index", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(_BLOCK).cast("long"))).alias("_first"))
+    # a number of partitions that is given is kept; by their few bytes they would be put together again
+    dealt = blocks.repartition(int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_index", "_first")
+    full = dealt.select("seq_index", F.explode(F.sequence("_first", F.least("_last", F.col("_first") + _BLOCK - 1))).alias("tile"))
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("seq_index").cast("string"), F.col("tile").cast("string")))
     return full.orderBy(drawn, "seq_index", "tile").limit(tiles).select(
         "seq_index", "tile", (F.col("tile") * window).alias("start"), ((F.col("tile") + 1) * window).alias("end")

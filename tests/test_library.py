@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -242,3 +243,25 @@ def test_library_end_to_end(spark):
     assert len(text) == n and all(t.startswith(">R=") for t in text)
     assert tables.family_statistics(lib.selected).count() == lib.families.count()
     assert lib.split_audit.where(F.col("decision").isNull()).count() == 0
+
+
+def test_seed_hits_with_sizes_spare_only_what_the_cap_drops(spark):
+    from strandlake.operators import kmers, recruit
+
+    rng = random.Random(5)
+    seqs = spark.createDataFrame([(i, "".join(rng.choices("ACGT", k=300))) for i in range(30)], "seq_index long, seq string")
+    fams = spark.createDataFrame([(f, "".join(rng.choices("ACGT", k=60))) for f in range(5)], "family_id long, consensus string")
+    cons, rows = recruit.consensus_kmers(fams, 4), kmers.kmer_rows(seqs, 4)
+    sizes = kmers.count_kmers(seqs, 4, tandem=1).withColumnRenamed("freq", "n")
+    for most in (1, 37, 500, 100_000):
+        want = sorted(map(tuple, recruit.seed_hits(cons, rows, most).collect()))
+        assert want and sorted(map(tuple, recruit.seed_hits(cons, rows, most, sizes=sizes).collect())) == want
+
+
+def test_tiles_are_drawn_in_many_tasks(spark):
+    """One row of lengths is many windows."""
+    lengths = spark.createDataFrame([(1, 1_000_000), (2, 150)], "seq_index long, length long").coalesce(1)
+    want = sorted((hashlib.md5(f"42:{s}:{t}".encode()).hexdigest(), s, t) for s, n in ((1, 10_000), (2, 1)) for t in range(n))[:7]
+    drawn = scale.sample_tiles(lengths, 100, 7)
+    assert [(r.seq_index, r.tile) for r in drawn.collect()] == [x[1:] for x in want]
+    assert "REPARTITION_BY_NUM" in drawn._jdf.queryExecution().executedPlan().toString()
