@@ -17,11 +17,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobs.settings import log, log_to_stderr, settings
 from strandlake import adapters
-from strandlake.functions import mdl
 from strandlake.operators.intervals import interval_union, overlap_join
 from strandlake.operators.select import family_scores
 from strandlake.sources.tables import bed_score
@@ -39,11 +39,16 @@ def track_items(instances: DataFrame, families: DataFrame, classes: DataFrame, l
     own = own.select(*keys, "start", "end", "family_id", "bits", "divergence")
     # an instance lies in one merged interval, so this pairs each with one row however many meet at a place
     pairs = overlap_join(interval_union(own, keys), own, keys, width)
+    item = ["a_class", "a_seq_index", "a_start", "a_end"]
     size = F.col("b_end") - F.col("b_start")
+    # doubles are added in order of place: where the mean lies at half a unit, the order decides how it is rounded
+    order = W.partitionBy(*item).orderBy("b_start", "b_end", "b_divergence").rowsBetween(W.unboundedPreceding, W.currentRow)
+    pairs = pairs.withColumn("_size", size).withColumns({"_at": F.count(F.lit(1)).over(order), "_sum": F.sum(F.col("b_divergence") * F.col("_size")).over(order)})
+    mean = F.max_by("_sum", "_at") / F.sum("_size")
     best = F.max(F.struct(F.col("b_bits"), (-F.col("b_family_id")).alias("f")))
-    items = pairs.groupBy("a_class", "a_seq_index", "a_start", "a_end").agg(
+    items = pairs.groupBy(*item).agg(
         F.count(F.lit(1)).alias("instances"), F.count_distinct("b_family_id").alias("families"),
-        F.round(mdl.steady(F.sum(F.col("b_divergence") * size) / F.sum(size)), 6).alias("divergence"), best.alias("best"),
+        (F.round(mean * 1e6) / 1e6).alias("divergence"), best.alias("best"),
     )
     return items.select(
         F.col("a_class").alias("class"), F.col("a_seq_index").alias("seq_index"), F.col("a_start").alias("start"), F.col("a_end").alias("end"),

@@ -146,6 +146,17 @@ def test_track_items_match_brute_force(spark):
     assert got == want
 
 
+def test_a_mean_at_half_a_unit_is_rounded_as_its_sum_in_order_of_place(spark):
+    """The exact means are 0.0771875 and 0.1621875; doubles added in order of place come to less for the first one only."""
+    low = [(2376, 43, 0.04), (2389, 42, 0.0), (2392, 28, 0.0), (2405, 15, 0.05)]
+    even = [(1680, 19, 0.03), (1698, 20, 0.03), (1706, 46, 0.05), (1717, 43, 0.04)]
+    rows = [(rec % 3, rec, at, at + n, n, 0, 4 * d) for rec in range(40) for at, n, d in random.Random(rec).sample(low if rec % 2 else even, 4)]
+    inst = spark.createDataFrame(rows, "family_id long, seq_index long, start long, end long, aligned_length int, num_edits int, divergence double").repartition(4, "start")
+    fams = spark.createDataFrame([(f, 20) for f in range(3)], "family_id long, consensus_length int")
+    got = annotation_tracks.track_items(inst, fams, fams.selectExpr("family_id", "1 AS class"), 3, 0.3, 64).collect()
+    assert {r.seq_index: r.divergence for r in got} == {rec: 0.077187 if rec % 2 else 0.162188 for rec in range(40)}
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.json").write_text('{"k": 9}')
     assert settings("kmer_catalogue", str(tmp_path / "c.json"), least=3)["k"] == 9
