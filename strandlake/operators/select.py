@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,51 +86,89 @@ def ranking(families: DataFrame, score: str, weakest_first: bool) -> DataFrame:
     return cut(ordered.join(F.broadcast(offsets), "_range").withColumn("rank", place).drop("_range", "_m", "_before"), "ranks")
 
 
-def _segments(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths of the elementary segments of the pieces of one stretch; each piece's first segment and end segment."""
-    cuts = np.unique(np.concatenate([at, to]))
-    return np.diff(cuts), np.searchsorted(cuts, at), np.searchsorted(cuts, to)
+#: Pieces are looked at by their segments, so many of these at a time.
+_PORTION = 1 << 20
+#: A task that looks at stretches has so many instances on average.
+_TASK = 1 << 20
 
 
-def _summed(fits: Callable, held: np.ndarray, rank: np.ndarray, sizes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Of each piece, the sizes of its segments whose ``held`` fits its rank. Pieces are looked at by their segments, some
-    hundred thousand of these at a time."""
-    out = np.zeros(len(lo), np.int64)
+def _portions(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Consecutive pieces, how many segments each of them has, and these segments, piece by piece."""
     so_far = np.concatenate([[0], np.cumsum(hi - lo)])
     at = 0
     while at < len(lo):
-        stop = max(at + 1, int(np.searchsorted(so_far, so_far[at] + (1 << 17), side="right")) - 1)
-        count, first = hi[at:stop] - lo[at:stop], so_far[at:stop] - so_far[at]
-        segment = np.arange(int(count.sum())) + np.repeat(lo[at:stop] - first, count)
-        out[at:stop] = np.add.reduceat(np.where(fits(held[segment], np.repeat(rank[at:stop], count)), sizes[segment], 0), first)
+        stop = max(at + 1, int(np.searchsorted(so_far, so_far[at] + _PORTION, side="right")) - 1)
+        count = hi[at:stop] - lo[at:stop]
+        yield slice(at, stop), count, np.arange(so_far[at], so_far[stop]) + np.repeat(lo[at:stop] - so_far[at:stop], count)
         at = stop
-    return out
+
+
+class _Segments:
+    """The elementary segments of some pieces, which are taken in the order of their ranks."""
+
+    def __init__(self, rank: np.ndarray, at: np.ndarray, to: np.ndarray, falling: bool) -> None:
+        cuts, number = np.unique(np.concatenate([at, to]), return_inverse=True)
+        self.sizes = np.diff(cuts)
+        self.order = np.argsort(-rank if falling else rank, kind="stable")
+        self.lo, self.hi = number[: len(at)][self.order], number[len(at) :][self.order]
+        self.rank = rank[self.order]
+        few = int((self.hi - self.lo).sum()) <= _PORTION
+        self._made = list(_portions(self.lo, self.hi)) if few else None
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some pieces' segments, the ranks of these, and at which of them each piece begins."""
+        for some, count, segment in self._made if self._made is not None else _portions(self.lo, self.hi):
+            yield some, segment, np.repeat(self.rank[some], count), np.cumsum(count) - count
+
+    def summed(self, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Of each piece, the sizes of its segments that fit its rank."""
+        out = np.zeros(len(self.order), np.int64)
+        for some, segment, rank, first in self:
+            out[self.order[some]] = np.add.reduceat(np.where(fits(segment, rank), self.sizes[segment], 0), first)
+        return out
 
 
 def unclaimed(rank: np.ndarray, inside: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Bases of each piece that no family which is in and comes before its own holds."""
-    sizes, lo, hi = _segments(at, to)
-    first = np.full(len(sizes), np.iinfo(np.int64).max)
-    order = np.argsort(-rank, kind="stable")
-    order = order[inside[order]]
-    for r, a, b in zip(rank[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
-        first[a:b] = r  # in the end the first family that holds a segment
-    return _summed(np.greater_equal, first, rank, sizes, lo, hi)
+    if not len(rank):
+        return np.zeros(0, np.int64)
+    segments = _Segments(rank, at, to, True)
+    first = np.full(len(segments.sizes), np.iinfo(np.int64).max)
+    holds = inside[segments.order]
+    for some, segment, ranks, start in segments:
+        held = np.repeat(holds[some], np.diff(start, append=len(segment)))
+        first[segment[held]] = ranks[held]  # the last of equal places is kept: the first family that holds a segment
+    return segments.summed(lambda segment, ranks: first[segment] >= ranks)
 
 
 def unshared(rank: np.ndarray, inside: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Bases of each piece outside all other families that are in or come after its own."""
-    sizes, lo, hi = _segments(at, to)
-    last, kept, second = (np.zeros(len(sizes), np.int64) for _ in range(3))  # the last family of a segment; the last two that are in
-    order = np.argsort(rank, kind="stable")
-    for r, a, b, is_in in zip(rank[order].tolist(), lo[order].tolist(), hi[order].tolist(), inside[order].tolist(), strict=True):
-        last[a:b] = r
-        if is_in:
-            before = kept[a:b]
-            second[a:b] = np.where(before == r, second[a:b], before)
-            kept[a:b] = r
-    alone = (kept == 0) | ((kept == last) & (second == 0))
-    return _summed(np.equal, np.where(alone, last, -1), rank, sizes, lo, hi)
+    if not len(rank):
+        return np.zeros(0, np.int64)
+    segments = _Segments(rank, at, to, False)
+    last = np.zeros(len(segments.sizes), np.int64)  # the last family of a segment
+    for _, segment, ranks, _ in segments:
+        last[segment] = ranks
+    shared = np.zeros(len(last), bool)  # whether a family before it is in
+    holds = inside[segments.order]
+    for some, segment, ranks, start in segments:
+        held = np.repeat(holds[some], np.diff(start, append=len(segment))) & (ranks != last[segment])
+        shared[segment[held]] = True
+    alone = np.where(shared, -1, last)
+    return segments.summed(lambda segment, ranks: alone[segment] == ranks)
+
+
+def _meets(some: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each piece overlaps one of those in ``some`` (itself, if it is)."""
+    chosen = np.flatnonzero(some)
+    if len(chosen) in (0, len(some)):
+        return some.copy()
+    chosen = chosen[np.argsort(at[chosen], kind="stable")]
+    reach = np.maximum.accumulate(to[chosen])
+    begins = np.concatenate([[True], at[chosen][1:] > reach[:-1]])
+    starts, ends = at[chosen][begins], reach[np.concatenate([np.flatnonzero(begins)[1:] - 1, [len(chosen) - 1]])]
+    next_end = np.searchsorted(ends, at, side="right")
+    return np.append(starts, np.iinfo(np.int64).max)[next_end] < to
 
 
 def _bitmap(state: DataFrame) -> bytes:
@@ -138,7 +178,54 @@ def _bitmap(state: DataFrame) -> bytes:
     return b"".join(found.get(p, bytes(_PAGE // 8)) for p in range(max(found, default=-1) + 1))
 
 
-def decide_in_order(own: DataFrame, ranks: DataFrame, stretch: int, free_bases: Callable, whole: Callable, judge: Callable[[DataFrame], DataFrame], most: int = 10_000) -> DataFrame:
+def _has_bit(bits: bytes | None, rank: np.ndarray) -> np.ndarray:
+    """Whether each rank's bit is set; without bits all are."""
+    if bits is None:
+        return np.ones(len(rank), bool)
+    held = np.frombuffer(bits, np.uint8)
+    if not len(held):
+        return np.zeros(len(rank), bool)
+    byte = np.minimum(rank >> 3, len(held) - 1)
+    return (rank < 8 * len(held)) & ((held[byte] >> (rank & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of ``least`` rows or more (the last one of any number) that end with a group of equal, adjacent ``keys``, and
+    the number of each row's group within the table."""
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            c = table.column(k).combine_chunks()
+            x, y = c[1:], c[:-1]
+            new[1:] |= np.asarray(pc.coalesce(pc.not_equal(x, y), pc.xor(pc.is_null(x), pc.is_null(y))))
+        return new
+
+    held, rows, limit = [], 0, least
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < limit:
+            continue
+        table = pa.Table.from_batches(held)
+        new = begins(table)
+        stop = int(np.flatnonzero(new)[-1])
+        if stop:
+            yield table.slice(0, stop), np.cumsum(new[:stop]) - 1
+            held, rows, limit = table.slice(stop).to_batches(), rows - stop, least
+        else:
+            limit = 2 * rows  # all of it is one group so far
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield table, np.cumsum(begins(table)) - 1
+
+
+def decide_in_order(
+    own: DataFrame, ranks: DataFrame, stretch: int, free_bases: Callable, worth: Callable, parts: tuple[Column, Column], judge: Callable[[DataFrame], DataFrame], most: int = 10_000
+) -> DataFrame:
     """The families of ``ranks`` (rank and more) as a fold in order of rank would decide them, without the fold.
 
     First all are taken to be in. In a round every family is judged by the bases that the families before it, as they
@@ -146,60 +233,111 @@ def decide_in_order(own: DataFrame, ranks: DataFrame, stretch: int, free_bases:
     family is right after each round, for good, and a round that changes nothing has what the fold gives. (It usually takes
     three to six, as few families change sides when others do.)
 
-    Work of a round: the instances ``own`` go to their stretch, where a kernel finds their free bases and ``whole`` (rank,
-    free, size, divergence) sums them up by family: (rank, free, saved, used). Only instances that lie in several stretches
-    are put together first. ``judge`` maps all of (rank, row, free, size, divergence, saved, used), row null for sums, to
-    ``ranks`` with is_in. Who is in is told by a bit per family, 16 MB at most, beyond which the pieces are joined with it.
-    No group is larger than a stretch, and no component meets in one.
+    The instances ``own`` go to their stretch once, and stay on the executors' disks in packets of whole stretches. In the
+    first round a kernel finds their free bases and ``worth`` (free, size, divergence) what they save and whether they are
+    used; in the others it looks only at what overlaps instances of families that changed sides, and sums are told what is
+    gained or lost. Instances that lie in several stretches are put together in each round; ``parts`` is what they save, and
+    whether they are used, of the columns free, size and divergence. ``judge`` gives ``ranks`` with saved, bases and used of
+    each family is_in. Who is in, and was, is told by a bit per family, 16 MB at most, beyond which the pieces are joined
+    with it. No group is larger than a stretch, and no component meets in one.
     """
     spark = own.sparkSession
-    pieces, few = stretches(own, stretch), ranks.count() < _PAGE * _MOST_PAGES
-    state = None
+    few = ranks.count() < _PAGE * _MOST_PAGES
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.count() // _TASK + 1)
+    several = F.col("_to") - F.col("_from") < F.col("size")
+    divergence = F.col("divergence") if "divergence" in own.columns else F.lit(None)
+    pieces = stretches(own, stretch).select(
+        "seq_index", "_bin", "rank", (F.col("_from") - F.col("_bin") * stretch).cast("int").alias("at"), (F.col("_to") - F.col("_bin") * stretch).cast("int").alias("to"),
+        F.when(several, F.col("row")).alias("row"), F.when(several, F.col("size")).alias("size"), divergence.cast("double").alias("divergence"),
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, ["seq_index", "_bin"]):
+            at, to = (np.asarray(table.column(c)) + group * stretch for c in ("at", "to"))
+            for name, x in (("at", at), ("to", to)):
+                table = table.set_column(table.column_names.index(name), name, pa.array(x))
+            table = table.drop_columns(["seq_index", "_bin"]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()])], names=["packet"])
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "seq_index", "_bin").sortWithinPartitions("seq_index", "_bin").mapInArrow(pack, "packet binary")
+
+    stored = packed(pieces).persist(StorageLevel.DISK_ONLY) if few else pieces
     kinds = {"rank": pa.int64(), "row": pa.int64(), "free": pa.int64(), "size": pa.int64(), "divergence": pa.float64(), "saved": pa.float64(), "used": pa.int64()}
     schema = pa.schema(list(kinds.items()))
 
+    def look(table: pa.Table, bits: tuple[bytes | None, bytes] | None) -> pa.RecordBatch:
+        rank, at, to = (table.column(c).to_numpy() for c in ("rank", "at", "to"))
+        several = np.asarray(table.column("row").is_valid())
+        size = np.where(several, _integers(table.column("size"), 0), to - at)
+        divergence = np.asarray(table.column("divergence").to_numpy(), float)
+        first = bits is None and "is_in" not in table.column_names
+        had = np.zeros(len(rank), np.int64)
+        if first:
+            free, changed = free_bases(rank, np.ones(len(rank), bool), at, to), ~several
+        else:
+            was, now = (np.asarray(table.column(c)) for c in ("_was", "is_in")) if bits is None else (_has_bit(b, rank) for b in bits)
+            asked = _meets(was != now, at, to) | several
+            near = np.flatnonzero(_meets(asked, at, to))
+            free = np.zeros(len(rank), np.int64)
+            free[near] = free_bases(rank[near], now[near], at[near], to[near])
+            had[near] = free_bases(rank[near], was[near], at[near], to[near]) if (was != now).any() else free[near]
+            changed = asked & ~several & (free != had)
+        some, ends = np.flatnonzero(changed), np.flatnonzero(several)
+        saved, used = worth(free[some], size[some], divergence[some])
+        if not first:
+            before = worth(had[some], size[some], divergence[some])
+            saved, used = saved - before[0], used - before[1]
+        of, bases, saved, used = _by_rank(rank[some], free[some] - had[some], saved, used)
+        n, zeros = len(of), np.zeros
+        columns = [
+            np.concatenate([of, rank[ends]]), pa.concat_arrays([pa.nulls(n, pa.int64()), table.column("row").combine_chunks().take(pa.array(ends))]),
+            np.concatenate([np.rint(bases).astype(np.int64), free[ends]]), np.concatenate([zeros(n, np.int64), size[ends]]),
+            pa.array(np.concatenate([zeros(n), divergence[ends]]), from_pandas=True), np.concatenate([saved, zeros(len(ends))]), np.concatenate([np.rint(used).astype(np.int64), zeros(len(ends), np.int64)]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
+
+    state, was = None, None
+    whole = F.col("row").isNull()
     for _ in range(most):
-        shared = spark.sparkContext.broadcast(_bitmap(state)) if state is not None and few else None
-        marked = pieces.join(state.select("rank", "is_in"), "rank") if state is not None and not few else pieces
-
-        def run(table: pa.Table) -> pa.Table:  # runs before the next round binds ``shared`` anew
-            rank, row, at, to, size = (table.column(c).to_numpy() for c in ("rank", "row", "_from", "_to", "size"))
-            divergence = table.column("divergence").to_numpy() if "divergence" in table.column_names else np.full(len(rank), np.nan)
-            if "is_in" in table.column_names:
-                inside = table.column("is_in").to_numpy(zero_copy_only=False).astype(bool)
-            elif shared is None:
-                inside = np.ones(len(rank), bool)
-            else:
-                held = np.frombuffer(shared.value, np.uint8)
-                byte = np.minimum(rank >> 3, max(len(held) - 1, 0))
-                inside = (rank < 8 * len(held)) & ((held[byte] >> (rank & 7).astype(np.uint8)) & 1).astype(bool) if len(held) else np.zeros(len(rank), bool)
-            free = free_bases(rank, inside, at, to)
-            cut_off = to - at < size
-            sums = whole(rank[~cut_off], free[~cut_off], size[~cut_off], divergence[~cut_off])
-            n, zeros = len(sums[0]), np.zeros
-            ends = np.flatnonzero(cut_off)
-            columns = [
-                np.concatenate([sums[0], rank[ends]]), pa.array(np.concatenate([zeros(n, np.int64), row[ends]]), mask=np.arange(n + len(ends)) < n),
-                np.concatenate([sums[1], free[ends]]), np.concatenate([zeros(n, np.int64), size[ends]]),
-                pa.array(np.concatenate([zeros(n), divergence[ends]]), from_pandas=True), np.concatenate([sums[2], zeros(len(ends))]), np.concatenate([sums[3], zeros(len(ends), np.int64)]),
-            ]
-            return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=schema)
-
-        found = marked.groupBy("seq_index", "_bin").applyInArrow(run, "rank long, row long, free long, size long, divergence double, saved double, used long")
+        now = _bitmap(state) if state is not None and few else None
+        shared = spark.sparkContext.broadcast((was, now)) if now is not None else None
+        marked = stored if few else packed(stored if state is None else stored.join(state.select("rank", "is_in", "_was"), "rank"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # runs before the next round binds ``shared`` anew
+            for b in batches:
+                for packet in b.column(0):
+                    found = look(pa.ipc.open_stream(packet.as_buffer()).read_all(), None if shared is None else shared.value)
+                    if found.num_rows:
+                        yield found
+
+        found = marked.mapInArrow(run, "rank long, row long, free long, size long, divergence double, saved double, used long").withColumn("was", F.lit(None).cast("boolean"))
+        if state is not None:
+            found = found.unionByName(state.select(
+                "rank", F.lit(None).cast("long").alias("row"), F.col("_bases").alias("free"), F.lit(0).cast("long").alias("size"),
+                F.lit(0.0).alias("divergence"), F.col("_saved").alias("saved"), F.col("_used").alias("used"), F.col("is_in").alias("was"),
+            ))
         # by rank once, which serves what is put together by instance and by family alike
         by_row = found.repartition("rank").groupBy("rank", "row").agg(
-            F.sum("free").alias("free"), F.max("size").alias("size"), F.max("divergence").alias("divergence"), F.sum("saved").alias("saved"), F.sum("used").alias("used")
-        )
-        after = cut(judge(by_row), "decided")
-        if state is None:
-            changed = after.where("not is_in")
-        else:
-            changed = after.join(state.select("rank", F.col("is_in").alias("_was")), "rank").where("is_in <> _was")
+            *[F.sum(c).alias(c) for c in ("free", "saved", "used")], *[F.max(c).alias(c) for c in ("size", "divergence", "was")]
+        )
+        sums = by_row.groupBy("rank").agg(
+            F.sum("free").alias("bases"), F.sum(F.when(whole, F.col("saved")).otherwise(parts[0])).alias("saved"), F.sum(F.when(whole, F.col("used")).otherwise(parts[1])).alias("used"),
+            F.max("was").alias("_was"), *[F.sum(F.when(whole, F.col(c))).alias(f"_{n}") for n, c in (("bases", "free"), ("saved", "saved"), ("used", "used"))],
+        )
+        named = [f"{p}{c}" for p in ("", "_") for c in ("bases", "saved", "used")]
+        joined = ranks.join(sums, "rank", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in named} | {"_was": F.coalesce("_was", F.lit(True))})
+        # what is gained and lost leaves a trace of rounding in a sum of nothing
+        after = cut(judge(joined.withColumn("saved", F.when(F.col("bases") > 0, F.col("saved")).otherwise(F.lit(0.0)))), "decided")
         if shared is not None:
             shared.unpersist()
-        if not changed.limit(1).count():
-            return after
-        state = after
+        if not after.where("is_in <> _was").limit(1).count():
+            stored.unpersist()
+            return after.drop("_was", "_bases", "_saved", "_used")
+        state, was = after, now
     raise RuntimeError(f"families were not decided within {most} rounds")
 
 
@@ -224,24 +362,23 @@ def select_library(instances: DataFrame, families: DataFrame, mode: str = "exact
     eligible = cut(eligible.join(totals, "rank"), "eligible")
     standing = (F.col("consensus_length") >= 50) & (F.col("n") >= 3)
 
-    def whole(rank: np.ndarray, free: np.ndarray, size: np.ndarray, divergence: np.ndarray) -> tuple[np.ndarray, ...]:
+    def worth(free: np.ndarray, size: np.ndarray, divergence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         unknown = np.isnan(divergence)
         edits = np.where(unknown, free, np.floor(np.where(unknown, 0.0, divergence) * free + 0.5)).astype(np.int64)
-        saved = np.where(free > 0, 2.0 * free - mdl.instance_costs(free, edits, mode), 0.0)
-        ranks, bases, saved, used = _by_rank(rank, free, saved, free > 0)
-        return ranks, bases.astype(np.int64), saved, used.astype(np.int64)
+        return np.where(free > 0, 2.0 * free - mdl.instance_costs(free, edits, mode), 0.0), (free > 0).astype(np.int64)
+
+    cost = mdl.instance_cost("free", F.floor(F.col("divergence") * F.col("free") + 0.5), mode)
+    parts = F.when(F.col("free") > 0, 2.0 * F.col("free") - cost).otherwise(F.lit(0.0)), (F.col("free") > 0).cast("long")
 
     def judge(found: DataFrame) -> DataFrame:
-        cost = mdl.instance_cost("free", F.floor(F.col("divergence") * F.col("free") + 0.5), mode)
-        saved = F.when(F.col("row").isNull(), F.col("saved")).when(F.col("free") > 0, 2.0 * F.col("free") - cost).otherwise(F.lit(0.0))
-        used = F.when(F.col("row").isNull(), F.col("used")).otherwise((F.col("free") > 0).cast("long"))
-        sums = found.groupBy("rank").agg(F.sum(saved).alias("saved"), F.sum("free").alias("bases"), F.sum(used).cast("int").alias("used"))
-        judged = eligible.join(sums, "rank", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("saved", "bases", "used")}).withColumn("own_score", F.col("saved") - F.col("model_cost"))
+        judged = found.withColumn("own_score", F.col("saved") - F.col("model_cost"))
         exclusive = F.col("own_score") > 1e-9
         state = F.when(exclusive, F.lit("exclusive")).when(standing, F.lit("standalone")).otherwise(F.lit("rejected"))
-        return judged.select("rank", "family_id", "saved", "own_score", "bases", "used", "total", state.alias("state"), (exclusive | standing).alias("is_in"))
+        return judged.withColumns({"state": state, "is_in": exclusive | standing, "used": F.col("used").cast("int")}).select(
+            "rank", "family_id", "saved", "own_score", "bases", "used", "total", "state", "is_in", "_was", "_bases", "_saved", "_used"
+        )
 
-    decided = decide_in_order(own, eligible, stretch, unclaimed, whole, judge).drop("is_in", "rank")
+    decided = decide_in_order(own, eligible, stretch, unclaimed, worth, parts, judge).drop("is_in", "rank")
     base = mdl.base_flags("consensus_length", "n", F.round("mean_divergence", 9))  # a mean at the limit reaches it in whatever order it is summed
 
     def bit(name: str, test) -> Column:
@@ -288,16 +425,15 @@ def prune_redundant(selected: DataFrame, instances: DataFrame, stretch: int = ST
     tiny = own.groupBy("rank").agg(F.bool_or(F.col("size") < 4).alias("tiny"))
     held = cut(ok.join(tiny, "rank"), "accepted")
 
-    def whole(rank: np.ndarray, free: np.ndarray, size: np.ndarray, divergence: np.ndarray) -> tuple[np.ndarray, ...]:
-        ranks = np.unique(rank[free >= size // 4])
-        return ranks, np.zeros(len(ranks), np.int64), np.zeros(len(ranks)), np.ones(len(ranks), np.int64)
+    def worth(free: np.ndarray, size: np.ndarray, divergence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(len(free)), (free >= size // 4).astype(np.int64)
+
+    parts = F.lit(0.0), (F.col("free") >= F.floor(F.col("size") / 4)).cast("long")
 
     def judge(found: DataFrame) -> DataFrame:
-        hit = F.when(F.col("row").isNull(), F.col("used") > 0).otherwise(F.col("free") >= F.floor(F.col("size") / 4))
-        hits = found.groupBy("rank").agg(F.bool_or(hit).alias("hit"))
-        return held.join(hits, "rank", "left").select("rank", "family_id", (F.coalesce("hit", F.lit(False)) | F.col("tiny")).alias("is_in"))
+        return found.withColumn("is_in", (F.col("used") > 0) | F.col("tiny")).select("rank", "family_id", "is_in", "_was", "_bases", "_saved", "_used")
 
-    decided = decide_in_order(own, held, stretch, unshared, whole, judge)
+    decided = decide_in_order(own, held, stretch, unshared, worth, parts, judge)
     gone = decided.where("not is_in").select("family_id", F.lit(True).alias("_gone"))
     # a family without an instance has none outside the others
     bare = ok.join(held, "family_id", "left_anti").select("family_id", F.lit(True).alias("_gone"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,54 @@ def test_a_chain_of_decisions(spark):
     assert len({w[0] for w in want.values()}) == 2
 
 
+def test_later_rounds_look_only_near_families_that_changed_sides(spark, monkeypatch):
+    """A chain takes many rounds, which leave the other 600 instances alone."""
+    fams = {f: [(f * 25, 0), (100_000 + f * 25, 0)] for f in range(8)} | {f: [(f * 400, 2), (f * 400 + 200, 2), (500_000 + f * 400, 2)] for f in range(100, 300)}
+    inst, table = make(spark, fams, 100)
+    table = table.withColumn("consensus_length", F.when(F.col("family_id") < 100, F.lit(40) + F.col("family_id")).otherwise(F.lit(60)).cast("int"))
+    asked, real = spark.sparkContext.accumulator(0), select.unclaimed
+
+    def counted(rank, inside, at, to):
+        asked.add(len(rank))
+        return real(rank, inside, at, to)
+
+    monkeypatch.setattr(select, "unclaimed", counted)
+    got = {r.family_id: r for r in select.select_library(inst, table).collect()}
+    want = folds.select({f: (r.score, r.model_cost, r.consensus_length, r.n) for f, r in got.items()}, {f: [(0, s, s + 100, e / 100) for s, e in v] for f, v in fams.items()})
+    assert {f: (got[f].state, got[f].exclusive_bases) for f in want} == {f: w[:2] for f, w in want.items()}
+    assert 616 <= asked.value < 2 * 616
+
+
+@pytest.mark.parametrize("portion", [1, 40, 1 << 20])
+def test_free_bases_of_pieces_equal_single_bases(monkeypatch, portion):
+    monkeypatch.setattr(select, "_PORTION", portion)
+    rng = np.random.default_rng(portion)
+    for n in (0, 1, 2, 30, 90):
+        at = rng.integers(0, 200, n)
+        to, rank = at + rng.integers(1, 40, n), rng.integers(1, 15, n)
+        inside = np.isin(rank, rng.integers(1, 15, 7))
+        families = [(set(range(a, b)), r, i) for a, b, r, i in zip(at, to, rank, inside, strict=True)]
+        free = [len(x - set().union(*[y for y, q, i in families if i and q < r])) for x, r, _ in families]
+        alone = [len(x - set().union(*[y for y, q, i in families if q != r and (i or q > r)])) for x, r, _ in families]
+        assert select.unclaimed(rank, inside, at, to).tolist() == free and select.unshared(rank, inside, at, to).tolist() == alone
+        some = rng.random(n) < 0.1
+        assert select._meets(some, at, to).tolist() == [any(x & families[j][0] for j in np.flatnonzero(some)) for x, *_ in families]
+
+
+def test_whole_groups_of_batches():
+    keys = [(0, 0)] * 3 + [(0, 1)] * 2 + [(None, 1)] * 4 + [(1, 1)] * 9 + [(2, 0)]
+    table = pa.table({"a": pa.array([k[0] for k in keys], pa.int64()), "b": [k[1] for k in keys], "i": range(len(keys))})
+    for size in (1, 2, 5, 100):
+        for least in (1, 4, 100):
+            seen = []
+            for t, group in select._whole_groups(table.to_batches(size), ["a", "b"], least):
+                mine = list(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True))
+                assert len(set(mine)) == len(set(group.tolist())) and not set(mine) & {keys[i] for i in seen}
+                assert len(set(zip(mine, group.tolist(), strict=True))) == len(set(mine))
+                seen += t["i"].to_pylist()
+            assert seen == list(range(len(keys)))
+
+
 def test_coalesce_keeps_order_rules(spark):
     rows = [
         (0, 1, 0, 100, 200, 100, 1, 0.0, 1), (0, 2, 0, 230, 300, 70, 2, 0.0, 1), (0, 3, 0, 240, 250, 10, 9, 0.0, 1),
